@@ -21,8 +21,8 @@ def wanted(path: Column, include: Sequence[str], exclude: Sequence[str]) -> Colu
     return ~fits(exclude) & fits(include)
 
 
-def read_tree(spark: SparkSession, root: str, include: Sequence[str] = ("**/*",), exclude: Sequence[str] = EXCLUDED, ignore_marker: str = ".symweaveignore", most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Files (path, language, size, modified_at, content_hash, text) and errors (path, code). Folders that hold the marker file are left out; files over most_bytes are errors."""
+def read_tree(spark: SparkSession, root: str, include: Sequence[str] = ("**/*",), exclude: Sequence[str] = EXCLUDED, ignore_marker: str = "symweave.ignore", most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Files (path, language, size, modified_at, content_hash, text) and errors (path, code). Folders that hold the marker file are left out (it must not be hidden or empty: Spark reads neither); files over most_bytes are errors."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.removeprefix("file://").rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", F.lit("^file:/+"), F.lit("/")), F.lit(f"^{base}/"), F.lit(""))

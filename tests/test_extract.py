@@ -61,7 +61,7 @@ def test_routes(spark):
 
 
 def test_tree_scan(spark, tmp_path):
-    for path, text in {"src/a.py": "x = 1\n", "src/b.h": "class A {};\n", "node_modules/m.js": "x", "skip/.symweaveignore": "", "skip/c.py": "y", "big.py": "z" * 3000}.items():
+    for path, text in {"src/a.py": "x = 1\n", "src/b.h": "class A {};\n", "node_modules/m.js": "x", "skip/symweave.ignore": "all", "skip/c.py": "y", "big.py": "z" * 3000}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(text)
     found, errors = trees.read_tree(spark, str(tmp_path), most_bytes=2000)

@@ -130,7 +130,7 @@ def test_resolution_prefers_near_bearers(spark):
          node("start", "method", "start", "src/e.ts", qualified="core::Engine::start"), node("file", "file", "util.ts", "src/util.ts")], NODES)
     asked = refs(spark, ("run", "calls", "src/a/w.ts", "typescript", 5), ("core::Engine", "instantiates", "q.ts", "typescript", 1), ("Engine.start", "calls", "q.ts", "typescript", 1), ("util.ts", "imports", "q.ts", "typescript", 1), ("src/util.ts", "imports", "q.ts", "typescript", 1), ("ENGINE", "calls", "q.ts", "typescript", 1), ("missing", "calls", "q.ts", "typescript", 1))
     got = {r.ref_id: (r.target, r.confidence, r.resolved_by) for r in R.resolve(asked, nodes).collect()}
-    assert got == {"r0": ("near", 0.7, "exact-match"), "r1": ("only", 0.95, "qualified-name"), "r2": ("start", 0.85, "instance-method"), "r3": ("file", 0.9, "exact-match"), "r4": ("file", 0.95, "file-path"), "r5": ("only", 0.5, "fuzzy")}
+    assert got == {"r0": ("near", 0.7, "exact-match"), "r1": ("only", 0.95, "qualified-name"), "r2": ("start", 0.85, "instance-method"), "r3": ("file", 0.95, "qualified-name"), "r4": ("file", 0.95, "file-path"), "r5": ("only", 0.5, "fuzzy")}
     builtins = spark.createDataFrame([("typescript", "run")], "language string, name string")
     assert "r0" not in {r.ref_id for r in R.resolve(asked, nodes, builtins).collect()}
 
