@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_test_file
+from ..functions.text import is_test_file, stems, words_of
 from ..schema import Graph
+from .graph import traverse
 from .lookup import induced
-from .search import top
+from .search import compound, search_fields, term_hits, top
 
 RECOVERED = ("calls", "extends", "implements", "references", "overrides")
 DAMPED = 0.3
@@ -73,3 +74,28 @@ def markdown(nodes: DataFrame, title: str = "Symbols") -> DataFrame:
     line = F.concat(F.lit("- `"), "name", F.lit("` ("), "kind", F.lit(", line "), F.col("start_line").cast("string"), F.lit(")"))
     rows = nodes.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", line.alias("line")))).alias("rows"))
     return rows.select("file_path", F.concat(F.lit(f"## {title} in "), "file_path", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"))
+
+
+def relevant(graph: Graph, queries: DataFrame, search_limit: int = 3, max_nodes: int = 20, depth: int = 1, min_score: float = 0.3) -> DataFrame:
+    """query_id, id, score, role: for each query (query_id, query) the entry symbols that search channels agree on, and their surroundings in the graph.
+
+    Channels are exact names with a boost for files that hold several, ranked text search by single terms, and names of several terms;
+    the best score of each node counts, less for tests. Entries are expanded both ways, a file's share and that of tests are capped.
+    """
+    nodes = graph.nodes
+    terms = queries.select("query_id", "query", F.explode(words_of(F.col("query"))).alias("term"))
+    with_stems = terms.select("query_id", F.explode(F.array_append(stems(F.col("term")), F.col("term"))).alias("term")).distinct()
+    exact_hits = with_stems.join(nodes.select("id", F.lower("name").alias("term"), "file_path"), "term")
+    together = exact_hits.groupBy("query_id", "file_path").agg(F.countDistinct("term").alias("n"))
+    exact = exact_hits.join(together, ["query_id", "file_path"]).select("query_id", "id", (100.0 + 20 * (F.col("n") - 1)).alias("score"))
+    single = with_stems.select(F.concat_ws("\u0001", "query_id", "term").alias("query_id"), F.col("term").alias("query"))
+    ranked = search_fields(nodes, single, {"name": 20.0, "qualified_name": 5.0})
+    text = term_hits(ranked.select(F.split_part("query_id", F.lit("\u0001"), F.lit(1)).alias("query_id"), F.split_part("query_id", F.lit("\u0001"), F.lit(2)).alias("term"), "id", "score"))
+    found = merged(exact, text, compound(nodes, terms)).join(nodes.select("id", "file_path"), "id")
+    entries = top(damp_tests(found).filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.asc("id")], search_limit)
+    near = traverse(graph, entries.select(F.col("query_id").alias("root"), "id"), "both", max_depth=depth)
+    best = entries.select(F.col("query_id").alias("root"), "id", F.col("score").alias("own"))
+    placed = near.join(best, ["root", "id"], "left").join(nodes.select("id", "file_path"), "id")
+    scored = placed.select(F.col("root").alias("query_id"), "id", "file_path", F.coalesce("own", 1.0 / (1 + F.col("depth"))).alias("score"), F.when(F.col("own").isNotNull(), "entry").otherwise("near").alias("role"))
+    kept = other_code_cap(per_file_cap(scored, ["query_id"], max_nodes), ["query_id"], max_nodes)
+    return top(kept, ["query_id"], [F.asc("role"), F.desc("score"), F.asc("id")], max_nodes).select("query_id", "id", F.round("score", 6).alias("score"), "role")

@@ -3,7 +3,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from symweave.functions import text as X
-from symweave.operators import changes, context, extract, search
+from symweave.operators import changes, context, extract, imports, search
 from symweave.sources import snapshots, trees
 from symweave.streaming import sync
 
@@ -115,3 +115,28 @@ def test_changes(spark):
     edges = spark.createDataFrame([(1, "t1"), (2, "t2")], "ref_id int, target string")
     got = changes.refs_to_resolve(refs, edges, spark.createDataFrame([("z",)], "name string"), spark.createDataFrame([("t1",)], "id string"))
     assert {r.ref_id for r in got.collect()} == {1, 3}
+
+
+BARREL = {
+    "src/app.ts": "import Main, { Shown as Local, helper } from './index';\nimport * as ns from '@lib/tools';\nexport function run() {\n  Local();\n  ns.saw();\n  helper();\n}\n",
+    "src/index.ts": "export { Middle as Shown } from './mid';\nexport * from './star';\n",
+    "src/mid.ts": "export { Hidden as Middle } from './deep/in';\n",
+    "src/deep/in.ts": "export function Hidden() {}\n",
+    "src/star.ts": "export function helper() {}\n",
+    "lib/tools/index.ts": "export function saw() {}\n",
+    "pkg/__init__.py": "",
+    "pkg/util.py": "def clean(x):\n    pass\n",
+    "main.py": "from pkg.util import clean as tidy\ndef go():\n    tidy(1)\n",
+}
+
+
+def test_references_are_followed_through_imports(spark):
+    own = files(spark, BARREL)
+    got = {(r.path, r.local, r.imported, r.specifier) for r in imports.mappings(own).collect()}
+    assert got == {("src/app.ts", "Main", "default", "./index"), ("src/app.ts", "Local", "Shown", "./index"), ("src/app.ts", "helper", "helper", "./index"), ("src/app.ts", "ns", "*", "@lib/tools"), ("main.py", "tidy", "clean", "pkg.util")}
+    found = extract.symbols(own)
+    names = {r.id: f"{r.file_path}:{r.name}" for r in found.collect()}
+    refs = extract.references(own, found).withColumn("ref_id", F.concat_ws(":", "file_path", "reference_name"))
+    aliases = spark.createDataFrame([("@lib/", "lib/"), ("@", "other/")], "prefix string, target string")
+    resolved = {r.ref_id: names[r.target] for r in imports.by_import(refs, own, found, aliases).collect()}
+    assert resolved == {"src/app.ts:Local": "src/deep/in.ts:Hidden", "src/app.ts:ns.saw": "lib/tools/index.ts:saw", "src/app.ts:helper": "src/star.ts:helper", "main.py:tidy": "pkg/util.py:clean"}
