@@ -1,6 +1,6 @@
 """Line-first quality rules: clean line by line, then reject documents that lose too much.
 
-A line fails on punctuation (no sentence end, and few words), navigation (mostly separators and link labels) or boilerplate
+A line fails on punctuation (no sentence end and few words, or doubled marks behind every other word), navigation (mostly separators and link labels) or boilerplate
 (a licence, cookie or script notice). Failing lines are taken out, and a document whose remaining lines hold less than
 LEAST_KEPT of its word characters is rejected. Before that, base counts of the whole text reject short and repetitive ones.
 """
@@ -20,6 +20,7 @@ from .shared import SPACES, documents
 LEAST_KEPT = 0.5
 SYMBOLS = "#*$%&|<>"
 SENTENCE_END = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*$")
+SHOUTS = re.compile(r"[!?]{2,}")
 SEPARATORS = re.compile(r"[|»›•·>/]")
 BOILERPLATE = re.compile(
     r"\b(?:licen[sc]ed under|this work is licensed|all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|lorem ipsum|click here|sign (?:in|up)|log ?in|subscribe|©)",
@@ -59,7 +60,7 @@ def line_verdict(line: str, rules: Rules = Rules()) -> str:
         return "boilerplate"
     if len(SEPARATORS.findall(bare)) * 3 >= len(words) > 0:
         return "navigation"
-    if not SENTENCE_END.search(bare) and len(words) < rules.few_words:
+    if len(SHOUTS.findall(bare)) * 2 >= len(words) or not SENTENCE_END.search(bare) and len(words) < rules.few_words:
         return "punctuation"
     return "keep"
 
