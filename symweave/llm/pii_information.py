@@ -8,7 +8,7 @@ PMI >= GENERALISE * IC is replaced by its kind of word, with PMI >= REMOVE * IC
 SUPPORT documents and in two different texts count: once is chance, and copies of one text are one observation. Terms
 are treated where they stand beside the entity; a document without personal data never changes.
 
-Everything but the corpus counts of candidate terms is local to a row. Texts are never shuffled.
+Everything but the corpus counts of words is local to a row. Texts are never shuffled; each task counts its own words first.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ PATTERNS = (
 )
 TERM = r"[\p{L}\p{N}_]{3,}"
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
-#: Candidate terms up to this many are broadcast as a filter before words are counted; beyond it words are counted first.
-BROADCAST_TERMS = 100_000
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -128,10 +126,7 @@ def disclosing(docs: DataFrame, base: DataFrame, support: int = SUPPORT, general
     pairs = base.select("text_key", pair.alias("pair")).groupBy("pair.entity", "pair.term").agg(F.count(F.lit(1)).alias("c_te"), F.countDistinct("text_key").alias("texts"))
     pairs = stored(pairs.filter((F.col("c_te") >= support) & (F.col("texts") >= 2)), "pairs")
     entities = base.select(F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
-    terms = stored(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
     n = base.count()
     share = F.log2(F.col("c_te") * n / (F.col("c_t") * F.col("c_e"))) / F.log2(F.lit(float(max(n, 1))) / F.col("c_e"))

@@ -102,9 +102,3 @@ def test_terms_that_disclose_are_found_by_brute_force_counts(spark):
     assert all("zorblatt" not in clean[i] and "@" not in clean[i] for i in with_term)
     assert all(clean[i] == t for i, t in rows if i < 100)
 
-
-def test_counting_without_broadcast_agrees(spark, monkeypatch):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    before = sorted(map(tuple, P.find_personal_data(docs).collect()))
-    monkeypatch.setattr(P, "BROADCAST_TERMS", 0)
-    assert sorted(map(tuple, P.find_personal_data(docs).collect())) == before
