@@ -186,14 +186,17 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """docs with personal data and the terms that disclose it masked in text, and n_chars (where there is one) brought up to date."""
+    """docs with personal data and the terms that disclose it masked in text; where that changes a text, n_chars (if there is one) is brought up to date."""
     base = stored(found(docs), "personal")
     terms = stored(term_spans(docs, base, support, generalise), "term-spans")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     rows = docs.select(whole).withColumn("text", F.col("_row.text")).withColumn("doc_id", F.col("_row.doc_id").cast("long"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("spans", base_spans(F.coalesce("text", F.lit(""))))
     rows = with_terms(rows, terms).withColumn("text", F.when(F.size("all_spans") > 0, masked(F.col("text"), F.col("all_spans"))).otherwise(F.col("text")))
-    changed = {"text": F.col("text")} | ({"n_chars": F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size("all_spans") > 0, length).otherwise(F.col("_row.n_chars"))
     return rows.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
