@@ -20,7 +20,7 @@ from .shared import SPACES, documents
 LEAST_KEPT = 0.5
 SYMBOLS = "#*$%&|<>"
 SENTENCE_END = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*$")
-SHOUTS = re.compile(r"[!?]{2,}")
+SHOUTS = re.compile(r"[!?#*$%&|<>]{2,}")
 SEPARATORS = re.compile(r"[|»›•·>/]")
 BOILERPLATE = re.compile(
     r"\b(?:licen[sc]ed under|this work is licensed|all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|lorem ipsum|click here|sign (?:in|up)|log ?in|subscribe|©)",
