@@ -1,10 +1,9 @@
 """Packing by patterns: non-negative least squares over the length histogram.
 
 Documents are tokenised, closed with id END and cut into pieces of at most LENGTH tokens (the first piece may be shorter). Lengths
-fall into cells of STEP tokens, rounded up. All patterns of one to three cells that fill a sequence are enumerated,
-their repeat counts are fitted to the histogram by non-negative least squares (Lawson and Hanson, rows weighted by length),
-rounded down to what the histogram has, and the residual is packed best-fit decreasing, by counts. The plan needs the
-histogram alone (LENGTH / STEP numbers), however many pieces there are.
+are counted. Patterns of one to three pieces that fill a sequence exactly are enumerated, their repeat counts are
+fitted to the histogram by non-negative least squares, rounded down to what the histogram has, and the residual is packed
+best-fit decreasing, by counts. The plan needs the histogram alone (LENGTH numbers), however many pieces there are.
 
 Executors then deal pieces to the plan's slots: a piece's rank among those of its cell is its task's offset plus its place
 within the task; ranks map to slots by binary search. No task gathers the pieces of a frequent length.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import documents, stored
 
-LENGTH, STEP, END = 2048, 8, 0
+LENGTH, END = 2048, 0
 #: Parts of a text that a worker keeps tokenised; at more it starts anew.
 CACHE = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, cell int, task int, place long"
@@ -113,7 +112,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int
                     first = (len(ids) // 4 - 1) % length + 1
                     for piece, start in enumerate([0, *range(first, len(ids) // 4, length)]):
                         own = ids[4 * start : 4 * (start + length if piece else first)]
-                        cell = -(-len(own) // 4 // step)
+                        cell = len(own) // 4
                         rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own), cell, task, places[cell]))
                         places[cell] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
@@ -126,78 +125,80 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int
 
 
 def patterns(room: int) -> list[tuple[int, ...]]:
-    """All ways to fill a sequence of room cells with one, two or three pieces, largest first."""
-    one = [(room,)]
-    two = [(room - b, b) for b in range(1, room // 2 + 1)]
-    three = [(room - b - c, b, c) for c in range(1, room // 3 + 1) for b in range(c, (room - c) // 2 + 1)]
-    return one + two + three
-
-
-def nnls(a: np.ndarray, y: np.ndarray, most: int = 3000) -> np.ndarray:
-    """x >= 0 with least |a x - y|: the active-set method of Lawson and Hanson."""
-    x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gradient = a.T @ y
-    enough = 1e-7 * max(gradient.max(initial=0), 1)
-    for _ in range(most):
-        free = np.where(passive, -np.inf, gradient)
-        if free.max(initial=-np.inf) <= enough:
+    """Lengths of one to three pieces that fill a sequence exactly, longest first: one piece, all pairs, and for each longest piece the
+    triples that split the rest evenly, two to one and three to one."""
+    found = {(room,): None}
+    found |= {(room - b, b): None for b in range(1, room // 2 + 1)}
+    for a in range(room - 2, 0, -1):
+        for share in (2, 3, 4):
+            c = (room - a) // share
+            if c and room - a - c <= a:
+                found[a, room - a - c, c] = None
+    return list(found)
+
+
+def nnls(kinds: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int = 60) -> np.ndarray:
+    """Repeats x >= 0 of each pattern with the least weighted squared distance between what they use and the histogram.
+
+    Coordinate descent: each repeat count in turn is set to its best value given the others, which needs the few lengths of its
+    pattern only. Lengths weigh as their square, since long pieces are the hard ones to place otherwise.
+    """
+    x = [0.0] * len(kinds)
+    rest = histogram.astype(float).tolist()
+    uses = [[(cell, kind.count(cell), float(cell) ** 2) for cell in dict.fromkeys(kind)] for kind in kinds]
+    norms = [sum(w * n * n for _, n, w in own) for own in uses]
+    for _ in range(sweeps):
+        moved = 0.0
+        for k, own in enumerate(uses):
+            step = max(-x[k], sum(w * n * rest[cell] for cell, n, w in own) / norms[k])
+            if step:
+                x[k] += step
+                moved = max(moved, abs(step))
+                for cell, n, _ in own:
+                    rest[cell] -= n * step
+        if moved < 1e-3:
             break
-        passive[free.argmax()] = True
-        while True:
-            chosen = np.flatnonzero(passive)
-            part = a[:, chosen]
-            solved = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(chosen)), part.T @ y)
-            if solved.min() > 0:
-                break
-            low = chosen[solved <= 0]
-            ratio = x[low] / np.maximum(x[low] - solved[solved <= 0], 1e-300)
-            x[chosen] += ratio.min() * (solved - x[chosen])
-            x[low[ratio.argmin()]] = 0
-            passive &= x > 1e-12
-        x[:] = 0
-        x[chosen] = solved
-        gradient = a.T @ (y - part @ solved)
-    return x
+    return np.array(x)
 
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
-    """(repeats, cells of the pieces in order) for groups of equal sequences that hold each piece of the histogram once."""
+    """(repeats, lengths of the pieces in order) for groups of equal sequences that hold each piece of the histogram once."""
     left = np.zeros(room + 1, np.int64)
     for cell, n in histogram.items():
         left[cell] = n
     kinds, groups = patterns(room), []
-    a = np.zeros((room, len(kinds)))
-    for k, pattern in enumerate(kinds):
-        for cell in pattern:
-            a[cell - 1, k] += 1
-    weight = np.arange(1, room + 1) / room
-    fitted = nnls(a * weight[:, None], left[1:] * weight) if left.any() else np.zeros(len(kinds))
-    for extra in (0, 1):  # rounded down; then once more for what rounding has left whole
-        for k in np.argsort(-fitted, kind="stable")[: np.count_nonzero(fitted)]:
-            need = {cell: kinds[k].count(cell) for cell in kinds[k]}
-            repeats = min(1 if extra else int(fitted[k] + 1e-6), *(int(left[cell]) // n for cell, n in need.items()))
-            if repeats:
-                groups.append((repeats, list(kinds[k])))
-                for cell, n in need.items():
-                    left[cell] -= repeats * n
-    opened: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)  # by room left
-    for cell in range(room, 0, -1):
-        n = int(left[cell])
+    fitted = nnls(kinds, left)
+    for k in np.argsort(-fitted, kind="stable"):
+        repeats = min(int(fitted[k] + 1e-6), *(int(left[cell]) // kinds[k].count(cell) for cell in kinds[k]))
+        if repeats > 0:
+            groups.append((repeats, list(kinds[k])))
+            for cell in kinds[k]:
+                left[cell] -= repeats
+    return groups + best_fit({cell: int(n) for cell, n in enumerate(left) if n}, room)
+
+
+def best_fit(histogram: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
+    """Best-fit decreasing by counts: equal pieces go together, each into the fullest sequences that still have room."""
+    opened: list[list[tuple[int, list[int]]]] = [[] for _ in range(room + 1)]  # groups of equal sequences by room left
+    for cell in sorted(histogram, reverse=True):
+        n, fit = histogram[cell], cell
         while n:
-            fit = next((r for r in range(cell, room) if opened[r]), None)
-            if fit is None:
+            while fit < room and not opened[fit]:
+                fit += 1
+            if fit == room:
                 each = room // cell
                 for repeats, times in ((n // each, each), (1, n % each)):
                     if repeats and times:
                         opened[room - cell * times].append((repeats, [cell] * times))
-                n = 0
-                continue
+                break
             repeats, held = opened[fit].pop()
             if repeats > n:
                 opened[fit].append((repeats - n, held))
-            opened[fit - cell].append((min(n, repeats), [*held, cell]))
-            n -= min(n, repeats)
-    return groups + [g for some in opened.values() for g in some]
+            took = min(n, repeats)
+            opened[fit - cell].append((took, [*held, cell]))
+            n -= took
+            fit = cell
+    return [g for some in opened for g in some]
 
 
 def slots(groups: list[tuple[int, list[int]]]) -> np.ndarray:
@@ -211,7 +212,7 @@ def slots(groups: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(found), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, length: int = LENGTH, step: int = STEP) -> DataFrame:
+def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of docs (doc_id, text).
 
     Null and empty texts are one piece, the closing id. A text of any length is encoded whole. Ties are broken by task and
@@ -220,10 +221,10 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     """
     if json_path is None:
         json_path, ranks_path = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken")
-    cut = stored(pieces(docs, json_path, ranks_path, length, step), "pieces")
+    cut = stored(pieces(docs, json_path, ranks_path, length), "pieces")
     counts = cut.groupBy("task", "cell").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {cell: n for cell, n in cut.groupBy("cell").count().collect()}  # length / step rows at most
-    table = slots(plan(histogram, length // step))
+    histogram = {cell: n for cell, n in cut.groupBy("cell").count().collect()}  # as many rows as there are lengths
+    table = slots(plan(histogram, length))
     keys = table[:, 0] << 44 | table[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

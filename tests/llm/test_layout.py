@@ -111,10 +111,41 @@ def test_plans_hold_each_piece_once(histogram):
 
 def test_nnls_meets_its_conditions():
     rng = np.random.default_rng(5)
-    a, y = rng.random((30, 60)), rng.random(30) * 10
-    x = P.nnls(a, y)
-    gradient = a.T @ (y - a @ x)
-    assert (x >= 0).all() and (gradient <= 1e-4).all() and abs(gradient[x > 0]).max() < 1e-4
+    kinds = P.patterns(40)
+    assert all(sum(k) == 40 for k in kinds) and len(set(kinds)) == len(kinds)
+    y = np.append(0, rng.integers(0, 500, 40)).astype(float)
+    a = np.zeros((41, len(kinds)))
+    for k, kind in enumerate(kinds):
+        for cell in kind:
+            a[cell, k] += cell
+    x = P.nnls(kinds, y, 5000)
+    gradient = a.T @ (np.arange(41) * y - a @ x)
+    assert (x >= 0).all() and (gradient <= 5).all() and abs(gradient[x > 0]).max() < 5
+
+
+def plain_best_fit(pieces, room):
+    left = []
+    for p in sorted(pieces, reverse=True):
+        fits = [r for r in left if r >= p]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - p)
+        else:
+            left.append(room - p)
+    return len(left)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 12)))
+def test_best_fit_by_counts_needs_as_few_as_piece_by_piece(histogram):
+    groups = P.best_fit(histogram, 64)
+    held = Counter()
+    for repeats, cells in groups:
+        assert sum(cells) <= 64
+        for c in cells:
+            held[c] += repeats
+    assert held == Counter(histogram)
+    assert sum(r for r, _ in groups) == plain_best_fit(list(Counter(histogram).elements()), 64)
 
 
 def test_parts_are_encoded_as_the_whole():
@@ -161,4 +192,4 @@ def test_chat_equals_sql(spark, sf_dir):
     expected = sorted(con.execute(C.OP6_SQL).fetchall())
     assert sorted(tuple(r) for r in C.op6_prefix_target(spark, sf_dir).collect()) == expected
     planted = next(r for r in expected if r[0] == -1)
-    assert planted[1] == 2 and planted[2] == len(C.PLANTED)
+    assert planted[1] == 2 and planted[3] == len(C.PLANTED)
