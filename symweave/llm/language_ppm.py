@@ -6,7 +6,7 @@ uniformly. The statistics are frozen after training, so the probability of a byt
 and all escapes can be worked out beforehand: a table gives the exact code length of each (context, byte) in every language, and a
 text's code length is a sum of look-ups. The shortest code names the language.
 
-Training counts come from a bounded sample: PER_LANGUAGE documents of each language, those of least hashed id. They are
+Training counts come from a bounded sample: about PER_LANGUAGE documents of each language, chosen by hashed id. They are
 counted on the executors; the driver gets one row for each (language, ORDER + 1 bytes) seen.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, held_out
@@ -117,10 +117,17 @@ def _escaped(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, shorter
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from rows that are not held out and have a text and a lang."""
+    """A model from rows that are not held out and have a text and a lang.
+
+    Languages are counted first (a row for each comes to the driver, as each has a column in the model); then a row is taken if
+    its hashed id falls within per_language's share of its language, so choosing rows moves no text.
+    """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang", rank.alias("rank")).filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    sizes = usable.groupBy("lang").count().collect()
+    if not sizes:
+        return Model.fit([])
+    share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, per_language / n))))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +137,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 gram, n = grams([texts[i] for i in np.flatnonzero(langs == lang)])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
-    texts = usable.join(chosen, "doc_id", "left_semi").select("lang", F.col("text").cast("binary").alias("text"))
+    texts = usable.filter(chosen).select("lang", F.col("text").cast("binary").alias("text"))
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model.fit([tuple(r) for r in counts.toLocalIterator()])
 
