@@ -60,10 +60,10 @@ def exact_dedup(docs: DataFrame, identifiers: Sequence[Identifier] = IDENTIFIERS
     doc_id with an equal text are one document, stay or go together and each count in group_size. A null doc_id is less than
     any other: it stays only where its whole group has none. Columns beyond doc_id and text are ignored, whatever
     their names; an empty table gives an empty result. A third of all rows in one group is pre-aggregated in each task,
-    and the join back is a plain equi-join whose hot partitions adaptive execution splits.
+    and the join back to the stored groups is a plain equi-join whose hot partitions adaptive execution splits.
     """
     recipes = verified_recipes(docs, identifiers, least, most)
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return recipes.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
     )
