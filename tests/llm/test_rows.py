@@ -56,7 +56,7 @@ def test_quality_of_odd_rows(spark):
 def test_lines_are_judged_one_by_one():
     prose = "A sentence that says something at some length, and then goes on to end in a full stop."
     verdict = Q.line_verdict
-    assert [verdict(x) for x in (prose, "Home | Shop | About | Contact", "All rights reserved.", "Read more", "Short but whole.")] == ["keep", "navigation", "boilerplate", "punctuation", "keep"]
+    assert [verdict(x) for x in (prose, "Home | Shop | About | Contact", "All rights reserved.", "Read more", "Short but whole.", "BUY!! IT!! NOW!! OR!!")] == ["keep", "navigation", "boilerplate", "punctuation", "keep", "punctuation"]
     words = " ".join(f"word{i}" for i in range(60))
     mixed = Q.clean("\n".join([prose, words + ".", "Home | Shop", ""]))
     assert mixed["kept"] and mixed["cleaned"] == "\n".join([prose, words + ".", ""]) and mixed["n_bad_navigation"] == 1
@@ -179,7 +179,7 @@ def test_sentencepiece_parity_and_round_trip(spark, sf_dir, backend):
 def test_sentencepiece_on_odd_texts(spark, backend):
     odd = ["", " ", "  a  b ", "\n\n x\t y", "日本語のテキスト", "a▁b ▁▁c", "<s></s><0x0A><unk>", "😀\x00é" * 50, "x" * 5000, "   ", "aaaaaaa bbbbbbbb"]
     assert backend.encode_batch(odd) == backend.other.encode(odd)
-    whole = [np.frombuffer(b"".join(backend.cache[p][0] for p in backend.parts(t)), "<u4").tolist() if backend.learn(set(backend.parts(t))) is None else 0 for t in odd]
+    whole = [np.frombuffer(b"".join(backend.cache[p] for p in backend.parts(t)), "<u4").tolist() if backend.learn(set(backend.parts(t))) is None else 0 for t in odd]
     assert whole == backend.other.encode(odd)
     assert backend.decode_batch(backend.encode_batch(odd)) == [t.replace("▁", " ") for t in odd]
     assert B.encode(table(spark)).count() == len(ROWS) and B.encode(table(spark, [])).count() == 0
