@@ -97,11 +97,19 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH, step: int = STEP) -> DataFrame:
+def encoder(json_path: str, ranks_path: str | None) -> Encoder:
+    """The worker's own, kept from task to task."""
+    key = json_path, ranks_path
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
+
+
+def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH) -> DataFrame:
     """A row for each piece of each document, with its cell and its place among those of its cell in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get((json_path, ranks_path)) or _encoders.setdefault((json_path, ranks_path), Encoder(json_path, ranks_path))
+        encode = encoder(json_path, ranks_path)
         task, places, end = TaskContext.get().partitionId(), defaultdict(int), np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
