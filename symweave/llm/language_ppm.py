@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, held_out
+from .shared import documents, held_out, small_batches
 
 ORDER, PER_LANGUAGE, LEAST_SCORE = 3, 1500, 0.5
 UNSEEN, START, FIRST = 0, 1, 2  # codes: a byte never seen in training, the place before a text, and the first of the bytes seen
@@ -137,7 +137,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 gram, n = grams([texts[i] for i in np.flatnonzero(langs == lang)])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
-    texts = usable.filter(chosen).select("lang", F.col("text").cast("binary").alias("text"))
+    texts = small_batches(usable).filter(chosen).select("lang", F.col("text").cast("binary").alias("text"))
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model.fit([tuple(r) for r in counts.toLocalIterator()])
 
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -169,7 +169,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = LEAST_SC
             kept = [lang != "und" and score >= least_score for lang, score in shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

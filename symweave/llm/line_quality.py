@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import SPACES, documents
+from .shared import SPACES, documents, small_batches
 
 LEAST_KEPT = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -103,7 +103,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), texts: bool = True) ->
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, "base_failed", "kept", *["cleaned"] * texts])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean" + ", cleaned string" * texts
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, schema)
+    return small_batches(docs).selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, schema)
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, small_batches, stored
 
 LENGTH, END = 2048, 0
 #: Parts of a text that a worker keeps tokenised; at more it starts anew.
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], re.findall(r"(\w+) \w+", PIECES))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
 # the plan

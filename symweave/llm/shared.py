@@ -30,6 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands Python batches of 8 MB or 1000 rows at most, so that tasks hold few long texts at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        df.sparkSession.conf.set(key, str(most))
+    return df
+
+
 def crc32_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as decimal text; decides held-out rows (mod 3 is 1) without a draw of random numbers."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, small_batches, stored
 
 SEED, SHINGLE, RADIUS, BANDS, BLOCK, WINDOW = 42, 3, 2, 5, 4096, 512
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -52,7 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as signed long) for each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 # comparison within a cell
