@@ -6,7 +6,8 @@ fitted to the histogram by non-negative least squares, rounded down to what the
 best-fit decreasing, by counts. The plan needs the histogram alone (LENGTH numbers), however many pieces there are.
 
 Executors then deal pieces to the plan's slots: a piece's rank among those of its cell is its task's offset plus its place
-within the task; ranks map to slots by binary search. No task gathers the pieces of a frequent length.
+within the task; ranks map to slots by binary search. No task gathers the pieces of a frequent length. The ids are stored with the
+pieces, and then dealt once, by sequence.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from .shared import documents, small_batches, stored
 LENGTH, END = 2048, 0
 #: Parts of a text that a worker keeps tokenised; at more it starts anew.
 CACHE = 300_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, cell int, task int, place long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, cell int, task int, place long"
+PLACED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,6 +66,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(json_path)
         self.tokenizer.encode_special_tokens = True
+        #: what ids are stored and dealt as
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
         self.fast: Callable[[str], list[int]] | None = None
         self.unchecked = 64
@@ -106,7 +111,8 @@ def encoder(json_path: str, ranks_path: str | None) -> Encoder:
 
 
 def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH) -> DataFrame:
-    """A row for each piece of each document, with its cell and its place among those of its cell in its task."""
+    """A row for each piece of each document, with its ids (2 bytes each if the vocabulary allows that, else 4), its cell and its
+    place among those of its cell in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
@@ -121,9 +127,10 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int
                     for piece, start in enumerate([0, *range(first, len(ids) // 4, length)]):
                         own = ids[4 * start : 4 * (start + length if piece else first)]
                         cell = len(own) // 4
-                        rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own), cell, task, places[cell]))
+                        narrow = np.frombuffer(own, "<u4").astype(encode.kind).tobytes()
+                        rows.append((doc_id, piece, start, len(own) // 4, narrow, cell, task, places[cell]))
                         places[cell] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], re.findall(r"(\w+) \w+", PIECES))
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
@@ -210,22 +217,41 @@ def best_fit(histogram: dict[int, int], room: int) -> list[tuple[int, list[int]]
 
 
 def slots(groups: list[tuple[int, list[int]]]) -> np.ndarray:
-    """Rows (cell, first rank, first sequence, order in the sequence), sorted: ranks from there on go to successive sequences."""
+    """Rows (cell, first rank, first sequence, offset in the sequence), sorted: ranks from there on go to successive sequences."""
     ranks, found, sequence = defaultdict(int), [], 0
     for repeats, cells in groups:
-        for order, cell in enumerate(cells):
-            found.append((cell, ranks[cell], sequence, order))
+        offset = 0
+        for cell in cells:
+            found.append((cell, ranks[cell], sequence, offset))
             ranks[cell] += repeats
+            offset += cell
         sequence += repeats
     return np.array(sorted(found), np.int64).reshape(-1, 4)
 
 
+def opened(placed: DataFrame) -> DataFrame:
+    """The columns of PACKED: ids as integers, and their digest, which is of little-endian unsigned 32-bit ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            lengths = at["length"].to_numpy()
+            ids = [np.frombuffer(x.as_py(), f"<u{len(x.as_py()) // n}").astype("<u4") for x, n in zip(at["ids"], lengths, strict=True)]
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)))
+            at |= {"ids": listed, "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())}
+            names = re.findall(r"(\w+) [\w<>]+", PACKED)
+            yield pa.RecordBatch.from_arrays([at[c] for c in names], names)
+
+    return placed.mapInArrow(run, PACKED)
+
+
 def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each row of docs (doc_id, text).
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids for each piece of each row of docs (doc_id, text).
 
-    Null and empty texts are one piece, the closing id. A text of any length is encoded whole. Ties are broken by task and
-    place; repeated rows are packed each by itself. A null doc_id stays null. Other columns are ignored; an empty table
-    gives no pieces. The vocabulary files are parameters.
+    A sequence's pieces stand in one partition, by offset: their ids in this order are the packed sequence. ids_crc32 is taken from
+    the ids after they were dealt. Null and empty texts are one piece, the closing id. A text of any length is encoded whole. Ties are
+    broken by task and place; repeated rows are packed each by itself. A null doc_id stays null. Other columns are ignored; an
+    empty table gives no pieces. The vocabulary files are parameters.
     """
     if json_path is None:
         json_path, ranks_path = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken")
@@ -240,15 +266,15 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
             at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             rank = at["before"].to_numpy() + at["place"].to_numpy()
             k = np.searchsorted(keys, at["cell"].to_numpy().astype(np.int64) << 44 | rank, "right") - 1
-            own = [at[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(table[k, 2] + rank - table[k, 1]), pa.array(table[k, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "order"])
+            own = [at[c] for c in ("doc_id", "piece", "start", "length", "ids")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(table[k, 2] + rank - table[k, 1]), pa.array(table[k, 3])], re.findall(r"(\w+) \w+", PLACED))
 
     earlier = Window.partitionBy("cell").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("task", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = cut.join(offsets, ["task", "cell"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, order long")
-    within = Window.partitionBy("sequence_id").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0))).drop("order")
+    offsets = counts.select("task", F.struct("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias("own"))
+    by_task = offsets.groupBy("task").agg(F.map_from_entries(F.collect_list("own")).alias("befores"))  # 24 KB a task at most, so ids need not move for it
+    placed = cut.join(F.broadcast(by_task), "task").withColumn("before", F.element_at("befores", F.col("cell"))).drop("befores").mapInArrow(place, PLACED)
+    return opened(placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset"))
 
 
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir)).drop("ids")
