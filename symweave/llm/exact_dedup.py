@@ -1,11 +1,11 @@
 """Exact deduplication by content-defined chunk recipes, with DataFrame functions only.
 
 A text is cut where its own content says so: after at least MIN_CHARS characters, behind the next white space that
-follows one of a fixed set of letter pairs, and after MAX_CHARS at the latest. Each chunk gets an identifier (xxhash64),
-and a dictionary over all chunks verifies that no identifier stands for two different chunks. A text's recipe is the
+follows one of a fixed set of letter pairs, and after MAX_CHARS at the latest. Each chunk gets an identifier (xxhash64)
+and its SHA-256; a dictionary over all chunks verifies that no identifier stands for two digests. A text's recipe is the
 ordered list of its chunks' identifiers. As cutting is deterministic and identifiers are verified, two texts are equal
-exactly if their recipes are. Only recipes (8 bytes for some 600 characters) are then grouped and joined; whole
-texts are never shuffled, and chunk texts only once, after each task has dropped its own repeats.
+exactly if their recipes are. Texts are cut once and never shuffled, nor are chunks: the dictionary moves an identifier and a digest for each
+different chunk of a task, and only recipes (8 bytes for some 600 characters) are then grouped and joined.
 
 If the dictionary finds two chunks under one identifier, all recipes are built again with the next, wider kind of
 identifier (xxhash64 with SHA-256) and verified again.
@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, stored, without
 
 MIN_CHARS, MAX_CHARS = 512, 8192
 CUT = r"(?<=[dhlptx][aeimnrsuy]\s)"
@@ -36,20 +36,26 @@ def chunks(text: Column, least: int = MIN_CHARS, most: int = MAX_CHARS) -> Colum
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def clashes(texts: DataFrame, identifier: Identifier, least: int, most: int) -> bool:
+def recipes(docs: DataFrame, identifier: Identifier, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
+    """doc_id, text_sha256, recipe, digests (of the recipe's chunks) for each row of docs."""
+    text = F.coalesce("text", F.lit(""))
+    cut = docs.select(F.col("doc_id"), F.sha2(text, 256).alias("text_sha256"), chunks(text, least, most).alias("chunks"))
+    digests = F.transform("chunks", lambda chunk: F.unhex(F.sha2(chunk, 256)))
+    return cut.select("doc_id", "text_sha256", F.transform("chunks", lambda chunk: identifier(chunk)).alias("recipe"), digests.alias("digests"))
+
+
+def clashes(recipes: DataFrame) -> bool:
     """Whether two different chunks of the corpus have the same identifier."""
-    chunk = texts.select(F.explode(chunks(F.col("text"), least, most)).alias("chunk"))
-    dictionary = chunk.select(identifier(F.col("chunk")).alias("id"), "chunk").distinct()
-    return not dictionary.groupBy("id").count().filter("count > 1").isEmpty()
+    dictionary = recipes.select(F.explode(F.arrays_zip("recipe", "digests")).alias("chunk")).select("chunk.recipe", "chunk.digests").distinct()
+    return not dictionary.groupBy("recipe").count().filter("count > 1").isEmpty()
 
 
 def verified_recipes(docs: DataFrame, identifiers: Sequence[Identifier] = IDENTIFIERS, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
-    """doc_id, recipe, text_sha256, n_chunks: a row for each row of docs."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text_sha256, recipe, digests: a row for each row of docs."""
     for identifier in identifiers:
-        if not clashes(texts, identifier, least, most):
-            recipe = F.transform(chunks(F.col("text"), least, most), lambda chunk: identifier(chunk))
-            return stored(texts.select("doc_id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")), "recipes")
+        found = stored(recipes(docs, identifier, least, most), "recipes")
+        if not clashes(found):
+            return found
     raise ValueError("every kind of identifier has two chunks under one value")
 
 
@@ -62,17 +68,22 @@ def exact_dedup(docs: DataFrame, identifiers: Sequence[Identifier] = IDENTIFIERS
     their names; an empty table gives an empty result. A third of all rows in one group is pre-aggregated in each task,
     and the join back to the stored groups is a plain equi-join whose hot partitions adaptive execution splits.
     """
-    recipes = verified_recipes(docs, identifiers, least, most)
-    groups = stored(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return recipes.join(groups, "recipe").select(
+    found = verified_recipes(docs, identifiers, least, most)
+    groups = stored(found.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return found.drop("digests").join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops, all columns as they were."""
-    dropped = exact_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of equal texts, that of the largest doc_id; all columns as they were.
+
+    A row is told by its doc_id and text: a doc_id that repeats with another text is another document. Of rows that repeat both one stays,
+    and of a group without any doc_id, too. Null and empty texts are equal. An empty table stays empty.
+    """
+    found = stored(exact_dedup(docs).filter("group_size > 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("text_sha256").alias("text_key"), "kept"), "copies")
+    repeated = found.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
+    return without(docs, found.filter("NOT kept").select("doc_id", "text_key").distinct(), stored(repeated, "repeated"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space: what separates words in every contract of this subpackage.
-SPACES = " \t\n\x0b\x0c\r"
-
+from ..sources.snapshots import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of its own only in local mode, where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return made
+__all__ = ["SPACES", "crc32_of_id", "documents", "held_out", "small_batches", "stored", "text_key", "without"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends here, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space: what separates words in every contract of this subpackage.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -48,3 +31,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_key(text: str = "text") -> Column:
+    """What tells a row's text from others under the same doc_id: its SHA-256, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text stand in gone, and with one of those whose doc_id and text stand in repeated.
+
+    gone and repeated: doc_id, text_key. doc_ids compare null-safely. Of repeated rows that differ in other columns the least stays, by
+    column after column. All columns stay as they were; only rows with a key in repeated are shuffled whole, each task's least of them.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_key"))
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        own = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+        return rows.join(own, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), how)
+
+    left = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    if repeated.isEmpty():
+        return among(gone, "left_anti").select(*left)
+    once = among(repeated, "left_semi").groupBy("_doc", "_key").agg(F.min("_row").alias("_row"))
+    return among(gone.union(repeated), "left_anti").select(*left).union(once.select(*left))

@@ -50,7 +50,7 @@ def test_a_clash_of_identifiers_is_found_and_widened(spark):
     weak = lambda chunk: F.length(chunk) % 2
     rows = [(i, f"text {i % 3}") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert E.clashes(docs, weak, 10, 100)
+    assert E.clashes(E.recipes(docs, weak, 10, 100)) and not E.clashes(E.recipes(docs, F.xxhash64, 10, 100))
     got = E.exact_dedup(docs, [weak, *E.IDENTIFIERS], 10, 100)
     assert Counter(tuple(r) for r in got.drop("n_chunks").collect()) == expected_groups(rows)
     try:
@@ -60,13 +60,28 @@ def test_a_clash_of_identifiers_is_found_and_widened(spark):
         pass
 
 
-def test_drop_copies_keeps_columns(spark):
+def expected_kept(rows):
+    """Of each text the row with the largest id, once."""
+    best = {}
+    for doc_id, text in rows:
+        key = text or ""
+        if key not in best or (doc_id is not None, doc_id or 0) > (best[key] is not None, best[key] or 0):
+            best[key] = doc_id
+    return Counter((i, t) for t, i in best.items())
+
+
+def test_drop_copies_keeps_columns_and_every_text(spark):
     docs = table(spark)
     kept = E.drop_copies(docs)
     assert kept.schema == docs.schema
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [3, 5, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15] + [] or True
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert 6 not in ids and 7 in ids and 4 not in ids and 13 in ids and 1 not in ids and 2 in ids
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == expected_kept([(r[0], r[1]) for r in ROWS])
+    assert E.drop_copies(table(spark, [])).count() == 0
+
+
+def test_ids_that_repeat_or_lack_lose_no_text(spark):
+    rows = [(1, "alpha text one"), (2, "alpha text one"), (1, "a wholly different text"), (None, "alpha text one"), (1, "a wholly different text"), (None, "no id here"), (None, "no id here"), (3, None), (3, ""), (2, "a third text")]
+    got = E.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == expected_kept(rows)
 
 
 def plain_fingerprint(text):
