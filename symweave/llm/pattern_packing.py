@@ -19,15 +19,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .parts import encode_by_parts, interleaved
 from .shared import documents, small_batches, stored
 
 LENGTH, END = 2048, 0
-#: Parts of a text that a worker keeps tokenised; at more it starts anew.
-CACHE = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary, cell int, task int, place long"
 PLACED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
@@ -41,22 +41,18 @@ def vocabulary_path(name: str) -> str:
 
 # tokens
 
-#: Byte-level BPE cuts before a space between two other characters, so the parts between such spaces can be encoded one by one.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s\s|^\s|\s$")
-
-
-def parts(text: str) -> list[str]:
-    """The text in parts that are encoded independently; all but the first begin with a space."""
-    found = BETWEEN.split(text) if ODD.search(text) else text.split(" ")
-    return [found[0], *(" " + x for x in found[1:])] if text else []
+#: What Unicode calls white space, for Arrow's regular expressions. Texts with two in a row, or one at an end, are encoded as a whole.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+ODD = f"{WHITE}{WHITE}|^{WHITE}|{WHITE}$"
+#: One text in so many, by the checksum of its bytes, is compared with what the tokenizers library gives for the whole text.
+CHECKED = 64
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes, as the tokenizers library gives them for json_path.
+    """Ids as the tokenizers library gives them for json_path, special tokens' names in texts being read as it reads them by default.
 
-    New parts go through tiktoken where ranks_path has the same vocabulary as ranks, which is several times faster; its ids
-    are compared with the tokenizers library's on the first texts of each worker, and any difference raises.
+    Parts go through tiktoken where ranks_path has the same vocabulary as ranks, which is several times faster; one text in CHECKED
+    is compared with the tokenizers library, and any difference raises. Texts with a special token go through that library as a whole.
     """
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,12 +61,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(json_path)
-        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: what ids are stored and dealt as
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.fast: Callable[[str], list[int]] | None = None
-        self.unchecked = 64
         if ranks_path:
             import base64
 
@@ -83,20 +80,25 @@ class Encoder:
     def slow(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [parts(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({x for p in split for x in p if x not in self.cache})
-        ids = map(self.fast, new) if self.fast else self.slow(new)
-        self.cache.update((x, np.array(i, "<u4").tobytes()) for x, i in zip(new, ids, strict=True))
-        if self.unchecked > 0 and self.fast:
-            some, self.unchecked = texts[: self.unchecked], self.unchecked - len(texts)
-            for text, p, expected in zip(some, split, self.slow(some), strict=False):
-                if b"".join(map(self.cache.__getitem__, p)) != np.array(expected, "<u4").tobytes():
-                    raise ValueError(f"the two libraries' ids differ for a text of {len(text)} characters")
-        for p in split:
-            yield b"".join(map(self.cache.__getitem__, p))
+    def ordinary(self, texts: list[str]) -> list[list[int]]:
+        """Texts that hold no special token."""
+        return list(map(self.fast, texts)) if self.fast else self.slow(texts)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one behind the other, and how many each has."""
+        special = np.zeros(len(texts), bool)
+        for name in self.special:
+            special |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        plain = ~special & ~pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) & (pc.binary_length(texts).to_numpy() > 0)
+        others = [self.slow([t])[0] if s else self.ordinary([t])[0] for t, s in zip(texts.filter(pa.array(~plain)).to_pylist(), special[~plain], strict=True)]
+        ids, counts = interleaved(plain, *encode_by_parts(texts.filter(pa.array(plain)), self.ordinary, self.begins, " ")[:2], others)
+        if self.fast:
+            ends = np.cumsum(counts)
+            chosen = [i for i, t in enumerate(texts) if zlib.crc32(t.as_buffer() or b"") % CHECKED == 0]
+            for i, expected in zip(chosen, self.slow([texts[i].as_py() for i in chosen]), strict=True):
+                if ids[ends[i] - counts[i] : ends[i]].tolist() != expected:
+                    raise ValueError(f"the two libraries' ids differ for a text of {len(texts[i].as_py())} characters")
+        return ids, counts
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -110,30 +112,38 @@ def encoder(json_path: str, ranks_path: str | None) -> Encoder:
     return _encoders[key]
 
 
+def ranks_within(cells: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Each place's rank among those of its cell, from before[cell] on, which is brought up to date."""
+    order = np.argsort(cells, kind="stable")
+    kinds, first, n = np.unique(cells[order], return_index=True, return_counts=True)
+    found = np.empty(len(cells), np.int64)
+    found[order] = np.arange(len(cells)) - np.repeat(first - before[kinds], n)
+    before[kinds] += n
+    return found
+
+
 def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH) -> DataFrame:
     """A row for each piece of each document, with its ids (2 bytes each if the vocabulary allows that, else 4), its cell and its
     place among those of its cell in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
-        task, places, end = TaskContext.get().partitionId(), defaultdict(int), np.array([END], "<u4").tobytes()
+        task, before = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
-            rows = []
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    first = (len(ids) // 4 - 1) % length + 1
-                    for piece, start in enumerate([0, *range(first, len(ids) // 4, length)]):
-                        own = ids[4 * start : 4 * (start + length if piece else first)]
-                        cell = len(own) // 4
-                        narrow = np.frombuffer(own, "<u4").astype(encode.kind).tobytes()
-                        rows.append((doc_id, piece, start, len(own) // 4, narrow, cell, task, places[cell]))
-                        places[cell] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], re.findall(r"(\w+) \w+", PIECES))
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+            ids, counts = encode(batch.column(1))
+            closed = np.insert(ids, np.cumsum(counts), END).astype(encode.kind)
+            sizes = counts + 1
+            n, first = -(-sizes // length), (sizes - 1) % length + 1
+            doc = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            own = np.where(piece == 0, first[doc], length)
+            start = np.where(piece == 0, 0, first[doc] + (piece - 1) * length)
+            ends = pa.array(np.append(0, np.cumsum(own) * closed.itemsize), pa.int32())
+            held = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, ends.buffers()[1], pa.py_buffer(closed.tobytes())])
+            numbers = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(own, pa.int64()), held, pa.array(own, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *numbers, pa.array(np.full(len(own), task), pa.int32()), pa.array(ranks_within(own, before))], re.findall(r"(\w+) \w+", PIECES))
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
 # the plan
@@ -152,27 +162,27 @@ def patterns(room: int) -> list[tuple[int, ...]]:
     return list(found)
 
 
-def nnls(kinds: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int = 60) -> np.ndarray:
+def nnls(kinds: list[tuple[int, ...]], histogram: np.ndarray, tolerance: float = 1e-4) -> np.ndarray:
     """Repeats x >= 0 of each pattern with the least weighted squared distance between what they use and the histogram.
 
     Coordinate descent: each repeat count in turn is set to its best value given the others, which needs the few lengths of its
-    pattern only. Lengths weigh as their square, since long pieces are the hard ones to place otherwise.
+    pattern only, until a sweep over all moves less than tolerance of all repeats. Lengths weigh as their square, since long pieces are the
+    hard ones to place otherwise.
     """
     x = [0.0] * len(kinds)
     rest = histogram.astype(float).tolist()
     uses = [[(cell, kind.count(cell), float(cell) ** 2) for cell in dict.fromkeys(kind)] for kind in kinds]
     norms = [sum(w * n * n for _, n, w in own) for own in uses]
-    for _ in range(sweeps):
+    moved = float("inf")
+    while moved > tolerance * sum(x):
         moved = 0.0
         for k, own in enumerate(uses):
             step = max(-x[k], sum(w * n * rest[cell] for cell, n, w in own) / norms[k])
             if step:
                 x[k] += step
-                moved = max(moved, abs(step))
+                moved += abs(step)
                 for cell, n, _ in own:
                     rest[cell] -= n * step
-        if moved < 1e-3:
-            break
     return np.array(x)
 
 
