@@ -3,11 +3,13 @@
 For each language a tree of byte contexts of ORDER bytes and fewer counts what follows; a byte that a context has not seen is
 coded by an escape (method C: as likely as the number of different followers) and the next shorter context, in the end
 uniformly. The statistics are frozen after training, so the probability of a byte depends on its last ORDER bytes only
-and all escapes can be worked out beforehand: a table gives the exact code length of each (context, byte) in every language, and a
-text's code length is a sum of look-ups. The shortest code names the language.
+and all escapes can be worked out beforehand. The model holds what training has seen and no more: for each gram (a context and the byte
+behind it) its whole code length in every language, and for each context its escapes. A text's code length is a sum of look-ups, those of the longest context first, and of
+shorter ones only where the gram is new. The shortest code names the language.
 
-Training counts come from a bounded sample: about PER_LANGUAGE documents of each language, chosen by hashed id. They are
-counted on the executors; the driver gets one row for each (language, ORDER + 1 bytes) seen.
+Training is bounded by documented parameters: about PER_LANGUAGE documents of each language, chosen by hashed id; the LANGUAGES most frequent languages; and
+of the grams of ORDER + 1 bytes the most frequent, as many as fit in MODEL_BYTES. They are counted on the executors; the driver gets one row for each
+language and gram.
 """
 
 from __future__ import annotations
@@ -23,111 +25,145 @@ from pyspark.sql import functions as F
 
 from .shared import documents, held_out, small_batches
 
-ORDER, PER_LANGUAGE, LEAST_SCORE = 3, 1500, 0.5
-UNSEEN, START, FIRST = 0, 1, 2  # codes: a byte never seen in training, the place before a text, and the first of the bytes seen
+ORDER, PER_LANGUAGE, LANGUAGES, MODEL_BYTES, LEAST_SCORE = 3, 1500, 200, 1 << 28, 0.5
+START, BITS = 256, 9  # the place before a text; bits of a symbol
 CHUNK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of ORDER + 1 successive bytes (9 bits each; START before the text) and how often they stand in the texts."""
-    pad = np.full(ORDER, 256, np.int64)
-    all_ = np.concatenate([x for t in texts for x in (pad, np.frombuffer(t, np.uint8).astype(np.int64))]) if texts else np.empty(0, np.int64)
+    """Codes of ORDER + 1 successive bytes (BITS bits each; START before the text) and how often they stand in the texts."""
+    all_ = symbols(texts)
     code = np.zeros(max(len(all_) - ORDER, 0), np.int64)
     for k in range(ORDER + 1):
-        code = code << 9 | all_[k : len(all_) - ORDER + k]
-    return np.unique(code[all_[ORDER:] < 256], return_counts=True)
+        code = code << BITS | all_[k : len(all_) - ORDER + k]
+    return np.unique(code[all_[ORDER:] < START], return_counts=True)
+
+
+def symbols(texts: list[bytes]) -> np.ndarray:
+    """The texts' bytes one behind the other, ORDER times START before each."""
+    pad = np.full(ORDER, START, np.int64)
+    return np.concatenate([x for t in texts for x in (pad, np.frombuffer(t, np.uint8).astype(np.int64))]) if texts else np.empty(0, np.int64)
+
+
+class Places:
+    """Where different non-negative numbers stand in the order they were given: open addressing at a quarter of the slots or less."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.rows = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, left = self.slots(keys), np.arange(len(keys))
+        while len(left):
+            empty = self.keys[slot] < 0
+            first = np.unique(slot[empty], return_index=True)[1]
+            won = np.flatnonzero(empty)[first]
+            self.keys[slot[won]], self.rows[slot[won]] = keys[left[won]], left[won]
+            lost = np.delete(np.arange(len(left)), won)
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places, -1 for numbers that are not there."""
+        slot = self.slots(keys)
+        at = self.keys[slot]
+        found = self.rows[slot]
+        open_ = np.flatnonzero((at != keys) & (at >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at = self.keys[slot[open_]]
+            found[open_] = self.rows[slot[open_]]
+            open_ = open_[(at != keys[open_]) & (at >= 0)]
+        return found
 
 
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray  # byte -> code
-    row_of: np.ndarray  # context of ORDER codes -> row of table
-    table: np.ndarray  # (row * n codes + code, language) -> bits
+    contexts: list[tuple[Places, np.ndarray]]  # for each order from 0: contexts, and (context, language) bits of the escape; none where a language has not seen it
+    followed: list[tuple[Places, np.ndarray]]  # for each order from 0: grams, and (gram, language) bits of the last byte, escapes included
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int, int]]) -> Model:
         """rows: language, code of grams(), count."""
         languages = sorted({r[0] for r in rows})
-        gram = np.array([r[1] for r in rows], np.int64)
-        parts = np.stack([gram >> 9 * k & 511 for k in range(ORDER, -1, -1)])  # oldest byte first
-        codes = np.full(256, UNSEEN, np.int64)
-        seen = np.unique(parts[parts < 256])
-        codes[seen] = np.arange(FIRST, FIRST + len(seen))
-        n = FIRST + len(seen)
-        parts = np.append(codes, START)[parts]
-        count = np.array([r[2] for r in rows], np.float64)
-        of = np.array([languages.index(r[0]) for r in rows])
-        context = np.zeros(len(rows), np.int64)
-        for k in range(ORDER):
-            context = context * n + parts[k]
-        known, row = np.unique(context, return_inverse=True)
-        shorter = n ** (ORDER - 1)
-        row_of = np.tile(np.arange(shorter, dtype=np.int32), n)  # contexts that are not known share the row of their shorter one
-        row_of[known] = shorter + np.arange(len(known), dtype=np.int32)
-        table = np.empty(((shorter + len(known)) * n, len(languages)), np.float32)
-        for k in range(len(languages)):
-            own = of == k
-            p = np.full((1, n), 1 / 256)
-            for order in range(ORDER):
-                key = np.zeros(own.sum(), np.int64)
-                for part in parts[ORDER - order : ORDER, own]:
-                    key = key * n + part
-                p = _escaped(key, parts[ORDER, own], count[own], np.tile(p, (n, 1)) if order else p)
-            last = _escaped(row[own], parts[ORDER, own], count[own], p[known % shorter])
-            table[:, k] = -np.log2(np.concatenate([p, last])).ravel()
-        return cls(languages, codes.astype(np.int32), row_of, table)
+        gram, count = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
+        of = np.array([languages.index(r[0]) for r in rows], np.int64)
+        model = cls(languages, [], [])
+        for order in range(ORDER + 1):
+            part = gram & ((1 << BITS * (order + 1)) - 1)
+            known, gram_row = np.unique(part, return_inverse=True)
+            contexts, context_row = np.unique(known >> BITS, return_inverse=True)
+            n = np.zeros((len(known), len(languages)))
+            np.add.at(n, (gram_row, of), count)
+            total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
+            np.add.at(total, context_row, n)
+            np.add.at(kinds, context_row, n > 0)
+            seen = kinds > 0
+            escape = np.where(seen, np.log2(np.where(seen, total + kinds, 1)) - np.log2(np.where(seen, kinds, 1)), 0)
+            shorter = model.lengths(known & ((1 << BITS * order) - 1), order - 1)
+            own = np.log2(np.where(seen, total + kinds, 1))[context_row] - np.log2(np.where(n > 0, n, 1))
+            model.contexts.append((Places(contexts), escape.astype(np.float32)))
+            model.followed.append((Places(known), np.where(n > 0, own, escape[context_row] + shorter).astype(np.float32)))
+        return model
+
+    def lengths(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """(gram, language) bits of each gram's last byte behind the order bytes before it."""
+        if order < 0:
+            return np.full((len(codes), len(self.languages)), 8, np.float32)
+        places, bits = self.followed[order]
+        row = places.find(codes)
+        new = np.flatnonzero(row < 0)
+        found = bits[row]
+        if len(new):
+            found[new] = self.lengths(codes[new] & ((1 << BITS * order) - 1), order - 1)
+            contexts, escapes = self.contexts[order]
+            known = contexts.find(codes[new] >> BITS)
+            found[new[known >= 0]] += escapes[known[known >= 0]]
+        return found
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """(text, language) code lengths. Long texts are summed in chunks, so memory is bounded."""
-        n, out = FIRST + int((self.codes >= FIRST).sum()), np.zeros((len(texts), len(self.languages)))
-        pad = np.full(ORDER, START, np.int32)
-        for i, text in enumerate(texts):
-            for at in range(0, len(text), CHUNK):
-                before = self.codes[np.frombuffer(text[max(0, at - ORDER) : at], np.uint8)]
-                own = np.concatenate([pad[len(before) :], before, self.codes[np.frombuffer(text[at : at + CHUNK], np.uint8)]])
-                size = len(own) - ORDER
-                context = np.zeros(size, np.int32)
-                for k in range(ORDER):
-                    context = context * n + own[k : k + size]
-                out[i] += self.table[self.row_of[context].astype(np.int64) * n + own[ORDER:]].sum(axis=0, dtype=np.float64)
+        """(text, language) code lengths, CHUNK bytes at a time, so that memory is bounded."""
+        out = np.zeros((len(texts), len(self.languages)))
+        all_ = symbols(texts)
+        own = np.repeat(np.arange(len(texts)), [len(t) + ORDER for t in texts])
+        for at in range(ORDER, len(all_), CHUNK):
+            part = all_[at - ORDER : at + CHUNK]
+            code = np.zeros(len(part) - ORDER, np.int64)
+            for k in range(ORDER + 1):
+                code = code << BITS | part[k : len(part) - ORDER + k]
+            real = part[ORDER:] < START
+            text = own[at : at + CHUNK][real]
+            if len(text):
+                first = np.flatnonzero(np.diff(text, prepend=-1))
+                out[text[first]] += np.add.reduceat(self.lengths(code[real], ORDER), first, axis=0, dtype=np.float64)
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score (its share against the others, tempered by the length's root); und and 0 for a text without letters."""
         raw = [t.encode() if t and LETTER.search(t) else b"" for t in texts]
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
         found = []
         for text, bits in zip(raw, self.bits(raw), strict=True):
-            if not text or not self.languages:
-                found.append(("und", 0.0))
-            else:
-                share = np.exp2(-(bits - bits.min()) / len(text) ** 0.5)
-                found.append((self.languages[int(bits.argmin())], float(1 / share.sum())))
+            share = np.exp2(-(bits - bits.min()) / max(len(text), 1) ** 0.5)
+            found.append((self.languages[int(bits.argmin())], float(1 / share.sum())) if text else ("und", 0.0))
         return found
 
 
-def _escaped(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities (context, symbol) from counts, escaping to those of the shorter contexts."""
-    seen = np.zeros_like(shorter)
-    np.add.at(seen, (context, symbol), count)
-    kinds = np.count_nonzero(seen, axis=1)[:, None]
-    total = seen.sum(axis=1)[:, None] + kinds
-    return np.where(seen > 0, seen, np.where(kinds > 0, kinds, 1) * shorter) / np.where(total > 0, total, 1)
-
-
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, model_bytes: int = MODEL_BYTES) -> Model:
     """A model from rows that are not held out and have a text and a lang.
 
-    Languages are counted first (a row for each comes to the driver, as each has a column in the model); then a row is taken if
-    its hashed id falls within per_language's share of its language, so choosing rows moves no text.
+    The most frequent languages are counted first (ties by name); then a row is taken if its hashed id falls within per_language's share of its
+    language, so choosing rows moves no text.
     """
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = usable.groupBy("lang").count().collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model.fit([])
     share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, per_language / n))))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +174,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
     texts = small_batches(usable).filter(chosen).select("lang", F.col("text").cast("binary").alias("text"))
-    counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model.fit([tuple(r) for r in counts.toLocalIterator()])
+    counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    # a row of the model holds 4 bytes for each language and some 48 in the tables that lead to it
+    most = max(1, model_bytes // (4 * len(sizes) + 48))
+    of_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("own"), F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
+    return Model.fit([(own.lang, r.gram, own.n) for r in of_gram.toLocalIterator() for own in r.own])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -161,7 +200,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
-    """docs without rows that are `und` or score less than least_score; all columns as they were."""
+    """docs without rows that are `und` or score less than least_score; all columns as they were.
+
+    Null and empty texts and those without a letter go. Repeated rows stay or go together, whatever their doc_id; an empty table stays empty, and
+    with a model without languages every row goes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
