@@ -2,11 +2,13 @@
 
 Language, source and length are quantised to BITS bits each and joined into a Hilbert index. Sorted by it, rows that are
 near each other in all dimensions lie together, so cutting the order into runs gives files whose minima and maxima prune
-scans in every dimension. Law `rows`: the runs' row counts are at most one apart.
+scans in every dimension. Cells keep the order of their values and hold about as many rows each, so a file's range of cells is a narrow range of values.
+Law `rows`: the runs' row counts are at most one apart. Equal texts are not kept together: the curve decides, and copies that differ in
+language or source may be in different shards.
 
-Only the key, the size and the checksum are sorted; texts are not shuffled. The order is a range partitioning by
+Only keys, sizes and checksums are stored and sorted; texts are read once and not shuffled. The order is a range partitioning by
 (index, doc_id, checksum, size), so a third of all rows with one index still spreads over many tasks. Ranks are a
-task's offset plus the place within the task; the driver sees one count for each task.
+task's offset plus the place within the task; the driver sees one count for each task, and the lower bound of each cell.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import documents, stored
 
-BITS, SHARDS = 8, 24
+BITS, SHARDS, AXES = 8, 24, ("lang", "source", "chars")
 
 
 def hilbert_index(axes: Sequence[np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -47,22 +49,44 @@ def hilbert_index(axes: Sequence[np.ndarray], bits: int = BITS) -> np.ndarray:
     return index
 
 
-def hilbert_column(*axes: Column) -> Column:
-    @F.pandas_udf("long")
-    def index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index([a, b, c]))
+def cell_bounds(rows: DataFrame, name: str, cells: int = (1 << BITS) - 1) -> list[tuple[int, object]]:
+    """(cell, least value) of the at most so many cells that hold values, in order; a value's cell follows from how many rows have lesser ones."""
 
-    return index(*axes)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), task)), pa.array(before + np.cumsum(n) - n)], ["value", "n", "task", "before"])
+            before += n.sum()
 
+    values = rows.select(F.col(name).alias("value")).filter("value IS NOT NULL")
+    counts = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "values")
+    schema = counts.schema.add("task", "long").add("before", "long")
+    ranked = stored(counts.repartitionByRange("value").sortWithinPartitions("value").mapInArrow(summed, schema), "ranked")
+    totals = sorted(ranked.groupBy("task").agg(F.sum("n").alias("n")).collect())  # a row for each task of the sort
+    if not totals:
+        return []
+    starts = np.concatenate([[0], np.cumsum([n for _, n in totals])]).tolist()
+    start = F.element_at(F.create_map(*(F.lit(x) for (task, _), s in zip(totals, starts, strict=False) for x in (task, s))), F.col("task"))
+    cell = F.floor((start + F.col("before")) * cells / starts[-1])
+    return sorted((r.cell + 1, r.least) for r in ranked.groupBy(cell.alias("cell")).agg(F.min("value").alias("least")).collect())
 
-def category_cell(name: str) -> Column:
-    """A label's cell: its hash, the same in every run and for labels never seen before; null is cell 0."""
-    return F.coalesce(F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(1 << BITS)) * F.col(name).isNotNull().cast("int"), F.lit(0))
 
+def hilbert_column(bounds: Sequence[list[tuple[int, object]]], *axes: Column) -> Column:
+    """The index of rows with values for each of bounds. A null has cell 0."""
+    tables = [(np.array([0, *(c for c, _ in b)]), np.array([v for _, v in b], object)) for b in bounds]
 
-def length_cell(text: str) -> Column:
-    """A logarithmic cell of the length: 8 for each doubling."""
-    return F.least(F.floor(8 * F.log2(F.coalesce(F.length(text), F.lit(0)) + 1)), F.lit((1 << BITS) - 1)).cast("long")
+    @F.pandas_udf("long")
+    def index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        def cells(values: pd.Series, numbers: np.ndarray, least: np.ndarray) -> np.ndarray:
+            known = values.notna().to_numpy()
+            place = np.zeros(len(values), np.int64)
+            place[known] = np.searchsorted(least, values[known].to_numpy(object), "right")
+            return numbers[place]
+
+        return pd.Series(hilbert_index([cells(x, *t) for x, t in zip((a, b, c), tables, strict=True)]))
+
+    return index(*axes)
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,15 +100,17 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert for each row of docs (doc_id, text, lang, source).
 
-    Null texts count as empty (size 8, checksum 0); null labels have a cell of their own. Ties of the index go by doc_id
+    Null texts count as empty (size 8, checksum 0); null labels and texts have a cell of their own. Ties of the index go by doc_id
     (nulls first), checksum and size; rows alike in all of these are interchangeable and each get a slot. Other columns are
     ignored. An empty table gives an empty result; with fewer rows than shards the last shards stay empty.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
+    rows = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        hilbert_column(category_cell("lang"), category_cell("source"), length_cell("text")).alias("hilbert"),
-    )
+        F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.length("text").alias("chars"),
+    ), "keys")
+    bounds = [cell_bounds(rows, c) for c in AXES]
+    rows = rows.select("doc_id", "size", "text_crc32", hilbert_column(bounds, *map(F.col, AXES)).alias("hilbert"))
     order = ["hilbert", "doc_id", "text_crc32", "size"]
     placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_placed, "doc_id long, size long, text_crc32 long, hilbert long, task long, place long"), "hilbert")
     counts = sorted(placed.groupBy("task").count().collect())  # a row for each task of the sort
@@ -102,7 +128,10 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes docs as Parquet, a folder for each shard, sorted along the curve. Rows without a doc_id or with a repeated one are refused, as the plan is joined by it."""
+    """Writes docs as Parquet, a folder for each shard, sorted along the curve. Null texts and labels are written as they are, and an empty table gives no folder.
+
+    Rows without a doc_id or with a repeated one are refused, as the plan is joined by it. A column called shard, _shard or _slot would clash.
+    """
     placed = hilbert_shards(docs, shards).select("doc_id", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     if not placed.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
         raise ValueError("doc_id must be unique and not null")

@@ -7,6 +7,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -57,9 +60,33 @@ def test_written_shards(spark, sf_dir, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 24
 
 
+def test_files_are_pruned_in_every_dimension(spark, tmp_path):
+    """From the files' own minima and maxima: a range of any one dimension, or of two, leaves most files out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    H.write_shards(docs, str(tmp_path / "out"))
+    bounds = []
+    for folder in sorted((tmp_path / "out").glob("shard=*")):
+        files = [pq.read_table(f, columns=["lang", "source", "n_chars"]).to_pandas() for f in folder.glob("*.parquet")]
+        bounds.append({c: (min(f[c].dropna().min() for f in files), max(f[c].dropna().max() for f in files)) for c in ("lang", "source", "n_chars")})
+    read = lambda **want: sum(all(low <= b[c][1] and high >= b[c][0] for c, (low, high) in want.items()) for b in bounds)
+    assert len(bounds) == 24
+    found = [read(lang=("fr", "fr")), read(source=("src3", "src3")), read(n_chars=(0, 200)), read(lang=("de", "de"), source=("src11", "src12")), read(n_chars=(3000, 10**6), source=("src3", "src3"))]
+    assert max(found) <= 12, found
+
+
+def test_cells_keep_the_order_of_labels(spark):
+    rows = [(f"l{k:04}", 1 + 50 * (k == 7)) for k in range(900)]
+    docs = spark.createDataFrame([(x,) for x, n in rows for _ in range(n)] + [(None,)] * 3, "lang string")
+    total, before, least = sum(n for _, n in rows), 0, {}
+    for label, n in rows:
+        least.setdefault(1 + before * 16 // total, label)
+        before += n
+    assert H.cell_bounds(docs, "lang", 16) == sorted(least.items())
+    assert H.cell_bounds(docs.filter("lang IS NULL"), "lang") == []
+
+
 def check_packing(rows, got, length=P.LENGTH):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for doc_id, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -118,7 +145,7 @@ def test_nnls_meets_its_conditions():
     for k, kind in enumerate(kinds):
         for cell in kind:
             a[cell, k] += cell
-    x = P.nnls(kinds, y, 5000)
+    x = P.nnls(kinds, y, 1e-7)
     gradient = a.T @ (np.arange(41) * y - a @ x)
     assert (x >= 0).all() and (gradient <= 5).all() and abs(gradient[x > 0]).max() < 5
 
@@ -148,12 +175,37 @@ def test_best_fit_by_counts_needs_as_few_as_piece_by_piece(histogram):
     assert sum(r for r, _ in groups) == plain_best_fit(list(Counter(histogram).elements()), 64)
 
 
-def test_parts_are_encoded_as_the_whole():
+ODD_TEXTS = ["", " ", "  a  b ", "a\n b \nc", "it's 'll  x", "a  b", "a \x1f b", "x <|endoftext|> y", "日本 語", "tab\t tab", " lead", "trail ", "1 2  3 ... !!", "a\u00a0 b \u2003c", "plain words, of course."]
+
+
+@pytest.mark.parametrize("ranks", ["byte_bpe_50k.tiktoken", None])
+def test_parts_are_encoded_as_the_whole(ranks, monkeypatch):
+    monkeypatch.setattr(P, "CHECKED", 1)
+    encoder = P.Encoder(public_tokenizers.path("byte_bpe_50k.json"), ranks and public_tokenizers.path(ranks))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in (ODD_TEXTS, ODD_TEXTS[::-1] * 20, [""], ["one"], []):
+        ids, counts = encoder(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in encoder(pa.array(["x <|endoftext|> y"]))[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 .'\n\u00a0é", max_size=12), max_size=6))
+def test_parts_of_any_texts(texts):
+    encoder = P.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids, counts = encoder(pa.array(texts, pa.string()))
+    assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(counts), counts)] == encoder.slow(texts)
+
+
+def test_a_difference_between_the_libraries_raises(monkeypatch):
+    monkeypatch.setattr(P, "CHECKED", 1)
     encoder = P.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    odd = ["", " ", "  a  b ", "a\n b \nc", "it's 'll  x", "a  b", "a \x1f b", "<|endoftext|> x", "日本 語", "tab\t tab", " lead", "trail ", "1 2  3 ... !!"]
-    whole = [np.array(i, "<u4").tobytes() for i in encoder.slow(odd)]
-    encoder.unchecked = 0
-    assert list(encoder(odd)) == whole
+    fast = encoder.fast
+    other = next(i for i in range(263, 400) if encoder.begins[i])
+    encoder.fast = lambda text: [other if i == 262 else i for i in fast(text)]
+    with pytest.raises(ValueError, match="differ"):
+        encoder(pa.array(["over the hill"]))
 
 
 def plain_conversations(rows):
