@@ -4,7 +4,7 @@ Fingerprints are 64 majority bits over the XXH64 of a text's 3-word shingles. Tw
 differing bits. Equal fingerprints collapse first. The 64 bits fall into BANDS bands; fingerprints within the radius agree
 on at least BANDS - RADIUS bands, so grouping by every choice of that many bands brings each linked pair together.
 A group is compared bit-sliced: bit b of all its members stands in one plane of 64-bit words, and carry-save counters update
-the distances of one member to 64 others with a few bitwise operations. A block is left as soon as all its
+the distances of one member to 64 others with a few bitwise operations. A word of 64 is left as soon as all its
 lanes exceed the radius. A group larger than BLOCK is dealt into blocks by hash and compared as pairs of blocks in
 separate cells, so no task holds a whole hot group. Each cell returns a spanning forest of its links, not all pairs; the
 alternation of large and small stars then joins the forests into components.
@@ -67,7 +67,10 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def linked_pairs(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (i, j), i < j, of all pairs within the radius, a block of queries at a time."""
+    """Indices (i, j), i < j, of all pairs within the radius, a block of queries at a time.
+
+    A block starts as all words of 64 lanes against its queries; every 8 bits the words whose lanes all exceed the radius are left.
+    """
     n, sliced = len(fps), planes(fps)
     words = sliced.shape[1]
     rows = max(1, min(n, 4096 // words))
@@ -77,20 +80,22 @@ def linked_pairs(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.nda
         start = first // 64  # earlier words hold only i >= j
         later = np.packbits((lane := np.arange(start * 64, words * 64))[None, :] > members[:, None], axis=1, bitorder="little").view("<u8")
         inside = np.packbits(lane < n, bitorder="little").view("<u8")
-        over = ~(later & inside)  # lanes that are no pair, or whose count has passed the counters
+        own, word = np.indices(later.shape).reshape(2, -1)
+        over = ~(later & inside).ravel()  # lanes that are no pair, or whose count has passed the counters
         counters = [np.zeros_like(over) for _ in range(levels)]
         for b in range(64):
-            own = np.where(fps[members] >> np.uint64(b) & np.uint64(1), ALL, np.uint64(0))
-            carry = sliced[b, start:] ^ own[:, None]
+            carry = sliced[b, start + word] ^ np.where(fps[members[own]] >> np.uint64(b) & np.uint64(1), ALL, np.uint64(0))
             for k in range(levels):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
             over |= carry
-            if b % 8 == 7 and not np.any(~(over | exceeds(counters, radius))):
-                break
-        else:
-            near = ~(over | exceeds(counters, radius))
-            q, j = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little"))
-            yield members[q], j + start * 64
+            if b % 8 == 7:
+                left = np.flatnonzero(~(over | exceeds(counters, radius)))
+                own, word, over, counters = own[left], word[left], over[left], [c[left] for c in counters]
+                if not len(left):
+                    break
+        near = np.unpackbits((~(over | exceeds(counters, radius))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        which, bit = np.nonzero(near)
+        yield members[own[which]], (start + word[which]) * 64 + bit
 
 
 def exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
