@@ -1,7 +1,8 @@
 """Line-first quality rules: clean line by line, then reject documents that lose too much.
 
-A line fails on punctuation (no sentence end and few words, or doubled marks behind every other word), navigation (mostly separators and link labels) or boilerplate
-(a licence, cookie or script notice). Failing lines are taken out, and a document whose remaining lines hold less than
+A line fails on punctuation (no sentence end and few words, or doubled marks behind every other word), navigation (a separator for every third word or
+more; slashes and angle brackets count where they stand alone) or boilerplate (a licence, cookie, script or log-in notice, in four languages, for every BOILERPLATE_WORDS words or more: a long line that
+mentions one is prose). Failing lines are taken out, and a document whose remaining lines hold less than
 LEAST_KEPT of its word characters is rejected. Before that, base counts of the whole text reject short and repetitive ones.
 """
 
@@ -11,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +23,21 @@ LEAST_KEPT = 0.5
 SYMBOLS = "#*$%&|<>"
 SENTENCE_END = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*$")
 SHOUTS = re.compile(r"[!?#*$%&|<>]{2,}")
-SEPARATORS = re.compile(r"[|»›•·>/]")
-BOILERPLATE = re.compile(
-    r"\b(?:licen[sc]ed under|this work is licensed|all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|lorem ipsum|click here|sign (?:in|up)|log ?in|subscribe|©)",
-    re.IGNORECASE,
-)
+SEPARATORS = re.compile(r"[|»›•·]|(?<!\S)[>/](?!\S)")
+# Phrases of notices, in English, French, German and Spanish.
+NOTICES = (
+    "licensed under", "released under", "this work is licensed", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here",
+    "sign in", "sign up", "log in", "login", "subscribe", "newsletter", "©",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "cliquez ici", "se connecter", "s'inscrire", "abonnez-vous", "sous licence",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "hier klicken", "anmelden", "registrieren", "abonnieren", "lizenziert unter",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aviso legal", "haga clic aquí", "iniciar sesión", "regístrate", "suscríbete", "bajo licencia",
+)
+BOILERPLATE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, NOTICES)) + ")")
+BOILERPLATE_WORDS = 25
+_notices = ahocorasick.Automaton()
+for _phrase in NOTICES:
+    _notices.add_word(_phrase, _phrase)
+_notices.make_automaton()
 
 
 @dataclass(frozen=True)
@@ -33,6 +45,7 @@ class Rules:
     least_words: int = 50
     most_repeat_percent: int = 50
     few_words: int = 8
+    boilerplate_words: int = BOILERPLATE_WORDS
     least_kept: float = LEAST_KEPT
 
 
@@ -52,11 +65,11 @@ def repeat_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def line_verdict(line: str, rules: Rules = Rules()) -> str:
-    """keep, or the rule that a line with words fails."""
+def line_verdict(line: str, rules: Rules = Rules(), notices: bool = True) -> str:
+    """keep, or the rule that a line with words fails. notices: whether it may hold one."""
     bare = line.strip(SPACES)
     words = bare.split()
-    if BOILERPLATE.search(bare):
+    if notices and len(BOILERPLATE.findall(bare.lower())) * rules.boilerplate_words >= len(words):
         return "boilerplate"
     if len(SEPARATORS.findall(bare)) * 3 >= len(words) > 0:
         return "navigation"
@@ -72,7 +85,8 @@ def clean(text: str | None, rules: Rules = Rules()) -> dict:
     lines = text.split("\n")
     filled = [x for x in lines if x.strip(SPACES)]
     chars = lambda s: len(s) - sum(map(s.count, SPACES))
-    verdicts = [line_verdict(x, rules) if x.strip(SPACES) else "blank" for x in lines]
+    notices = next(_notices.iter(text.lower()), None) is not None
+    verdicts = [line_verdict(x, rules, notices) if x.strip(SPACES) else "blank" for x in lines]
     cleaned = "\n".join(x for x, v in zip(lines, verdicts, strict=True) if v in ("keep", "blank"))
     found = {
         "n_words": len(words), "word_chars": chars(text), "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": len(filled) - len(set(filled)), "n_repeat_words": repeat_words(words),

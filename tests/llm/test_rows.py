@@ -1,11 +1,14 @@
 """Operators that judge each row by itself, against plain versions."""
 
 import re
+import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -33,16 +36,68 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)
 
 
-def test_quality_equals_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+ENDS, CLOSING, MARKS = ".!?…。！？؟", "\"'”’»)]", "!?#*$%&|<>"
+
+
+def plain_verdict(line):
+    """The rule that a line fails, from its words one by one."""
+    bare = line.strip(" \t\n\x0b\x0c\r")
+    words, low = bare.split(), bare.lower()
+    hits, at = 0, 0
+    while at < len(low):
+        own = next((p for p in Q.NOTICES if low.startswith(p, at) and not (at and (low[at - 1].isalnum() or low[at - 1] == "_"))), None)
+        hits += own is not None
+        at += len(own) if own else 1
+    if hits and 25 * hits >= len(words):
+        return "boilerplate"
+    apart = sum(w in "|»›•·" for w in bare) + sum(w in (">", "/") for w in words)
+    if 3 * apart >= len(words):
+        return "navigation"
+    runs, before = 0, ""
+    for c in bare + " ":
+        if c not in MARKS:
+            runs += len(before) >= 2
+        before = before + c if c in MARKS else ""
+    if 2 * runs >= len(words):
+        return "punctuation"
+    stem = bare.rstrip(CLOSING)
+    return "keep" if len(words) >= 8 or stem and stem[-1] in ENDS else "punctuation"
+
+
+def plain_kept(text):
+    """Verdicts of the lines with words, and whether the document stays."""
+    text = text or ""
+    lines = [x for x in text.split("\n") if re.search(SPACE, x)]
+    verdicts = [plain_verdict(x) for x in lines]
+    chars = lambda some: sum(len(w) for x in some for w in re.findall(SPACE, x))
+    left = chars(x for x, v in zip(lines, verdicts) if v == "keep")
+    return Counter(verdicts), not plain_quality(text)[-1] and 2 * left >= chars([text])
+
+
+def check_quality(texts, got):
+    for r in got:
+        text = texts[r.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(text)
+        verdicts, kept = plain_kept(text)
+        assert (r.n_bad_punctuation, r.n_bad_navigation, r.n_bad_boilerplate, r.kept) == (*(verdicts[v] for v in ("punctuation", "navigation", "boilerplate")), kept), text
+
+
+def test_quality_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = Q.clean_lines(docs).collect()
     assert len(got) == len(texts)
-    for r in got:
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(texts[r.doc_id])
-        assert not (r.base_failed and r.kept)
-    good = [r for r in got if not r.base_failed]
-    assert sum(r.kept for r in good) > 0.95 * len(good)
+    check_quality(texts, got)
+    assert 0 < sum(not r.kept for r in got if not r.base_failed) and sum(r.n_bad_boilerplate for r in got) and sum(r.n_bad_navigation for r in got)
+
+
+def test_prose_is_not_taken_for_notices_or_navigation():
+    long = " ".join(f"word{i}" for i in range(1500)) + " and a cookie with the tea. " + " ".join(f"word{i}" for i in range(1500, 3000)) + "."
+    assert Q.clean(long)["kept"] and Q.clean(long.replace("cookie", "loaf"))["kept"]
+    assert Q.line_verdict("Prices and/or rates in km/h and m/s vary by 3/4.") == "keep"
+    assert [Q.line_verdict(x) for x in ("Alle Rechte vorbehalten.", "Tous droits réservés - mentions légales.", "Todos los derechos reservados.", "We use cookies on this page.", "Home / Shop / About")] == ["boilerplate"] * 4 + ["navigation"]
+    for line in (long, "Home > Shop > News", "He said: \"No!\"", "a|b", "!!", "© 2020", "x / y / z", "BUY!! IT!! NOW", "»Ja.«", "one two three four five six seven eight"):
+        assert Q.line_verdict(line) == plain_verdict(line), line
 
 
 def test_quality_of_odd_rows(spark):
@@ -153,7 +208,7 @@ def test_toxicity_of_odd_rows(spark):
     assert T.score(docs, T.train(docs, labels.limit(0))).count() == len(ROWS)
 
 
-def test_the_gradient_of_the_network_lowers_the_loss():
+def test_the_network_learns_its_rows():
     rng = np.random.default_rng(1)
     words = [T.hashed(w)[0] for w in ("bad", *(f"w{i}" for i in range(200)))]
     docs = [np.array([words[i] for i in rng.integers(1, 200, 30)] + [words[0]] * (k % 2), np.uint64) for k in range(240)]
@@ -162,6 +217,103 @@ def test_the_gradient_of_the_network_lowers_the_loss():
     assert ((model.scores(docs) >= T.THRESHOLD) == toxic.astype(bool)).mean() > 0.97
 
 
+def small_network(seed=4):
+    rng = np.random.default_rng(seed)
+    model = T.fit([], np.zeros(0, np.float32), [])
+    n = 1 << T.BUCKET_BITS
+    model.tables = tuple(rng.normal(0, 1, (n, T.SIZE)) for _ in range(2))
+    model.filters = [rng.normal(0, 1, f.shape) for f in model.filters]
+    model.biases = [rng.normal(0, 1, b.shape) for b in model.biases]
+    model.out, model.offset = rng.normal(0, 1, model.out.shape), 0.3
+    docs = [rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (1, 2, 7, 0, 40)]
+    return model, docs, np.array([0, 1, 1, 0, 1.0])
+
+
+def plain_output(model, words):
+    """The network's output, window by window."""
+    mask = (1 << T.BUCKET_BITS) - 1
+    e = [model.tables[0][int(w) & mask] + model.tables[1][int(w) >> 32 & mask] for w in words] + [np.zeros(T.SIZE)] * T.PAD
+    z, at = model.offset, 0
+    for width, filters, bias in zip(T.WIDTHS, model.filters, model.biases):
+        for f in range(T.FILTERS):
+            best = max((sum(float(e[i + j] @ filters[j][:, f]) for j in range(width)) + bias[f] for i in range(len(words))), default=0.0)
+            z += max(best, 0.0) * model.out[at]
+            at += 1
+    return z
+
+
+def test_outputs_equal_a_plain_forward_pass():
+    model, docs, _ = small_network()
+    assert np.allclose(model.outputs(docs)[0], [plain_output(model, d) for d in docs])
+
+
+def test_gradients_equal_differences_of_the_loss():
+    model, docs, toxic = small_network()
+    docs, toxic = docs[:3] + docs[4:], toxic[[0, 1, 2, 4]]
+    loss = lambda: T.loss_and_gradients(model, docs, toxic)[0]
+    before, gradients, by_offset, (one, two, by_row) = T.loss_and_gradients(model, docs, toxic)
+    z = np.array([plain_output(model, d) for d in docs])
+    assert np.isclose(before, np.mean(np.log1p(np.exp(z)) - toxic * z))
+    tables = [np.zeros_like(t) for t in model.tables]
+    for table, bucket in zip(tables, (one, two)):
+        np.add.at(table, bucket, by_row)
+    rng, h = np.random.default_rng(0), 1e-6
+    used = np.unique(one)
+    for values, gradient, rows in [*((p, g, None) for p, g in zip([*model.filters, *model.biases, model.out], gradients)), *((t, g, u) for t, g, u in zip(model.tables, tables, (used, np.unique(two))))]:
+        for _ in range(12):
+            at = tuple(int(rng.integers(0, n)) for n in values.shape)
+            at = at if rows is None else (int(rng.choice(rows)), *at[1:])
+            kept = values[at]
+            values[at] = kept + h
+            up = loss()
+            values[at] = kept - h
+            down = loss()
+            values[at] = kept
+            assert np.isclose((up - down) / (2 * h), gradient[at], rtol=1e-3, atol=1e-6)
+    model.offset += h
+    up = loss()
+    model.offset -= 2 * h
+    assert np.isclose((up - loss()) / (2 * h), by_offset, rtol=1e-3)
+
+
+def test_cuts_of_each_language_have_the_best_f1():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        z = np.round(rng.normal(0, 1, 40), 1)
+        truth = z + rng.normal(0, 0.7, 40) > 0.4
+        f1 = lambda cut: 2 * (truth & (z >= cut)).sum() / max(1, (z >= cut).sum() + truth.sum())
+        best = max(f1(c) for c in z)
+        assert f1(T.best_cut(z, truth, 0.0)) >= best - 0.06
+    words = {la: [T.hashed(f"{la}{i}")[0] for i in range(60)] for la in ("en", "de")}
+    bad = T.hashed("bad")[0]
+    docs, toxic, langs = [], [], []
+    for k in range(800):
+        la = ("en", "de")[k % 2]
+        docs.append(np.array([words[la][i] for i in rng.integers(0, 60, 20)] + [bad] * (k % 4 < 2), np.uint64))
+        toxic.append(float(k % 4 < 2))
+        langs.append(la)
+    model = T.fit(docs, np.array(toxic, np.float32), langs)
+    z, spoken = model.outputs(docs)
+    assert [("de", "en")[i] for i in spoken] == langs
+    assert np.allclose((model.scores(docs) >= T.THRESHOLD), z >= model.cuts[spoken])
+
+
+def test_training_words_are_bounded(spark):
+    rows = [(i, f"w{i} " * 100, "en") for i in range(30)] + [(1, "again " * 100, "de")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    seen = []
+    kept = T.fit
+    T.fit = lambda docs, *rest: seen.append(list(map(len, docs))) or kept(docs, *rest)
+    try:
+        for sample, words in ((8000, 10**6), (8000, 550), (4, 10**6)):
+            T.train(docs, labels, sample, words)
+    finally:
+        T.fit = kept
+    known = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert seen[0] == [100] * len(known) and seen[1] == [100] * 5 and seen[2] == [100] * 4
+
+
 @pytest.fixture(scope="module")
 def backend():
     return B.Backend(public_tokenizers.path("piece_bpe_32k.model"))
@@ -179,12 +331,66 @@ def test_sentencepiece_parity_and_round_trip(spark, sf_dir, backend):
 def test_sentencepiece_on_odd_texts(spark, backend):
     odd = ["", " ", "  a  b ", "\n\n x\t y", "日本語のテキスト", "a▁b ▁▁c", "<s></s><0x0A><unk>", "😀\x00é" * 50, "x" * 5000, "   ", "aaaaaaa bbbbbbbb"]
     assert backend.encode_batch(odd) == backend.other.encode(odd)
-    whole = [np.frombuffer(b"".join(backend.cache[p] for p in backend.parts(t)), "<u4").tolist() if backend.learn(set(backend.parts(t))) is None else 0 for t in odd]
-    assert whole == backend.other.encode(odd)
+    for texts in (odd, odd * 3 + ["plain words", "plain words too"], ["plain"], []):
+        ids, counts, parity = backend.encode(pa.array(texts, pa.string()))
+        assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(counts), counts)] == backend.other.encode(texts) and parity.all()
     assert backend.decode_batch(backend.encode_batch(odd)) == [t.replace("▁", " ") for t in odd]
     assert B.encode(table(spark)).count() == len(ROWS) and B.encode(table(spark, [])).count() == 0
 
 
+def test_ids_that_differ_are_told(backend, monkeypatch):
+    other = backend.other
+
+    class Odd:
+        def encode(self, texts, num_threads=1):
+            return [[i + (i == 310 + 0 * len(t)) for i in ids] for t, ids in zip(texts, other.encode(texts))]
+
+    texts = ["the house", "a tree stood there", " odd  the"]
+    wrong = [310 in ids for ids in other.encode(texts)]
+    monkeypatch.setattr(backend, "other", Odd())
+    assert backend.encode(pa.array(texts))[2].tolist() == [not w for w in wrong]
+
+
+def message(*fields):
+    """A protobuf message of (number, value): integers, floats, bytes."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_models_have_parity(sf_dir, squeeze, fallback, tmp_path):
+    """A model put together here from the documents' letters and syllables, with drawn scores, in both libraries."""
+    rng = np.random.default_rng(8)
+    texts = [t or "" for t in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet' ORDER BY doc_id LIMIT 60").df()["text"]]
+    words = sorted({"▁" + w for t in texts for w in t.split()})
+    syllables = sorted({w[i:j] for w in words for i in range(len(w)) for j in range(i + 2, min(i + 5, len(w) + 1))})
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)] * fallback
+    letters = sorted(set("".join(words)) - set("ßz"))
+    pieces += [(c, float(-9 - rng.random()), 1) for c in letters] + [(syllables[i], float(-3 - 5 * rng.random()), 1) for i in sorted(rng.choice(len(syllables), 600, replace=False))]
+    own = [(1, message((1, p.encode()), (2, s), (3, k))) for p, s, k in pieces]
+    trainer = message((3, 1), (35, int(fallback)), (40, 0), (41, 1), (42, 2), (43, (1 << 64) - 1))
+    normalizer = message((1, b"identity"), (3, 1), (4, int(squeeze)), (5, 1))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(message(*own, (2, trainer), (3, normalizer)))
+    backend = B.Backend(str(path))
+    assert backend.spec.kind == "unigram" and backend.spec.squeeze == squeeze and backend.spec.byte_fallback == fallback
+    probes = [*texts, "", "  two  spaces ", "z ß zz", "mañana ßz 日本"]
+    ids, counts, parity = backend.encode(pa.array(probes, pa.string()))
+    assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(counts), counts)] == backend.other.encode(probes)
+    assert parity.all()
+
+
 def test_unigram_models_are_built_too():
     pieces = [("<unk>", 0.0, B.UNKNOWN), ("▁", -2.0, 1), ("▁he", -3.0, 1), ("llo", -3.5, 1), ("l", -5.0, 1), ("o", -5.0, 1), ("h", -6.0, 1), ("e", -6.0, 1)]
     tokenizer = B.build(B.Spec(pieces, "unigram", False, b"", True, True))
