@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+_open: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends here, and lost executors cost no recomputation.
+
+    The table goes when the innermost scratch() that is open ends, unless it is to be kept; and with the application at the latest.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _with_file_system(spark, path, lambda fs, own: fs.deleteOnExit(own))
+    if _open and not keep:
+        _open[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _with_file_system(spark: SparkSession, path: str, do: Callable) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    do(own.getFileSystem(spark._jsc.hadoopConfiguration()), own)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were stored inside and are not to be kept; what is read later must not depend on them.
+
+    Shuffle files of plans that are no longer referred to go, too, as the JVM collects them.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _with_file_system(spark, path, lambda fs, own: fs.delete(own, True))
+        spark._jvm.java.lang.System.gc()
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: int) -> None:
