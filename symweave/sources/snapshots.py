@@ -32,14 +32,15 @@ _open: list[list[str]] = []
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, and lost executors cost no recomputation.
 
-    The table goes when the innermost scratch() that is open ends, unless it is to be kept; and with the application at the latest.
+    The table goes when the innermost scratch() that is open ends (if it is to be kept, when the one around that ends), and with the application at
+    the latest.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _with_file_system(spark, path, lambda fs, own: fs.deleteOnExit(own))
-    if _open and not keep:
-        _open[-1].append(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +51,7 @@ def _with_file_system(spark: SparkSession, path: str, do: Callable) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that were stored inside and are not to be kept; what is read later must not depend on them.
+    """Deletes, at its end, the tables that were stored inside and are not kept; what is read later must not depend on them.
 
     Shuffle files of plans that are no longer referred to go, too, as the JVM collects them.
     """
