@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored, without
+from .shared import documents, scratch, stored, without
 
 MIN_CHARS, MAX_CHARS = 512, 8192
 CUT = r"(?<=[dhlptx][aeimnrsuy]\s)"
@@ -81,9 +81,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     A row is told by its doc_id and text: a doc_id that repeats with another text is another document. Of rows that repeat both one stays,
     and of a group without any doc_id, too. Null and empty texts are equal. An empty table stays empty.
     """
-    found = stored(exact_dedup(docs).filter("group_size > 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("text_sha256").alias("text_key"), "kept"), "copies")
-    repeated = found.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key")
-    return without(docs, found.filter("NOT kept").select("doc_id", "text_key").distinct(), stored(repeated, "repeated"))
+    with scratch(docs.sparkSession):
+        found = exact_dedup(docs).filter("group_size > 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("text_sha256").alias("text_key"), "kept")
+        keys = stored(found.groupBy("doc_id", "text_key", "kept").count(), "copies")
+        gone = stored(keys.filter("NOT kept").select("doc_id", "text_key"), "gone", keep=True)
+        return without(docs, gone, stored(keys.filter("kept AND count > 1").select("doc_id", "text_key"), "repeated", keep=True))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, scratch, stored
 
 BITS, SHARDS, AXES = 8, 24, ("lang", "source", "chars")
 
@@ -97,13 +97,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert for each row of docs (doc_id, text, lang, source).
-
-    Null texts count as empty (size 8, checksum 0); null labels and texts have a cell of their own. Ties of the index go by doc_id
-    (nulls first), checksum and size; rows alike in all of these are interchangeable and each get a slot. Other columns are
-    ignored. An empty table gives an empty result; with fewer rows than shards the last shards stay empty.
-    """
+def along_the_curve(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, task, place: the rows' places in the order of the curve."""
     text = F.coalesce("text", F.lit(""))
     rows = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -112,7 +107,18 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     bounds = [cell_bounds(rows, c) for c in AXES]
     rows = rows.select("doc_id", "size", "text_crc32", hilbert_column(bounds, *map(F.col, AXES)).alias("hilbert"))
     order = ["hilbert", "doc_id", "text_crc32", "size"]
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_placed, "doc_id long, size long, text_crc32 long, hilbert long, task long, place long"), "hilbert")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_placed, "doc_id long, size long, text_crc32 long, hilbert long, task long, place long")
+
+
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert for each row of docs (doc_id, text, lang, source).
+
+    Null texts count as empty (size 8, checksum 0); null labels and texts have a cell of their own. Ties of the index go by doc_id
+    (nulls first), checksum and size; rows alike in all of these are interchangeable and each get a slot. Other columns are
+    ignored. An empty table gives an empty result; with fewer rows than shards the last shards stay empty.
+    """
+    with scratch(docs.sparkSession):
+        placed = stored(along_the_curve(docs), "hilbert", keep=True)
     counts = sorted(placed.groupBy("task").count().collect())  # a row for each task of the sort
     starts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
     offsets = docs.sparkSession.createDataFrame([(task, start) for (task, _), start in zip(counts, starts, strict=False)], "task long, start long")

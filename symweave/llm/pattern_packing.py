@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .parts import encode_by_parts, interleaved
-from .shared import documents, small_batches, stored
+from .shared import documents, scratch, small_batches, stored
 
 LENGTH, END = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids binary, cell int, task int, place long"
@@ -265,7 +265,8 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     """
     if json_path is None:
         json_path, ranks_path = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken")
-    cut = stored(pieces(docs, json_path, ranks_path, length), "pieces")
+    with scratch(docs.sparkSession):
+        cut = stored(pieces(docs, json_path, ranks_path, length), "pieces", keep=True)
     counts = cut.groupBy("task", "cell").agg(F.count(F.lit(1)).alias("n"))
     histogram = {cell: n for cell, n in cut.groupBy("cell").count().collect()}  # as many rows as there are lengths
     table = slots(plan(histogram, length))

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, scratch, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive, and anchored to where a run of characters starts, so that no text takes quadratic time; the matches are those
@@ -201,8 +201,9 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: floa
     Repeated rows get equal results, and count as documents but not as different texts. A null doc_id stays null. Other columns are
     ignored; an empty table gives an empty result.
     """
-    base = stored(found(docs), "personal")
-    rows = with_terms(base, stored(disclosed_terms(docs, base, support, generalise), "disclosed"))
+    with scratch(docs.sparkSession):
+        base = stored(found(docs), "personal", keep=True)
+        rows = with_terms(base, stored(disclosed_terms(docs, base, support, generalise), "disclosed", keep=True))
     count = lambda k: F.size(F.filter("all_spans", lambda s: s["kind"] == k)).cast("long")
     return rows.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])), F.sha2(listing(F.col("spans")), 256).alias("base_sha256"), listing(F.col("all_spans")).alias("spans"), count(4).alias("n_term"))
 
@@ -227,8 +228,9 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     Every row stays, repeated ones and those without doc_id too. Null and empty texts stay as they are, like all columns but text and
     n_chars; an empty table gives an empty one. Patterns are searched once, and rows without a match aren't joined with anything.
     """
-    base = stored(found(docs, whole_rows=True).withColumn("private", F.size("spans") > 0), "personal")
-    terms = stored(disclosed_terms(docs, base, support, generalise), "disclosed")
+    with scratch(docs.sparkSession):
+        base = stored(found(docs, whole_rows=True).withColumn("private", F.size("spans") > 0), "personal", keep=True)
+        terms = stored(disclosed_terms(docs, base, support, generalise), "disclosed", keep=True)
     clean = base.filter("NOT private").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
     rows = with_terms(base.filter("private"), terms).withColumn("text", masked(F.col("text"), F.col("all_spans")))
     changed = {"text": F.col("text")}

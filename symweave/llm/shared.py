@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.snapshots import stored
+from ..sources.snapshots import scratch, stored
 
-__all__ = ["SPACES", "crc32_of_id", "documents", "held_out", "small_batches", "stored", "text_key", "without"]
+__all__ = ["SPACES", "crc32_of_id", "documents", "held_out", "scratch", "small_batches", "stored", "text_key", "without"]
 
 #: ASCII white space: what separates words in every contract of this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -41,17 +41,18 @@ def text_key(text: str = "text") -> Column:
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text stand in gone, and with one of those whose doc_id and text stand in repeated.
 
-    gone and repeated: doc_id, text_key. doc_ids compare null-safely. Of repeated rows that differ in other columns the least stays, by
+    gone and repeated: doc_id, text_key. They grow with the corpus, so they are never broadcast: texts move once, at every size. doc_ids compare null-safely. Of repeated rows that differ in other columns the least stays, by
     column after column. All columns stay as they were; only rows with a key in repeated are shuffled whole, each task's least of them.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_key"))
 
     def among(keys: DataFrame, how: str) -> DataFrame:
-        own = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+        own = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).hint("merge")
         return rows.join(own, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), how)
 
     left = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     if repeated.isEmpty():
         return among(gone, "left_anti").select(*left)
     once = among(repeated, "left_semi").groupBy("_doc", "_key").agg(F.min("_row").alias("_row"))
-    return among(gone.union(repeated), "left_anti").select(*left).union(once.select(*left))
+    once = stored(once.select(*left), "once", keep=True)
+    return among(stored(gone.union(repeated), "gone", keep=True), "left_anti").select(*left).union(once)

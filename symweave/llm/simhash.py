@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, small_batches, stored
+from .shared import documents, scratch, small_batches, stored
 
 SEED, SHINGLE, RADIUS, BANDS, BLOCK, WINDOW = 42, 3, 2, 5, 4096, 512
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -201,12 +201,13 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     other (component_id is then null). Rows that repeat a doc_id each get a row. Other columns are ignored, whatever
     their names; an empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
+    with scratch(docs.sparkSession):
+        prints = stored(fingerprints(docs), "fingerprints", keep=True)
+        distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+        rooted = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_print = stored(rooted.join(named, "root").select("fp", "component_id"), "named", keep=True)
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
