@@ -21,9 +21,20 @@ KIND_BONUS = {
     "function": 10, "method": 10, "class": 8, "interface": 9, "type_alias": 6, "struct": 6, "trait": 9, "enum": 5, "component": 8, "route": 9, "module": 4,
     "property": 3, "field": 3, "variable": 2, "constant": 3, "import": 1, "export": 1, "parameter": 0, "namespace": 4, "file": 0, "protocol": 9, "enum_member": 3,
 }
-# Folders whose files are not production code.
+# Folders whose files are not production code, those of them that count as a path's first folder too, words that
+# mark a test in a file's name, and how names in mixed case end.
 TEST_DIRS = "tests test __tests__ spec specs testlib testing".split()
+FIRST_TEST_DIRS = "test tests spec specs".split()
 OTHER_DIRS = "integration sample samples example examples fixture fixtures benchmark benchmarks demo demos".split()
+TEST_WORDS = "test tests spec specs".split()
+TEST_ENDS = "Test Tests TestCase Tester Spec Specs".split()
+TEST_DIR_ENDS = "Test Tests Spec".split()
+# Endings of words, the least length of a word that has them, what may stand in their place, endings that rule them
+# out, and whether a doubled letter before them is also halved.
+ENDINGS = (
+    ("ing", 6, ("", "e"), (), True), ("tion", 6, ("t",), (), False), ("sion", 6, ("s",), (), False), ("ment", 7, ("",), (), False), ("ies", 5, ("y",), (), False),
+    ("es", 5, ("",), ("ies",), False), ("s", 5, ("",), ("ss", "es"), False), ("ed", 5, ("", "e"), ("eed",), False), ("ied", 6, ("y",), (), False), ("er", 5, ("", "e"), (), True),
+)
 
 
 def base_name(path: Column) -> Column:
@@ -53,28 +64,35 @@ def words_of(name: Column) -> Column:
 
 def stems(term: Column) -> Column:
     """Shorter forms of a lower-cased word by its ending; each of three letters at least and none the word itself."""
-    n = F.length(term)
-    cut = lambda k: F.substr(term, F.lit(1), n - k)
-    twin = lambda k: F.substr(term, n - k, F.lit(1)) == F.substr(term, n - k - 1, F.lit(1))
-    ends = lambda *e: reduce(Column.__or__, [term.endswith(x) for x in e])
-    rules = [
-        (ends("ing") & (n > 5), lambda: [cut(3), F.concat(cut(3), F.lit("e"))]), (ends("ing") & (n > 5) & twin(3), lambda: [cut(4)]),
-        (ends("tion", "sion") & (n > 5), lambda: [cut(3)]), (ends("ment") & (n > 6), lambda: [cut(4)]),
-        (ends("ies") & (n > 4), lambda: [F.concat(cut(3), F.lit("y"))]), (~(ends("ies") & (n > 4)) & ends("es") & (n > 4), lambda: [cut(2)]),
-        (ends("s") & ~ends("ss") & ~ends("es") & (n > 4), lambda: [cut(1)]), (ends("ed") & ~ends("eed") & (n > 4), lambda: [cut(1), cut(2)]),
-        (ends("ied") & (n > 5), lambda: [F.concat(cut(3), F.lit("y"))]), (ends("er") & (n > 4), lambda: [cut(2), F.concat(cut(2), F.lit("e"))]), (ends("er") & (n > 4) & twin(2), lambda: [cut(3)]),
-    ]
-    found = F.concat(*(F.when(when, F.array(*forms())).otherwise(F.array().cast("array<string>")) for when, forms in rules))
-    return F.array_distinct(F.filter(found, lambda s: (F.length(s) >= 3) & (s != term)))
+
+    def forms(ending: str, least: int, instead: tuple[str, ...], never: tuple[str, ...], halve: bool) -> Column:
+        stem = F.substr(term, F.lit(1), F.length(term) - len(ending))
+        own = [F.concat(stem, F.lit(x)) for x in instead]
+        if halve:
+            own.append(F.regexp_replace(stem, F.lit(r"(.)\1$"), F.lit("$1")))
+        fits = reduce(lambda so_far, x: so_far & ~term.endswith(x), never, term.endswith(ending) & (F.length(term) >= least))
+        return F.when(fits, F.array(*own)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.filter(F.concat(*(forms(*row) for row in ENDINGS)), lambda s: (F.length(s) >= 3) & (s != term)))
 
 
 def is_test_file(path: Column) -> Column:
-    """Whether a path looks like a test, sample or benchmark: by file name or by folder."""
-    lower, name = F.lower(path), base_name(path)
-    low_name = F.lower(name)
-    by_name = low_name.rlike(r"^test[_.]|[._-](test|tests|spec|specs)\.[a-z0-9]+$") | name.rlike(r"(Test|Tests|TestCase|Tester|Spec|Specs)\.[A-Za-z0-9]+$")
-    started = lower.rlike(f"/({'|'.join(TEST_DIRS)})/|^(test|tests|spec|specs)/|(^|/)({'|'.join(OTHER_DIRS)})/")
-    return by_name | started | path.rlike(r"(^|/)[A-Za-z0-9]*(Test|Tests|Spec)/")
+    """Whether a path looks like a test, sample or benchmark: by a word or ending of the file's name, or by one of its folders."""
+    parts = F.split(path, "/")
+    name, folders = F.element_at(parts, -1), F.slice(parts, F.lit(1), F.size(parts) - 1)
+    low = F.transform(folders, F.lower)
+    stem = F.regexp_replace(name, F.lit(r"\.[A-Za-z0-9]+$"), F.lit(""))
+    leading, words = F.split(F.lower(name), "[_.]"), F.split(F.lower(stem), "[._-]")
+    ends = lambda x, some: reduce(Column.__or__, (x.endswith(e) for e in some))
+    among = lambda xs, some: F.arrays_overlap(xs, F.array(*map(F.lit, some)))
+    by_name = [
+        (F.size(leading) > 1) & (leading[0] == "test"), (stem != name) & (F.size(words) > 1) & F.element_at(words, -1).isin(*TEST_WORDS), (stem != name) & ends(stem, TEST_ENDS),
+    ]
+    by_folder = [
+        among(F.slice(low, 2, F.greatest(F.size(low), F.lit(1))), TEST_DIRS), F.coalesce(F.get(low, F.lit(0)).isin(*FIRST_TEST_DIRS), F.lit(False)), among(low, OTHER_DIRS),
+        F.exists(folders, lambda f: f.rlike("^[A-Za-z0-9]+$") & ends(f, TEST_DIR_ENDS)),
+    ]
+    return reduce(Column.__or__, by_name + by_folder)
 
 
 def kind_bonus(kind: Column) -> Column:
@@ -91,20 +109,37 @@ def path_relevance(path: Column, terms: Column, query: Column) -> Column:
 
 
 def name_match_bonus(name: Column, query: Column) -> Column:
-    """80 for the query itself, 60 for one of its words, 10 to 40 for a name it begins, 15 for all its parts, 10 for a name that holds it."""
-    low = F.lower(name)
-    whole = F.lower(F.regexp_replace(query, F.lit(r"\s+"), F.lit("")))
-    long = lambda parts: F.filter(F.transform(parts, F.lower), lambda t: F.length(t) >= 2)
-    tokens = long(F.split(query, r"\s+"))
-    parts = long(F.split(F.regexp_replace(query, F.lit("([a-z])([A-Z])"), F.lit("$1 $2")), r"[\s_.\-]+"))
-    return (
-        F.when(low == whole, 80)
-        .when((F.size(tokens) > 1) & F.array_contains(tokens, low), 60)
-        .when(F.startswith(low, whole), F.floor(10 + 30 * F.length(whole) / F.length(low) + 0.5).cast("int"))
-        .when((F.size(parts) > 1) & F.forall(parts, lambda t: F.contains(low, t)), 15)
-        .when(F.contains(low, whole), 10)
-        .otherwise(0)
-    )
+    """The points of the first test that a name passes: it is the query, one of its words, begins with it, has all its parts, or holds it."""
+    low, whole = F.lower(name), F.lower(F.regexp_replace(query, F.lit(r"\s+"), F.lit("")))
+    two_letters = lambda words: F.filter(words, lambda w: F.length(w) >= 2)
+    words = two_letters(F.split(F.lower(query), r"\s+"))
+    parts = two_letters(F.split(F.lower(F.regexp_replace(query, F.lit("([a-z])([A-Z])"), F.lit("$1 $2"))), r"[\s_.\-]+"))
+    share = F.length(whole) / F.length(low)
+    tests = {
+        "the query": (low == whole, F.lit(80)),
+        "a word of it": (F.array_contains(words, low) & (F.size(words) > 1), F.lit(60)),
+        "begins with it": (F.startswith(low, whole), F.floor(10.5 + 30 * share).cast("int")),
+        "has all parts": (F.forall(parts, lambda p: F.contains(low, p)) & (F.size(parts) > 1), F.lit(15)),
+        "holds it": (F.contains(low, whole), F.lit(10)),
+    }
+    return F.coalesce(*(F.when(test, points) for test, points in tests.values()), F.lit(0))
+
+
+def title_case(word: Column) -> Column:
+    return F.concat(F.upper(F.substr(word, F.lit(1), F.lit(1))), F.lower(F.substr(word, F.lit(2))))
+
+
+def contained_share(terms: Column, text: Column) -> Column:
+    """The share of the terms that a text holds, whatever the case; 0 without terms."""
+    held = F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
+    return F.when(F.size(terms) > 0, F.size(held) / F.size(terms)).otherwise(0.0)
+
+
+def cut_at_line(text: Column, most: int = 15000) -> Column:
+    """The text's first most characters, up to the last line end if that keeps more than four fifths of them."""
+    head = F.substr(text, F.lit(1), F.lit(most))
+    upto = F.length(head) - F.length(F.element_at(F.split(head, "\n"), -1)) - 1
+    return F.when(F.length(text) <= most, text).when(upto > most * 0.8, F.substr(head, F.lit(1), upto)).otherwise(head)
 
 
 def shared_folders(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ carry their root, so a thousand roots cost as many levels as one, and no frontie
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +29,27 @@ def arcs(edges: DataFrame, direction: str = "out", kinds: Sequence[str] = ()) ->
     return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
 
 
-def reach(seeds: DataFrame, steps: DataFrame, max_depth: int = UNBOUNDED, through: DataFrame | None = None) -> DataFrame:
+def reach(seeds: DataFrame, steps: DataFrame, max_depth: int = UNBOUNDED, through: DataFrame | None = None, way: Sequence[str] = ()) -> DataFrame:
     """root, id, depth: every node on a path from a seed, with the least number of steps. seeds: root, id. steps: a, b.
 
-    through: ids that may be entered; others block the way.
+    through: ids that may be entered; others block the way. way: further columns of seeds and steps that tell several searches in one apart.
     """
-    steps = steps.select("a", "b").distinct()
+    steps = steps.select("a", "b", *way).distinct()
     if through is not None:
         steps = steps.join(through.select(F.col("id").alias("b")), "b", "left_semi")
-    steps = stored(steps.select("a", "b"), "steps")
-    frontier = stored(seeds.select("root", "id").distinct().withColumn("depth", F.lit(0)), "level")
+    steps = stored(steps.select(F.col("a").alias("id"), "b", *way), "steps")
+    frontier = stored(seeds.select("root", "id", *way).distinct().withColumn("depth", F.lit(0)), "level")
     seen, depth = frontier, 0
     while depth < max_depth:
         depth += 1
-        found = frontier.join(steps, frontier.id == steps.a).select("root", F.col("b").alias("id")).distinct()
-        frontier = stored(found.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        found = frontier.join(steps, ["id", *way]).select("root", F.col("b").alias("id"), *way).distinct()
+        frontier = stored(found.join(seen, ["root", "id", *way], "left_anti").withColumn("depth", F.lit(depth)).select("root", "id", *way, "depth"), "level")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
         if depth % 16 == 0:  # a long chain of unions in one table
             seen = stored(seen, "seen")
-    return seen
+    return seen.select("root", "id", "depth", *way)
 
 
 def each_itself(nodes: DataFrame) -> DataFrame:
@@ -77,9 +78,10 @@ def call_graph(graph: Graph, seeds: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def hierarchy(graph: Graph, seeds: DataFrame) -> DataFrame:
-    """root, id, role, depth: ancestors and descendants over extends and implements, to any depth."""
-    up, down = (traverse(graph, seeds, d, ("extends", "implements"), include_start=False) for d in ("out", "in"))
-    return up.withColumn("role", F.lit("ancestor")).union(down.withColumn("role", F.lit("descendant")))
+    """root, id, role, depth: ancestors and descendants over extends and implements, to any depth, in one search."""
+    starts = seeds.join(graph.nodes.select("id"), "id", "left_semi").select("root", "id", F.explode(F.array(F.lit("ancestor"), F.lit("descendant"))).alias("role"))
+    up, down = (arcs(graph.edges, d, ("extends", "implements")).select("a", "b", F.lit(role).alias("role")) for d, role in (("out", "ancestor"), ("in", "descendant")))
+    return reach(starts, up.union(down), through=graph.nodes.select("id"), way=["role"]).filter("depth > 0").select("root", "id", "role", "depth")
 
 
 def impact(graph: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
@@ -147,13 +149,21 @@ def usages(graph: Graph) -> DataFrame:
 
 
 def metrics(graph: Graph) -> DataFrame:
-    """id, in_degree, out_degree, call_count, caller_count, child_count, depth of every node; the edges are read once for each end."""
+    """id, in_degree, out_degree, call_count, caller_count, child_count, depth of every node; the edges are read once for each end.
+
+    depth is the number of ancestors, counted from the outermost nodes down, each node once; only nodes that contain each other are followed up one by one.
+    """
     edges = graph.edges
     out = edges.groupBy(F.col("source").alias("id")).agg(
         F.count(F.lit(1)).alias("out_degree"), F.count_if(F.col("kind") == "calls").alias("call_count"), F.count_if(F.col("kind") == "contains").alias("child_count")
     )
     into = edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"), F.count_if(F.col("kind") == "calls").alias("caller_count"))
-    deep = ancestors(graph, each_itself(graph.nodes)).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("depth"))
+    held = stored(parents(graph), "parents")
+    outer = graph.nodes.join(held.select("id"), "id", "left_anti").select(F.lit("outermost").alias("root"), "id")
+    deep = reach(outer, held.select(F.col("parent").alias("a"), F.col("id").alias("b"))).select("id", F.col("depth").cast("long").alias("depth"))
+    circular = held.join(deep.select("id"), "id", "left_anti").select(F.col("id").alias("root"), "id")
+    circular = reach(circular, held.select(F.col("id").alias("a"), F.col("parent").alias("b"))).filter("depth > 0").groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("depth"))
+    deep = deep.union(circular)
     joined = graph.nodes.select("id").join(out, "id", "left").join(into, "id", "left").join(deep, "id", "left")
     return joined.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("in_degree", "out_degree", "call_count", "caller_count", "child_count", "depth")))
 
@@ -200,16 +210,38 @@ def file_dependents(graph: Graph) -> DataFrame:
 def cycles(dependencies: DataFrame) -> DataFrame:
     """path, component, n_files: files on a cycle of imports, with their strongly connected component (named by its least path).
 
-    All simple cycles can be exponentially many; membership says the same: two files are on a common closed walk if each
-    reaches the other.
+    All simple cycles can be exponentially many; membership says the same. Files that nothing leads to, or that lead nowhere, are taken off
+    until none is left. Then each file takes the least name that reaches it; the files that also reach the file of that name are its
+    component. The rest goes round again. No file is closed over all others.
     """
-    steps = dependencies.select(F.col("path").alias("a"), F.col("depends_on").alias("b"))
-    starts = steps.select(F.col("a").alias("id")).distinct()
-    closure = stored(reach(starts.select(F.col("id").alias("root"), "id"), steps).filter("depth > 0"), "closure")
-    back = closure.select(F.col("id").alias("root"), F.col("root").alias("id"))
-    mutual = closure.select("root", "id").join(back, ["root", "id"])
-    named = mutual.groupBy(F.col("root").alias("path")).agg(F.least(F.min("id"), F.col("root")).alias("component"), (F.count(F.lit(1)) + 1).alias("n_files"))
-    return named
+    edges, found = stored(dependencies.select(F.col("path").alias("a"), F.col("depends_on").alias("b")).filter("a <> b").distinct(), "edges"), []
+    while True:
+        n = -1
+        while n != (n := edges.count()):
+            edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+            edges = stored(edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "edges")
+        if not n:
+            break
+        least = stored(edges.select(F.col("a").alias("id")).distinct().withColumn("least", F.col("id")), "least")
+        while True:
+            offers = edges.join(least.select(F.col("id").alias("a"), F.col("least").alias("offer")), "a").groupBy(F.col("b").alias("id")).agg(F.min("offer").alias("offer"))
+            after = stored(least.join(offers, "id").select("id", F.least("least", "offer").alias("least"), (F.col("offer") < F.col("least")).alias("moved")), "least")
+            least = after.select("id", "least")
+            if after.filter("moved").isEmpty():
+                break
+        own = lambda end: least.select(F.col("id").alias(end), F.col("least").alias(f"of_{end}"))
+        within = edges.join(own("a"), "a").join(own("b"), "b").filter("of_a = of_b")
+        seeds = least.filter("id = least").select(F.col("id").alias("root"), "id")
+        members = stored(reach(seeds, within.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("root", "id"), "members")
+        found.append(members)
+        gone = members.select("id")
+        edges = edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+        edges = stored(edges, "edges")
+    if not found:
+        return dependencies.sparkSession.createDataFrame([], "path string, component string, n_files long")
+    members = reduce(DataFrame.union, found)
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n_files")).filter("n_files > 1")
+    return members.join(sizes, "root").select(F.col("id").alias("path"), F.col("root").alias("component"), "n_files")
 
 
 def affected_tests(dependents: DataFrame, changed: DataFrame, depth: int = 5) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ranked search, for many queries at once.
 
-Queries are a table (query_id, query). What has to be compared with every query (substrings, edit distances) is the distinct names,
-not the nodes, and queries are broadcast in blocks of BLOCK rows at most; matches are then joined to nodes by name. Ranked
-text search joins postings (term, row) with the queries' terms.
+Queries are a table (query_id, query), and everything that is compared with them is found by equi-joins: substrings by a query's rarest run of three
+letters, near names by a third of the name that an edit can't touch, filters by kind or language first. Names are compared, not nodes; matches
+are then joined to nodes by name. Ranked text search joins postings (term, row) with the queries' terms.
 """
 
 from __future__ import annotations
@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kind_bonus, name_match_bonus, path_relevance, words_of
+from ..schema import LANGUAGES, NODE_KINDS
+from ..sources.snapshots import stored
 
-BLOCK = 2000
 K1, B = 1.2, 0.75
-FIELDED = r'(?i)\b(kind|lang|language|path|name):("[^"]*"|[^\s"]+)'
+GRAM = 3
+#: Most edits between a query and a name, and the parts of a name of which one is left whole by so many.
+EDITS = 2
+PARTS = EDITS + 1
+FIELDED = rf'\b(?:kind:(?:"(?:{"|".join(NODE_KINDS)})"|(?:{"|".join(NODE_KINDS)})(?!\S))|lang(?:uage)?:(?i:"(?:{"|".join(LANGUAGES)})"|(?:{"|".join(LANGUAGES)})(?!\S))|(?:path|name):(?:"[^"]+"|[^\s"]+))'
 
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
@@ -25,23 +30,54 @@ def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= most)
 
 
-def against(queries: DataFrame, rows: DataFrame, match: Callable[[DataFrame], Column]) -> DataFrame:
-    """Pairs of queries and rows that match, a block of broadcast queries at a time."""
-    n = queries.count()
-    if n <= BLOCK:
-        return rows.join(F.broadcast(queries), match(rows))
-    blocks = -(-n // BLOCK) * 2
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (rows.join(F.broadcast(queries.filter(block == k)), match(rows)) for k in range(blocks)))
+def grams(text: Column, n: Column | int) -> Column:
+    """The different runs of n letters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(texts: DataFrame, column: str, queries: DataFrame, part: str) -> DataFrame:
+    """Pairs of texts (their only column) and queries whose part stands in the text, whatever the case. Empty parts stand nowhere.
+
+    A part is looked up by its rarest run of GRAM letters (or as a whole, if it is shorter), and what is found is compared.
+    """
+    low = F.lower(column)
+    runs = F.flatten(F.array(*(grams(low, n) for n in range(1, GRAM + 1))))
+    posted = stored(texts.select(column).distinct().select(column, F.explode(runs).alias("gram")), "grams")
+    asked = queries.select(F.lower(part).alias("_part")).filter("_part <> ''").distinct()
+    asked = asked.select("_part", F.explode(grams(F.col("_part"), F.least(F.length("_part"), F.lit(GRAM)))).alias("gram"))
+    often = posted.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    all_there = asked.join(often, "gram", "left").groupBy("_part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = all_there.join(posted, "gram").filter(F.contains(low, F.col("_part"))).select("_part", column)
+    return queries.withColumn("_part", F.lower(part)).join(hits, "_part").drop("_part")
+
+
+def near(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """name, query_id, query, distance: names within 1 edit of a query of up to 4 characters, within EDITS of a longer one, whatever the case.
+
+    A name is cut into PARTS parts; EDITS edits leave one of them whole, and shift it by as many places at most. So names by
+    (length, part's number, part) meet what stands there in a query.
+    """
+    bounds = lambda size, k: F.floor(size * k / PARTS).cast("int")
+    piece = lambda text, size, k, shift=0: F.substr(text, bounds(size, k) + 1 + shift, bounds(size, k + 1) - bounds(size, k))
+    low, size = F.lower("name"), F.length("name")
+    own = names.select("name", F.posexplode(F.array(*(piece(low, size, k) for k in range(PARTS)))).alias("part", "piece"), size.alias("size"))
+    asked = queries.select("query_id", "query", F.lower("query").alias("q"), F.explode(F.sequence(F.greatest(F.length("query") - EDITS, F.lit(1)), F.length("query") + EDITS)).alias("size"))
+    shifted = [F.struct(F.lit(k).alias("part"), F.when(bounds(F.col("size"), k) + shift >= 0, piece(F.col("q"), F.col("size"), k, shift)).alias("piece")) for k in range(PARTS) for shift in range(-EDITS, EDITS + 1)]
+    asked = asked.select("query_id", "query", "size", F.explode(F.array_distinct(F.array(*shifted))).alias("at")).select("query_id", "query", "size", "at.part", "at.piece")
+    pairs = asked.join(own, ["size", "part", "piece"]).select("name", "query_id", "query").distinct()
+    distance = F.levenshtein(F.lower("name"), F.lower("query"), EDITS)
+    return pairs.withColumn("distance", distance).filter(F.col("distance").between(0, F.when(F.length("query") <= 4, 1).otherwise(EDITS)))
 
 
 def fields(queries: DataFrame) -> DataFrame:
-    """queries with the filters that they hold: kinds, languages, paths, names and the remaining text."""
+    """queries with the filters that they hold: kinds, languages, paths, names and the remaining text. Unknown kinds and languages stay text."""
     found = F.regexp_extract_all("query", F.lit(FIELDED), F.lit(0))
 
     def values(*keys: str) -> Column:
         own = F.filter(found, lambda x: F.lower(F.split_part(x, F.lit(":"), F.lit(1))).isin(*keys))
-        return F.transform(own, lambda x: F.replace(F.substr(x, F.instr(x, ":") + 1), F.lit('"'), F.lit("")))
+        return F.array_distinct(F.transform(own, lambda x: F.replace(F.substr(x, F.instr(x, ":") + 1), F.lit('"'), F.lit(""))))
 
     rest = F.trim(F.regexp_replace(F.regexp_replace("query", F.lit(FIELDED), F.lit(" ")), F.lit(r"\s+"), F.lit(" ")))
     return queries.select("*", values("kind").alias("kinds"), F.transform(values("lang", "language"), F.lower).alias("languages"), values("path").alias("paths"), values("name").alias("names"), rest.alias("text"))
@@ -53,32 +89,38 @@ def passes(filters: Sequence[tuple[str, Column]]) -> Column:
 
 
 def filtered(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs of queries and the nodes that pass their kind, language, path and name filters."""
+    """Pairs of queries and the nodes that pass their kind, language, path and name filters. A query without a filter finds nothing.
+
+    Nodes meet queries by the most telling filter that a query has: a name, a path, a kind or a language.
+    """
     low = lambda c, part: F.contains(F.lower(c), F.lower(part))
     tests = [
         ("kinds", F.array_contains("kinds", F.col("kind"))), ("languages", F.array_contains("languages", F.col("language"))),
         ("paths", F.exists("paths", lambda p: low("file_path", p))), ("names", F.exists("names", lambda p: low("name", p))),
     ]
-    return against(fields(queries), nodes, lambda _: passes(tests))
+    asked, kept, left = stored(fields(queries), "fields"), [], F.lit(True)
+    for filter_, column in (("names", "name"), ("paths", "file_path"), ("kinds", "kind"), ("languages", "language")):
+        own = asked.filter(left & (F.size(filter_) > 0)).withColumn("_value", F.explode(filter_))
+        left = left & (F.size(filter_) == 0)
+        if column in ("name", "file_path"):
+            met = holding(nodes.select(column), column, own, "_value").join(nodes, column)
+        else:
+            met = own.withColumnRenamed("_value", column).join(nodes, column)
+        kept.append(met.filter(passes(tests)).select(*asked.columns, *nodes.columns).dropDuplicates(["query_id", "id"]))
+    return reduce(DataFrame.unionByName, kept)
 
 
 def like(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, query, score and the node's columns: 1 for the query's own name, 0.9 for names it begins, 0.8 for names that hold it."""
-    names = nodes.select("name").distinct()
     low, q = F.lower("name"), F.lower("query")
-    hits = against(queries, names, lambda _: F.contains(low, q))
+    hits = holding(nodes.select("name"), "name", queries, "query")
     return hits.withColumn("score", F.when(F.col("name") == F.col("query"), 1.0).when(F.startswith(low, q), 0.9).otherwise(0.8)).join(nodes, "name")
 
 
 def fuzzy(nodes: DataFrame, queries: DataFrame, per_name: int = 5) -> DataFrame:
     """query_id, query, distance, score and the node's columns: names within 1 edit of a query of up to 4 characters, 2 of a longer one."""
-    names = nodes.select("name").distinct()
-    bound = F.when(F.length("query") <= 4, 1).otherwise(2)
-    close = F.abs(F.length("name") - F.length("query")) <= bound
-    hits = against(queries, names, lambda _: close & (F.levenshtein(F.lower("name"), F.lower("query"), 2).between(0, bound)))
-    hits = hits.withColumn("distance", F.levenshtein(F.lower("name"), F.lower("query")))
     few = top(nodes, ["name"], [F.asc("id")], per_name).drop("rank")
-    return hits.join(few, "name").withColumn("score", 1.0 / (1 + F.col("distance")))
+    return near(nodes.select("name").distinct(), queries).join(few, "name").withColumn("score", 1.0 / (1 + F.col("distance")))
 
 
 def tokens(text: Column) -> Column:
@@ -120,18 +162,21 @@ def bm25(found: DataFrame, query_terms: DataFrame, n: int, mean_length: float) -
 
 
 def search_texts(docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = 10) -> DataFrame:
-    """query_id, id, score, rank: the best texts for each query by BM25 over words."""
-    words = F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    query_terms = queries.select("query_id", F.explode(words).alias("term"))
-    lengths = docs.select(F.size(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("length"))
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
-    scored = bm25(postings(docs, id_column, text, query_terms), query_terms, n, mean or 1.0)
+    """query_id, id, score, rank: the best texts for each query by BM25 over words. Texts are read once: a row keeps its length and its words that queries have."""
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    query_terms = stored(queries.select("query_id", F.explode(F.array_distinct(words("query"))).alias("term")), "terms")
+    lengths = docs.select(F.col(id_column).alias("id"), words(text).alias("words")).withColumn("length", F.size("words").cast("long"))
+    each = lengths.select("id", "length", F.explode_outer("words").alias("term")).join(query_terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    counted = each.groupBy("id", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    posted = stored(counted, "postings")
+    n, mean = posted.select("id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
+    scored = bm25(posted.filter("term IS NOT NULL"), query_terms, n, mean or 1.0)
     return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], most)
 
 
 def search_fields(nodes: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
     """query_id, id, score: nodes by BM25 over weighted fields, where a query's word also matches the longer words it begins."""
-    posted = field_postings(nodes, weights)
+    posted = stored(field_postings(nodes, weights), "postings")
     query_words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("word"))
     known = posted.select("term").distinct()
     prefixes = known.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substr(F.col("term"), F.lit(1), k))).alias("word"))
@@ -150,21 +195,54 @@ def rescored(hits: DataFrame) -> DataFrame:
     return hits.withColumn("total", F.round(F.col("score") + bonus, 6))
 
 
+def exact_supplement(nodes: DataFrame, queries: DataFrame, hits: DataFrame, per_term: int = 20) -> DataFrame:
+    """query_id, query, id, score: nodes called like one of a query's words that its hits (query_id, id, score) lack, per_term of each, with the best score of the hits."""
+    terms = queries.select("query_id", "query", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("term")).filter("term <> ''")
+    named = terms.join(nodes.select("id", F.lower("name").alias("term")), "term")
+    few = top(named, ["query_id", "term"], [F.asc("id")], per_term).select("query_id", "query", "id").distinct()
+    best = hits.groupBy("query_id").agg(F.max("score").alias("score"))
+    return few.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(best, "query_id").select("query_id", "query", "id", "score")
+
+
 def cascade(nodes: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
-    """query_id, id, stage, total, rank: for each query the first stage that finds anything (words, then substrings, then near names), rescored."""
-    weights = {"name": 20.0, "qualified_name": 5.0}
-    columns = ["query_id", "query", "id", "score", "stage"]
+    """query_id, id, stage, total, rank: for each query the first stage that finds anything (words, then substrings, then near names), with exact names
+    added, rescored. Only queries without a hit go on to the next stage."""
+    columns, found, left = ["query_id", "query", "id", "score"], [], stored(queries, "queries")
     stages = [
-        search_fields(nodes, queries, weights).join(queries, "query_id").withColumn("stage", F.lit(1)).select(*columns),
-        like(nodes, queries.filter("length(query) >= 2")).withColumn("stage", F.lit(2)).select(*columns),
-        fuzzy(nodes, queries.filter("length(query) >= 3")).withColumn("stage", F.lit(3)).select(*columns),
+        (1, lambda q: search_fields(nodes, q, {"name": 20.0, "qualified_name": 5.0}).join(q, "query_id")),
+        (2, lambda q: like(nodes, q)),
+        (3, lambda q: fuzzy(nodes, q)),
     ]
-    found = reduce(DataFrame.unionByName, stages)
-    first = found.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    hits = found.join(first, ["query_id", "stage"]).join(nodes, "id")
+    for stage, find in stages:
+        hits = stored(find(left.filter(F.length("query") >= stage)).select(*columns), "hits")
+        found.append(hits.unionByName(exact_supplement(nodes, left, hits)).withColumn("stage", F.lit(stage)))
+        left = stored(left.join(hits.select("query_id").distinct(), "query_id", "left_anti"), "queries")
+    hits = reduce(DataFrame.unionByName, found).join(nodes, "id")
     return top(rescored(hits), ["query_id"], [F.desc("total"), F.asc("id")], most).select("query_id", "id", "stage", "total", "rank")
 
 
+def per_name_limit(hits: DataFrame, limit: int) -> DataFrame:
+    """hits (query_id, name, score, id): of each name of a query's at most max(8, an equal share of limit)."""
+    names = hits.groupBy("query_id").agg(F.countDistinct(F.lower("name")).alias("names"))
+    own = Window.partitionBy("query_id", F.lower("name")).orderBy(F.desc("score"), "id")
+    ranked = hits.withColumn("rank", F.row_number().over(own)).join(names, "query_id")
+    return ranked.filter(F.col("rank") <= F.greatest(F.lit(8), F.ceil(F.lit(limit) / F.col("names")))).drop("rank", "names")
+
+
+def symbols(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """symbol and the columns of the nodes that it names: parts joined by ::, . or /; the last is the name, and the others end the qualified name or are folders.
+
+    crate, super and self name nothing. asked: symbol.
+    """
+    parts = F.filter(F.split("symbol", r"::|\.|/"), lambda p: (p != "") & ~p.isin("crate", "super", "self"))
+    own = asked.select("symbol", parts.alias("parts")).distinct().filter(F.size("parts") > 0).withColumn("name", F.element_at("parts", -1))
+    tail = F.array_join("parts", "::")
+    folders = F.split(F.regexp_replace("file_path", F.lit(r"\.[^./]*$"), F.lit("")), "/")
+    placed = F.forall(F.slice("parts", F.lit(1), F.size("parts") - 1), lambda p: F.array_contains(folders, p))
+    fits = (F.size("parts") == 1) | (F.col("qualified_name") == tail) | F.endswith("qualified_name", F.concat(F.lit("::"), tail)) | placed
+    return own.join(nodes, "name").filter(fits).select("symbol", *nodes.columns)
+
+
 def colocated(nodes: DataFrame, names: DataFrame, boost: float = 20.0) -> DataFrame:
     """id, name, file_path, score: nodes with one of the names (column name), 1 and boost for each further name found in their file."""
     hit = nodes.join(names.select(F.lower("name").alias("low")).distinct(), F.lower("name") == F.col("low"))
@@ -179,8 +257,7 @@ def term_hits(found: DataFrame, step: float = 5.0) -> DataFrame:
 
 def compound(nodes: DataFrame, query_terms: DataFrame) -> DataFrame:
     """query_id, id, score: nodes whose name holds two or more of a query's terms (query_id, query, term): 10, 20 for each term beyond the first, path and brevity."""
-    names = nodes.select("name").distinct()
-    hits = against(query_terms, names, lambda _: F.contains(F.lower("name"), F.col("term")))
+    hits = holding(nodes.select("name"), "name", query_terms, "term")
     many = hits.groupBy("query_id", "query", "name").agg(F.countDistinct("term").alias("terms")).filter("terms >= 2")
     brevity = F.greatest(F.lit(0), 6 - F.floor((F.length("name") - 8) / 4))
     path = path_relevance(F.col("file_path"), words_of(F.col("query")), F.col("query"))

@@ -293,15 +293,17 @@ def impact_radius(spark, sf_dir):
 
 
 @query(f"""
-, {seeds_sql("class")}, pairs AS (SELECT id AS start, 'function:' || split_part(id, ':', 2) AS goal FROM seeds), {reach_sql(OUT, 5)},
+, {seeds_sql("class")}, pairs AS (SELECT id AS start, 'function:' || split_part(id, ':', 2) AS goal FROM seeds UNION ALL SELECT id, 'interface:' || (1 + CAST(split_part(id, ':', 2) AS BIGINT) % 10) FROM seeds), {reach_sql(OUT, 64)},
 prior AS (SELECT r.root, r.id, min(p.id) AS prior FROM reached r JOIN steps ON r.id = b JOIN reached p ON p.root = r.root AND p.id = a AND p.depth = r.depth - 1 GROUP BY r.root, r.id),
 back AS (SELECT start, goal, depth AS n_steps, depth AS rest, goal AS place, goal AS path FROM pairs JOIN reached ON root = start AND id = goal
          UNION ALL SELECT start, goal, n_steps, rest - 1, prior, prior || '>' || path FROM back JOIN prior ON root = start AND id = place WHERE rest > 0)
 SELECT start, goal, n_steps, path FROM back WHERE rest = 0""")
 def shortest_path(spark, sf_dir):
     g = project(spark, sf_dir)
-    pairs = seeds(g.nodes, "class").select(F.col("id").alias("start"), F.concat(F.lit("function:"), F.split_part("id", F.lit(":"), F.lit(2))).alias("goal"))
-    return graph.paths(g, pairs, max_depth=5)
+    key = F.split_part("id", F.lit(":"), F.lit(2))
+    goals = F.array(F.concat(F.lit("function:"), key), F.concat(F.lit("interface:"), (1 + key.cast("long") % 10).cast("string")))
+    pairs = seeds(g.nodes, "class").select(F.col("id").alias("start"), F.explode(goals).alias("goal"))
+    return graph.paths(g, pairs)
 
 
 DEPENDS = "depends AS (SELECT DISTINCT a.file_path AS path, b.file_path AS depends_on FROM edges e JOIN nodes a ON source = a.id JOIN nodes b ON target = b.id WHERE e.kind = 'imports' AND a.kind = 'file' AND a.file_path <> b.file_path)"
@@ -400,8 +402,12 @@ def search_filter_only(spark, sf_dir):
 
 
 def _name_bonus_sql(name: str, query: str) -> str:
-    """For queries of one word."""
-    return f"CASE WHEN lower({name}) = lower({query}) THEN 80 WHEN starts_with(lower({name}), lower({query})) THEN CAST(floor(10 + 30.0 * length({query}) / length({name}) + 0.5) AS INT) WHEN contains(lower({name}), lower({query})) THEN 10 ELSE 0 END"
+    whole, low = f"lower(regexp_replace({query}, '\\s+', '', 'g'))", f"lower({name})"
+    words = f"list_filter(string_split_regex(lower({query}), '\\s+'), lambda w: length(w) >= 2)"
+    parts = f"list_filter(string_split_regex(lower(regexp_replace({query}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[\\s_.\\-]+'), lambda w: length(w) >= 2)"
+    return f"""CASE WHEN {low} = {whole} THEN 80 WHEN len({words}) > 1 AND list_contains({words}, {low}) THEN 60
+  WHEN starts_with({low}, {whole}) THEN CAST(floor(10.5 + 30.0 * length({whole}) / length({name})) AS INT)
+  WHEN len({parts}) > 1 AND len(list_filter({parts}, lambda p: NOT contains({low}, p))) = 0 THEN 15 WHEN contains({low}, {whole}) THEN 10 ELSE 0 END"""
 
 
 PATH_SQL = "CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), query) THEN 10 ELSE 0 END + CASE WHEN contains(lower(regexp_replace(file_path, '/[^/]*$', '')), query) THEN 5 WHEN contains(lower(file_path), query) THEN 3 ELSE 0 END"
@@ -416,11 +422,56 @@ def search_rescored(spark, sf_dir):
     return search.top(hits, ["query"], [F.desc("total"), F.asc("id")], 20).select("query", "id", F.col("total").cast("double").alias("total"), "rank")
 
 
+MIXED = """asked AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part UNION SELECT DISTINCT substr(split_part(p_name, ' ', 2), 2) FROM part
+      UNION SELECT DISTINCT substr(replace(p_name, ' ', ''), 1, 3) || substr(replace(p_name, ' ', ''), 5) FROM part)"""
+TOTAL_SQL = f"round(score + {KIND_SQL} + {PATH_SQL} + {_name_bonus_sql('name', 'query')}, 6)"
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words without their first letter, and names without their mark and a letter."""
+    part = table(spark, sf_dir, "part")
+    run = F.replace("p_name", F.lit(" "), F.lit(""))
+    asks = [F.split_part("p_name", F.lit(" "), F.lit(1)), F.substr(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(2)), F.concat(F.substr(run, F.lit(1), F.lit(3)), F.substr(run, F.lit(5)))]
+    return part.select(F.explode(F.array(*asks)).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+
+
 @query(f"""
-, {WORDS}, {FIELDS}, t AS (SELECT query, id, round(score + {KIND_SQL} + {PATH_SQL} + {_name_bonus_sql("name", "query")}, 6) AS total FROM bm JOIN nodes USING (id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS rank FROM t) SELECT query AS query_id, id, 1 AS stage, CAST(total AS DOUBLE) AS total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+, {MIXED}, {FIELDS}, {LIKE},
+names AS (SELECT DISTINCT name FROM nodes), few AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM nodes),
+base AS (SELECT query, id, 1 AS stage, CAST(score AS DOUBLE) AS score FROM bm
+  UNION ALL SELECT query, id, 2, CAST(score AS DOUBLE) FROM likes WHERE query NOT IN (SELECT query FROM bm) AND length(query) >= 2
+  UNION ALL SELECT query, id, 3, 1.0 / (1 + levenshtein(lower(name), lower(query))) FROM asked JOIN names ON levenshtein(lower(name), lower(query)) <= CASE WHEN length(query) <= 4 THEN 1 ELSE 2 END JOIN few USING (name)
+    WHERE n <= 5 AND length(query) >= 3 AND query NOT IN (SELECT query FROM bm) AND query NOT IN (SELECT query FROM likes)),
+best AS (SELECT query, stage, max(score) AS score FROM base GROUP BY query, stage),
+more AS (SELECT a.query, n.id, row_number() OVER (PARTITION BY a.query ORDER BY n.id) AS k FROM asked a JOIN nodes n ON lower(n.name) = lower(a.query)),
+hits AS (SELECT * FROM base UNION ALL SELECT query, id, stage, score FROM more JOIN best USING (query) WHERE k <= 20 AND (query, id) NOT IN (SELECT (query, id) FROM base)),
+t AS (SELECT query, id, stage, {TOTAL_SQL} AS total FROM hits JOIN nodes USING (id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS rank FROM t) SELECT query AS query_id, id, stage, CAST(total AS DOUBLE) AS total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def search_cascade(spark, sf_dir):
-    return search.cascade(project(spark, sf_dir).nodes, asked(spark, sf_dir))
+    return search.cascade(project(spark, sf_dir).nodes, mixed(spark, sf_dir))
+
+
+@query(f"""
+, asked AS (SELECT DISTINCT p_brand || '::' || replace(p_name, ' ', '_') AS symbol FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT 'crate::' || replace(p_name, ' ', '_') FROM part
+      UNION SELECT DISTINCT lower(replace(n_name, ' ', '_')) || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+parted AS (SELECT symbol, list_filter(string_split_regex(symbol, '::|\\.|/'), lambda p: p NOT IN ('', 'crate', 'super', 'self')) AS parts FROM asked)
+SELECT symbol, id FROM parted JOIN nodes ON name = parts[-1] WHERE len(parts) = 1 OR qualified_name = array_to_string(parts, '::') OR ends_with(qualified_name, '::' || array_to_string(parts, '::'))
+  OR list_has_all(string_split(regexp_replace(file_path, '\\.[^./]*$', ''), '/'), list_slice(parts, 1, -2))""")
+def symbol_lookup(spark, sf_dir):
+    part, places = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    asked = part.filter("p_partkey % 3 = 0").select(F.concat("p_brand", F.lit("::"), name).alias("symbol")).union(part.select(F.concat(F.lit("crate::"), name)))
+    asked = asked.union(places.select(F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("/"), "c_name")))
+    return search.symbols(project(spark, sf_dir).nodes, asked).select("symbol", "id")
+
+
+@query(f"""
+, {WORDS}, {LIKE}, n AS (SELECT query, count(DISTINCT lower(name)) AS names FROM (SELECT query, id FROM likes) JOIN nodes USING (id) GROUP BY query),
+r AS (SELECT query, id, name, row_number() OVER (PARTITION BY query, lower(name) ORDER BY score DESC, id) AS k FROM (SELECT query, id, score FROM likes) JOIN nodes USING (id))
+SELECT query, id, name FROM r JOIN n USING (query) WHERE k <= greatest(8, ceil(30.0 / names))""")
+def search_per_name(spark, sf_dir):
+    hits = search.like(project(spark, sf_dir).nodes, asked(spark, sf_dir))
+    return search.per_name_limit(hits, 30).select("query", "id", "name")
 
 
 @query(""", w AS (SELECT DISTINCT lower(replace(p_name, ' ', '_')) AS low FROM part WHERE p_size = 1), h AS (SELECT id, name, file_path, low FROM nodes JOIN w ON lower(name) = low),
@@ -436,13 +487,19 @@ SELECT query_id, id, round(max(score) + 5.0 * (count(DISTINCT term) - 1), 6) AS
 def term_hits(spark, sf_dir):
     nodes = project(spark, sf_dir).nodes
     words = asked(spark, sf_dir)
-    pairs = search.against(words, nodes.select("name").distinct(), lambda _: F.contains("name", "query")).join(nodes.select("id", "name"), "name")
+    pairs = search.holding(nodes.select("name"), "name", words, "query").join(nodes.select("id", "name"), "name").filter(F.contains("name", "query"))
     found = pairs.select(F.lit("all").alias("query_id"), F.col("query").alias("term"), "id", F.when(F.startswith("name", "query"), 0.9).otherwise(0.8).alias("score"))
     return search.term_hits(found).select("query_id", "id", F.round("score", 6).alias("score"), "hits")
 
 
 PATHS = "CASE doc_id % 9 WHEN 0 THEN 'src/' || source || '_test.py' WHEN 1 THEN 'src/' || source || 'Test.java' WHEN 2 THEN 'tests/' || lang || '/x.ts' WHEN 3 THEN 'src/latest/' || source || '.ts' WHEN 4 THEN 'a/jvmTest/' || source || '.kt' WHEN 5 THEN 'examples/' || lang || '.rs' WHEN 6 THEN 'test_' || source || '.py' WHEN 7 THEN 'lib/' || source || '/manifest.kt' ELSE 'src/' || lang || '/' || source || '.spec.ts' END"
-TEST_SQL = r"(regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^test[_.]|[._-](test|tests|spec|specs)\.[a-z0-9]+$') OR regexp_matches(regexp_extract(path, '[^/]*$'), '(Test|Tests|TestCase|Tester|Spec|Specs)\.[A-Za-z0-9]+$') OR regexp_matches(lower(path), '/(tests|test|__tests__|spec|specs|testlib|testing)/|^(test|tests|spec|specs)/|(^|/)(integration|samples?|examples?|fixtures?|benchmarks?|demos?)/') OR regexp_matches(path, '(^|/)[A-Za-z0-9]*(Test|Tests|Spec)/'))"
+_words = lambda some: "[" + ", ".join(f"'{w}'" for w in some) + "]"
+_ends = lambda x, some: "(" + " OR ".join(f"ends_with({x}, '{e}')" for e in some) + ")"
+TEST_SQL = rf"""(SELECT (len(heads) > 1 AND heads[1] = 'test') OR (stem <> name AND len(words) > 1 AND list_contains({_words(X.TEST_WORDS)}, words[-1])) OR (stem <> name AND {_ends("stem", X.TEST_ENDS)})
+  OR list_has_any(low[2:], {_words(X.TEST_DIRS)}) OR coalesce(list_contains({_words(X.FIRST_TEST_DIRS)}, low[1]), false) OR list_has_any(low, {_words(X.OTHER_DIRS)})
+  OR len(list_filter(folders, lambda f: regexp_full_match(f, '[A-Za-z0-9]+') AND {_ends("f", X.TEST_DIR_ENDS)})) > 0
+  FROM (SELECT *, string_split_regex(lower(name), '[_.]') AS heads, string_split_regex(lower(stem), '[._-]') AS words, list_transform(folders, lambda f: lower(f)) AS low
+        FROM (SELECT p[-1] AS name, regexp_replace(p[-1], '\.[A-Za-z0-9]+$', '') AS stem, list_slice(p, 1, -2) AS folders FROM (SELECT string_split(path, '/') AS p))))"""
 
 
 @query(f", p AS (SELECT doc_id, {PATHS} AS path FROM documents) SELECT doc_id, path, {TEST_SQL} AS is_test FROM p", on_graph=False)
@@ -458,7 +515,7 @@ def path_relevance(spark, sf_dir):
     return rows.select("doc_id", X.path_relevance(F.col("path"), X.words_of(F.col("query")), F.col("query")).alias("relevance"))
 
 
-ASKS = "CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END"
+ASKS = "CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN split_part(p_name, ' ', 2) WHEN 3 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 4 THEN 'the ' || replace(p_name, ' ', '_') ELSE split_part(p_name, ' ', 2) || upper(substr(p_name, 1, 1)) || split_part(substr(p_name, 2), ' ', 1) END"
 
 
 @query(f", p AS (SELECT p_partkey, replace(p_name, ' ', '_') AS name, {ASKS} AS query FROM part) SELECT p_partkey, {_name_bonus_sql('name', 'query')} AS bonus FROM p", on_graph=False)
@@ -470,17 +527,20 @@ def name_match_bonus(spark, sf_dir):
 # resolution: edges lose their targets' ids, and get them back by name
 
 REFS_SQL = """refs AS (SELECT DISTINCT e.source || '>' || e.target || ':' || coalesce(e.line, 0) AS ref_id, e.kind AS reference_kind, a.file_path, a.language, coalesce(e.line, a.start_line) AS line,
-  CASE WHEN e.kind = 'calls' AND e.line % 2 = 0 THEN b.qualified_name WHEN e.kind = 'references' THEN upper(b.name) WHEN e.kind = 'imports' THEN b.file_path WHEN e.kind = 'contains' THEN split_part(b.qualified_name, '::', 1) || '.' || b.name ELSE b.name END AS reference_name
+  CASE WHEN e.kind = 'calls' AND e.line % 2 = 0 THEN b.qualified_name WHEN e.kind = 'references' THEN upper(b.name) WHEN e.kind = 'imports' THEN b.file_path WHEN e.kind = 'contains' AND b.start_line % 3 = 0 THEN lower(substr(b.qualified_name, 1, 1)) || split_part(substr(b.qualified_name, 2), '::', 1) || '.' || b.name
+  WHEN e.kind = 'contains' THEN split_part(b.qualified_name, '::', 1) || '.' || b.name ELSE b.name END AS reference_name
   FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id)"""
 
 
 def refs(g: Graph) -> DataFrame:
     a = g.nodes.select(F.col("id").alias("source"), "file_path", "language", F.col("start_line").alias("at"))
-    b = g.nodes.select(F.col("id").alias("target"), "name", "qualified_name", F.col("file_path").alias("path"))
+    b = g.nodes.select(F.col("id").alias("target"), "name", "qualified_name", F.col("file_path").alias("path"), F.col("start_line").alias("b_line"))
+    owner = F.split_part("qualified_name", F.lit("::"), F.lit(1))
+    variable = F.concat(F.lower(F.substr(owner, F.lit(1), F.lit(1))), F.substr(owner, F.lit(2)))
     e = g.edges.join(a, "source").join(b, "target")
     name = (
         F.when((F.col("kind") == "calls") & (F.col("line") % 2 == 0), F.col("qualified_name")).when(F.col("kind") == "references", F.upper("name")).when(F.col("kind") == "imports", F.col("path"))
-        .when(F.col("kind") == "contains", F.concat(F.split_part("qualified_name", F.lit("::"), F.lit(1)), F.lit("."), "name")).otherwise(F.col("name"))
+        .when(F.col("kind") == "contains", F.concat(F.when(F.col("b_line") % 3 == 0, variable).otherwise(owner), F.lit("."), "name")).otherwise(F.col("name"))
     )
     ref_id = F.concat("source", F.lit(">"), "target", F.lit(":"), F.coalesce("line", F.lit(0)).cast("string"))
     return e.select(ref_id.alias("ref_id"), F.col("kind").alias("reference_kind"), "file_path", "language", F.coalesce("line", "at").alias("line"), name.alias("reference_name")).distinct()
@@ -525,10 +585,13 @@ def resolve_qualified(spark, sf_dir):
     return resolve.by_qualified_name(refs(g), g.nodes)
 
 
-METHOD_SQL = r"""c AS (SELECT ref_id, language, split_part(reference_name, '.', 1) AS receiver, split_part(reference_name, '.', 2) AS member FROM refs WHERE regexp_matches(reference_name, '^\w[^.]*\.\w+$')),
-m1 AS (SELECT ref_id, min(m.id) AS target FROM c JOIN nodes o ON o.name = receiver AND o.language = c.language AND o.kind IN ('class', 'struct', 'interface') JOIN nodes m ON m.kind = 'method' AND m.name = member AND m.file_path = o.file_path AND contains(m.qualified_name, receiver) GROUP BY ref_id),
+METHOD_SQL = r"""c AS (SELECT ref_id, language, regexp_extract(reference_name, '^(\w[^.:]*)(\.|::)(\w+)$', 1) AS receiver, regexp_extract(reference_name, '^(\w[^.:]*)(\.|::)(\w+)$', 3) AS member FROM refs WHERE regexp_matches(reference_name, '^(\w[^.:]*)(\.|::)(\w+)$')),
+owners AS (SELECT c.ref_id, c.language, member, receiver AS owner, 0 AS rule FROM c UNION ALL SELECT ref_id, language, member, upper(substr(receiver, 1, 1)) || substr(receiver, 2), 1 FROM c WHERE upper(substr(receiver, 1, 1)) <> substr(receiver, 1, 1)),
+m0 AS (SELECT ref_id, rule, min(m.id) AS target FROM owners c JOIN nodes o ON o.name = owner AND o.language = c.language AND o.kind IN ('class', 'struct', 'interface') JOIN nodes m ON m.kind = 'method' AND m.name = member AND m.file_path = o.file_path AND contains(m.qualified_name, owner) GROUP BY ref_id, rule),
+m1 AS (SELECT ref_id, arg_min(target, rule) AS target, min(rule) AS rule FROM m0 GROUP BY ref_id),
 m2 AS (SELECT name, language, min(id) AS target FROM nodes WHERE kind = 'method' GROUP BY name, language HAVING count(*) = 1),
-meth AS (SELECT ref_id, target, CAST(0.85 AS DOUBLE) AS confidence, 'instance-method' AS resolved_by FROM m1 UNION ALL SELECT ref_id, target, 0.7, 'instance-method' FROM c JOIN m2 ON name = member AND m2.language = c.language WHERE ref_id NOT IN (SELECT ref_id FROM m1))"""
+meth AS (SELECT ref_id, target, CAST(CASE rule WHEN 0 THEN 0.85 ELSE 0.8 END AS DOUBLE) AS confidence, CASE rule WHEN 0 THEN 'qualified-name' ELSE 'instance-method' END AS resolved_by FROM m1
+  UNION ALL SELECT ref_id, target, 0.7, 'instance-method' FROM c JOIN m2 ON name = member AND m2.language = c.language WHERE ref_id NOT IN (SELECT ref_id FROM m1))"""
 
 
 @query(f", {REFS_SQL}, {METHOD_SQL} SELECT * FROM meth")
