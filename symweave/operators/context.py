@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_test_file, stems, words_of
+from ..functions.text import dir_name, is_test_file, path_relevance, stems, title_case, words_of
 from ..schema import Graph
-from .graph import traverse
-from .lookup import induced
-from .search import compound, search_fields, term_hits, top
-
+from ..sources.snapshots import stored
+from .graph import children, hierarchy, traverse
+from .lookup import induced, of_kind
+from .search import compound, holding, like, rescored, search_fields, term_hits, top
+
+# Kinds that define a type, and kinds whose hierarchy is followed.
+TYPE_KINDS = ("class", "interface", "struct", "trait", "protocol", "enum", "type_alias")
+HIERARCHY_KINDS = ("class", "interface", "struct", "trait", "protocol")
+# What a definition that begins with a term gains, and at most for being short; what names of several terms gain or lose.
+PREFIX_POINTS, BREVITY_MOST, BREVITY_STEP = 15.0, 10, 3
+THREE_GROUPS, TWO_GROUPS, ONE_GROUP = 2.5, 2.0, 0.6
 RECOVERED = ("calls", "extends", "implements", "references", "overrides")
 DAMPED = 0.3
 
@@ -27,6 +34,90 @@ def damp_tests(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.when(is_test_file(F.col("file_path")), F.col("score") * DAMPED).otherwise(F.col("score")))
 
 
+def definitions(nodes: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """query_id, id, score: for each term (query_id, term) the best types whose name begins with it: the search score, PREFIX_POINTS and more for short names.
+
+    Terms that are written in title case already are left to exact names.
+    """
+    asked = terms.filter(F.col("term") != title_case(F.col("term"))).select("query_id", F.lower("term").alias("query")).distinct()
+    hits = rescored(like(of_kind(nodes, *TYPE_KINDS), asked).filter(F.startswith(F.lower("name"), F.col("query"))))
+    brevity = F.greatest(F.lit(0), BREVITY_MOST - F.floor((F.length("name") - F.length("query")) / BREVITY_STEP))
+    scored = hits.withColumn("score", F.col("total") + PREFIX_POINTS + brevity)
+    best = top(scored, ["query_id", "query"], [F.desc("score"), F.asc("id")], most)
+    return best.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def inside_names(nodes: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """query_id, id, score: types whose name has a term (query_id, query, term) in title case behind another letter, as blueRing and HTTPRing have ring.
+
+    8 and more for short names and for the path; with n terms a score s becomes s (1 + n) + 30 (n - 1). Of each term 2 most take part, and most remain.
+    Tests are left out unless they are asked for.
+    """
+    title = title_case(F.col("term"))
+    asked = terms.select("query_id", "query", F.lower("term").alias("term")).distinct().filter(F.length("term") >= 3).withColumn("title", title)
+    own = of_kind(nodes, *TYPE_KINDS).select("id", "name", "file_path")
+    hits = holding(own.select("name"), "name", asked, "title").join(own, "name")
+    place = F.instr(F.col("name"), F.col("title"))
+    hits = hits.filter((place > 1) & F.substr("name", place - 1, F.lit(1)).rlike("[a-zA-Z]") & (F.lower("query").rlike("test|spec") | ~is_test_file(F.col("file_path"))))
+    points = 8 + F.greatest(F.lit(0.0), 6 - (F.length("name") - F.length("title")) / 4) + path_relevance(F.col("file_path"), words_of(F.col("query")), F.col("query"))
+    few = top(hits.withColumn("score", points.cast("double")), ["query_id", "term"], [F.desc("score"), F.asc("id")], 2 * most)
+    merged_ = few.groupBy("query_id", "id").agg(F.max("score").alias("s"), F.count(F.lit(1)).alias("n"))
+    return top(merged_.select("query_id", "id", (F.col("s") * (1 + F.col("n")) + 30 * (F.col("n") - 1)).alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], most).drop("rank")
+
+
+def term_groups(terms: DataFrame) -> DataFrame:
+    """query_id, groups: arrays of terms (query_id, term) that say the same: each with the longest term that holds it (ties by name)."""
+    all_ = terms.groupBy("query_id").agg(F.array_sort(F.collect_set(F.lower("term"))).alias("terms"))
+    heads = F.filter("terms", lambda t: ~F.exists("terms", lambda u: (u != t) & F.contains(u, t)))
+    by_length = F.transform(F.array_sort(F.transform(heads, lambda h: F.struct((-F.length(h)).alias("n"), h.alias("h")))), lambda x: x["h"])
+    headed = all_.withColumn("heads", by_length)
+    first = lambda t: F.get(F.filter("heads", lambda h: F.contains(h, t)), F.lit(0))
+    return headed.select("query_id", F.transform("heads", lambda h: F.filter("terms", lambda t: first(t) == h)).alias("groups"))
+
+
+def weigh_groups(hits: DataFrame, terms: DataFrame, exact: DataFrame) -> DataFrame:
+    """hits (query_id, id, name, file_path, score) weighed by how many groups of a query's terms their name or a folder of theirs holds, for queries of two terms or more.
+
+    exact: query_id, id of hits that are not weighed down.
+    """
+    groups = term_groups(terms).filter(F.size(F.flatten("groups")) >= 2)
+    folders = F.split(F.lower(dir_name(F.col("file_path"))), "/")
+    held = F.size(F.filter("groups", lambda g: F.exists(g, lambda t: F.contains(F.lower("name"), t) | F.array_contains(folders, t))))
+    marked = hits.join(groups, "query_id", "left").join(exact.select("query_id", "id").distinct().withColumn("exact", F.lit(True)), ["query_id", "id"], "left")
+    factor = F.when(F.col("groups").isNull(), 1.0).when(held >= 3, THREE_GROUPS).when(held == 2, TWO_GROUPS).when(F.col("exact"), 1.0).otherwise(ONE_GROUP)
+    return marked.withColumn("score", F.col("score") * factor).drop("groups", "exact")
+
+
+def to_definitions(hits: DataFrame, graph: Graph) -> DataFrame:
+    """query_id, id, score: imports and exports among hits (query_id, id, score) give way to what they stand for, with their score; those that stand for nothing go."""
+    kinds = hits.join(graph.nodes.select("id", "kind"), "id")
+    as_is = kinds.filter("kind NOT IN ('import', 'export')").select("query_id", "id", "score")
+    edges = graph.edges.filter("kind IN ('imports', 'exports')").select(F.col("source").alias("id"), F.col("target"), F.rtrim("kind", F.lit("s")).alias("kind"))
+    stood_for = kinds.join(edges, ["id", "kind"]).select("query_id", F.col("target").alias("id"), "score").join(graph.nodes.select("id"), "id", "left_semi").select("query_id", "id", "score")
+    return as_is.union(stood_for).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def relatives(graph: Graph, found: DataFrame, most_nodes: int) -> DataFrame:
+    """query_id, id, round: types of the hierarchy of those among found (query_id, id), and in a second round of what the first found, a quarter of most_nodes at most."""
+    types = of_kind(graph.nodes, *HIERARCHY_KINDS).select("id")
+    known = found.select("query_id", "id").distinct()
+    first = hierarchy(graph, known.join(types, "id", "left_semi").select(F.col("query_id").alias("root"), "id")).select(F.col("root").alias("query_id"), "id", "depth")
+    first = stored(first.groupBy("query_id", "id").agg(F.min("depth").alias("depth")).join(known, ["query_id", "id"], "left_anti"), "relatives")
+    second = hierarchy(graph, first.join(types, "id", "left_semi").select(F.col("query_id").alias("root"), "id")).select(F.col("root").alias("query_id"), "id", "depth")
+    second = second.groupBy("query_id", "id").agg(F.min("depth").alias("depth")).join(known.union(first.select("query_id", "id")), ["query_id", "id"], "left_anti")
+    both = first.withColumn("round", F.lit(1)).union(second.withColumn("round", F.lit(2)))
+    return top(both, ["query_id"], [F.asc("round"), F.asc("depth"), F.asc("id")], -(-most_nodes // 4)).select("query_id", "id", "round")
+
+
+def filled(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """query_id, id, place: entries of found (query_id, id, entry, score) first, then neighbours of entries, then the rest, most for each query."""
+    entries = found.filter("entry").select("query_id", "id")
+    ways = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source")).distinct()
+    near = entries.join(ways, "id").select("query_id", F.col("other").alias("id")).distinct().withColumn("near", F.lit(1))
+    placed = found.join(near, ["query_id", "id"], "left").withColumn("place", F.when(F.col("entry"), 0).otherwise(2 - F.coalesce("near", F.lit(0))))
+    return top(placed, ["query_id"], [F.asc("place"), F.desc("score"), F.asc("id")], most).select("query_id", "id", "place")
+
+
 def per_file_cap(hits: DataFrame, keys: list[str], most_nodes: int) -> DataFrame:
     """At most max(5, a fifth of most_nodes) hits of each file (columns keys, file_path, score, id)."""
     return top(hits, [*keys, "file_path"], [F.desc("score"), F.asc("id")], max(5, -(-most_nodes // 5))).drop("rank")
@@ -63,10 +154,24 @@ def code_blocks(nodes: DataFrame, files: DataFrame, most_chars: int = 1500) -> D
 
 
 def packed(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """Blocks (score, chars, id) in order of score as long as their running length is within the budget; the first always."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    running = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("running", running).withColumn("n", F.row_number().over(order)).filter((F.col("running") <= budget) | (F.col("n") == 1)).drop("n")
+    """Blocks (score, chars, id), best first, each taken if it fits in what the budget leaves; the first always. A group is what was chosen to be shown, so it fits in a row."""
+    group = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "id", F.col("chars").cast("long").alias("chars")))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("taken"))
+    fits = lambda acc, x: (F.size(acc["taken"]) == 0) | (acc["used"] + x["chars"] <= budget)
+    take = lambda acc, x: F.struct(
+        F.when(fits(acc, x), acc["used"] + x["chars"]).otherwise(acc["used"]).alias("used"),
+        F.when(fits(acc, x), F.array_append(acc["taken"], x["id"].cast("string"))).otherwise(acc["taken"]).alias("taken"),
+    )
+    taken = group.select(*keys, F.explode(F.aggregate("all", start, take)["taken"]).alias("_id"))
+    return blocks.withColumn("_id", F.col("id").cast("string")).join(taken, [*keys, "_id"], "left_semi").drop("_id")
+
+
+def outline(graph: Graph) -> DataFrame:
+    """parent, n, text: the members of each container by line, imports and exports left out."""
+    members = children(graph).filter("kind NOT IN ('import', 'export')")
+    line = F.concat(F.lit("- "), "name", F.lit(" ("), "kind", F.lit("):"), F.col("start_line").cast("string"))
+    own = members.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("start_line", "id", line.alias("line")))).alias("rows"))
+    return own.select("parent", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
 
 
 def markdown(nodes: DataFrame, title: str = "Symbols") -> DataFrame:
@@ -76,26 +181,32 @@ def markdown(nodes: DataFrame, title: str = "Symbols") -> DataFrame:
     return rows.select("file_path", F.concat(F.lit(f"## {title} in "), "file_path", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"))
 
 
-def relevant(graph: Graph, queries: DataFrame, search_limit: int = 3, max_nodes: int = 20, depth: int = 1, min_score: float = 0.3) -> DataFrame:
+def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes: int = 80, depth: int = 3, min_score: float = 0.3) -> DataFrame:
     """query_id, id, score, role: for each query (query_id, query) the entry symbols that search channels agree on, and their surroundings in the graph.
 
-    Channels are exact names with a boost for files that hold several, ranked text search by single terms, and names of several terms;
-    the best score of each node counts, less for tests. Entries are expanded both ways, a file's share and that of tests are capped.
+    Channels are exact names with a boost for files that hold several, types that begin with a term, ranked text search by single terms, names of several
+    terms and types with terms inside their names; the best score of each node counts, weighed by how many of the query's terms it has, less for tests.
+    Imports give way to what they stand for. Entries are expanded both ways and by their hierarchies; entries and their neighbours go first, and a
+    file's share and that of tests are capped.
     """
     nodes = graph.nodes
-    terms = queries.select("query_id", "query", F.explode(words_of(F.col("query"))).alias("term"))
-    with_stems = terms.select("query_id", F.explode(F.array_append(stems(F.col("term")), F.col("term"))).alias("term")).distinct()
+    terms = stored(queries.select("query_id", "query", F.explode(words_of(F.col("query"))).alias("term")), "terms")
+    with_stems = stored(terms.select("query_id", F.explode(F.array_append(stems(F.col("term")), F.col("term"))).alias("term")).distinct(), "stems")
     exact_hits = with_stems.join(nodes.select("id", F.lower("name").alias("term"), "file_path"), "term")
     together = exact_hits.groupBy("query_id", "file_path").agg(F.countDistinct("term").alias("n"))
-    exact = exact_hits.join(together, ["query_id", "file_path"]).select("query_id", "id", (100.0 + 20 * (F.col("n") - 1)).alias("score"))
+    exact = stored(exact_hits.join(together, ["query_id", "file_path"]).select("query_id", "id", (100.0 + 20 * (F.col("n") - 1)).alias("score")), "exact")
     single = with_stems.select(F.concat_ws("\u0001", "query_id", "term").alias("query_id"), F.col("term").alias("query"))
     ranked = search_fields(nodes, single, {"name": 20.0, "qualified_name": 5.0})
     text = term_hits(ranked.select(F.split_part("query_id", F.lit("\u0001"), F.lit(1)).alias("query_id"), F.split_part("query_id", F.lit("\u0001"), F.lit(2)).alias("term"), "id", "score"))
-    found = merged(exact, text, compound(nodes, terms)).join(nodes.select("id", "file_path"), "id")
-    entries = top(damp_tests(found).filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.asc("id")], search_limit)
-    near = traverse(graph, entries.select(F.col("query_id").alias("root"), "id"), "both", max_depth=depth)
-    best = entries.select(F.col("query_id").alias("root"), "id", F.col("score").alias("own"))
-    placed = near.join(best, ["root", "id"], "left").join(nodes.select("id", "file_path"), "id")
-    scored = placed.select(F.col("root").alias("query_id"), "id", "file_path", F.coalesce("own", 1.0 / (1 + F.col("depth"))).alias("score"), F.when(F.col("own").isNotNull(), "entry").otherwise("near").alias("role"))
-    kept = other_code_cap(per_file_cap(scored, ["query_id"], max_nodes), ["query_id"], max_nodes)
-    return top(kept, ["query_id"], [F.asc("role"), F.desc("score"), F.asc("id")], max_nodes).select("query_id", "id", F.round("score", 6).alias("score"), "role")
+    channels = [exact, definitions(nodes, with_stems, search_limit), text, compound(nodes, terms), inside_names(nodes, terms, search_limit)]
+    found = to_definitions(merged(*channels), graph).join(nodes.select("id", "name", "file_path"), "id")
+    weighed = damp_tests(weigh_groups(found, terms, exact))
+    entries = stored(top(weighed.filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.asc("id")], search_limit).select("query_id", "id", "score"), "entries")
+    near = traverse(graph, entries.select(F.col("query_id").alias("root"), "id"), "both", max_depth=depth).select(F.col("root").alias("query_id"), "id", "depth")
+    kin = relatives(graph, entries, max_nodes).select("query_id", "id", F.col("round").alias("depth"))
+    around = near.union(kin).groupBy("query_id", "id").agg(F.min("depth").alias("depth"))
+    placed = around.join(entries.withColumnRenamed("score", "own"), ["query_id", "id"], "left").join(nodes.select("id", "file_path"), "id")
+    scored = placed.select("query_id", "id", "file_path", F.coalesce("own", 1.0 / (1 + F.col("depth"))).alias("score"), F.col("own").isNotNull().alias("entry"))
+    kept = stored(other_code_cap(per_file_cap(scored, ["query_id"], max_nodes), ["query_id"], max_nodes), "around")
+    chosen = filled(kept, graph.edges, max_nodes).join(kept, ["query_id", "id"])
+    return chosen.select("query_id", "id", F.round("score", 6).alias("score"), F.when(F.col("entry"), "entry").otherwise("near").alias("role"))

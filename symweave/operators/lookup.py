@@ -92,3 +92,25 @@ def symbol_match(nodes: DataFrame, symbol: str) -> DataFrame:
     segments = F.split(F.regexp_replace("file_path", F.lit(r"\.[^./]*$"), F.lit("")), "/")
     placed = F.forall(F.array(*map(F.lit, parts[:-1])), lambda p: F.array_contains(segments, p))
     return nodes.filter(own & ((F.col("qualified_name") == tail) | F.col("qualified_name").endswith("::" + tail) | placed))
+
+
+# What marks a test for the command that lists affected tests.
+AFFECTED_MARKS = (r"\.spec\.", r"\.test\.", "/__tests__/", "/tests?/", "/e2e/", "/spec/")
+
+
+def affected_test_path(path: Column, pattern: str | None = None) -> Column:
+    """Whether a path is a test for the list of affected tests: by its marks, or by a glob of `**`, `*` and plain text found anywhere in it."""
+    if pattern is None:
+        return path.rlike("|".join(AFFECTED_MARKS))
+    import re
+
+    return path.rlike("".join({"**": ".+", "*": "[^/]*"}.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*)", pattern)))
+
+
+def files_matching(files: DataFrame, folder: str = "", pattern: str = "") -> DataFrame:
+    """Files (path) under a prefix, whose path holds what a glob of `**`, `*` and `?` stands for."""
+    import re
+
+    found = files.filter(F.col("path").startswith(folder) | F.col("path").startswith("./" + folder)) if folder else files
+    glob = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*|\?)", pattern))
+    return found.filter(F.col("path").rlike(glob)) if pattern else found

@@ -49,3 +49,18 @@ def sound_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("source", "target"):
         edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
     return edges.select("source", "target", *(c for c in edges.columns if c not in ("source", "target")))
+
+
+def put_metadata(metadata: DataFrame, key: str, value: str) -> DataFrame:
+    """metadata (key, value) with the key set to the value."""
+    return upsert(metadata, metadata.sparkSession.createDataFrame([(key, value)], "key string, value string"), ["key"])
+
+
+def metadata_map(metadata: DataFrame) -> DataFrame:
+    """One row with a map of all keys, which are few: settings and times of the index."""
+    return metadata.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata"))
+
+
+def clear(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without rows, to be written as the next snapshot."""
+    return {name: df.limit(0) for name, df in tables.items()}

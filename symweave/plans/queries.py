@@ -716,6 +716,128 @@ def edges_capped_per_kind(spark, sf_dir):
     return found.select("target", "kind", "source", "line", "group_size", "left_out")
 
 
+CHANGE_SQL = ", o AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id AS path, sha256(coalesce(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END, '')) AS h FROM documents WHERE doc_id % 11 <> 0)"
+
+
+TYPES_SQL = "('class', 'interface', 'struct', 'trait', 'protocol', 'enum', 'type_alias')"
+
+
+@query(f"""
+, asked AS (SELECT DISTINCT 'cust' AS query UNION SELECT 'supp' UNION SELECT lower(substr(c_name, 1, 14)) FROM customer), {LIKE},
+t AS (SELECT query, id, {TOTAL_SQL} + 15 + greatest(0, 10 - floor((length(name) - length(query)) / 3)) AS score FROM (SELECT query, id, score FROM likes) JOIN nodes USING (id) WHERE kind IN {TYPES_SQL} AND starts_with(lower(name), query)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM t) SELECT 'q' AS query_id, id, CAST(round(max(score), 6) AS DOUBLE) AS score FROM r WHERE k <= 8 GROUP BY id""")
+def definition_prefix(spark, sf_dir):
+    words = table(spark, sf_dir, "customer").select(F.lower(F.substr("c_name", F.lit(1), F.lit(14))).alias("term")).union(spark.createDataFrame([("cust",), ("supp",)], "term string"))
+    return context.definitions(project(spark, sf_dir).nodes, words.select(F.lit("q").alias("query_id"), "term"), 8).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+CAMEL = "upper(substr(p_name, 1, 1)) || split_part(substr(p_name, 2), ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)"
+
+
+@query(f"""
+, {WORDS}, camel AS (SELECT 'function:' || p_partkey AS id, {CAMEL} AS name FROM part), own AS (SELECT id, camel.name, file_path FROM camel JOIN nodes USING (id)),
+tok AS (SELECT query AS term, upper(substr(query, 1, 1)) || substr(query, 2) AS title FROM asked WHERE length(query) >= 3),
+h AS (SELECT term, id, 8 + greatest(0, 6 - (length(name) - length(title)) / 4.0) AS score FROM tok JOIN own ON instr(name, title) > 1 AND regexp_matches(substr(name, instr(name, title) - 1, 1), '[a-zA-Z]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, id) AS k FROM h), m AS (SELECT id, max(score) AS s, count(*) AS n FROM r WHERE k <= 200 GROUP BY id),
+f AS (SELECT id, s * (1 + n) + 30 * (n - 1) AS score FROM m), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM f) SELECT id, CAST(round(score, 6) AS DOUBLE) AS score FROM t WHERE k <= 100""")
+def camel_boundary(spark, sf_dir):
+    """Names in mixed case for the parts, searched for the words that they consist of."""
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("function:"), F.col("p_partkey").cast("string")).alias("id"), F.expr(CAMEL).alias("name"))
+    own = project(spark, sf_dir).nodes.drop("name").join(names, "id").withColumn("kind", F.lit("class"))
+    terms = asked(spark, sf_dir).select(F.lit("q").alias("query_id"), F.lit("how").alias("query"), F.col("query").alias("term"))
+    return context.inside_names(own, terms, 100).select("id", F.round("score", 6).alias("score"))
+
+
+@query(""", hits AS (SELECT id, name, file_path, CAST(start_line % 97 + 1 AS DOUBLE) AS score, start_line % 13 = 0 AS exact FROM nodes),
+c AS (SELECT *, CAST(contains(lower(name), 'ring') OR contains(lower(name), 'in') AS INT) + CAST(contains(lower(name), 'blue') OR list_contains(string_split(lower(regexp_replace(file_path, '/[^/]*$', '')), '/'), 'blue') AS INT)
+        + CAST(contains(lower(name), 'asia') OR list_contains(string_split(lower(regexp_replace(file_path, '/[^/]*$', '')), '/'), 'asia') AS INT) AS held FROM hits)
+SELECT id, score * CASE WHEN held >= 3 THEN 2.5 WHEN held = 2 THEN 2.0 WHEN exact THEN 1.0 ELSE 0.6 END AS score FROM c""")
+def term_group_weight(spark, sf_dir):
+    """The terms ring, in (which ring holds), blue and asia."""
+    rows = project(spark, sf_dir).nodes.select(F.lit("q").alias("query_id"), "id", "name", "file_path", (F.col("start_line") % 97 + 1).cast("double").alias("score"), (F.col("start_line") % 13 == 0).alias("fits"))
+    terms = spark.createDataFrame([("q", t) for t in ("ring", "in", "blue", "asia")], "query_id string, term string")
+    return context.weigh_groups(rows.drop("fits"), terms, rows.filter("fits").select("query_id", "id")).select("id", "score")
+
+
+@query(""", hits AS (SELECT id, kind, CAST(start_line % 97 AS DOUBLE) AS score FROM nodes WHERE kind IN ('file', 'class')), d AS (SELECT id, score FROM hits WHERE kind <> 'file' UNION ALL SELECT target, score FROM hits JOIN edges e ON source = id WHERE hits.kind = 'file' AND e.kind = 'imports')
+SELECT id, max(score) AS score FROM d WHERE id IN (SELECT id FROM nodes) GROUP BY id""")
+def imports_to_definitions(spark, sf_dir):
+    """Files taken as imports of what they import."""
+    g = project(spark, sf_dir)
+    own = g.nodes.withColumn("kind", F.when(F.col("kind") == "file", "import").otherwise(F.col("kind")))
+    rows = own.filter("kind IN ('import', 'class')").select(F.lit("q").alias("query_id"), "id", (F.col("start_line") % 97).cast("double").alias("score"))
+    return context.to_definitions(rows, Graph(own, g.edges)).select("id", "score")
+
+
+@query(f"""
+, {seeds_sql("class")}, arcs AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind IN ('extends', 'implements') AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+u AS (SELECT id AS root, id, 0 AS depth FROM seeds UNION SELECT root, b, depth + 1 FROM u JOIN arcs ON id = a), w AS (SELECT id AS root, id, 0 AS depth FROM seeds UNION SELECT root, a, depth + 1 FROM w JOIN arcs ON id = b),
+r1 AS (SELECT root, id, min(depth) AS depth FROM (FROM u UNION ALL FROM w) WHERE root <> id GROUP BY root, id), s2 AS (SELECT root, r1.id FROM r1 JOIN nodes USING (id) WHERE kind IN ('class', 'interface')),
+u2 AS (SELECT root, id, 0 AS depth FROM s2 UNION SELECT root, b, depth + 1 FROM u2 JOIN arcs ON id = a), w2 AS (SELECT root, id, 0 AS depth FROM s2 UNION SELECT root, a, depth + 1 FROM w2 JOIN arcs ON id = b),
+m2 AS (SELECT root, id, min(depth) AS depth FROM (FROM u2 UNION ALL FROM w2) GROUP BY root, id),
+r2 AS (SELECT root, id, depth FROM m2 WHERE depth > 0 AND root <> id AND (root, id) NOT IN (SELECT (root, id) FROM r1)),
+b AS (SELECT *, 1 AS round FROM r1 UNION ALL SELECT *, 2 FROM r2), k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY round, depth, id) AS k FROM b) SELECT root AS query_id, id, round FROM k WHERE k <= 500""")
+def hierarchy_expansion(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return context.relatives(g, seeds(g.nodes, "class").select(F.col("root").alias("query_id"), "id"), 2000)
+
+
+@query(f"""
+, {HITS_SQL}, near AS (SELECT target AS id FROM edges WHERE source IN (SELECT id FROM hits WHERE entry) UNION SELECT source FROM edges WHERE target IN (SELECT id FROM hits WHERE entry)),
+p AS (SELECT id, score, CASE WHEN entry THEN 0 WHEN id IN (FROM near) THEN 1 ELSE 2 END AS place FROM hits), r AS (SELECT *, row_number() OVER (ORDER BY place, score DESC, id) AS k FROM p) SELECT id, place FROM r WHERE k <= 5000""")
+def priority_fill(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return context.filled(hits(g), g.edges, 5000).select("id", "place")
+
+
+@query(""", x AS (SELECT file_path, id, start_line % 97 AS score, 100 + start_line % 900 AS chars, row_number() OVER (PARTITION BY file_path ORDER BY start_line % 97 DESC, id) AS k FROM nodes WHERE kind IN ('class', 'function') AND start_line < 400),
+w AS (SELECT file_path, id, k, CAST(chars AS BIGINT) AS used, true AS taken FROM x WHERE k = 1
+      UNION ALL SELECT x.file_path, x.id, x.k, w.used + CASE WHEN w.used + x.chars <= 3000 THEN x.chars ELSE 0 END, w.used + x.chars <= 3000 FROM w JOIN x ON x.file_path = w.file_path AND x.k = w.k + 1)
+SELECT file_path, id FROM w WHERE taken""")
+def packed_blocks(spark, sf_dir):
+    blocks = project(spark, sf_dir).nodes.filter("kind IN ('class', 'function') AND start_line < 400").select("file_path", "id", (F.col("start_line") % 97).alias("score"), (100 + F.col("start_line") % 900).alias("chars"))
+    return context.packed(blocks, ["file_path"], 3000).select("file_path", "id")
+
+
+@query(""" SELECT source AS parent, count(*) AS n, string_agg('- ' || name || ' (' || nodes.kind || '):' || start_line, chr(10) ORDER BY start_line, id) AS text FROM edges e JOIN nodes ON target = id WHERE e.kind = 'contains' GROUP BY source""")
+def container_outline(spark, sf_dir):
+    return context.outline(project(spark, sf_dir)).select("parent", F.col("n").cast("long").alias("n"), "text")
+
+
+@query(" SELECT DISTINCT file_path AS path FROM nodes WHERE starts_with(file_path, 'src/') AND regexp_matches(file_path, '/[^/]*1[^/]\\.ts')")
+def files_by_glob(spark, sf_dir):
+    return lookup.files_matching(project(spark, sf_dir).nodes.select(F.col("file_path").alias("path")).distinct(), "src/", "/*1?.ts")
+
+
+@query(f", p AS (SELECT doc_id, {PATHS} AS path FROM documents) SELECT doc_id, regexp_matches(path, '\\.spec\\.|\\.test\\.|/__tests__/|/tests?/|/e2e/|/spec/') AS by_marks, regexp_matches(path, 'src/[^/]*/.+') AS by_glob FROM p", on_graph=False)
+def affected_test_path(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(PATHS).alias("path"))
+    return rows.select("doc_id", lookup.affected_test_path(F.col("path")).alias("by_marks"), lookup.affected_test_path(F.col("path"), "src/*/**").alias("by_glob"))
+
+
+@query(f", {REFS_SQL}, n AS (SELECT DISTINCT name FROM nodes), parts AS (SELECT ref_id, reference_name AS name FROM refs UNION ALL SELECT ref_id, regexp_extract(reference_name, '[^/]*$') FROM refs UNION ALL SELECT ref_id, unnest(string_split_regex(reference_name, '::|\\.')) FROM refs UNION ALL SELECT ref_id, unnest(list_transform(string_split_regex(reference_name, '::|\\.'), lambda p: upper(substr(p, 1, 1)) || substr(p, 2))) FROM refs) SELECT DISTINCT ref_id FROM parts JOIN n USING (name)")
+def known_references(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return resolve.known_only(refs(g), g.nodes).select("ref_id")
+
+
+@query(" SELECT max(start_line) AS start_line FROM nodes")
+def latest_value(spark, sf_dir):
+    return stats.latest_value(project(spark, sf_dir).nodes, "start_line")
+
+
+@query(" SELECT (SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes) AS density")
+def edge_density(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return stats.edge_density(g.nodes, g.edges)
+
+
+@query(CHANGE_SQL + " SELECT count(*) FILTER (o.path IS NULL OR o.h <> n.h) AS indexed, count(*) FILTER (o.h = n.h) AS unchanged, CAST(0 AS BIGINT) AS failed FROM n LEFT JOIN o ON o.path = n.path", on_graph=False)
+def index_counts(spark, sf_dir):
+    old, new = _states(spark, sf_dir)
+    return stats.index_counts(new, new.limit(0), old)
+
+
 @query()
 def relevant_context(spark, sf_dir):
     """Context for each pair of words that names a part."""
@@ -747,7 +869,6 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return changes.content_hash(old, "text", "doc_id"), changes.content_hash(new, "text", "doc_id")
 
 
-CHANGE_SQL = ", o AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id AS path, sha256(coalesce(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END, '')) AS h FROM documents WHERE doc_id % 11 <> 0)"
 
 
 @query(CHANGE_SQL + " SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.path = n.path WHERE o.h IS DISTINCT FROM n.h", on_graph=False)
