@@ -27,7 +27,7 @@ from .shared import documents, held_out, small_batches
 
 ORDER, PER_LANGUAGE, LANGUAGES, MODEL_BYTES, LEAST_SCORE = 3, 1500, 200, 1 << 28, 0.5
 START, BITS = 256, 9  # the place before a text; bits of a symbol
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -42,8 +42,8 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def symbols(texts: list[bytes]) -> np.ndarray:
     """The texts' bytes one behind the other, ORDER times START before each."""
-    pad = np.full(ORDER, START, np.int64)
-    return np.concatenate([x for t in texts for x in (pad, np.frombuffer(t, np.uint8).astype(np.int64))]) if texts else np.empty(0, np.int64)
+    pad = np.full(ORDER, START, np.int16)
+    return np.concatenate([x for t in texts for x in (pad, np.frombuffer(t, np.uint8))]) if texts else np.empty(0, np.int16)
 
 
 class Places:
@@ -124,21 +124,31 @@ class Model:
         return found
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """(text, language) code lengths, CHUNK bytes at a time, so that memory is bounded."""
+        """(text, language) code lengths. Short texts are taken together and long ones cut, CHUNK bytes at a time, so that memory is bounded."""
         out = np.zeros((len(texts), len(self.languages)))
-        all_ = symbols(texts)
-        own = np.repeat(np.arange(len(texts)), [len(t) + ORDER for t in texts])
+        group, size = [], 0
+        for i, text in enumerate([*texts, None]):
+            if group and (text is None or size + len(text) > CHUNK):
+                self._add(out, group, [texts[k] for k in group])
+                group, size = [], 0
+            group.append(i)
+            size += len(text or b"")
+        return out
+
+    def _add(self, out: np.ndarray, which: list[int], texts: list[bytes]) -> None:
+        all_, sizes = symbols(texts), [len(t) + ORDER for t in texts]
+        own = np.repeat(np.array(which), sizes)
         for at in range(ORDER, len(all_), CHUNK):
             part = all_[at - ORDER : at + CHUNK]
             code = np.zeros(len(part) - ORDER, np.int64)
             for k in range(ORDER + 1):
-                code = code << BITS | part[k : len(part) - ORDER + k]
+                code <<= BITS
+                code |= part[k : len(part) - ORDER + k]
             real = part[ORDER:] < START
             text = own[at : at + CHUNK][real]
             if len(text):
                 first = np.flatnonzero(np.diff(text, prepend=-1))
                 out[text[first]] += np.add.reduceat(self.lengths(code[real], ORDER), first, axis=0, dtype=np.float64)
-        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score (its share against the others, tempered by the length's root); und and 0 for a text without letters."""
