@@ -11,7 +11,7 @@ Every occurrence of a disclosing term is treated in every document that holds th
 throughout, so there is nothing left that the term alone could be matched with. A document without personal data never changes.
 
 Entities that stand in the same texts have the same counts and are counted as one class, so a list of thousands of addresses costs as much as one.
-Candidates are found among the texts that hold an entity seen SUPPORT times; only they are then counted over all documents, in
+Candidates are found among the texts that hold an entity seen SUPPORT times; words are counted over all documents, in
 each task first. Texts without personal data are never shuffled. Positions are found in blocks, so that a text full of personal data takes time in
 proportion to its length.
 """
@@ -153,7 +153,7 @@ def disclosing(docs: DataFrame, held: DataFrame, terms: DataFrame, n: int, suppo
     pairs = held.join(terms, "text_key").groupBy("entities", "c_e", "term").agg(F.sum("rows").alias("c_te"), F.count(F.lit(1)).alias("texts"))
     pairs = stored(pairs.filter(F.col("texts") >= support), "pairs")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
     share = F.log2(F.col("c_te") * n / (F.col("c_t") * F.col("c_e"))) / F.log2(F.lit(float(max(n, 1))) / F.col("c_e"))
     return pairs.join(counts, "term").select("entities", "term", share.alias("share")).filter(F.col("share") >= generalise)
 
