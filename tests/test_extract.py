@@ -90,7 +90,7 @@ def test_code_blocks_budget_and_rendering(spark):
     text = spark.createDataFrame([("a.ts", "one\ntwo\nthree\nfour")], "path string, text string")
     assert {r.id: r.code for r in context.code_blocks(nodes, text).collect()} == {"n": "two\nthree", "m": "one"}
     blocks = spark.createDataFrame([("q", "a", 3.0, 90), ("q", "b", 2.0, 20), ("q", "c", 1.0, 5), ("r", "d", 1.0, 500)], "query_id string, id string, score double, chars int")
-    assert {r.id for r in context.packed(blocks, ["query_id"], 100).collect()} == {"a", "d"}
+    assert {r.id for r in context.packed(blocks, ["query_id"], 100).collect()} == {"a", "c", "d"}  # b does not fit, c still does
     assert context.markdown(nodes).first().text == "## Symbols in a.ts\n- `g` (function, line 1)\n- `f` (function, line 2)"
     hits = spark.createDataFrame([("q", "a", "src/x.ts", 1.0), ("q", "b", "tests/y.ts", 1.0)], "query_id string, id string, file_path string, score double")
     assert {r.id: r.score for r in context.damp_tests(hits).collect()} == {"a": 1.0, "b": 0.3}
@@ -140,3 +140,19 @@ def test_references_are_followed_through_imports(spark):
     aliases = spark.createDataFrame([("@lib/", "lib/"), ("@", "other/")], "prefix string, target string")
     resolved = {r.ref_id: names[r.target] for r in imports.by_import(refs, own, found, aliases).collect()}
     assert resolved == {"src/app.ts:Local": "src/deep/in.ts:Hidden", "src/app.ts:ns.saw": "lib/tools/index.ts:saw", "src/app.ts:helper": "src/star.ts:helper", "main.py:tidy": "pkg/util.py:clean"}
+
+
+def test_terms_inside_names_and_at_their_start_are_found(spark):
+    nodes = spark.createDataFrame(
+        [("1", "class", "blueRing"), ("2", "class", "Ring"), ("3", "class", "string"), ("4", "class", "HTTPRing"), ("5", "function", "redRing"), ("6", "class", "RingBlueRing")], "id string, kind string, name string"
+    ).selectExpr("*", "name AS qualified_name", "'src/a.ts' AS file_path", "'typescript' AS language", "1 AS start_line", "true AS is_exported")
+    terms = spark.createDataFrame([("q", "how does the ring work", "ring"), ("q", "how does the ring work", "blue")], "query_id string, query string, term string")
+    assert {r.id for r in context.inside_names(nodes, terms, 10).collect()} == {"1", "4", "6"}  # 6 by blue
+    assert {r.id for r in context.definitions(nodes, terms, 10).collect()} == {"2", "6", "1"}
+
+
+def test_fields_of_queries_keep_unknown_kinds_as_text(spark):
+    queries = spark.createDataFrame([(1, 'kind:class kind:clazz lang:TypeScript path:"a b" name:x find me'), (2, "language:klingon http://x")], "query_id int, query string")
+    got = {r.query_id: r for r in search.fields(queries).collect()}
+    assert (got[1].kinds, got[1].languages, got[1].paths, got[1].names, got[1].text) == (["class"], ["typescript"], ["a b"], ["x"], "kind:clazz find me")
+    assert got[2].text == "language:klingon http://x" and not got[2].languages

@@ -130,7 +130,7 @@ def test_resolution_prefers_near_bearers(spark):
          node("start", "method", "start", "src/e.ts", qualified="core::Engine::start"), node("file", "file", "util.ts", "src/util.ts")], NODES)
     asked = refs(spark, ("run", "calls", "src/a/w.ts", "typescript", 5), ("core::Engine", "instantiates", "q.ts", "typescript", 1), ("Engine.start", "calls", "q.ts", "typescript", 1), ("util.ts", "imports", "q.ts", "typescript", 1), ("src/util.ts", "imports", "q.ts", "typescript", 1), ("ENGINE", "calls", "q.ts", "typescript", 1), ("missing", "calls", "q.ts", "typescript", 1))
     got = {r.ref_id: (r.target, r.confidence, r.resolved_by) for r in R.resolve(asked, nodes).collect()}
-    assert got == {"r0": ("near", 0.7, "exact-match"), "r1": ("only", 0.95, "qualified-name"), "r2": ("start", 0.85, "instance-method"), "r3": ("file", 0.95, "qualified-name"), "r4": ("file", 0.95, "file-path"), "r5": ("only", 0.5, "fuzzy")}
+    assert got == {"r0": ("near", 0.7, "exact-match"), "r1": ("only", 0.95, "qualified-name"), "r2": ("start", 0.85, "qualified-name"), "r3": ("file", 0.95, "qualified-name"), "r4": ("file", 0.95, "file-path"), "r5": ("only", 0.5, "fuzzy")}
     builtins = spark.createDataFrame([("typescript", "run")], "language string, name string")
     assert "r0" not in {r.ref_id for r in R.resolve(asked, nodes, builtins).collect()}
 
@@ -146,3 +146,36 @@ def test_a_renamed_reexport_is_followed(spark):
 def test_relative_specifiers(spark):
     df = spark.createDataFrame([("./b", "src/a"), ("../c/d", "src/a"), ("../../x", "src/a/q"), ("react", "src")], "s string, d string")
     assert [r[0] for r in df.select(R.resolve_relative(F.col("s"), F.col("d"))).collect()] == ["src/a/b", "src/c/d", "src/x", None]
+
+
+def test_receivers_in_lower_case_and_by_their_words(spark):
+    nodes = [
+        node("c1", "class", "UserService", "src/u.ts"), node("m1", "method", "save", "src/u.ts", qualified="UserService::save"),
+        node("c2", "class", "PermissionRuleEngine", "src/p.ts"), node("m2", "method", "check", "src/p.ts", qualified="PermissionRuleEngine::check"),
+        node("c3", "class", "SpellEngine", "src/s.ts"), node("m3", "method", "check", "src/s.ts", qualified="SpellEngine::check"),
+        node("m4", "method", "sole", "src/s.ts", qualified="Other::sole"),
+    ]
+    asked = ["userService.save", "UserService::save", "permissionEngine.check", "x.sole", "nobody.check"]
+    refs = spark.createDataFrame([(f"r{k}", name, "calls", "src/a.ts", "typescript", 1) for k, name in enumerate(asked)], "ref_id string, reference_name string, reference_kind string, file_path string, language string, line int")
+    got = {r.ref_id: (r.target, r.confidence, r.resolved_by) for r in R.by_method_call(refs, make(spark, nodes, [("c1", "m1", "contains")]).nodes).collect()}
+    assert got == {"r0": ("m1", 0.8, "instance-method"), "r1": ("m1", 0.85, "qualified-name"), "r2": ("m2", 0.65, "instance-method"), "r3": ("m4", 0.7, "instance-method")}
+
+
+def test_imports_answer_first(spark):
+    g = make(spark, [node("f", name="run")], [("f", "f", "calls")])
+    refs = spark.createDataFrame([("r", "run", "calls", "src/a.ts", "typescript", 1)], "ref_id string, reference_name string, reference_kind string, file_path string, language string, line int")
+    imported = lambda left: left.select("ref_id", F.lit("other").alias("target"), F.lit(0.9).alias("confidence"), F.lit("import").alias("resolved_by"))
+    assert [tuple(r) for r in R.resolve(refs, g.nodes, imported=imported).collect()] == [("r", "other", 0.9, "import")]
+
+
+def test_components_equal_mutual_reachability(spark):
+    rng = random.Random(9)
+    edges = sorted({(f"f{rng.randrange(24):02}", f"f{rng.randrange(24):02}") for _ in range(40)})
+    deps = spark.createDataFrame(edges, "path string, depends_on string")
+    out = defaultdict(list)
+    for a, b in edges:
+        out[a].append(b)
+    reached = {a: set(plain_bfs(a, out)) for e in edges for a in e}
+    mutual = {a: {b for b in reached[a] if a in reached[b]} for a in reached}
+    expected = {(a, min(own), len(own)) for a, own in mutual.items() if len(own) > 1}
+    assert {tuple(r) for r in G.cycles(deps).collect()} == expected and expected
