@@ -1,15 +1,17 @@
 """Extraction of symbols and references from source text, by rules for each language.
 
 A file becomes rows of lines; each rule is a regular expression that a line may match, so extraction is a narrow
-transformation without a shuffle. A symbol's parent is the nearest earlier symbol that is indented less, which takes one
-window over a file's symbols. There is no full parser here: the rules see declarations that begin on one line.
+transformation. A symbol's parent is the nearest earlier symbol that is indented less, found with a stack over each file's
+lines. There is no full parser here: the rules see declarations that begin on one line.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,14 @@ class Rule(NamedTuple):
     pattern: str  # group 1 is the name
 
 
+SYMBOL_SCHEMA = (
+    "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, is_exported boolean, indent int, signature string, parent_id string, docstring string"
+)
+PARENTS = ("class", "interface", "struct", "trait", "enum", "module", "protocol", "function", "method", "component")
+COMMENT = r"^\s*(//|#(?!\s*include|\[)|\*|/\*|--)"
+MARKERS = r"^\s*(?:/\*+|\*+/|\*+|//[/!]*|#+|-{2,})\s?|\*+/\s*$"
+GOES_ON = r"^\s*(?:[{}\])]|(?i:end)\b)"
+DECORATOR = r"^\s*(?:@|#\[|\[[A-Z])"
 EXPORTED = r"^\s*(?:export|pub|public)\b"
 RULES = [
     *(Rule(lang, kind, pattern) for lang in ("typescript", "tsx", "javascript", "jsx") for kind, pattern in (
@@ -59,13 +69,26 @@ RULES = [
     *(Rule(lang, kind, pattern) for lang in ("lua", "luau") for kind, pattern in (("function", r"^\s*(?:local\s+)?function\s+([A-Za-z_][\w.:]*)"), ("import", r"require\s*\(?\s*['\"]([^'\"]+)['\"]"))),
     Rule("pascal", "class", r"(?i)^\s*([A-Za-z_]\w*)\s*=\s*class\b"), Rule("pascal", "interface", r"(?i)^\s*([A-Za-z_]\w*)\s*=\s*interface\b"), Rule("pascal", "function", r"(?i)^\s*(?:procedure|function|constructor|destructor)\s+([A-Za-z_][\w.]*)"), Rule("pascal", "import", r"(?i)^\s*uses\s+([\w.]+)"),
     *(Rule(lang, kind, pattern) for lang in ("svelte", "vue") for kind, pattern in (("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"), ("import", r"^\s*import\b.*?from\s*['\"]([^'\"]+)['\"]"))),
-    Rule("liquid", "import", r"\{%-?\s*(?:render|include|section)\s+['\"]([^'\"]+)['\"]"), Rule("liquid", "variable", r"\{%-?\s*assign\s+([A-Za-z_]\w*)"),
+    *(Rule(lang, kind, pattern) for lang in ("svelte", "vue") for kind, pattern in (("class", r"^\s*(?:export\s+)?class\s+([A-Za-z_$][\w$]*)"), ("property", r"^\s*export\s+let\s+([A-Za-z_$][\w$]*)"), ("variable", r"^\s*(?:const|let|var)\s+([A-Za-z_$][\w$]*)"))),
+    Rule("pascal", "component", r"^\s*(?:object|inherited|inline)\s+(\w+)\s*:\s*\w+\s*$"),
+    Rule("liquid", "constant", r"\{%-?\s*(schema)\s*-?%\}"), Rule("liquid", "import", r"\{%-?\s*(?:render|include|section)\s+['\"]([^'\"]+)['\"]"), Rule("liquid", "variable", r"\{%-?\s*assign\s+([A-Za-z_]\w*)"),
 ]
 #: kind of reference, pattern; group 1 is what is referred to
 REFERENCES = [
     ("instantiates", r"\bnew\s+([A-Za-z_$][\w$.]*)"), ("calls", r"(?<![\w$.])(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|def\b|class\b|new\b|fn\b|func\b|elif\b|super\b|match\b)((?:[A-Za-z_$][\w$]*\.)?[A-Za-z_$][\w$]*)\s*\("),
     ("extends", r"\b(?:class|interface|trait|struct)\s+\w+(?:<[^>]*>)?\s+extends\s+([A-Za-z_$][\w$.]*)"), ("extends", r"^\s*class\s+\w+\s*\(\s*([A-Za-z_][\w.]*)"), ("implements", r"\bimplements\s+([A-Za-z_$][\w$.]*)"), ("decorates", r"^\s*@([A-Za-z_$][\w$.]*)"),
 ]
+#: languages, kind, pattern of what only they refer to
+TYPED = ("typescript", "tsx", "kotlin", "scala", "swift", "rust", "python", "php", "svelte", "vue")
+DECLARED = ("java", "csharp", "dart", "c", "cpp", "go")
+OWN_REFERENCES = [
+    (TYPED, "references", r"(?:(?<!:):(?!:)|->)\s*(?:[&?*]|mut\s|dyn\s|readonly\s)*\s*([A-Z]\w*)"), ((*TYPED, *DECLARED), "references", r"<\s*([A-Z]\w*)(?=[\w<>,\s\[\]|&]*>\s*[\w\[({;,=:)])"),
+    (DECLARED, "references", r"[(,]\s*(?:final\s+|const\s+|ref\s+|out\s+)*(?:\w+\s+\*?)??([A-Z]\w*)(?:<[^>]*>|\[\])?(?=\s+[a-z_]\w*|[,)]\s*)"), (("tsx", "jsx", "svelte", "vue"), "references", r"<([A-Z][\w.]*)[\s/>]"),
+    (("pascal",), "references", r"^\s*On\w+\s*=\s*(\w+)\s*$"), (("liquid",), "references", r"\{%-?\s*(?:render|include|section)\s+['\"]([^'\"]+)['\"]"),
+]
+#: What no node of a project stands for: types of the languages themselves, and what Svelte calls runes.
+OWN_TYPES = "String Number Boolean Object Array Promise Record Partial Readonly Map Set Date Error Function Symbol Any Int Integer Long Short Byte Float Double Char Bool Void Unit Option Some None Result Ok Err Vec Box Rc Arc List Optional Self True False".split()
+RUNES = r"^\$(state|derived|effect|props|bindable|inspect|host)\b"
 #: framework, language, pattern: groups are the method (or empty) and the path
 ROUTES = [
     ("express", ("javascript", "typescript"), r"\b(?:app|router)\.(get|post|put|patch|delete|all|use)\(\s*['\"`]([^'\"`]+)['\"`]"),
@@ -79,7 +102,7 @@ ROUTES = [
 EXTENSIONS = {
     "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "py": "python", "pyw": "python", "go": "go", "rs": "rust", "java": "java",
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "rake": "ruby", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "dart": "dart",
-    "svelte": "svelte", "vue": "vue", "liquid": "liquid", "pas": "pascal", "dpr": "pascal", "scala": "scala", "sc": "scala", "lua": "lua", "luau": "luau",
+    "svelte": "svelte", "vue": "vue", "liquid": "liquid", "pas": "pascal", "dpr": "pascal", "dfm": "pascal", "fmx": "pascal", "scala": "scala", "sc": "scala", "lua": "lua", "luau": "luau",
 }
 CPP_MARK = r"\b(class|namespace|template|public:|private:|virtual)\b"
 
@@ -96,7 +119,7 @@ def language_of(path: Column, text: Column | None = None) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """path, language, line, text for each line that is neither blank nor a comment alone."""
     rows = files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("n", "text"))
-    return rows.filter(~F.col("text").rlike(r"^\s*(//|#(?!\s*include|\[)|\*|/\*|--|$)")).select("path", "language", (F.col("n") + 1).alias("line"), "text")
+    return rows.filter((F.trim("text") != "") & ~F.col("text").rlike(COMMENT)).select("path", "language", (F.col("n") + 1).alias("line"), "text")
 
 
 def file_nodes(files: DataFrame) -> DataFrame:
@@ -104,27 +127,55 @@ def file_nodes(files: DataFrame) -> DataFrame:
     n = F.size(F.split("text", "\n"))
     return files.select(
         F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("qualified_name"), F.col("path").alias("file_path"),
-        "language", F.lit(1).alias("start_line"), n.alias("end_line"), F.lit(False).alias("is_exported"), F.lit(-1).alias("indent"), F.lit(None).cast("string").alias("signature"),
+        "language", F.lit(1).alias("start_line"), n.alias("end_line"), F.lit(False).alias("is_exported"), F.lit(-1).alias("indent"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("docstring"),
     )
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Nodes with parent_id and qualified_name; files (path, language, text) themselves are not among them. Of several rules a line fits, the first counts."""
+    """Nodes with parent_id, qualified_name (all containers around, `A::B::c`), end_line and docstring; files (path, language, text) themselves are not among them.
+
+    Of several rules a line fits, the first counts. A symbol ends before the next line that is indented no more, brackets and `end` included. Comments right
+    above it, or above its decorators, are its docstring. A file's lines meet in one group, which the size limit of files bounds.
+    """
     hits = [F.when((F.col("language") == r.language) & F.col("text").rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract("text", r.pattern, 1).alias("name"))) for r in RULES]
-    found = lines(files).withColumn("hit", F.coalesce(*hits)).filter("hit IS NOT NULL AND hit.name <> ''")
-    rows = found.select(
-        "path", "language", "line", "hit.kind", "hit.name", (F.length("text") - F.length(F.ltrim("text"))).alias("indent"), F.trim("text").alias("signature"),
+    rows = files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("n", "text")).filter(F.trim("text") != "").withColumn("is_comment", F.col("text").rlike(COMMENT))
+    rows = rows.withColumn("hit", F.when(~F.col("is_comment"), F.coalesce(*hits)))
+    found = F.coalesce(F.col("hit.name"), F.lit("")) != ""
+    rows = rows.select(
+        "path", "language", (F.col("n") + 1).alias("line"), "is_comment", F.when(found, F.col("hit.kind")).alias("kind"), F.when(found, F.col("hit.name")).alias("name"),
+        F.length(F.regexp_extract("text", r"^\s*", 0)).alias("indent"), F.when(found | F.col("is_comment"), F.trim("text")).alias("signature"),
+        F.col("text").rlike(GOES_ON).alias("goes_on"), F.col("text").rlike(DECORATOR).alias("decorator"),
         (F.col("text").rlike(EXPORTED) | ((F.col("language") == "go") & F.col("hit.name").rlike("^[A-Z]")) | ((F.col("language") == "python") & ~F.col("hit.name").startswith("_"))).alias("is_exported"),
     )
-    rows = rows.withColumn("id", node_id(F.col("kind"), F.col("path"), F.col("name"), F.col("line")))
-    earlier = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.collect_list(F.struct("indent", "id", "name", "kind")).over(earlier)
-    outer = F.filter(F.col("above"), lambda a: (a["indent"] < F.col("indent")) & a["kind"].isin("class", "interface", "struct", "trait", "enum", "module", "protocol", "function", "method"))
-    nested = rows.withColumn("above", above).withColumn("parent", F.get(F.reverse(outer), F.lit(0)))
-    return nested.select(
-        "id", "kind", "name", F.concat_ws("::", "parent.name", "name").alias("qualified_name"), F.col("path").alias("file_path"), "language", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
-        "is_exported", "indent", "signature", F.coalesce("parent.id", F.concat(F.lit("file:"), "path")).alias("parent_id"),
-    )
+    rows = rows.withColumn("id", F.when(F.col("name").isNotNull(), node_id(F.col("kind"), F.col("path"), F.col("name"), F.col("line"))))
+    return rows.groupBy("path").applyInPandas(_nest, SYMBOL_SCHEMA)
+
+
+def _nest(rows: pd.DataFrame) -> pd.DataFrame:
+    """The symbols among a file's lines, each with what is around it, its end and the comments above."""
+    out, around, above, before = [], [], [], 0
+    for r in rows.sort_values("line").itertuples():
+        if r.is_comment:
+            above = [*above, r.signature] if above and before == r.line - 1 else [r.signature]
+            before = r.line
+            continue
+        while around and (around[-1]["indent"] > r.indent or (around[-1]["indent"] == r.indent and not r.goes_on)):
+            around.pop()
+        for outer in around:
+            outer["end_line"] = r.line
+        if r.name:
+            outer = [o for o in around if o["kind"] in PARENTS]
+            out.append({
+                "id": r.id, "kind": r.kind, "name": r.name, "qualified_name": "::".join([*(o["name"] for o in outer), r.name]), "file_path": r.path, "language": r.language, "start_line": r.line, "end_line": r.line,
+                "is_exported": bool(r.is_exported), "indent": r.indent, "signature": r.signature, "parent_id": outer[-1]["id"] if outer else f"file:{r.path}",
+                "docstring": "\n".join(t for t in (re.sub(MARKERS, "", c).strip() for c in above) if t) or None if above and before == r.line - 1 else None,
+            })
+            if r.kind != "import":
+                around.append(out[-1])
+        if not r.decorator:
+            above = []
+        before = r.line
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOL_SCHEMA.split(", ")])
 
 
 def contains_edges(found: DataFrame) -> DataFrame:
@@ -134,7 +185,10 @@ def contains_edges(found: DataFrame) -> DataFrame:
 def references(files: DataFrame, found: DataFrame) -> DataFrame:
     """from_node_id, reference_name, reference_kind, line, file_path, language: what lines refer to, from the nearest symbol at or above them."""
     each = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _referring(kind)) for kind, p in REFERENCES))
-    rows = lines(files).select("path", "language", "line", F.explode(F.array_distinct(each)).alias("r"))
+    own_ = [F.when(F.col("language").isin(*languages), F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _referring(kind))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")) for languages, kind, p in OWN_REFERENCES]
+    known = F.filter(F.concat(*own_), lambda r: ~r["name"].isin(*OWN_TYPES))
+    called = F.filter(each, lambda r: (F.col("language") != "svelte") | ~r["name"].rlike(RUNES))
+    rows = lines(files).select("path", "language", "line", F.explode(F.array_distinct(F.concat(called, known))).alias("r"))
     own = found.filter("kind <> 'import'").select(F.col("file_path").alias("path"), F.col("start_line").alias("at"), F.col("id").alias("from_id"), F.col("name").alias("own_name"))
     marks = own.select("path", F.col("at").alias("line"), "from_id", F.lit(0).alias("order"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"))
     asks = rows.select("path", "line", F.lit(None).cast("string").alias("from_id"), F.lit(1).alias("order"), "language", F.col("r.name").alias("name"), F.col("r.kind").alias("kind"))

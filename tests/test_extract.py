@@ -35,7 +35,7 @@ def test_symbols_and_their_parents(spark):
     assert {("struct", "Point"), ("trait", "Show"), ("function", "draw")} <= by_file["lib.rs"]
     assert {("struct", "Server"), ("method", "Serve"), ("function", "helper"), ("import", "fmt")} <= by_file["main.go"]
     assert {("class", "A"), ("method", "A::size")} <= by_file["A.java"]
-    assert {("module", "M"), ("class", "M::K"), ("method", "K::go")} <= by_file["x.rb"]
+    assert {("module", "M"), ("class", "M::K"), ("method", "M::K::go")} <= by_file["x.rb"]
     edges = {(r.source, r.target) for r in extract.contains_edges(extract.symbols(own)).collect()}
     ids = {r.qualified_name + r.file_path: r.id for r in found}
     assert (ids["Shapesrc/shapes.ts"], ids["Shape::areasrc/shapes.ts"]) in edges and ("file:app.py", ids["Serviceapp.py"]) in edges
@@ -55,6 +55,36 @@ def test_references_come_from_the_symbol_around_them(spark):
     assert not any(n == "not" for _, _, n in got)
 
 
+TEMPLATES = {
+    "ui/Card.svelte": "<script>\n  import Icon from './Icon.svelte';\n  export let title;\n  const open = $state(false);\n  function toggle() {\n    notify(title);\n  }\n</script>\n<Icon name=\"x\" />\n<p>{format(title)}</p>\n",
+    "ui/Page.vue": "<template>\n  <UserCard :user=\"u\" />\n</template>\n<script>\nfunction load() {}\n</script>\n",
+    "Main.dfm": "object Form1: TForm1\n  Caption = 'x'\n  object Button1: TButton\n    OnClick = Button1Click\n  end\nend\n",
+    "sections/hero.liquid": "{% render 'price' %}\n{% assign total = 1 %}\n{% schema %}\n{}\n{% endschema %}\n",
+    "typed.ts": "// Reads a shape,\n// whole.\n@log\nexport class Reader {\n  /** One only. */\n  one(\n    s: Shape,\n  ): Promise<Box> {\n    return s;\n  }\n\n  two() {\n    return 2;\n  }\n}\n// lone\n\nexport function after(x: string): Shape {\n  return x;\n}\n",
+    "T.java": "class T {\n  public Report make(Order order, int n) {\n    return null;\n  }\n}\n",
+    "tabs.py": "class Outer:\n\tclass Inner:\n\t\t# says\n\t\tdef go(self) -> Thing:\n\t\t\treturn 1\n\n\tdef last(self):\n\t\tpass\n",
+}
+
+
+def test_templates_forms_types_ends_and_docstrings(spark):
+    own = files(spark, TEMPLATES)
+    found = extract.symbols(own)
+    rows = found.collect()
+    got = {(r.file_path, r.kind, r.qualified_name): (r.start_line, r.end_line) for r in rows}
+    assert got["ui/Card.svelte", "property", "title"] == (3, 3) and got["ui/Card.svelte", "function", "toggle"] == (5, 7) and ("ui/Page.vue", "function", "load") in got
+    assert got["Main.dfm", "component", "Form1"] == (1, 6) and got["Main.dfm", "component", "Form1::Button1"] == (3, 5)
+    assert {("sections/hero.liquid", "import", "price"), ("sections/hero.liquid", "variable", "total"), ("sections/hero.liquid", "constant", "schema")} <= set(got)
+    assert got["typed.ts", "class", "Reader"] == (4, 15) and got["typed.ts", "method", "Reader::two"] == (12, 14) and got["typed.ts", "function", "after"] == (18, 20)
+    assert got["tabs.py", "class", "Outer"] == (1, 8) and got["tabs.py", "method", "Outer::Inner::go"] == (4, 5) and got["tabs.py", "method", "Outer::last"] == (7, 8)
+    docs = {r.qualified_name: r.docstring for r in rows}
+    assert docs["Reader"] == "Reads a shape,\nwhole." and docs["Outer::Inner::go"] == "says" and docs["after"] is None and docs["Reader::two"] is None
+    name = {r.id: r.name for r in rows}
+    refs = {(name.get(r.from_node_id, r.from_node_id), r.reference_kind, r.reference_name) for r in extract.references(own, found).collect()}
+    expected = {("after", "references", "Shape"), ("make", "references", "Order"), ("go", "references", "Thing"), ("Button1", "references", "Button1Click"), ("toggle", "references", "Icon"), ("file:ui/Page.vue", "references", "UserCard"), ("toggle", "calls", "format"), ("file:sections/hero.liquid", "references", "price")}
+    assert expected <= refs, expected - refs
+    assert not any(n in ("Promise", "$state") for _, _, n in refs)
+
+
 def test_routes(spark):
     got = {(r.framework, r.method, r.url) for r in extract.routes(files(spark)).collect()}
     assert {("express", "GET", "/users"), ("express", "POST", "/login"), ("flask", "ROUTE", "/home"), ("django", "PATH", "a/<int:id>/")} <= got
