@@ -163,3 +163,37 @@ def path_glob_regex(pattern: str) -> str:
     """As glob_regex, but `*` and `?` stay within a folder, and `**` does not."""
     parts = re.split(r"(\*\*/?|\*|\?)", pattern)
     return "^" + "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts) + "$"
+
+
+# Words of questions that are no names of symbols.
+QUESTION_WORDS = (
+    "the and for with from this that have been will would could should does done make made use used using work works find found show "
+    "call called calling get set add all any how what when where which who why not but are was were has had its can did may also into than then them "
+    "each other some such only same about after before between through during without again further once here there both just more most very being having doing "
+    "system need needs want wants like look change changes changed changing layer handle handles handling incoming outgoing data flow flows level levels "
+    "request requests response responses implement implements implementation interface interfaces class classes method methods "
+    "trigger triggers affected affect affects else code failing failed silently decide decides return returns returned take takes taken "
+    "check checks checked create creates created read reads write writes written start starts stop stops run runs running"
+).split()
+#: Whole words that are written as names are: camel case, with underscores, capitals alone, and plain words of three letters or more.
+NAME_FORMS = "[A-Z][a-z]+([A-Z][a-z]*)*|[a-z]+([A-Z][a-z]*)+|[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)+|[A-Z]{2,}|[a-z][a-z0-9]{2,}"
+DOTTED = "[a-zA-Z][a-zA-Z0-9]*(?:[.][a-zA-Z][a-zA-Z0-9]*)+"
+# What marks a task as a wish for something new, and what marks it as a fault or a question.
+WISHES = ("add", "create", "implement", "build", "enable", "allow", "new feature", "support for", "ability to", "want to", "should be able", "need to add", "swap", "edit", "modify")
+NO_WISHES = (
+    "fix", "bug", "error", "broken", "crash", "issue", "problem", "not working", "fails", "undefined", "null",
+    "how does", "where is", "what is", "find", "show me", "explain", "understand", "explore",
+)
+
+
+def question_symbols(question: Column) -> Column:
+    """The names that a question may speak of: words in the form of names, dotted names whole and in parts of two letters or more, without common words."""
+    words = F.filter(F.regexp_extract_all(question, F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: w.rlike(f"^(?:{NAME_FORMS})$"))
+    dotted = F.regexp_extract_all(question, F.lit(f"(?<![A-Za-z0-9_]){DOTTED}(?![A-Za-z0-9_])"), F.lit(0))
+    parts = F.filter(F.flatten(F.transform(dotted, lambda d: F.split(d, "[.]"))), lambda p: F.length(p) >= 2)
+    return F.array_distinct(F.filter(F.concat(words, dotted, parts), lambda w: ~F.lower(w).isin(*QUESTION_WORDS)))
+
+
+def is_feature_request(task: Column) -> Column:
+    low = F.lower(task)
+    return low.rlike("|".join(WISHES)) & ~low.rlike("|".join(NO_WISHES))

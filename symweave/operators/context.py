@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dir_name, is_test_file, path_relevance, stems, title_case, words_of
+from ..functions.text import dir_name, is_test_file, path_relevance, question_symbols, stems, title_case, words_of
 from ..schema import Graph
 from ..sources.snapshots import stored
 from .graph import children, hierarchy, traverse
@@ -22,6 +22,18 @@ PREFIX_POINTS, BREVITY_MOST, BREVITY_STEP = 15.0, 10, 3
 THREE_GROUPS, TWO_GROUPS, ONE_GROUP = 2.5, 2.0, 0.6
 RECOVERED = ("calls", "extends", "implements", "references", "overrides")
 DAMPED = 0.3
+# For projects of fewer files than the first figure, how many explorations are advised, and a report's most characters, files,
+# characters a file, lines between clusters, symbols in a file's header and edges of a kind.
+BUDGETS = (
+    (500, 1, 18000, 5, 3800, 8, 6, 6),
+    (5000, 2, 13000, 6, 2500, 10, 8, 8),
+    (15000, 3, 35000, 12, 7000, 15, 15, 15),
+    (25000, 4, 38000, 14, 7000, 15, 15, 15),
+    (None, 5, 38000, 14, 7000, 15, 15, 15),
+)
+BUDGET_NAMES = ("calls", "most_chars", "most_files", "file_chars", "gap", "header_symbols", "edges_per_kind")
+#: From so many files on, a report names further files and says what it leaves out.
+NOTES_FROM = 500
 
 
 def merged(*channels: DataFrame) -> DataFrame:
@@ -174,6 +186,36 @@ def outline(graph: Graph) -> DataFrame:
     return own.select("parent", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
 
 
+def explore_budget(projects: DataFrame, count: str = "n_files") -> DataFrame:
+    """projects with the budgets that their number of files allows."""
+    n = F.col(count)
+    tier = lambda k: F.coalesce(*(F.when(n < b[0], F.lit(b[k])) if b[0] else F.lit(b[k]) for b in BUDGETS))
+    return projects.select("*", *(tier(k).alias(name) for k, name in enumerate(BUDGET_NAMES, 1)), (n >= NOTES_FROM).alias("with_notes"))
+
+
+def expanded(graph: Graph, entries: DataFrame, most: int, depth: int) -> DataFrame:
+    """query_id, root, id, depth: what each entry (query_id, id) reaches both ways, nearest first; the entries of a query share most nodes evenly."""
+    roots = entries.select("query_id", F.col("id").alias("root")).distinct()
+    share = roots.groupBy("query_id").agg(F.ceil(most / F.count(F.lit(1))).alias("share"))
+    reached = traverse(graph, roots.select("root", F.col("root").alias("id")).distinct(), "both", max_depth=depth).join(roots, "root").join(share, "query_id")
+    ranked = reached.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "root").orderBy("depth", "id")))
+    return ranked.filter(F.col("k") <= F.col("share")).select("query_id", "root", "id", "depth")
+
+
+def summary(chosen: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, n_nodes, n_edges, n_files, summary: what was chosen (query_id, id, name, file_path, score, entry) in a sentence with the three best entries."""
+    ends = chosen.select("query_id", "id")
+    inner = edges.join(ends.withColumnRenamed("id", "source"), "source").join(ends.withColumnRenamed("id", "target"), ["query_id", "target"])
+    n_edges = inner.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    sizes = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("file_path").alias("n_files"), F.count_if("entry").alias("n_entries"))
+    first = top(chosen.filter("entry"), ["query_id"], [F.desc("score"), F.asc("id")], 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("best"))
+    all_ = sizes.join(n_edges, "query_id", "left").join(first, "query_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    names = F.coalesce(F.array_join("best.name", ", "), F.lit(""))
+    more = F.when(F.col("n_entries") > 3, F.concat(F.lit(" and "), (F.col("n_entries") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    said = F.format_string("Found %d relevant code symbols across %d files. Key entry points: %s%s. %d relationships identified.", "n_nodes", "n_files", names, more, "n_edges")
+    return all_.select("query_id", "n_nodes", "n_edges", "n_files", said.alias("summary"))
+
+
 def markdown(nodes: DataFrame, title: str = "Symbols") -> DataFrame:
     """file_path, text: for each file a section that lists its nodes by line."""
     line = F.concat(F.lit("- `"), "name", F.lit("` ("), "kind", F.lit(", line "), F.col("start_line").cast("string"), F.lit(")"))
@@ -184,7 +226,7 @@ def markdown(nodes: DataFrame, title: str = "Symbols") -> DataFrame:
 def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes: int = 80, depth: int = 3, min_score: float = 0.3) -> DataFrame:
     """query_id, id, score, role: for each query (query_id, query) the entry symbols that search channels agree on, and their surroundings in the graph.
 
-    Channels are exact names with a boost for files that hold several, types that begin with a term, ranked text search by single terms, names of several
+    Channels are exact names, those that the question spells out included, with a boost for files that hold several, types that begin with a term, ranked text search by single terms, names of several
     terms and types with terms inside their names; the best score of each node counts, weighed by how many of the query's terms it has, less for tests.
     Imports give way to what they stand for. Entries are expanded both ways and by their hierarchies; entries and their neighbours go first, and a
     file's share and that of tests are capped.
@@ -192,7 +234,8 @@ def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes:
     nodes = graph.nodes
     terms = stored(queries.select("query_id", "query", F.explode(words_of(F.col("query"))).alias("term")), "terms")
     with_stems = stored(terms.select("query_id", F.explode(F.array_append(stems(F.col("term")), F.col("term"))).alias("term")).distinct(), "stems")
-    exact_hits = with_stems.join(nodes.select("id", F.lower("name").alias("term"), "file_path"), "term")
+    named = queries.select("query_id", F.explode(question_symbols(F.col("query"))).alias("term")).select("query_id", F.lower("term").alias("term"))
+    exact_hits = with_stems.union(named).distinct().join(nodes.select("id", F.lower("name").alias("term"), "file_path"), "term")
     together = exact_hits.groupBy("query_id", "file_path").agg(F.countDistinct("term").alias("n"))
     exact = stored(exact_hits.join(together, ["query_id", "file_path"]).select("query_id", "id", (100.0 + 20 * (F.col("n") - 1)).alias("score")), "exact")
     single = with_stems.select(F.concat_ws("\u0001", "query_id", "term").alias("query_id"), F.col("term").alias("query"))

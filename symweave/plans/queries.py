@@ -858,6 +858,54 @@ def recall_mrr(spark, sf_dir):
     return stats.recall_and_rank(expected, found)
 
 
+SYMBOLS_SQL = f"""list_concat(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '{X.NAME_FORMS}')), regexp_extract_all(text, '\\b{X.DOTTED}\\b'),
+list_filter(flatten(list_transform(regexp_extract_all(text, '\\b{X.DOTTED}\\b'), lambda d: string_split(d, '.'))), lambda p: length(p) >= 2))"""
+
+
+@query(f""", d AS (SELECT doc_id, unnest(list_distinct({SYMBOLS_SQL})) AS symbol FROM documents), w AS (SELECT unnest(string_split('{" ".join(X.QUESTION_WORDS)}', ' ')) AS word)
+SELECT symbol, count(*) AS n FROM d WHERE lower(symbol) NOT IN (SELECT word FROM w) GROUP BY symbol""", on_graph=False)
+def question_symbols(spark, sf_dir):
+    """In how many documents each name occurs that a question could speak of."""
+    names = table(spark, sf_dir, "documents").select(F.explode(X.question_symbols(F.col("text"))).alias("symbol"))
+    return names.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f" SELECT conv_id, turn, regexp_matches(lower(text), '{'|'.join(X.WISHES)}') AND NOT regexp_matches(lower(text), '{'|'.join(X.NO_WISHES)}') AS wished FROM conversations", on_graph=False)
+def feature_requests(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.is_feature_request(F.col("text")).alias("wished"))
+
+
+PROJECTS_SQL = "p AS (SELECT l_returnflag AS project, count(*) AS n_files FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1 UNION ALL SELECT source, count(*) FROM documents GROUP BY 1)"
+
+
+@query(f""", {PROJECTS_SQL} SELECT project, n_files, CASE WHEN n_files < 500 THEN 1 WHEN n_files < 5000 THEN 2 WHEN n_files < 15000 THEN 3 WHEN n_files < 25000 THEN 4 ELSE 5 END AS calls,
+CASE WHEN n_files < 500 THEN 18000 WHEN n_files < 5000 THEN 13000 WHEN n_files < 15000 THEN 35000 ELSE 38000 END AS most_chars, CASE WHEN n_files < 500 THEN 5 WHEN n_files < 5000 THEN 6 WHEN n_files < 15000 THEN 12 ELSE 14 END AS most_files,
+CASE WHEN n_files < 500 THEN 3800 WHEN n_files < 5000 THEN 2500 ELSE 7000 END AS file_chars, CASE WHEN n_files < 500 THEN 8 WHEN n_files < 5000 THEN 10 ELSE 15 END AS gap,
+CASE WHEN n_files < 500 THEN 6 WHEN n_files < 5000 THEN 8 ELSE 15 END AS header_symbols, CASE WHEN n_files < 500 THEN 6 WHEN n_files < 5000 THEN 8 ELSE 15 END AS edges_per_kind, n_files >= 500 AS with_notes FROM p""", on_graph=False)
+def explore_budget(spark, sf_dir):
+    counted = [table(spark, sf_dir, t).groupBy(F.col(c).alias("project")).agg(F.count(F.lit(1)).alias("n_files")) for t, c in (("lineitem", "l_returnflag"), ("orders", "o_orderpriority"), ("documents", "source"))]
+    return context.explore_budget(counted[0].union(counted[1]).union(counted[2]))
+
+
+@query(f""", {seeds_sql("class")}, {reach_sql(f"{OUT} UNION ALL {BACK}", 2)}, r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS k FROM reached)
+SELECT root, id, depth FROM r WHERE k <= (SELECT ceil(400 / count(*)) FROM seeds)""")
+def split_expansion(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return context.expanded(g, seeds(g.nodes, "class").select(F.lit("q").alias("query_id"), "id"), 400, 2).select("root", "id", "depth")
+
+
+@query(""", h AS (SELECT language AS query_id, id, name, file_path, start_line % 97 AS score, kind IN ('class', 'function') AND start_line % 50 = 0 AS entry FROM nodes),
+e AS (SELECT a.query_id, count(*) AS n_edges FROM edges JOIN h a ON source = a.id JOIN h b ON target = b.id AND a.query_id = b.query_id GROUP BY 1), s AS (SELECT query_id, count(*) AS n_nodes, count(DISTINCT file_path) AS n_files FROM h GROUP BY 1),
+k AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM h WHERE entry), b AS (SELECT query_id, string_agg(name, ', ' ORDER BY k) FILTER (k <= 3) AS names, count(*) AS n FROM k GROUP BY 1)
+SELECT query_id, n_nodes, coalesce(n_edges, 0) AS n_edges, n_files, 'Found ' || n_nodes || ' relevant code symbols across ' || n_files || ' files. Key entry points: ' || coalesce(names, '') || CASE WHEN n > 3 THEN ' and ' || (n - 3) || ' more' ELSE '' END || '. '
+|| coalesce(n_edges, 0) || ' relationships identified.' AS summary FROM s LEFT JOIN e USING (query_id) LEFT JOIN b USING (query_id)""")
+def context_summary(spark, sf_dir):
+    g = project(spark, sf_dir)
+    entry = F.col("kind").isin("class", "function") & (F.col("start_line") % 50 == 0)
+    chosen = g.nodes.select(F.col("language").alias("query_id"), "id", "name", "file_path", (F.col("start_line") % 97).alias("score"), entry.alias("entry"))
+    return context.summary(chosen, g.edges)
+
+
 # changes and extraction
 
 
