@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import extract, imports
 from ..operators.mutate import latest, upsert
-from ..sources.snapshots import current_version, read_snapshot, shared_dir, write_snapshot
+from ..operators.resolve import resolve
+from ..sources.snapshots import current_version, read_snapshot, scratch, shared_dir, stored, write_snapshot
+
+INDEX = ("files", "nodes", "refs", "edges")
 
 
 def follow(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], root: str, checkpoint: str, trigger: dict | None = None):
@@ -28,6 +32,57 @@ def follow(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], Dat
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def follow_index(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
+    """Starts a query that keeps the tables of INDEX under root in step with a stream of files (path, text, modified_at); a null text removes the path."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version = batch_id + 1
+        before = min(current_version(spark, root), version - 1)
+        with scratch(spark):
+            old = {name: read_snapshot(spark, root, name, before) for name in INDEX} if before else None
+            write_snapshot(reindex(old, latest(batch, ["path"], ["modified_at", "text"])), root, version)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def reindex(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, DataFrame]:
+    """The tables of INDEX after a batch of files (path, text; each path once): files, their nodes and references, and the edges from resolved references.
+
+    Only files of the batch are read for symbols. Resolved anew are their references, those that led to a symbol of the batch's files before, those
+    that speak of a name in them, old or new, and, where files of the batch pass on names of others, those to imported names.
+    """
+    typed = batch.withColumn("language", extract.language_of(F.col("path"), F.col("text")))
+    paths = stored(typed.select("path").distinct(), "paths")
+    live = stored(typed.filter("text IS NOT NULL").select("path", "language", "text"), "files")
+    found = stored(extract.symbols(live), "symbols")
+    nodes = extract.file_nodes(live).unionByName(found, allowMissingColumns=True)
+    refs = extract.references(live, found)
+    refs = stored(refs.withColumn("ref_id", F.sha2(F.concat_ws("\u0001", "from_node_id", "reference_kind", "reference_name", F.col("line").cast("string")), 256)).distinct(), "references")
+    if old is None:
+        return {"files": live, "nodes": nodes, "refs": refs, "edges": _resolved(refs, live, nodes)}
+    others = lambda df, path: df.join(paths.withColumnRenamed("path", path), path, "left_anti").select(*df.columns)
+    before = old["nodes"].join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+    touched = before.select("id", "name").union(nodes.select("id", "name"))
+    names = touched.select(F.explode(F.array(F.lower("name"), F.regexp_replace(F.lower("name"), F.lit(r"\.\w+$"), F.lit("")))).alias("name")).distinct()
+    files, all_nodes, kept = others(old["files"], "path").unionByName(live), stored(others(old["nodes"], "file_path").unionByName(nodes, allowMissingColumns=True), "nodes"), others(old["refs"], "file_path")
+    lost = old["edges"].join(before.select(F.col("id").alias("target")), "target", "left_semi").select("ref_id")
+    spoken = kept.select("ref_id", F.explode(F.split(F.lower("reference_name"), r"[.:/\\]+")).alias("name")).join(names, "name", "left_semi").select("ref_id")
+    passing = imports.reexports(old["files"].join(paths, "path", "left_semi").unionByName(live)).select(F.lit(1).alias("any")).distinct()
+    imported = imports.mappings(others(old["files"], "path")).select(F.col("path").alias("file_path"), "local").distinct()
+    through = kept.withColumn("local", F.split_part("reference_name", F.lit("."), F.lit(1))).join(imported, ["file_path", "local"], "left_semi").withColumn("any", F.lit(1)).join(passing, "any", "left_semi").select("ref_id")
+    again = kept.join(lost.union(spoken).union(through).distinct(), "ref_id", "left_semi")
+    asked = stored(again.unionByName(refs), "asked")
+    same = old["edges"].join(kept.select("ref_id"), "ref_id", "left_semi").join(asked.select("ref_id"), "ref_id", "left_anti").select(*old["edges"].columns)
+    return {"files": files, "nodes": all_nodes, "refs": kept.unionByName(refs), "edges": same.unionByName(_resolved(asked, files, all_nodes))}
+
+
+def _resolved(refs: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ref_id, source, target, kind, line, confidence, resolved_by of the references that resolve."""
+    hits = resolve(refs, nodes, imported=lambda r: imports.by_import(r, files, nodes))
+    return hits.join(refs.select("ref_id", F.col("from_node_id").alias("source"), F.col("reference_kind").alias("kind"), "line"), "ref_id").select("ref_id", "source", "target", "kind", "line", "confidence", "resolved_by")
+
+
 def merge_files(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Files (path, content_hash, modified_at): the latest of each path; a null content_hash removes the path."""
     new = latest(batch, ["path"], ["modified_at", "content_hash"])
