@@ -1,6 +1,7 @@
 """Queries of this subpackage, and their SQL where there is any."""
 
 from .chat_format import OP6_SQL, op6_prefix_target
+from .conversation_repair import op11_conversation_repair
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .hilbert_sharding import op2_hilbert_sharding
 from .language_ppm import op8_language_ppm
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_line_quality, op2_hilbert_sharding, op3_exact_dedup, op4_information_pii, op5_pattern_packing,
         op6_prefix_target, op7_toxicity_cnn, op8_language_ppm, op9_simhash, op10_sentencepiece_backend,
+        op11_conversation_repair,
     )
 }
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op6_prefix_target": OP6_SQL}
