@@ -28,7 +28,7 @@ from .parts import encode_by_parts, interleaved
 from .shared import documents, scratch, small_batches, stored
 
 LENGTH, END = 2048, 0
-PIECES = "doc_id long, piece int, start long, length long, ids binary, cell int, task int, place long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, cell int, task int, place long, doc_tokens long"
 PLACED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
 
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int
             ends = pa.array(np.append(0, np.cumsum(own) * closed.itemsize), pa.int32())
             held = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, ends.buffers()[1], pa.py_buffer(closed.tobytes())])
             numbers = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(own, pa.int64()), held, pa.array(own, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *numbers, pa.array(np.full(len(own), task), pa.int32()), pa.array(ranks_within(own, before))], re.findall(r"(\w+) \w+", PIECES))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *numbers, pa.array(np.full(len(own), task), pa.int32()), pa.array(ranks_within(own, before)), pa.array(sizes[doc])], re.findall(r"(\w+) \w+", PIECES))
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
@@ -239,8 +239,23 @@ def slots(groups: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(found), np.int64).reshape(-1, 4)
 
 
-def opened(placed: DataFrame) -> DataFrame:
-    """The columns of PACKED: ids as integers, and their digest, which is of little-endian unsigned 32-bit ids."""
+def with_offsets(cut: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """cut (task, cell, place and more), with how many places earlier tasks have of a row's cell, as before.
+
+    A task's offsets are a map of as many entries as there are lengths. All maps are broadcast if they take most bytes together; beyond that they
+    meet the rows in a sort-merge join by task, which moves the ids once more.
+    """
+    counts = stored(cut.groupBy("task", "cell").agg(F.count(F.lit(1)).alias("n")), "counts", keep=True)
+    earlier = Window.partitionBy("cell").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("task", F.struct("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias("own"))
+    by_task = offsets.groupBy("task").agg(F.map_from_entries(F.collect_list("own")).alias("befores"))
+    small = counts.count() * 16 <= most
+    joined = cut.join(F.broadcast(by_task), "task") if small else cut.join(by_task.hint("merge"), "task")
+    return joined.withColumn("before", F.element_at("befores", F.col("cell"))).drop("befores")
+
+
+def opened(placed: DataFrame, schema: str = PACKED) -> DataFrame:
+    """The columns of schema: ids as integers, and their digest, which is of little-endian unsigned 32-bit ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,10 +264,10 @@ def opened(placed: DataFrame) -> DataFrame:
             ids = [np.frombuffer(x.as_py(), f"<u{len(x.as_py()) // n}").astype("<u4") for x, n in zip(at["ids"], lengths, strict=True)]
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)))
             at |= {"ids": listed, "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())}
-            names = re.findall(r"(\w+) [\w<>]+", PACKED)
+            names = re.findall(r"(\w+) [\w<>]+", schema)
             yield pa.RecordBatch.from_arrays([at[c] for c in names], names)
 
-    return placed.mapInArrow(run, PACKED)
+    return placed.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -267,7 +282,6 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
         json_path, ranks_path = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken")
     with scratch(docs.sparkSession):
         cut = stored(pieces(docs, json_path, ranks_path, length), "pieces", keep=True)
-    counts = cut.groupBy("task", "cell").agg(F.count(F.lit(1)).alias("n"))
     histogram = {cell: n for cell, n in cut.groupBy("cell").count().collect()}  # as many rows as there are lengths
     table = slots(plan(histogram, length))
     keys = table[:, 0] << 44 | table[:, 1]
@@ -280,10 +294,7 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
             own = [at[c] for c in ("doc_id", "piece", "start", "length", "ids")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(table[k, 2] + rank - table[k, 1]), pa.array(table[k, 3])], re.findall(r"(\w+) \w+", PLACED))
 
-    earlier = Window.partitionBy("cell").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("task", F.struct("cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias("own"))
-    by_task = offsets.groupBy("task").agg(F.map_from_entries(F.collect_list("own")).alias("befores"))  # 24 KB a task at most, so ids need not move for it
-    placed = cut.join(F.broadcast(by_task), "task").withColumn("before", F.element_at("befores", F.col("cell"))).drop("befores").mapInArrow(place, PLACED)
+    placed = with_offsets(cut).mapInArrow(place, PLACED)
     return opened(placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset"))
 
 
