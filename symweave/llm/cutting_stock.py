@@ -20,21 +20,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .pattern_packing import best_fit, opened, pieces, vocabulary_path, with_offsets
+from .pattern_packing import best_fit, opened, pieces, vocabulary_path, warn_of, with_offsets
 from .shared import documents, scratch, stored
 
 LENGTH = 1024
 PLACED = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-#: How far above its lower bound the linear program may stop, and what a sequence below full length costs besides its tokens, in full sequences.
-TOLERANCE, SHORT = 1e-4, 0.02
+#: How far above its lower bound the linear program may stop, and what a sequence of another power of two costs besides its tokens, in full sequences.
+TOLERANCE, SHORT = 1e-3, 0.02
+#: Weight of the best bound's prices where new patterns are looked for.
+SMOOTH = 0.7
 
 
 def cost(total: int, room: int) -> float:
     """What a sequence of total tokens takes, in full sequences."""
     if total == room:
         return 1.0
-    return total / room + SHORT if total & (total - 1) == 0 else 1.0 + SHORT
+    return total / room + SHORT if total & (total - 1) == 0 else 1.0
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,53 +59,75 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, tolera
     basis = np.diag(np.maximum(1, room // lengths)).astype(float)
     basis_cost = np.array([cost(int(t), room) for t in basis.diagonal() * lengths])
     inverse, x = np.diag(1 / basis.diagonal()), demand / basis.diagonal()
-    pool, pool_cost = np.empty((m, 0)), np.empty(0)
-    bound, pivots = float(lengths @ demand) / room, 0
     prices = basis_cost @ inverse
+    bound, pivots, centre = float(lengths @ demand) / room, 0, lengths / room
+    index = {int(w): k for k, w in enumerate(lengths)}
+    known: set[bytes] = set()
+    pool, pool_cost = np.empty((m, 0)), np.empty(0)
+
+    def add(patterns: list[np.ndarray]) -> None:
+        nonlocal pool, pool_cost
+        new = {key: p for p in patterns if (key := p.tobytes()) not in known}
+        known.update(new)
+        pool = np.hstack([pool, *(p[:, None] for p in new.values())])
+        pool_cost = np.append(pool_cost, [cost(int(p @ lengths), room) for p in new.values()])
+
+    def pattern(held: list[int]) -> np.ndarray:
+        p = np.zeros(m)
+        np.add.at(p, held, 1)
+        return p
+
+    def priced(at: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The dearest ratio of worth to cost at these prices, and patterns worth more than they cost: the best of each total, and for each length the best that holds it."""
+        best, last = knapsack(lengths, at, room)
+        upto = [0]
+        for total in range(1, room + 1):
+            upto.append(total if best[total] > best[upto[-1]] else upto[-1])
+
+        def held(total: int) -> list[int]:
+            found = []
+            while total:
+                found.append(int(last[total]))
+                total -= int(lengths[last[total]])
+            return found
+
+        worth = best[1:] / costs_of
+        ends = [held(int(t)) for t in np.flatnonzero(worth > 1 + 1e-9) + 1]
+        own = [[k, *held(upto[room - int(w)])] for k, w in enumerate(lengths) if at[k] + best[upto[room - int(w)]] > 1 + 1e-9]
+        return float(worth.max()), [pattern(h) for h in ends + own]
+
+    add([pattern([index[c] for c in cells]) for _, cells in best_fit(dict(zip(lengths.tolist(), demand.astype(int).tolist(), strict=True)), room)])
     while basis_cost @ x > bound * (1 + tolerance):
         gains = prices @ pool - pool_cost
-        enters = int(gains.argmax()) if len(gains) else -1
-        if enters < 0 or gains[enters] <= 1e-9:
-            best, last = knapsack(lengths, prices, room)
-            worth = best[1:] / costs_of
-            bound = max(bound, float(prices @ demand / max(1.0, worth.max())))  # prices over the dearest ratio are feasible for the dual
-            upto = np.maximum.accumulate(best)
-            filled = np.array([best[: room + 1 - w].argmax() for w in lengths])
-            new = {}
-            for k in np.flatnonzero(prices + upto[room - lengths] > 1 + 1e-9):  # for each length, the best pattern that holds it
-                pattern = np.zeros(m)
-                pattern[k], total = 1, int(filled[k])
-                while total:
-                    pattern[last[total]] += 1
-                    total -= int(lengths[last[total]])
-                new[pattern.tobytes()] = pattern
-            for total in np.flatnonzero(worth > 1 + 1e-9) + 1:
-                pattern, left = np.zeros(m), int(total)
-                while left:
-                    pattern[last[left]] += 1
-                    left -= int(lengths[last[left]])
-                new[pattern.tobytes()] = pattern
-            fresh = [(p, cost(int(p @ lengths), room)) for p in new.values()]
-            fresh = [(p, c) for p, c in fresh if prices @ p > c + 1e-9]
-            if not fresh:
+        enters = int(gains.argmax())
+        if gains[enters] <= 1e-9:
+            columns: list[np.ndarray] = []
+            for weight in (SMOOTH, 0.0):  # prices between the present ones and those of the best bound first: present ones alone swing
+                at = weight * centre + (1 - weight) * prices
+                ratio, columns = priced(at)
+                if at @ demand / max(1.0, ratio) > bound:
+                    bound, centre = float(at @ demand / max(1.0, ratio)), at
+                columns = [p for p in columns if prices @ p > cost(int(p @ lengths), room) + 1e-9]
+                if columns:
+                    break
+            if not columns:
                 break
-            pool, pool_cost = np.stack([p for p, _ in fresh], axis=1), np.array([c for _, c in fresh])
+            add(columns)
             continue
         way = inverse @ pool[:, enters]
-        ratios = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
-        leaves = int(ratios.argmin())
-        step = ratios[leaves]
+        ratios = np.where(way > 1e-7, x / np.where(way > 1e-7, way, 1), np.inf)
+        step = ratios.min()
+        leaves = int(np.where(ratios <= step + 1e-9 * (1 + step), way, 0).argmax())  # of ties the largest pivot, so that the basis stays regular
         x = np.maximum(x - step * way, 0)
         x[leaves] = step
         basis[:, leaves], basis_cost[leaves] = pool[:, enters], pool_cost[enters]
         pivots += 1
-        if pivots % 200 == 0:
-            inverse = np.linalg.inv(basis)
+        row = inverse[leaves] / way[leaves]
+        inverse -= np.outer(way, row)
+        inverse[leaves] = row
+        if pivots % 500 == 0:
+            inverse = 2 * inverse - inverse @ basis @ inverse  # takes back what rounding added up to
             x = np.maximum(inverse @ demand, 0)
-        else:
-            row = inverse[leaves] / way[leaves]
-            inverse -= np.outer(way, row)
-            inverse[leaves] = row
         prices = basis_cost @ inverse
     return [basis[:, k].astype(np.int64) for k in range(m)], x, bound
 
@@ -200,8 +224,10 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     """
     if json_path is None:
         json_path, ranks_path = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken")
+    differing = docs.sparkSession.sparkContext.accumulator(0)
     with scratch(docs.sparkSession):
-        cut = stored(pieces(docs, json_path, ranks_path, length), "pieces", keep=True)
+        cut = stored(pieces(docs, json_path, ranks_path, length, differing), "pieces", keep=True)
+        warn_of(differing)
         histogram = {cell: n for cell, n in cut.groupBy("cell").count().collect()}  # as many rows as there are lengths
         full = {c: n for c, n in histogram.items() if c == length}
         slots, bounds, tail = plan({c: n for c, n in histogram.items() if c < length}, length)

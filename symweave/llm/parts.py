@@ -17,6 +17,10 @@ import pyarrow.compute as pc
 RUN = 128
 
 
+class PartsRun(ValueError):
+    """Parts run into each other: their ids can't be told apart."""
+
+
 def flat(lists: Iterable[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64)
 
@@ -45,7 +49,7 @@ def encode_by_parts(
     ids = flat(encode([lead + " ".join(different[k : k + RUN]) for k in range(0, len(different), RUN)]))
     starts = np.flatnonzero(begins[ids])
     if len(starts) != len(different):
-        raise ValueError("a part's ids can't be told from the next part's")
+        raise PartsRun("a part's ids can't be told from the next part's")
     sizes = np.diff(starts, append=len(ids))
     fine = np.logical_and.reduceat(right(different, ids)[codes], offsets[:-1]) if right else np.ones(len(texts), bool)
     if lead:

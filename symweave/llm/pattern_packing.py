@@ -13,6 +13,7 @@ pieces, and then dealt once, by sequence.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -20,11 +21,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .parts import encode_by_parts, interleaved
+from .parts import PartsRun, encode_by_parts, flat, interleaved
 from .shared import documents, scratch, small_batches, stored
 
 LENGTH, END = 2048, 0
@@ -52,7 +53,7 @@ class Encoder:
     """Ids as the tokenizers library gives them for json_path, special tokens' names in texts being read as it reads them by default.
 
     Parts go through tiktoken where ranks_path has the same vocabulary as ranks, which is several times faster; one text in CHECKED
-    is compared with the tokenizers library, and any difference raises. Texts with a special token go through that library as a whole.
+    is compared with the tokenizers library. A batch with a difference is encoded by that library as a whole, and counted in differing. Texts with a special token go through that library as a whole.
     """
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,6 +69,7 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.fast: Callable[[str], list[int]] | None = None
+        self.differing = 0
         if ranks_path:
             import base64
 
@@ -91,15 +93,23 @@ class Encoder:
             special |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
         plain = ~special & ~pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) & (pc.binary_length(texts).to_numpy() > 0)
         others = [self.slow([t])[0] if s else self.ordinary([t])[0] for t, s in zip(texts.filter(pa.array(~plain)).to_pylist(), special[~plain], strict=True)]
-        ids, counts = interleaved(plain, *encode_by_parts(texts.filter(pa.array(plain)), self.ordinary, self.begins, " ")[:2], others)
+        try:
+            ids, counts = interleaved(plain, *encode_by_parts(texts.filter(pa.array(plain)), self.ordinary, self.begins, " ")[:2], others)
+        except PartsRun:
+            return self.whole(texts)
         if self.fast:
             ends = np.cumsum(counts)
             chosen = [i for i, t in enumerate(texts) if zlib.crc32(t.as_buffer() or b"") % CHECKED == 0]
             for i, expected in zip(chosen, self.slow([texts[i].as_py() for i in chosen]), strict=True):
                 if ids[ends[i] - counts[i] : ends[i]].tolist() != expected:
-                    raise ValueError(f"the two libraries' ids differ for a text of {len(texts[i].as_py())} characters")
+                    return self.whole(texts)
         return ids, counts
 
+    def whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.differing += 1
+        found = self.slow(texts.to_pylist())
+        return flat(found), np.array(list(map(len, found)), np.int64)
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -122,7 +132,12 @@ def ranks_within(cells: np.ndarray, before: np.ndarray) -> np.ndarray:
     return found
 
 
-def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH) -> DataFrame:
+def warn_of(differing: Accumulator) -> None:
+    if differing.value:
+        warnings.warn(f"{differing.value} batches of texts were encoded by the tokenizers library, as the faster one's ids differ there", stacklevel=2)
+
+
+def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH, differing: Accumulator | None = None) -> DataFrame:
     """A row for each piece of each document, with its ids (2 bytes each if the vocabulary allows that, else 4), its cell and its
     place among those of its cell in its task."""
 
@@ -130,7 +145,9 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int
         encode = encoder(json_path, ranks_path)
         task, before = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
-            ids, counts = encode(batch.column(1))
+            so_far, (ids, counts) = encode.differing, encode(batch.column(1))
+            if differing is not None and encode.differing > so_far:
+                differing.add(1)
             closed = np.insert(ids, np.cumsum(counts), END).astype(encode.kind)
             sizes = counts + 1
             n, first = -(-sizes // length), (sizes - 1) % length + 1
@@ -280,8 +297,10 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     """
     if json_path is None:
         json_path, ranks_path = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("byte_bpe_50k.tiktoken")
+    differing = docs.sparkSession.sparkContext.accumulator(0)
     with scratch(docs.sparkSession):
-        cut = stored(pieces(docs, json_path, ranks_path, length), "pieces", keep=True)
+        cut = stored(pieces(docs, json_path, ranks_path, length, differing), "pieces", keep=True)
+    warn_of(differing)
     histogram = {cell: n for cell, n in cut.groupBy("cell").count().collect()}  # as many rows as there are lengths
     table = slots(plan(histogram, length))
     keys = table[:, 0] << 44 | table[:, 1]
