@@ -1,8 +1,8 @@
 """Extraction of symbols and references from source text, by rules for each language.
 
-A file becomes rows of lines; each rule is a regular expression that a line may match, so extraction is a narrow
-transformation. A symbol's parent is the nearest earlier symbol that is indented less, found with a stack over each file's
-lines. There is no full parser here: the rules see declarations that begin on one line.
+A file becomes rows of statements (`lexing`), which may span lines and hold no comments; each rule is a regular expression that a statement may match, so
+extraction is a narrow transformation. A symbol's parent is the nearest earlier symbol that is indented less, found with a stack over each file's
+statements. There is no full parser here: the rules see how declarations begin.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import node_id
+from .lexing import scanned
 
 
 class Rule(NamedTuple):
@@ -28,7 +29,6 @@ SYMBOL_SCHEMA = (
     "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, is_exported boolean, indent int, signature string, parent_id string, docstring string"
 )
 PARENTS = ("class", "interface", "struct", "trait", "enum", "module", "protocol", "function", "method", "component")
-COMMENT = r"^\s*(//|#(?!\s*include|\[)|\*|/\*|--)"
 MARKERS = r"^\s*(?:/\*+|\*+/|\*+|//[/!]*|#+|-{2,})\s?|\*+/\s*$"
 GOES_ON = r"^\s*(?:[{}\])]|(?i:end)\b)"
 DECORATOR = r"^\s*(?:@|#\[|\[[A-Z])"
@@ -45,7 +45,7 @@ RULES = [
         ("import", r"^\s*(?:import\b.*?from\s*|import\s*|export\b.*?from\s*)['\"]([^'\"]+)['\"]"),
     )),
     Rule("python", "class", r"^\s*class\s+([A-Za-z_]\w*)"), Rule("python", "function", r"^(?:async\s+)?def\s+([A-Za-z_]\w*)"), Rule("python", "method", r"^\s+(?:async\s+)?def\s+([A-Za-z_]\w*)"),
-    Rule("python", "import", r"^\s*(?:from\s+([\w.]+)\s+import|import\s+[\w.]+)"),
+    Rule("python", "import", r"^\s*(?:from|import)\s+([\w.]+)"),
     Rule("go", "function", r"^func\s+([A-Za-z_]\w*)\s*[\[(]"), Rule("go", "method", r"^func\s+\([^)]*\)\s+([A-Za-z_]\w*)"), Rule("go", "struct", r"^type\s+([A-Za-z_]\w*)\s+struct\b"), Rule("go", "interface", r"^type\s+([A-Za-z_]\w*)\s+interface\b"), Rule("go", "import", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$"),
     Rule("rust", "function", r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+([A-Za-z_]\w*)"), Rule("rust", "method", r"^\s+(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+([A-Za-z_]\w*)"), Rule("rust", "struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)"), Rule("rust", "trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)"), Rule("rust", "enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_]\w*)"), Rule("rust", "import", r"^\s*(?:pub\s+)?use\s+([\w:]+)"),
     *(Rule(lang, kind, pattern) for lang in ("java", "csharp", "kotlin", "scala") for kind, pattern in (
@@ -117,9 +117,8 @@ def language_of(path: Column, text: Column | None = None) -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """path, language, line, text for each line that is neither blank nor a comment alone."""
-    rows = files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("n", "text"))
-    return rows.filter((F.trim("text") != "") & ~F.col("text").rlike(COMMENT)).select("path", "language", (F.col("n") + 1).alias("line"), "text")
+    """path, language, line, text, bare for each statement: its first line, its code on one line, and the same with the content of strings blanked."""
+    return scanned(files).filter("NOT is_comment").select("path", "language", "line", "text", "bare")
 
 
 def file_nodes(files: DataFrame) -> DataFrame:
@@ -134,16 +133,16 @@ def file_nodes(files: DataFrame) -> DataFrame:
 def symbols(files: DataFrame) -> DataFrame:
     """Nodes with parent_id, qualified_name (all containers around, `A::B::c`), end_line and docstring; files (path, language, text) themselves are not among them.
 
-    Of several rules a line fits, the first counts. A symbol ends before the next line that is indented no more, brackets and `end` included. Comments right
-    above it, or above its decorators, are its docstring. A file's lines meet in one group, which the size limit of files bounds.
+    Of several rules a statement fits, the first counts. A symbol ends before the next statement that is indented no more, brackets and `end` included. Comments right
+    above it, or above its decorators, are its docstring. A file's statements meet in one group, which the size limit of files bounds.
     """
-    hits = [F.when((F.col("language") == r.language) & F.col("text").rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract("text", r.pattern, 1).alias("name"))) for r in RULES]
-    rows = files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("n", "text")).filter(F.trim("text") != "").withColumn("is_comment", F.col("text").rlike(COMMENT))
-    rows = rows.withColumn("hit", F.when(~F.col("is_comment"), F.coalesce(*hits)))
+    shown = lambda r: "text" if r.kind == "import" or r.language == "liquid" else "bare"
+    hits = [F.when((F.col("language") == r.language) & F.col(shown(r)).rlike(r.pattern), F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(shown(r), r.pattern, 1).alias("name"))) for r in RULES]
+    rows = scanned(files).withColumn("hit", F.when(~F.col("is_comment"), F.coalesce(*hits)))
     found = F.coalesce(F.col("hit.name"), F.lit("")) != ""
     rows = rows.select(
-        "path", "language", (F.col("n") + 1).alias("line"), "is_comment", F.when(found, F.col("hit.kind")).alias("kind"), F.when(found, F.col("hit.name")).alias("name"),
-        F.length(F.regexp_extract("text", r"^\s*", 0)).alias("indent"), F.when(found | F.col("is_comment"), F.trim("text")).alias("signature"),
+        "path", "language", "line", "end_line", "indent", "is_comment", F.when(found, F.col("hit.kind")).alias("kind"), F.when(found, F.col("hit.name")).alias("name"),
+        F.when(found | F.col("is_comment"), F.trim("text")).alias("signature"),
         F.col("text").rlike(GOES_ON).alias("goes_on"), F.col("text").rlike(DECORATOR).alias("decorator"),
         (F.col("text").rlike(EXPORTED) | ((F.col("language") == "go") & F.col("hit.name").rlike("^[A-Z]")) | ((F.col("language") == "python") & ~F.col("hit.name").startswith("_"))).alias("is_exported"),
     )
@@ -162,11 +161,11 @@ def _nest(rows: pd.DataFrame) -> pd.DataFrame:
         while around and (around[-1]["indent"] > r.indent or (around[-1]["indent"] == r.indent and not r.goes_on)):
             around.pop()
         for outer in around:
-            outer["end_line"] = r.line
+            outer["end_line"] = r.end_line
         if r.name:
             outer = [o for o in around if o["kind"] in PARENTS]
             out.append({
-                "id": r.id, "kind": r.kind, "name": r.name, "qualified_name": "::".join([*(o["name"] for o in outer), r.name]), "file_path": r.path, "language": r.language, "start_line": r.line, "end_line": r.line,
+                "id": r.id, "kind": r.kind, "name": r.name, "qualified_name": "::".join([*(o["name"] for o in outer), r.name]), "file_path": r.path, "language": r.language, "start_line": r.line, "end_line": r.end_line,
                 "is_exported": bool(r.is_exported), "indent": r.indent, "signature": r.signature, "parent_id": outer[-1]["id"] if outer else f"file:{r.path}",
                 "docstring": "\n".join(t for t in (re.sub(MARKERS, "", c).strip() for c in above) if t) or None if above and before == r.line - 1 else None,
             })
@@ -174,7 +173,7 @@ def _nest(rows: pd.DataFrame) -> pd.DataFrame:
                 around.append(out[-1])
         if not r.decorator:
             above = []
-        before = r.line
+        before = r.end_line
     return pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOL_SCHEMA.split(", ")])
 
 
@@ -183,9 +182,9 @@ def contains_edges(found: DataFrame) -> DataFrame:
 
 
 def references(files: DataFrame, found: DataFrame) -> DataFrame:
-    """from_node_id, reference_name, reference_kind, line, file_path, language: what lines refer to, from the nearest symbol at or above them."""
-    each = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _referring(kind)) for kind, p in REFERENCES))
-    own_ = [F.when(F.col("language").isin(*languages), F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _referring(kind))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")) for languages, kind, p in OWN_REFERENCES]
+    """from_node_id, reference_name, reference_kind, line, file_path, language: what statements refer to outside comments and strings, from the nearest symbol at or above them."""
+    each = F.concat(*(F.transform(F.regexp_extract_all("bare", F.lit(p), F.lit(1)), _referring(kind)) for kind, p in REFERENCES))
+    own_ = [F.when(F.col("language").isin(*languages), F.transform(F.regexp_extract_all("text" if languages[0] in ("pascal", "liquid") else "bare", F.lit(p), F.lit(1)), _referring(kind))).otherwise(F.array().cast("array<struct<kind:string,name:string>>")) for languages, kind, p in OWN_REFERENCES]
     known = F.filter(F.concat(*own_), lambda r: ~r["name"].isin(*OWN_TYPES))
     called = F.filter(each, lambda r: (F.col("language") != "svelte") | ~r["name"].rlike(RUNES))
     rows = lines(files).select("path", "language", "line", F.explode(F.array_distinct(F.concat(called, known))).alias("r"))
@@ -210,18 +209,19 @@ def _referring(kind: str):
 
 def routes(files: DataFrame) -> DataFrame:
     """framework, path, line, method, url for each route declaration."""
-    rows = lines(files)
     found = [
-        rows.filter(F.col("language").isin(*languages) & F.col("text").rlike(p)).select(F.lit(name).alias("framework"), "path", "line", F.upper(F.regexp_extract("text", p, 1)).alias("method"), F.regexp_extract("text", p, 2).alias("url"))
+        F.when(F.col("language").isin(*languages) & F.col("text").rlike(p), F.struct(F.lit(name).alias("framework"), F.upper(F.regexp_extract("text", p, 1)).alias("method"), F.regexp_extract("text", p, 2).alias("url")))
         for name, languages, p in ROUTES
     ]
-    return reduce(DataFrame.unionByName, found)
+    return lines(files).select("path", "line", F.explode(F.array_compact(F.array(*found))).alias("r")).select("r.framework", "path", "line", "r.method", "r.url")
 
 
-def without_comments(text: Column) -> Column:
-    """C-style comments and `#` comments blanked, line ends kept, so that positions of lines stay."""
-    block = F.regexp_replace(text, F.lit(r"(?s)/\*.*?\*/"), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(block, F.lit(r"(?m)(?<![:'\"])//[^\n]*$"), F.lit("")), F.lit(r"(?m)^\s*#(?!\[|!|include)[^\n]*$"), F.lit(""))
+def page_calls(pages: DataFrame) -> DataFrame:
+    """page_id, name, n: the functions that a page's scripts call, and how often, comments and strings left out. A page without scripts has none."""
+    scripts = pages.select(F.col("page_id"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("text"))
+    rows = lines(scripts.select(F.col("page_id").cast("string").alias("path"), F.lit("javascript").alias("language"), "text"))
+    calls = rows.select(F.col("path").cast("long").alias("page_id"), F.explode(F.regexp_extract_all("bare", F.lit(dict(REFERENCES)["calls"]), F.lit(1))).alias("name"))
+    return calls.groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_elements(pages: DataFrame) -> DataFrame:

@@ -971,3 +971,10 @@ def page_elements(spark, sf_dir):
 @query(" SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM events GROUP BY event_type", on_graph=False)
 def events_incremental_stats(spark, sf_dir):
     return event_totals(spark, sf_dir)
+
+
+@query(r"""
+SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(s, '"[^"]*"', '""', 'g'), '([A-Za-z_$][\w$]*)\s*\(', 1)) AS name
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS s FROM pages)) GROUP BY page_id, name""", on_graph=False)
+def page_calls(spark, sf_dir):
+    return extract.page_calls(table(spark, sf_dir, "pages"))
