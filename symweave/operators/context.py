@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import dir_name, is_test_file, path_relevance, question_symbols, stems, title_case, words_of
 from ..schema import Graph
 from ..sources.snapshots import stored
+from .index import Index, build
 from .graph import children, hierarchy, traverse
 from .lookup import induced, of_kind
 from .search import compound, holding, like, rescored, search_fields, term_hits, top
@@ -46,20 +47,20 @@ def damp_tests(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.when(is_test_file(F.col("file_path")), F.col("score") * DAMPED).otherwise(F.col("score")))
 
 
-def definitions(nodes: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+def definitions(nodes: DataFrame, terms: DataFrame, most: int, index: Index | None = None) -> DataFrame:
     """query_id, id, score: for each term (query_id, term) the best types whose name begins with it: the search score, PREFIX_POINTS and more for short names.
 
     Terms that are written in title case already are left to exact names.
     """
     asked = terms.filter(F.col("term") != title_case(F.col("term"))).select("query_id", F.lower("term").alias("query")).distinct()
-    hits = rescored(like(of_kind(nodes, *TYPE_KINDS), asked).filter(F.startswith(F.lower("name"), F.col("query"))))
+    hits = rescored(like(of_kind(nodes, *TYPE_KINDS), asked, index).filter(F.startswith(F.lower("name"), F.col("query"))))
     brevity = F.greatest(F.lit(0), BREVITY_MOST - F.floor((F.length("name") - F.length("query")) / BREVITY_STEP))
     scored = hits.withColumn("score", F.col("total") + PREFIX_POINTS + brevity)
     best = top(scored, ["query_id", "query"], [F.desc("score"), F.asc("id")], most)
     return best.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def inside_names(nodes: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+def inside_names(nodes: DataFrame, terms: DataFrame, most: int, index: Index | None = None) -> DataFrame:
     """query_id, id, score: types whose name has a term (query_id, query, term) in title case behind another letter, as blueRing and HTTPRing have ring.
 
     8 and more for short names and for the path; with n terms a score s becomes s (1 + n) + 30 (n - 1). Of each term 2 most take part, and most remain.
@@ -68,7 +69,7 @@ def inside_names(nodes: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     title = title_case(F.col("term"))
     asked = terms.select("query_id", "query", F.lower("term").alias("term")).distinct().filter(F.length("term") >= 3).withColumn("title", title)
     own = of_kind(nodes, *TYPE_KINDS).select("id", "name", "file_path")
-    hits = holding(own.select("name"), "name", asked, "title").join(own, "name")
+    hits = holding(own.select("name"), "name", asked, "title", index and index.runs).join(own, "name")
     place = F.instr(F.col("name"), F.col("title"))
     hits = hits.filter((place > 1) & F.substr("name", place - 1, F.lit(1)).rlike("[a-zA-Z]") & (F.lower("query").rlike("test|spec") | ~is_test_file(F.col("file_path"))))
     points = 8 + F.greatest(F.lit(0.0), 6 - (F.length("name") - F.length("title")) / 4) + path_relevance(F.col("file_path"), words_of(F.col("query")), F.col("query"))
@@ -239,9 +240,10 @@ def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes:
     together = exact_hits.groupBy("query_id", "file_path").agg(F.countDistinct("term").alias("n"))
     exact = stored(exact_hits.join(together, ["query_id", "file_path"]).select("query_id", "id", (100.0 + 20 * (F.col("n") - 1)).alias("score")), "exact")
     single = with_stems.select(F.concat_ws("\u0001", "query_id", "term").alias("query_id"), F.col("term").alias("query"))
-    ranked = search_fields(nodes, single, {"name": 20.0, "qualified_name": 5.0})
+    index = graph.index or build(nodes)
+    ranked = search_fields(single, index)
     text = term_hits(ranked.select(F.split_part("query_id", F.lit("\u0001"), F.lit(1)).alias("query_id"), F.split_part("query_id", F.lit("\u0001"), F.lit(2)).alias("term"), "id", "score"))
-    channels = [exact, definitions(nodes, with_stems, search_limit), text, compound(nodes, terms), inside_names(nodes, terms, search_limit)]
+    channels = [exact, definitions(nodes, with_stems, search_limit, index), text, compound(nodes, terms, index), inside_names(nodes, terms, search_limit, index)]
     found = to_definitions(merged(*channels), graph).join(nodes.select("id", "name", "file_path"), "id")
     weighed = damp_tests(weigh_groups(found, terms, exact))
     entries = stored(top(weighed.filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.asc("id")], search_limit).select("query_id", "id", "score"), "entries")

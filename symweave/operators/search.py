@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import kind_bonus, name_match_bonus, path_relevance, words_of
 from ..schema import LANGUAGES, NODE_KINDS
 from ..sources.snapshots import stored
+from .index import Index
 
 K1, B = 1.2, 0.75
 GRAM = 3
@@ -37,17 +38,20 @@ def grams(text: Column, n: Column | int) -> Column:
     return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def holding(texts: DataFrame, column: str, queries: DataFrame, part: str) -> DataFrame:
+def holding(texts: DataFrame, column: str, queries: DataFrame, part: str, runs: DataFrame | None = None) -> DataFrame:
     """Pairs of texts (their only column) and queries whose part stands in the text, whatever the case. Empty parts stand nowhere.
 
-    A part is looked up by its rarest run of GRAM letters (or as a whole, if it is shorter), and what is found is compared.
+    A part is looked up by its rarest run of GRAM letters (or as a whole, if it is shorter), and what is found is compared. runs: the stored runs (gram and
+    the column) of texts or more; without them, texts are taken apart and what is not asked for is left at once. Nothing is written.
     """
     low = F.lower(column)
-    runs = F.flatten(F.array(*(grams(low, n) for n in range(1, GRAM + 1))))
-    posted = stored(texts.select(column).distinct().select(column, F.explode(runs).alias("gram")), "grams")
     asked = queries.select(F.lower(part).alias("_part")).filter("_part <> ''").distinct()
     asked = asked.select("_part", F.explode(grams(F.col("_part"), F.least(F.length("_part"), F.lit(GRAM)))).alias("gram"))
-    often = posted.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    if runs is None:
+        each = F.flatten(F.array(*(grams(low, n) for n in range(1, GRAM + 1))))
+        runs = texts.select(column).distinct().select(F.explode(each).alias("gram"), column)
+    posted = runs.join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     all_there = asked.join(often, "gram", "left").groupBy("_part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     hits = all_there.join(posted, "gram").filter(F.contains(low, F.col("_part"))).select("_part", column)
     return queries.withColumn("_part", F.lower(part)).join(hits, "_part").drop("_part")
@@ -110,10 +114,10 @@ def filtered(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, kept)
 
 
-def like(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def like(nodes: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
     """query_id, query, score and the node's columns: 1 for the query's own name, 0.9 for names it begins, 0.8 for names that hold it."""
     low, q = F.lower("name"), F.lower("query")
-    hits = holding(nodes.select("name"), "name", queries, "query")
+    hits = holding(nodes.select("name"), "name", queries, "query", index and index.runs)
     return hits.withColumn("score", F.when(F.col("name") == F.col("query"), 1.0).when(F.startswith(low, q), 0.9).otherwise(0.8)).join(nodes, "name")
 
 
@@ -127,11 +131,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def field_tokens(nodes: DataFrame, weights: dict[str, float]) -> Column:
+    """Words of all fields that nodes have, with their weights."""
+    return F.concat(*(F.transform(tokens(F.coalesce(c, F.lit(""))), _weighted(w)) for c, w in weights.items() if c in nodes.columns))
+
+
 def field_postings(nodes: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """term, id, tf (weighted over the fields) and length (tokens in all fields) for each term of each node."""
-    each = F.concat(*(F.transform(tokens(F.col(c)), _weighted(w)) for c, w in weights.items()))
-    rows = nodes.select("id", each.alias("each")).select("id", F.size("each").alias("length"), F.explode("each").alias("e"))
-    return rows.groupBy("id", "length", F.col("e.term").alias("term")).agg(F.sum("e.weight").alias("tf"))
+    """term, id, length (words in all fields) and tf (weighted over the fields) for each term of each node."""
+    rows = nodes.select("id", field_tokens(nodes, weights).alias("each")).select("id", F.size("each").alias("length"), F.explode("each").alias("e"))
+    return rows.groupBy(F.col("e.term").alias("term"), "id", "length").agg(F.sum("e.weight").alias("tf"))
 
 
 def _weighted(weight: float) -> Callable[[Column], Column]:
@@ -161,31 +169,37 @@ def bm25(found: DataFrame, query_terms: DataFrame, n: int, mean_length: float) -
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def search_texts(docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = 10) -> DataFrame:
-    """query_id, id, score, rank: the best texts for each query by BM25 over words. Texts are read once: a row keeps its length and its words that queries have."""
+def search_texts(docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = 10, most_words: int = 1 << 13) -> DataFrame:
+    """query_id, id, score, rank: the best texts for each query by BM25 over words.
+
+    Texts are read once; a row keeps its length and, of its words, those that queries have. Up to most_words different words of queries are looked up in the
+    row itself, as a set that goes to every task; beyond that words and queries meet in a join.
+    """
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     query_terms = stored(queries.select("query_id", F.explode(F.array_distinct(words("query"))).alias("term")), "terms")
-    lengths = docs.select(F.col(id_column).alias("id"), words(text).alias("words")).withColumn("length", F.size("words").cast("long"))
-    each = lengths.select("id", "length", F.explode_outer("words").alias("term")).join(query_terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
-    counted = each.groupBy("id", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    posted = stored(counted, "postings")
+    distinct = query_terms.select("term").distinct()
+    rows = docs.select(F.col(id_column).alias("id"), words(text).alias("words")).withColumn("length", F.size("words").cast("long"))
+    if distinct.count() <= most_words:
+        known = [r.term for r in distinct.collect()]
+        each = rows.select("id", "length", F.explode_outer(F.filter("words", lambda w: w.isin(known))).alias("term"))
+    else:
+        every = rows.select("id", "length", F.explode_outer("words").alias("term")).join(distinct.withColumn("asked", F.lit(True)), "term", "left")
+        each = every.select("id", "length", F.when(F.col("asked"), F.col("term")).alias("term"))
+    posted = stored(each.groupBy("id", "length", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "postings")
     n, mean = posted.select("id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
     scored = bm25(posted.filter("term IS NOT NULL"), query_terms, n, mean or 1.0)
     return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], most)
 
 
-def search_fields(nodes: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """query_id, id, score: nodes by BM25 over weighted fields, where a query's word also matches the longer words it begins."""
-    posted = stored(field_postings(nodes, weights), "postings")
+def search_fields(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, id, score: nodes of the index by BM25 over weighted fields, where a query's word also matches the longer words it begins."""
     query_words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("word"))
-    known = posted.select("term").distinct()
-    prefixes = known.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substr(F.col("term"), F.lit(1), k))).alias("word"))
-    expanded = query_words.join(prefixes, "word")
-    hits = expanded.join(posted, "term").groupBy("query_id", "word", "id", "length").agg(F.sum("tf").alias("tf"))
-    n, mean = nodes.select(F.size(F.concat(*(tokens(F.col(c)) for c in weights))).alias("length")).agg(F.count(F.lit(1)), F.avg("length")).first()
+    expanded = query_words.join(index.prefixes, "word")
+    hits = expanded.join(index.postings, "term").groupBy("query_id", "word", "id", "length").agg(F.sum("tf").alias("tf"))
+    n, tokens_ = index.totals.first()
     df = hits.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    tf = F.col("tf")
-    part = idf(F.lit(float(n)), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))
+    tf, mean = F.col("tf"), tokens_ / n if n and tokens_ else 1.0
+    part = idf(F.lit(float(n)), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
     return hits.join(df, ["query_id", "word"]).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -195,30 +209,61 @@ def rescored(hits: DataFrame) -> DataFrame:
     return hits.withColumn("total", F.round(F.col("score") + bonus, 6))
 
 
-def exact_supplement(nodes: DataFrame, queries: DataFrame, hits: DataFrame, per_term: int = 20) -> DataFrame:
-    """query_id, query, id, score: nodes called like one of a query's words that its hits (query_id, id, score) lack, per_term of each, with the best score of the hits."""
-    terms = queries.select("query_id", "query", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+"))).alias("term")).filter("term <> ''")
-    named = terms.join(nodes.select("id", F.lower("name").alias("term")), "term")
+def exact_supplement(nodes: DataFrame, queries: DataFrame, hits: DataFrame, filters: Sequence[tuple[str, Column]] = (), per_term: int = 20) -> DataFrame:
+    """query_id, query, id, score: nodes called like one of a query's words (of two letters or more) that its hits (query_id, id, score) lack, per_term of each,
+    with the best score of the hits. filters: what nodes must pass, as for passes, over columns of queries and nodes."""
+    terms = queries.withColumn("term", F.explode(F.array_distinct(F.split(F.lower(F.trim("query")), r"\s+")))).filter("length(term) >= 2")
+    named = terms.join(nodes.withColumn("term", F.lower("name")), "term")
+    named = named.filter(passes(filters)) if filters else named
     few = top(named, ["query_id", "term"], [F.asc("id")], per_term).select("query_id", "query", "id").distinct()
     best = hits.groupBy("query_id").agg(F.max("score").alias("score"))
     return few.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(best, "query_id").select("query_id", "query", "id", "score")
 
 
-def cascade(nodes: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+def cascade(nodes: DataFrame, queries: DataFrame, index: Index, most: int = 10) -> DataFrame:
     """query_id, id, stage, total, rank: for each query the first stage that finds anything (words, then substrings, then near names), with exact names
-    added, rescored. Only queries without a hit go on to the next stage."""
-    columns, found, left = ["query_id", "query", "id", "score"], [], stored(queries, "queries")
+    added, rescored. Only queries without a hit go on to the next stage.
+
+    Fields in a query (fields()) filter: kinds and languages before hits are counted and ranked, paths and names among the most best. A query of fields alone lists
+    nodes of its kinds and languages by name, 5 most of them (stage 0), and scores those.
+    """
+    columns, found = ["query_id", "query", "id", "score"], []
+    parsed = stored(fields(queries), "queries")
+    hard = [("kinds", F.array_contains("kinds", F.col("kind"))), ("languages", F.array_contains("languages", F.col("language")))]
+    textual = parsed.filter("text <> ''").select("query_id", F.col("text").alias("query"), "kinds", "languages")
+    narrow = nodes.select("id", "name", "kind", "language")
+
+    def passing(hits: DataFrame) -> DataFrame:
+        return hits.select(*columns).join(textual.select("query_id", "kinds", "languages"), "query_id").join(narrow.drop("name"), "id").filter(passes(hard)).select(*columns)
+
+    left = textual
     stages = [
-        (1, lambda q: search_fields(nodes, q, {"name": 20.0, "qualified_name": 5.0}).join(q, "query_id")),
-        (2, lambda q: like(nodes, q)),
-        (3, lambda q: fuzzy(nodes, q)),
+        (1, lambda q: search_fields(q, index).join(q.select("query_id", "query"), "query_id")),
+        (2, lambda q: like(narrow.select("id", "name"), q.select("query_id", "query"), index)),
+        (3, lambda q: fuzzy(narrow.select("id", "name"), q.select("query_id", "query"))),
     ]
     for stage, find in stages:
-        hits = stored(find(left.filter(F.length("query") >= stage)).select(*columns), "hits")
-        found.append(hits.unionByName(exact_supplement(nodes, left, hits)).withColumn("stage", F.lit(stage)))
+        hits = stored(passing(find(left.filter(F.length("query") >= stage))), "hits")
+        found.append(hits.unionByName(exact_supplement(narrow, left, hits, hard)).withColumn("stage", F.lit(stage)))
         left = stored(left.join(hits.select("query_id").distinct(), "query_id", "left_anti"), "queries")
+        if left.isEmpty():
+            break
+    bare = parsed.filter("text = ''").filter((F.size("kinds") > 0) | (F.size("languages") > 0) | (F.size("paths") > 0) | (F.size("names") > 0))
+    listed = top(listing(narrow, bare), ["query_id"], [F.asc("name"), F.asc("id")], 5 * most)
+    found.append(listed.select("query_id", "query", "id", F.lit(1.0).alias("score"), F.lit(0).alias("stage")))
     hits = reduce(DataFrame.unionByName, found).join(nodes, "id")
-    return top(rescored(hits), ["query_id"], [F.desc("total"), F.asc("id")], most).select("query_id", "id", "stage", "total", "rank")
+    best = top(rescored(hits), ["query_id"], [F.desc("total"), F.asc("id")], most).drop("rank")
+    low = lambda c, part: F.contains(F.lower(c), F.lower(part))
+    soft = [("paths", F.exists("paths", lambda p: low("file_path", p))), ("names", F.exists("names", lambda p: low("name", p)))]
+    kept = best.join(parsed.select("query_id", "paths", "names"), "query_id").filter(passes(soft))
+    return top(kept, ["query_id"], [F.desc("total"), F.asc("id")], most).select("query_id", "id", "stage", "total", "rank")
+
+
+def listing(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, query, id, name: nodes of a query's kinds and languages; all of them, where it names none."""
+    every = lambda column, all_: F.when(F.size(column) > 0, F.col(column)).otherwise(F.array(*map(F.lit, all_)))
+    asked = queries.select("query_id", "query", F.explode(every("kinds", NODE_KINDS)).alias("kind"), "languages").select("query_id", "query", "kind", F.explode(every("languages", LANGUAGES)).alias("language"))
+    return asked.join(nodes, ["kind", "language"]).select("query_id", "query", "id", "name")
 
 
 def per_name_limit(hits: DataFrame, limit: int) -> DataFrame:
@@ -255,9 +300,9 @@ def term_hits(found: DataFrame, step: float = 5.0) -> DataFrame:
     return found.groupBy("query_id", "id").agg((F.max("score") + step * (F.countDistinct("term") - 1)).alias("score"), F.countDistinct("term").alias("hits"))
 
 
-def compound(nodes: DataFrame, query_terms: DataFrame) -> DataFrame:
+def compound(nodes: DataFrame, query_terms: DataFrame, index: Index | None = None) -> DataFrame:
     """query_id, id, score: nodes whose name holds two or more of a query's terms (query_id, query, term): 10, 20 for each term beyond the first, path and brevity."""
-    hits = holding(nodes.select("name"), "name", query_terms, "term")
+    hits = holding(nodes.select("name"), "name", query_terms, "term", index and index.runs)
     many = hits.groupBy("query_id", "query", "name").agg(F.countDistinct("term").alias("terms")).filter("terms >= 2")
     brevity = F.greatest(F.lit(0), 6 - F.floor((F.length("name") - 8) / 4))
     path = path_relevance(F.col("file_path"), words_of(F.col("query")), F.col("query"))

@@ -355,7 +355,8 @@ LIKE = "likes AS (SELECT query, id, name, kind, file_path, CASE WHEN name = quer
 
 @query(f", {WORDS}, {LIKE} SELECT query, id, CAST(score AS DOUBLE) AS score FROM likes")
 def search_like(spark, sf_dir):
-    return search.like(project(spark, sf_dir).nodes, asked(spark, sf_dir)).select("query", "id", F.col("score").cast("double").alias("score"))
+    g = project(spark, sf_dir)
+    return search.like(g.nodes, asked(spark, sf_dir), g.index).select("query", "id", F.col("score").cast("double").alias("score"))
 
 
 FIELDS = """tok AS (SELECT id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS term, 20.0 AS w FROM nodes
@@ -368,7 +369,7 @@ bm AS (SELECT query, id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) *
 
 @query(f", {WORDS}, {FIELDS} SELECT query AS query_id, id, CAST(score AS DOUBLE) AS score FROM bm")
 def search_prefix_fts(spark, sf_dir):
-    return search.search_fields(project(spark, sf_dir).nodes, asked(spark, sf_dir), {"name": 20.0, "qualified_name": 5.0})
+    return search.search_fields(asked(spark, sf_dir), project(spark, sf_dir).index)
 
 
 DOC_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
@@ -418,37 +419,58 @@ KIND_SQL = "CASE kind WHEN 'function' THEN 10 WHEN 'method' THEN 10 WHEN 'class'
 , {WORDS}, {LIKE}, t AS (SELECT query, id, round(score + {KIND_SQL} + {PATH_SQL} + {_name_bonus_sql("name", "query")}, 6) AS total FROM likes),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS rank FROM t) SELECT query, id, CAST(total AS DOUBLE) AS total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""")
 def search_rescored(spark, sf_dir):
-    hits = search.rescored(search.like(project(spark, sf_dir).nodes, asked(spark, sf_dir)))
+    g = project(spark, sf_dir)
+    hits = search.rescored(search.like(g.nodes, asked(spark, sf_dir), g.index))
     return search.top(hits, ["query"], [F.desc("total"), F.asc("id")], 20).select("query", "id", F.col("total").cast("double").alias("total"), "rank")
 
 
-MIXED = """asked AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part UNION SELECT DISTINCT substr(split_part(p_name, ' ', 2), 2) FROM part
-      UNION SELECT DISTINCT substr(replace(p_name, ' ', ''), 1, 3) || substr(replace(p_name, ' ', ''), 5) FROM part)"""
+_WORD1, _WORD2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+#: where, query, text, kinds, languages, paths, names
+FIELDED = (
+    ("p_size <= 10", f"'kind:function ' || {_WORD1}", _WORD1, "['function']", "[]", "[]", "[]"), ("p_size > 45", f"{_WORD1} || ' kind:class'", _WORD1, "['class']", "[]", "[]", "[]"),
+    ("p_size BETWEEN 11 AND 20", f"'lang:Python ' || {_WORD2}", _WORD2, "[]", "['python']", "[]", "[]"), ("p_size BETWEEN 21 AND 30", f"'path:Brand_1 ' || {_WORD2}", _WORD2, "[]", "[]", "['Brand_1']", "[]"),
+    ("p_size BETWEEN 31 AND 45", f"'name:ed ' || {_WORD1}", _WORD1, "[]", "[]", "[]", "['ed']"), ("p_size = 1", "'kind:class kind:interface name:#00000001'", "''", "['class', 'interface']", "[]", "[]", "['#00000001']"),
+    ("p_size = 1", "'language:python kind:function'", "''", "['function']", "['python']", "[]", "[]"),
+)
+_row = lambda where, query, text, kinds, languages, paths, names: f"SELECT {query}, {text}, {kinds}, {languages}, {paths}, {names} FROM part WHERE {where}"
+MIXED = f"""q AS (SELECT DISTINCT * FROM (SELECT query AS query_id, query, CAST([] AS VARCHAR[]) AS kinds, CAST([] AS VARCHAR[]) AS languages, CAST([] AS VARCHAR[]) AS paths, CAST([] AS VARCHAR[]) AS names FROM (
+      SELECT {_WORD1} AS query FROM part UNION SELECT substr({_WORD2}, 2) FROM part UNION SELECT substr(replace(p_name, ' ', ''), 1, 3) || substr(replace(p_name, ' ', ''), 5) FROM part)
+      UNION ALL {" UNION ALL ".join(_row(*f) for f in FIELDED)})),
+asked AS (SELECT DISTINCT query FROM q WHERE query <> '')"""
 TOTAL_SQL = f"round(score + {KIND_SQL} + {PATH_SQL} + {_name_bonus_sql('name', 'query')}, 6)"
+PASSES_SQL = "(len(kinds) = 0 OR list_contains(kinds, kind)) AND (len(languages) = 0 OR list_contains(languages, language))"
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, words without their first letter, and names without their mark and a letter."""
+    """Words, words without their first letter, names without their mark and a letter, and queries with fields."""
     part = table(spark, sf_dir, "part")
     run = F.replace("p_name", F.lit(" "), F.lit(""))
     asks = [F.split_part("p_name", F.lit(" "), F.lit(1)), F.substr(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(2)), F.concat(F.substr(run, F.lit(1), F.lit(3)), F.substr(run, F.lit(5)))]
-    return part.select(F.explode(F.array(*asks)).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+    fielded = [F.when(F.expr(where), F.expr(query)) for where, query, *_ in FIELDED]
+    return part.select(F.explode(F.array_compact(F.array(*asks, *fielded))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
 
 
 @query(f"""
 , {MIXED}, {FIELDS}, {LIKE},
-names AS (SELECT DISTINCT name FROM nodes), few AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM nodes),
-base AS (SELECT query, id, 1 AS stage, CAST(score AS DOUBLE) AS score FROM bm
-  UNION ALL SELECT query, id, 2, CAST(score AS DOUBLE) FROM likes WHERE query NOT IN (SELECT query FROM bm) AND length(query) >= 2
-  UNION ALL SELECT query, id, 3, 1.0 / (1 + levenshtein(lower(name), lower(query))) FROM asked JOIN names ON levenshtein(lower(name), lower(query)) <= CASE WHEN length(query) <= 4 THEN 1 ELSE 2 END JOIN few USING (name)
-    WHERE n <= 5 AND length(query) >= 3 AND query NOT IN (SELECT query FROM bm) AND query NOT IN (SELECT query FROM likes)),
-best AS (SELECT query, stage, max(score) AS score FROM base GROUP BY query, stage),
-more AS (SELECT a.query, n.id, row_number() OVER (PARTITION BY a.query ORDER BY n.id) AS k FROM asked a JOIN nodes n ON lower(n.name) = lower(a.query)),
-hits AS (SELECT * FROM base UNION ALL SELECT query, id, stage, score FROM more JOIN best USING (query) WHERE k <= 20 AND (query, id) NOT IN (SELECT (query, id) FROM base)),
-t AS (SELECT query, id, stage, {TOTAL_SQL} AS total FROM hits JOIN nodes USING (id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total DESC, id) AS rank FROM t) SELECT query AS query_id, id, stage, CAST(total AS DOUBLE) AS total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+names1 AS (SELECT DISTINCT name FROM nodes), few AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM nodes),
+s1 AS (SELECT query_id, q.query, id, 1 AS stage, CAST(score AS DOUBLE) AS score FROM bm JOIN q USING (query) JOIN nodes USING (id) WHERE {PASSES_SQL}),
+s2 AS (SELECT query_id, q.query, l.id, 2 AS stage, CAST(l.score AS DOUBLE) AS score FROM likes l JOIN q USING (query) JOIN nodes n ON n.id = l.id WHERE length(query) >= 2 AND query_id NOT IN (SELECT query_id FROM s1) AND {PASSES_SQL.replace("kinds, kind", "kinds, n.kind").replace("languages, language", "languages, n.language")}),
+near AS (SELECT query, name, 1.0 / (1 + levenshtein(lower(name), lower(query))) AS score FROM asked JOIN names1 ON levenshtein(lower(name), lower(query)) <= CASE WHEN length(query) <= 4 THEN 1 ELSE 2 END WHERE length(query) >= 3),
+s3 AS (SELECT query_id, q.query, id, 3 AS stage, CAST(near.score AS DOUBLE) AS score FROM near JOIN q USING (query) JOIN few USING (name) WHERE n <= 5 AND query_id NOT IN (SELECT query_id FROM s1) AND query_id NOT IN (SELECT query_id FROM s2) AND {PASSES_SQL}),
+base AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
+best AS (SELECT query_id, stage, max(score) AS score FROM base GROUP BY query_id, stage),
+more AS (SELECT query_id, q.query, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM q JOIN nodes ON lower(name) = lower(query) WHERE length(query) >= 2 AND {PASSES_SQL}),
+hits AS (SELECT * FROM base UNION ALL SELECT query_id, query, id, stage, score FROM more JOIN best USING (query_id) WHERE k <= 20 AND (query_id, id) NOT IN (SELECT (query_id, id) FROM base)),
+t AS (SELECT query_id, id, stage, {TOTAL_SQL} AS total FROM hits JOIN nodes USING (id)),
+bare AS (SELECT query_id, id, kind, name, row_number() OVER (PARTITION BY query_id ORDER BY name, id) AS k FROM q JOIN nodes ON {PASSES_SQL} WHERE query = ''),
+u AS (SELECT * FROM t UNION ALL SELECT query_id, id, 0, round(1.0 + {KIND_SQL} + {_name_bonus_sql("name", "query_id")}, 6) FROM bare WHERE k <= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS rank FROM u),
+kept AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS last FROM r JOIN q USING (query_id) JOIN nodes n USING (id)
+  WHERE rank <= 10 AND (len(paths) = 0 OR len(list_filter(paths, lambda p: contains(lower(file_path), lower(p)))) > 0) AND (len(q.names) = 0 OR len(list_filter(q.names, lambda p: contains(lower(n.name), lower(p)))) > 0))
+SELECT query_id, id, stage, CAST(total AS DOUBLE) AS total, CAST(last AS INT) AS rank FROM kept""")
 def search_cascade(spark, sf_dir):
-    return search.cascade(project(spark, sf_dir).nodes, mixed(spark, sf_dir))
+    g = project(spark, sf_dir)
+    return search.cascade(g.nodes, mixed(spark, sf_dir), g.index)
 
 
 @query(f"""
@@ -470,7 +492,8 @@ def symbol_lookup(spark, sf_dir):
 r AS (SELECT query, id, name, row_number() OVER (PARTITION BY query, lower(name) ORDER BY score DESC, id) AS k FROM (SELECT query, id, score FROM likes) JOIN nodes USING (id))
 SELECT query, id, name FROM r JOIN n USING (query) WHERE k <= greatest(8, ceil(30.0 / names))""")
 def search_per_name(spark, sf_dir):
-    hits = search.like(project(spark, sf_dir).nodes, asked(spark, sf_dir))
+    g = project(spark, sf_dir)
+    hits = search.like(g.nodes, asked(spark, sf_dir), g.index)
     return search.per_name_limit(hits, 30).select("query", "id", "name")
 
 
@@ -485,9 +508,9 @@ def exact_name_colocated(spark, sf_dir):
 , {WORDS}, t AS (SELECT 'all' AS query_id, query AS term FROM asked), h AS (SELECT query_id, id, term, CASE WHEN starts_with(name, term) THEN 0.9 ELSE 0.8 END AS score FROM t JOIN nodes ON contains(name, term))
 SELECT query_id, id, round(max(score) + 5.0 * (count(DISTINCT term) - 1), 6) AS score, count(DISTINCT term) AS hits FROM h GROUP BY query_id, id""")
 def term_hits(spark, sf_dir):
-    nodes = project(spark, sf_dir).nodes
+    nodes, _, index = project(spark, sf_dir)
     words = asked(spark, sf_dir)
-    pairs = search.holding(nodes.select("name"), "name", words, "query").join(nodes.select("id", "name"), "name").filter(F.contains("name", "query"))
+    pairs = search.holding(nodes.select("name"), "name", words, "query", index.runs).join(nodes.select("id", "name"), "name").filter(F.contains("name", "query"))
     found = pairs.select(F.lit("all").alias("query_id"), F.col("query").alias("term"), "id", F.when(F.startswith("name", "query"), 0.9).otherwise(0.8).alias("score"))
     return search.term_hits(found).select("query_id", "id", F.round("score", 6).alias("score"), "hits")
 
@@ -728,7 +751,8 @@ t AS (SELECT query, id, {TOTAL_SQL} + 15 + greatest(0, 10 - floor((length(name)
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS k FROM t) SELECT 'q' AS query_id, id, CAST(round(max(score), 6) AS DOUBLE) AS score FROM r WHERE k <= 8 GROUP BY id""")
 def definition_prefix(spark, sf_dir):
     words = table(spark, sf_dir, "customer").select(F.lower(F.substr("c_name", F.lit(1), F.lit(14))).alias("term")).union(spark.createDataFrame([("cust",), ("supp",)], "term string"))
-    return context.definitions(project(spark, sf_dir).nodes, words.select(F.lit("q").alias("query_id"), "term"), 8).select("query_id", "id", F.round("score", 6).alias("score"))
+    g = project(spark, sf_dir)
+    return context.definitions(g.nodes, words.select(F.lit("q").alias("query_id"), "term"), 8, g.index).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 CAMEL = "upper(substr(p_name, 1, 1)) || split_part(substr(p_name, 2), ' ', 1) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2)"

@@ -36,6 +36,7 @@ class Graph(NamedTuple):
 
     nodes: DataFrame
     edges: DataFrame
+    index: tuple[DataFrame, ...] | None = None  # operators.index.Index of the nodes, where it is stored with them
 
 
 def node_id(kind: Column, file_path: Column, name: Column, line: Column) -> Column:

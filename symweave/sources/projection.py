@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import index
 from ..schema import Graph
 from .snapshots import shared_dir
 
@@ -90,16 +91,17 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nodes and edges, projected once for each application, folder and state of its tables, and kept as tables in the shared folder."""
+    """Nodes, edges and the search index of the nodes, projected once for each application, folder and state of its tables, and kept as tables in the shared folder."""
     key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
     if key in _indexed:
         try:
-            return Graph(*(spark.read.parquet(f"{_indexed[key]}/{part}") for part in ("nodes", "edges")))
+            return Graph(*(spark.read.parquet(f"{_indexed[key]}/{part}") for part in ("nodes", "edges")), index.read(spark, f"{_indexed[key]}/index"))
         except AnalysisException:  # the tables were cleared away
             del _indexed[key]
     base = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     nodes(spark, sf_dir).write.parquet(f"{base}/nodes")
     edges(spark, sf_dir).write.parquet(f"{base}/edges")
+    index.write(spark.read.parquet(f"{base}/nodes"), f"{base}/index")
     _indexed[key] = base
     return graph(spark, sf_dir)
 
