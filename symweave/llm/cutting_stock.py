@@ -28,6 +28,8 @@ PLACED = "doc_id long, start long, length long, doc_tokens long, ids binary, seq
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 #: How far above its lower bound the linear program may stop, and what a sequence of another power of two costs besides its tokens, in full sequences.
 TOLERANCE, SHORT = 1e-3, 0.02
+#: What each pattern's repeats lose on the average when they are rounded, as far as the program need not be solved closer, in sequences; columns tried before one enters.
+ROUNDED, TRIED = 0.003, 16
 #: Weight of the best bound's prices where new patterns are looked for.
 SMOOTH = 0.7
 
@@ -52,7 +54,7 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, room: int) -> tuple[np.nda
     return best, last
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, float]:
+def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: float = TOLERANCE, rounded: float = ROUNDED) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Patterns (how often each length), their repeats (not yet whole), and a lower bound on the cost of any packing without cuts."""
     m = len(lengths)
     costs_of = np.array([cost(t, room) for t in range(1, room + 1)])
@@ -97,10 +99,16 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, tolera
         return float(worth.max()), [pattern(h) for h in ends + own]
 
     add([pattern([index[c] for c in cells]) for _, cells in best_fit(dict(zip(lengths.tolist(), demand.astype(int).tolist(), strict=True)), room)])
-    while basis_cost @ x > bound * (1 + tolerance):
+    while basis_cost @ x > bound * (1 + tolerance) + rounded * m:
         gains = prices @ pool - pool_cost
-        enters = int(gains.argmax())
-        if gains[enters] <= 1e-9:
+        some = np.argsort(-gains)[:TRIED]
+        some = some[gains[some] > 1e-9]
+        if not len(some):
+            if pool.shape[1] > 4 * m:  # what is dear at these prices goes; it is found again if prices turn
+                kept = np.argsort(-gains, kind="stable")[: 2 * m]
+                pool, pool_cost = pool[:, kept], pool_cost[kept]
+                known.clear()
+                known.update(p.tobytes() for p in pool.T.copy())
             columns: list[np.ndarray] = []
             for weight in (SMOOTH, 0.0):  # prices between the present ones and those of the best bound first: present ones alone swing
                 at = weight * centre + (1 - weight) * prices
@@ -114,10 +122,12 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, room: int, tolera
                 break
             add(columns)
             continue
-        way = inverse @ pool[:, enters]
-        ratios = np.where(way > 1e-7, x / np.where(way > 1e-7, way, 1), np.inf)
-        step = ratios.min()
-        leaves = int(np.where(ratios <= step + 1e-9 * (1 + step), way, 0).argmax())  # of ties the largest pivot, so that the basis stays regular
+        ways = inverse @ pool[:, some]
+        ratios = np.where(ways > 1e-7, x[:, None] / np.where(ways > 1e-7, ways, 1), np.inf)
+        steps = ratios.min(axis=0)
+        chosen = int((gains[some] * steps + 1e-12 * gains[some]).argmax())  # of the dearest columns the one that saves most
+        enters, way, step = int(some[chosen]), ways[:, chosen], steps[chosen]
+        leaves = int(np.where(ratios[:, chosen] <= step + 1e-9 * (1 + step), way, 0).argmax())  # of ties the largest pivot, so that the basis stays regular
         x = np.maximum(x - step * way, 0)
         x[leaves] = step
         basis[:, leaves], basis_cost[leaves] = pool[:, enters], pool_cost[enters]

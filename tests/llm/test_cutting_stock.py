@@ -32,7 +32,7 @@ def all_patterns(lengths, room):
 def test_the_linear_program_is_optimal(histogram):
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[w] for w in lengths.tolist()], float)
-    patterns, x, bound = C.column_generation(lengths, demand, 16, 1e-7)
+    patterns, x, bound = C.column_generation(lengths, demand, 16, 1e-7, 0)
     assert np.allclose(sum(n * p for n, p in zip(x, patterns)), demand) and (x >= 0).all()
     value = sum(n * C.cost(int(p @ lengths), 16) for n, p in zip(x, patterns))
     assert bound <= value + 1e-6
