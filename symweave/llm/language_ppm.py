@@ -7,13 +7,14 @@ and all escapes can be worked out beforehand. The model holds what training has
 behind it) its whole code length in every language, and for each context its escapes. A text's code length is a sum of look-ups, those of the longest context first, and of
 shorter ones only where the gram is new. The shortest code names the language.
 
-Training is bounded by documented parameters: about PER_LANGUAGE documents of each language, chosen by hashed id; the LANGUAGES most frequent languages; and
-of the grams of ORDER + 1 bytes the most frequent, as many as fit in MODEL_BYTES. They are counted on the executors; the driver gets one row for each
-language and gram.
+Training is bounded by documented parameters, for each language: about PER_LANGUAGE documents and BYTES_PER_LANGUAGE bytes, chosen by hashed id, none of over LONGEST
+bytes. There may be any number of languages: they are dealt into blocks of BLOCK in the order of their names, a block's trees are built in one task of
+an executor, and texts are scored block after block, carrying the shortest code so far and what the others weigh against it. The driver holds one block at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import documents, held_out, small_batches
+from .shared import documents, held_out, small_batches, stored
 
-ORDER, PER_LANGUAGE, LANGUAGES, MODEL_BYTES, LEAST_SCORE = 3, 1500, 200, 1 << 28, 0.5
+ORDER, PER_LANGUAGE, BYTES_PER_LANGUAGE, LONGEST, BLOCK, LEAST_SCORE = 3, 1500, 8 << 20, 1 << 19, 32, 0.5
 START, BITS = 256, 9  # the place before a text; bits of a symbol
 CHUNK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
@@ -88,8 +90,12 @@ class Model:
     def fit(cls, rows: list[tuple[str, int, int]]) -> Model:
         """rows: language, code of grams(), count."""
         languages = sorted({r[0] for r in rows})
-        gram, count = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
-        of = np.array([languages.index(r[0]) for r in rows], np.int64)
+        number = {la: k for k, la in enumerate(languages)}
+        return cls.of_counts(languages, np.array([number[r[0]] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64))
+
+    @classmethod
+    def of_counts(cls, languages: list[str], of: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Model:
+        """of: each row's place in languages."""
         model = cls(languages, [], [])
         for order in range(ORDER + 1):
             part = gram & ((1 << BITS * (order + 1)) - 1)
@@ -124,11 +130,12 @@ class Model:
         return found
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """(text, language) code lengths. Short texts are taken together and long ones cut, CHUNK bytes at a time, so that memory is bounded."""
+        """(text, language) code lengths. Short texts are taken together and long ones cut, CHUNK bytes at a time for four languages and fewer for more, so that memory is bounded."""
         out = np.zeros((len(texts), len(self.languages)))
+        self.chunk = max(1, CHUNK * 4 // max(4, len(self.languages)))
         group, size = [], 0
         for i, text in enumerate([*texts, None]):
-            if group and (text is None or size + len(text) > CHUNK):
+            if group and (text is None or size + len(text) > self.chunk):
                 self._add(out, group, [texts[k] for k in group])
                 group, size = [], 0
             group.append(i)
@@ -138,42 +145,61 @@ class Model:
     def _add(self, out: np.ndarray, which: list[int], texts: list[bytes]) -> None:
         all_, sizes = symbols(texts), [len(t) + ORDER for t in texts]
         own = np.repeat(np.array(which), sizes)
-        for at in range(ORDER, len(all_), CHUNK):
-            part = all_[at - ORDER : at + CHUNK]
+        for at in range(ORDER, len(all_), self.chunk):
+            part = all_[at - ORDER : at + self.chunk]
             code = np.zeros(len(part) - ORDER, np.int64)
             for k in range(ORDER + 1):
                 code <<= BITS
                 code |= part[k : len(part) - ORDER + k]
             real = part[ORDER:] < START
-            text = own[at : at + CHUNK][real]
+            text = own[at : at + self.chunk][real]
             if len(text):
                 first = np.flatnonzero(np.diff(text, prepend=-1))
                 out[text[first]] += np.add.reduceat(self.lengths(code[real], ORDER), first, axis=0, dtype=np.float64)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score (its share against the others, tempered by the length's root); und and 0 for a text without letters."""
+    def judge(self, texts: list[str | None], before: list[tuple[float, str, float] | None]) -> list[tuple[float, str, float] | None]:
+        """For each text the shortest code's bits, its language, and the sum of all languages' shares against it (tempered by the root of the text's length),
+        other blocks' in before included; None for a text without letters. Ties go to before."""
         raw = [t.encode() if t and LETTER.search(t) else b"" for t in texts]
-        if not self.languages:
-            return [("und", 0.0)] * len(texts)
-        found = []
-        for text, bits in zip(raw, self.bits(raw), strict=True):
-            share = np.exp2(-(bits - bits.min()) / max(len(text), 1) ** 0.5)
-            found.append((self.languages[int(bits.argmin())], float(1 / share.sum())) if text else ("und", 0.0))
+        found: list[tuple[float, str, float] | None] = []
+        for text, bits, old in zip(raw, self.bits(raw), before, strict=True):
+            root = max(len(text), 1) ** 0.5
+            least = float(bits.min())
+            new = least, self.languages[int(bits.argmin())], float(np.exp2(-(bits - least) / root).sum())
+            if old:
+                first, second = (old, new) if old[0] <= new[0] else (new, old)
+                new = first[0], first[1], first[2] + second[2] * float(np.exp2(-(second[0] - first[0]) / root))
+            found.append(new if text else None)
         return found
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, model_bytes: int = MODEL_BYTES) -> Model:
-    """A model from rows that are not held out and have a text and a lang.
+@dataclass
+class Trained:
+    """Models of blocks of languages, stored as rows (block, model)."""
+
+    blocks: int
+    table: DataFrame | None = None
+
+    def model(self, block: int) -> Model:
+        return pickle.loads(self.table.filter(F.col("block") == block).first().model)
+
 
-    The most frequent languages are counted first (ties by name); then a row is taken if its hashed id falls within per_language's share of its
-    language, so choosing rows moves no text.
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE, block: int | None = None) -> Trained:
+    """Models from rows that are not held out and have a text, of LONGEST bytes at most, and a lang.
+
+    A row is taken if its hashed id falls within its language's share, which is such that about per_language rows and bytes_per_language bytes are. The driver
+    gets the names of the languages.
     """
-    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not sizes:
-        return Model.fit([])
-    share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, per_language / n))))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
+    block = block or BLOCK
+    size = F.octet_length("text")
+    usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (size <= LONGEST) & ~held_out())
+    share = F.least(F.lit(1.0), per_language / F.count(F.lit(1)), bytes_per_language / F.greatest(F.sum(size), F.lit(1)))
+    sizes = stored(usable.groupBy("lang").agg(share.alias("share")), "languages", keep=True)
+    names = sorted(r.lang for r in sizes.select("lang").collect())
+    if not names:
+        return Trained(0)
+    places = docs.sparkSession.createDataFrame([(la, k // block, k % block) for k, la in enumerate(names)], "lang string, block int, place int")
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,46 +209,80 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
                 gram, n = grams([texts[i] for i in np.flatnonzero(langs == lang)])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
-    texts = small_batches(usable).filter(chosen).select("lang", F.col("text").cast("binary").alias("text"))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        now = None
+
+        def made() -> pa.RecordBatch:
+            of, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            model = Model.of_counts(names[now * block : (now + 1) * block], of, gram, n.astype(float))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], ["block", "model"])
+
+        for batch in batches:
+            blocks, *own = (batch.column(k).to_numpy() for k in range(4))
+            for b in np.unique(blocks):
+                if now is not None and b != now:
+                    yield made()
+                    held = []
+                now = int(b)
+                held.append([x[blocks == b] for x in own])
+        if held:
+            yield made()
+
+    texts = small_batches(usable.join(sizes, "lang").filter(chosen)).select("lang", F.col("text").cast("binary").alias("text"))
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    # a row of the model holds 4 bytes for each language and some 48 in the tables that lead to it
-    most = max(1, model_bytes // (4 * len(sizes) + 48))
-    of_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("own"), F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
-    return Model.fit([(own.lang, r.gram, own.n) for r in of_gram.toLocalIterator() for own in r.own])
+    dealt = counts.join(places, "lang").select("block", F.col("place").cast("long").alias("place"), "gram", "n").repartition("block").sortWithinPartitions("block", "place", "gram")
+    return Trained(-(-len(names) // block), stored(dealt.mapInArrow(fit, "block int, model binary"), "model", keep=True))
+
 
+FOUND = "struct<bits:double,lang:string,share:double>"
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+
+def judged(docs: DataFrame, trained: Trained) -> tuple[DataFrame, str]:
+    """docs with one more column (FOUND, null for texts without a letter), whose name is returned, too. Between blocks of languages the rows are stored."""
+    name = "_found"
+    while name in docs.columns:
+        name += "_"
+    rows, schema = small_batches(docs), StructType([*docs.schema.fields, *docs.sparkSession.createDataFrame([], f"`{name}` {FOUND}").schema.fields])
+    if not trained.blocks:
+        return docs.withColumn(name, F.lit(None).cast(FOUND)), name
+    kind = pa.struct([("bits", pa.float64()), ("lang", pa.string()), ("share", pa.float64())])
+    for block in range(trained.blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(trained.model(block))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=not block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before = [None] * batch.num_rows if first else [r and tuple(r.values()) for r in batch.column(batch.num_columns - 1).to_pylist()]
+                found = shared.value.judge(batch.column(batch.schema.get_field_index("text")).to_pylist(), before)
+                state = pa.array([f and dict(zip(("bits", "lang", "share"), f, strict=True)) for f in found], kind)
+                own = batch.columns if first else batch.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*own, state], [*batch.schema.names[: len(own)], name])
+
+        rows = rows.mapInArrow(run, schema)
+        if block + 1 < trained.blocks:
+            rows = stored(rows, "judged", keep=True)
+    return rows, name
+
+
+def identify(docs: DataFrame, trained: Trained) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text).
 
     Null texts and those without a letter are `und` with score 0; ties go to the language first by name. A text of any length
     is scored whole. Repeated rows get equal results; a null doc_id is not held out. Other columns are ignored, and an
-    empty table gives an empty result. A model without languages calls everything `und`.
+    empty table gives an empty result. Without languages everything is `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, found = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")), trained)
+    return rows.select("doc_id", "held_out", F.coalesce(f"{found}.lang", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col(f"{found}.share"), F.lit(0.0)).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shared.value.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def keep_identified(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+def keep_identified(docs: DataFrame, trained: Trained, least_score: float = LEAST_SCORE) -> DataFrame:
     """docs without rows that are `und` or score less than least_score; all columns as they were.
 
     Null and empty texts and those without a letter go. Repeated rows stay or go together, whatever their doc_id; an empty table stays empty, and
-    with a model without languages every row goes.
+    without languages every row goes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [lang != "und" and score >= least_score for lang, score in shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    rows, found = judged(docs, trained)
+    return rows.filter(1 / F.col(f"{found}.share") >= least_score).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
