@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import dir_name, is_test_file, path_relevance, question_symbols, stems, title_case, words_of
 from ..schema import Graph
@@ -13,7 +15,7 @@ from ..sources.snapshots import stored
 from .index import Index, build
 from .graph import children, hierarchy, traverse
 from .lookup import induced, of_kind
-from .search import compound, holding, like, rescored, search_fields, term_hits, top
+from .search import DEALT, compound, holding, like, rescored, search_fields, term_hits, top
 
 # Kinds that define a type, and kinds whose hierarchy is followed.
 TYPE_KINDS = ("class", "interface", "struct", "trait", "protocol", "enum", "type_alias")
@@ -167,16 +169,56 @@ def code_blocks(nodes: DataFrame, files: DataFrame, most_chars: int = 1500) -> D
 
 
 def packed(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """Blocks (score, chars, id), best first, each taken if it fits in what the budget leaves; the first always. A group is what was chosen to be shown, so it fits in a row."""
-    group = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "id", F.col("chars").cast("long").alias("chars")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("taken"))
-    fits = lambda acc, x: (F.size(acc["taken"]) == 0) | (acc["used"] + x["chars"] <= budget)
-    take = lambda acc, x: F.struct(
-        F.when(fits(acc, x), acc["used"] + x["chars"]).otherwise(acc["used"]).alias("used"),
-        F.when(fits(acc, x), F.array_append(acc["taken"], x["id"].cast("string"))).otherwise(acc["taken"]).alias("taken"),
-    )
-    taken = group.select(*keys, F.explode(F.aggregate("all", start, take)["taken"]).alias("_id"))
-    return blocks.withColumn("_id", F.col("id").cast("string")).join(taken, [*keys, "_id"], "left_semi").drop("_id")
+    """Blocks (score, chars, id), best first (ties by id), each taken if it fits in what the budget leaves; the first always. Blocks without chars are all taken.
+
+    Once a block does not fit, none of its size does, so of each size only the best budget / size can be taken: some budget * ln(budget) blocks of a group
+    at most, which are found by ranks within parts of each size first; then one pass over those few chooses.
+    """
+    order = [F.desc("score"), F.asc("id")]
+    sized = blocks.select(*keys, "id", "score", F.greatest(F.coalesce("chars", F.lit(0)), F.lit(0)).cast("long").alias("chars"))
+    first = sized.groupBy(*keys).agg(F.min_by(F.struct("id", "score", "chars"), F.struct(-F.col("score"), "id")).alias("b")).select(*keys, "b.*")
+    fitting = sized.filter((F.col("chars") > 0) & (F.col("chars") <= budget)).withColumn("_part", F.monotonically_increasing_id() % DEALT)
+    for by in ([*keys, "chars", "_part"], [*keys, "chars"]):
+        fitting = fitting.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") * F.col("chars") <= budget)
+    few = fitting.select(*keys, "id", "score", "chars").union(first).distinct()
+    schema = StructType([*few.select(*keys, "id").schema.fields])
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["score", "id"], ascending=[False, True], kind="stable")
+        used, taken = 0, []
+        for chars in group["chars"].tolist():
+            fits = not taken or used + chars <= budget
+            used += chars if fits else 0
+            taken.append(fits)
+        return group.loc[taken, [*keys, "id"]]
+
+    chosen = few.groupBy(*keys).applyInPandas(choose, schema).union(sized.filter("chars = 0").select(*keys, "id")).distinct()
+    return blocks.join(chosen, [*keys, "id"], "left_semi").select(*blocks.columns)
+
+
+def headers(members: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, header, left_out: a group's most frequent symbols (members: symbol, start_line; ties by where they come first, then by name), and how many more there are."""
+    counts = members.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("line"))
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("symbols"))
+    best = top(counts, keys, [F.desc("n"), F.asc("line"), F.asc("symbol")], most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "symbol"))).alias("best"))
+    left = F.greatest(F.col("symbols") - most, F.lit(0))
+    listed = F.concat(F.array_join("best.symbol", ", "), F.when(left > 0, F.concat(F.lit(", +"), left.cast("string"), F.lit(" more"))).otherwise(""))
+    return best.join(sizes, keys).select(*keys, listed.alias("header"), left.alias("left_out"))
+
+
+def within_total(sections: DataFrame, keys: list[str], budget: int, most: int, beside: int = 200, least: int = 500) -> DataFrame:
+    """keys, id, rank, shown: of a group's first most sections (id, place, chars) those that the budget holds, each with beside characters around it.
+
+    The first that does not fit is shown in part, if least characters or more are left, and ends the group.
+    """
+    few = top(sections, keys, [F.asc("place"), F.asc("id")], most)
+    upto = Window.partitionBy(*keys).orderBy("rank")
+    size = F.col("chars") + beside
+    placed = few.withColumn("_before", F.coalesce(F.sum(size).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_over", F.col("_before") + size > budget)
+    placed = placed.withColumn("_done", F.coalesce(F.max("_over").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    left = budget - F.col("_before") - beside
+    shown = F.when(~F.col("_over"), F.col("chars")).when(left >= least, left)
+    return placed.filter(~F.col("_done")).withColumn("shown", shown.cast("long")).filter("shown IS NOT NULL").select(*keys, "id", "rank", "shown")
 
 
 def outline(graph: Graph) -> DataFrame:
@@ -213,7 +255,7 @@ def summary(chosen: DataFrame, edges: DataFrame) -> DataFrame:
     all_ = sizes.join(n_edges, "query_id", "left").join(first, "query_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
     names = F.coalesce(F.array_join("best.name", ", "), F.lit(""))
     more = F.when(F.col("n_entries") > 3, F.concat(F.lit(" and "), (F.col("n_entries") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    said = F.format_string("Found %d relevant code symbols across %d files. Key entry points: %s%s. %d relationships identified.", "n_nodes", "n_files", names, more, "n_edges")
+    said = F.format_string("%d symbols of %d files with %d edges among them. Begin with: %s%s.", "n_nodes", "n_files", "n_edges", names, more)
     return all_.select("query_id", "n_nodes", "n_edges", "n_files", said.alias("summary"))
 
 

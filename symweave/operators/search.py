@@ -26,9 +26,16 @@ PARTS = EDITS + 1
 FIELDED = rf'\b(?:kind:(?:"(?:{"|".join(NODE_KINDS)})"|(?:{"|".join(NODE_KINDS)})(?!\S))|lang(?:uage)?:(?i:"(?:{"|".join(LANGUAGES)})"|(?:{"|".join(LANGUAGES)})(?!\S))|(?:path|name):(?:"[^"]+"|[^\s"]+))'
 
 
+#: Up to so many rows of a group, each task drops what can't be among the first before rows move; for more, groups are dealt into parts first.
+GROUP_LIMIT, DEALT = 1000, 64
+
+
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
-    """The first rows of each group, and their rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= most)
+    """The first rows of each group, and their rank. No group is sorted in one task, however large it is."""
+    first = lambda rows, *own: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).filter(F.col("rank") <= most)
+    if most > GROUP_LIMIT:
+        df = first(df.withColumn("_part", F.monotonically_increasing_id() % DEALT), *keys, "_part").drop("_part", "rank")
+    return first(df, *keys)
 
 
 def grams(text: Column, n: Column | int) -> Column:

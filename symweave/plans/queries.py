@@ -814,15 +814,34 @@ def priority_fill(spark, sf_dir):
     return context.filled(hits(g), g.edges, 5000).select("id", "place")
 
 
-@query(""", x AS (SELECT file_path, id, start_line % 97 AS score, 100 + start_line % 900 AS chars, row_number() OVER (PARTITION BY file_path ORDER BY start_line % 97 DESC, id) AS k FROM nodes WHERE kind IN ('class', 'function') AND start_line < 400),
+@query(""", x AS (SELECT file_path, id, start_line % 97 AS score, 100 + start_line % 900 AS chars, row_number() OVER (PARTITION BY file_path ORDER BY start_line % 97 DESC, id) AS k FROM nodes),
 w AS (SELECT file_path, id, k, CAST(chars AS BIGINT) AS used, true AS taken FROM x WHERE k = 1
       UNION ALL SELECT x.file_path, x.id, x.k, w.used + CASE WHEN w.used + x.chars <= 3000 THEN x.chars ELSE 0 END, w.used + x.chars <= 3000 FROM w JOIN x ON x.file_path = w.file_path AND x.k = w.k + 1)
 SELECT file_path, id FROM w WHERE taken""")
 def packed_blocks(spark, sf_dir):
-    blocks = project(spark, sf_dir).nodes.filter("kind IN ('class', 'function') AND start_line < 400").select("file_path", "id", (F.col("start_line") % 97).alias("score"), (100 + F.col("start_line") % 900).alias("chars"))
+    blocks = project(spark, sf_dir).nodes.select("file_path", "id", (F.col("start_line") % 97).alias("score"), (100 + F.col("start_line") % 900).alias("chars"))
     return context.packed(blocks, ["file_path"], 3000).select("file_path", "id")
 
 
+@query(""", m AS (SELECT file_path, split_part(name, '_', 1) || '(' || kind || ')' AS symbol, count(*) AS n, min(start_line) AS line FROM nodes GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY n DESC, line, symbol) AS k, count(*) OVER (PARTITION BY file_path) AS symbols FROM m)
+SELECT file_path, string_agg(symbol, ', ' ORDER BY k) FILTER (k <= 8) || CASE WHEN any_value(symbols) > 8 THEN ', +' || (any_value(symbols) - 8) || ' more' ELSE '' END AS header, greatest(any_value(symbols) - 8, 0) AS left_out FROM r GROUP BY file_path""")
+def file_headers(spark, sf_dir):
+    members = project(spark, sf_dir).nodes.select("file_path", F.concat(F.split_part("name", F.lit("_"), F.lit(1)), F.lit("("), "kind", F.lit(")")).alias("symbol"), "start_line")
+    return context.headers(members, ["file_path"], 8)
+
+
+@query(""", s AS (SELECT source AS q, target AS id, line AS place, 100 + 37 * (length(target) * 31 + line * 17) % 2900 AS chars FROM edges WHERE kind = 'calls'),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place, id) AS rank FROM s), b AS (SELECT *, coalesce(sum(chars + 200) OVER (PARTITION BY q ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WHERE rank <= 5),
+o AS (SELECT *, before + chars + 200 > 6000 AS over, coalesce(bool_or(before + chars + 200 > 6000) OVER (PARTITION BY q ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM b)
+SELECT q, id, CAST(rank AS INT) AS rank, CAST(CASE WHEN over THEN 5800 - before ELSE chars END AS BIGINT) AS shown FROM o WHERE NOT done AND (NOT over OR 5800 - before >= 500)""")
+def output_cap(spark, sf_dir):
+    """What a method calls, by line, as sections of a report of 6000 characters."""
+    calls = project(spark, sf_dir).edges.filter("kind = 'calls'")
+    chars = 100 + 37 * (F.length("target") * 31 + F.col("line") * 17) % 2900
+    return context.within_total(calls.select(F.col("source").alias("q"), F.col("target").alias("id"), F.col("line").alias("place"), chars.alias("chars")), ["q"], 6000, 5)
+
+
 @query(""" SELECT source AS parent, count(*) AS n, string_agg('- ' || name || ' (' || nodes.kind || '):' || start_line, chr(10) ORDER BY start_line, id) AS text FROM edges e JOIN nodes ON target = id WHERE e.kind = 'contains' GROUP BY source""")
 def container_outline(spark, sf_dir):
     return context.outline(project(spark, sf_dir)).select("parent", F.col("n").cast("long").alias("n"), "text")
@@ -921,8 +940,7 @@ def split_expansion(spark, sf_dir):
 @query(""", h AS (SELECT language AS query_id, id, name, file_path, start_line % 97 AS score, kind IN ('class', 'function') AND start_line % 50 = 0 AS entry FROM nodes),
 e AS (SELECT a.query_id, count(*) AS n_edges FROM edges JOIN h a ON source = a.id JOIN h b ON target = b.id AND a.query_id = b.query_id GROUP BY 1), s AS (SELECT query_id, count(*) AS n_nodes, count(DISTINCT file_path) AS n_files FROM h GROUP BY 1),
 k AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM h WHERE entry), b AS (SELECT query_id, string_agg(name, ', ' ORDER BY k) FILTER (k <= 3) AS names, count(*) AS n FROM k GROUP BY 1)
-SELECT query_id, n_nodes, coalesce(n_edges, 0) AS n_edges, n_files, 'Found ' || n_nodes || ' relevant code symbols across ' || n_files || ' files. Key entry points: ' || coalesce(names, '') || CASE WHEN n > 3 THEN ' and ' || (n - 3) || ' more' ELSE '' END || '. '
-|| coalesce(n_edges, 0) || ' relationships identified.' AS summary FROM s LEFT JOIN e USING (query_id) LEFT JOIN b USING (query_id)""")
+SELECT query_id, n_nodes, coalesce(n_edges, 0) AS n_edges, n_files, n_nodes || ' symbols of ' || n_files || ' files with ' || coalesce(n_edges, 0) || ' edges among them. Begin with: ' || coalesce(names, '') || CASE WHEN n > 3 THEN ' and ' || (n - 3) || ' more' ELSE '' END || '.' AS summary FROM s LEFT JOIN e USING (query_id) LEFT JOIN b USING (query_id)""")
 def context_summary(spark, sf_dir):
     g = project(spark, sf_dir)
     entry = F.col("kind").isin("class", "function") & (F.col("start_line") % 50 == 0)
