@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_test_file
 from ..schema import CALLER_KINDS, CONTAINERS, Graph
 from ..sources.snapshots import stored
+from .search import top
 
 UNBOUNDED = 1 << 30
 
@@ -106,24 +107,114 @@ def impact(graph: Graph, seeds: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def paths(graph: Graph, pairs: DataFrame, kinds: Sequence[str] = (), max_depth: int = UNBOUNDED) -> DataFrame:
-    """start, goal, n_steps, path: a shortest directed path for each pair (start, goal), the least by names where there are several.
+    """start, goal, n_steps, path, edge_kinds: a shortest directed path for each pair (start, goal), the least by names where there are several, and the least kind of each step.
 
-    Distances come from level-synchronous search; then the way back is walked level by level, from the goal, over the
-    least predecessor that is one step nearer to the start.
+    The search goes on from both ends in turn, a level at a time, and an end is left as soon as its pairs have met or one side leads no further, so nothing is
+    closed over all it can reach. What lies between the place of meeting and the goal is walked once more, to tell the nodes on shortest paths;
+    then the way back is walked from the goal over the least predecessor that is one step nearer to the start.
     """
-    steps = stored(arcs(graph.edges, "out", kinds).select("a", "b").distinct(), "steps")
-    seeds = pairs.select(F.col("start").alias("root"), F.col("start").alias("id")).distinct().join(graph.nodes.select("id"), "id", "left_semi")
-    depths = stored(reach(seeds, steps, max_depth), "depths")
-    walk = pairs.join(depths.withColumnRenamed("root", "start").withColumnRenamed("id", "goal"), ["start", "goal"])
-    walk = stored(walk.select("start", "goal", F.col("depth").alias("n_steps"), F.col("goal").alias("at"), F.col("depth").alias("left"), F.array("goal").alias("path")), "walk")
+    steps = stored(arcs(graph.edges, "out", kinds).groupBy("a", "b").agg(F.min("kind").alias("kind")), "steps")
+    known = graph.nodes.select("id")
+    steps_in = steps.join(known.withColumnRenamed("id", "b"), "b", "left_semi").join(known.withColumnRenamed("id", "a"), "a", "left_semi")
+    there = lambda df, end: df.join(known.withColumnRenamed("id", end), end, "left_semi")
+    open_ = stored(there(there(pairs.select("start", "goal").distinct(), "start"), "goal"), "pairs")
+    met = [open_.filter("start = goal").select("start", "goal", F.lit(0).alias("near"), F.lit(0).alias("far"))]
+    open_ = open_.filter("start <> goal")
+    sides = [stored(open_.select(F.col(end).alias("root"), F.col(end).alias("id")).distinct().withColumn("depth", F.lit(0)), "side") for end in ("start", "goal")]
+    frontiers, depths, ways = list(sides), [0, 0], [("a", "b"), ("b", "a")]
+    while sum(depths) < max_depth and not open_.isEmpty():
+        k = (depths[0] + depths[1]) % 2  # forward, then backward
+        end, other, (here, there_) = ("start", "goal")[k], ("start", "goal")[1 - k], ways[k]
+        depths[k] += 1
+        live = frontiers[k].join(open_.select(F.col(end).alias("root")).distinct(), "root", "left_semi")
+        step = live.join(steps_in.select(F.col(here).alias("id"), F.col(there_).alias("next")), "id").select("root", F.col("next").alias("id")).distinct()
+        frontiers[k] = stored(step.join(sides[k], ["root", "id"], "left_anti").select("root", "id", F.lit(depths[k]).alias("depth")), "level")
+        sides[k] = sides[k].union(frontiers[k])
+        if depths[k] % 16 == 0:
+            sides[k] = stored(sides[k], "side")
+        reached = frontiers[k].withColumnRenamed("root", end).join(open_, end)
+        together = reached.join(sides[1 - k].select(F.col("root").alias(other), "id"), [other, "id"]).select("start", "goal").distinct()
+        met.append(stored(together.select("start", "goal", F.lit(depths[0]).alias("near"), F.lit(depths[1]).alias("far")), "met"))
+        still = open_.join(met[-1], ["start", "goal"], "left_anti")
+        open_ = stored(still.join(frontiers[k].select(F.col("root").alias(end)).distinct(), end, "left_semi").select("start", "goal"), "pairs")
+    met_all = stored(reduce(DataFrame.union, met), "met")
+    before, behind = (sides[k].withColumnRenamed("root", end) for k, end in enumerate(("start", "goal")))
+    # nodes on shortest paths: up to the place of meeting by their depth from the start, from there on by what is left to the goal
+    on = stored(before.join(met_all, "start").filter("depth = near").join(behind.select("goal", "id", F.col("depth").alias("rest")), ["goal", "id"]).filter("rest = far").select("start", "goal", "near", "far", "id", F.col("near").alias("place")), "on")
+    beyond = on
+    while not (on := on.filter("place < near + far")).isEmpty():
+        further = on.join(steps_in.select(F.col("a").alias("id"), "b"), "id").select("start", "goal", "near", "far", F.col("b").alias("id"), (F.col("place") + 1).alias("place")).distinct()
+        on = stored(further.join(behind, ["goal", "id"]).filter("depth = near + far - place").select("start", "goal", "near", "far", "id", "place"), "on")
+        beyond = beyond.union(on)
+    placed = before.join(met_all, "start").filter("depth < near").select("start", "goal", "id", F.col("depth").alias("place"))
+    placed = stored(placed.union(beyond.select("start", "goal", "id", "place")), "placed")
+    walk = stored(met_all.select("start", "goal", (F.col("near") + F.col("far")).alias("n_steps"), F.col("goal").alias("at"), (F.col("near") + F.col("far")).alias("left"), F.array("goal").alias("path"), F.array().cast("array<string>").alias("by")), "walk")
     done = walk.filter("left = 0")
     while not (walk := walk.filter("left > 0")).isEmpty():
-        before = depths.select(F.col("root").alias("start"), F.col("id").alias("prior"), (F.col("depth") + 1).alias("left"))
-        ways = walk.join(steps, walk["at"] == steps.b).join(before, (walk["start"] == before["start"]) & (steps.a == before.prior) & (walk["left"] == before["left"]))
-        best = ways.groupBy(walk["start"], "goal", "n_steps", walk["left"], "path").agg(F.min("prior").alias("at"))
-        walk = stored(best.select("start", "goal", "n_steps", "at", (F.col("left") - 1).alias("left"), F.concat(F.array("at"), F.col("path")).alias("path")), "walk")
+        prior = placed.select("start", "goal", F.col("id").alias("prior"), (F.col("place") + 1).alias("left"))
+        options = walk.join(prior, ["start", "goal", "left"]).join(steps.withColumnRenamed("a", "prior").withColumnRenamed("b", "at"), ["prior", "at"])
+        best = options.groupBy("start", "goal", "n_steps", "left", "path", "by").agg(F.min(F.struct("prior", "kind")).alias("best"))
+        walk = stored(best.select("start", "goal", "n_steps", F.col("best.prior").alias("at"), (F.col("left") - 1).alias("left"), F.concat(F.array("best.prior"), F.col("path")).alias("path"), F.concat(F.array("best.kind"), F.col("by")).alias("by")), "walk")
         done = done.unionByName(walk.filter("left = 0"))
-    return done.select("start", "goal", "n_steps", F.array_join("path", ">").alias("path"))
+    return done.select("start", "goal", "n_steps", F.array_join("path", ">").alias("path"), F.array_join("by", ">").alias("edge_kinds"))
+
+
+def spanning(graph: Graph, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = (), node_kinds: Sequence[str] = (), max_depth: int = UNBOUNDED, limit: int = 1000) -> DataFrame:
+    """root, id, depth, order, parent, edge_kind, line, forward: the first limit nodes from each seed in the order of a queue, each with the edge that reached it.
+
+    A node's neighbours are queued by containment first, then calls, then others; ties by the neighbour's id, kind and line. Nodes of other kinds than
+    node_kinds, and dangling ends, block the way. forward: whether the edge leads from parent to node. Each level keeps, for a root, no more than its limit leaves.
+    """
+    rank = F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2)
+    edges = graph.edges.filter(F.col("kind").isin(*kinds)) if kinds else graph.edges
+    passable = graph.nodes.filter(F.col("kind").isin(*node_kinds)) if node_kinds else graph.nodes
+    out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), rank.alias("first"), "kind", "line", F.lit(True).alias("forward"))
+    back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), rank.alias("first"), "kind", "line", F.lit(False).alias("forward"))
+    ways = {"out": out, "in": back, "both": out.union(back)}[direction].join(passable.select(F.col("id").alias("b")), "b", "left_semi")
+    ways = stored(ways.groupBy("a", "b").agg(F.min(F.struct("first", "kind", "line", "forward")).alias("way")), "ways")
+    empty = F.lit(None).cast("string")
+    level = seeds.join(graph.nodes.select("id"), "id", "left_semi").select("root", "id").distinct().select("root", "id", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("order"), empty.alias("parent"), empty.alias("edge_kind"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("boolean").alias("forward"))
+    level = stored(level, "level")
+    seen, depth = level, 0
+    while depth < max_depth:
+        depth += 1
+        offers = level.select("root", F.col("id").alias("a"), "order").join(ways, "a").groupBy("root", F.col("b").alias("id")).agg(F.min(F.struct("order", "way.first", "way.kind", "way.line", "a", "way.forward")).alias("by"))
+        fresh = offers.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        queued = top(fresh, ["root"], [F.asc("by.order"), F.asc("by.first"), F.asc("id")], limit)
+        sizes = seen.groupBy("root").agg(F.max("order").alias("so_far"))
+        placed = queued.join(sizes, "root").withColumn("order", F.col("so_far") + F.col("rank")).filter(F.col("order") <= limit)
+        level = stored(placed.select("root", "id", F.lit(depth).alias("depth"), "order", F.col("by.a").alias("parent"), F.col("by.kind").alias("edge_kind"), F.col("by.line").alias("line"), F.col("by.forward").alias("forward")), "level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
+def pre_order(tree: DataFrame) -> DataFrame:
+    """tree (root, id, depth, order, parent) with first: each node's place, from 1, where a node's children follow it in their order, each with all below it.
+
+    Sizes of subtrees are summed up level by level from the deepest, and places handed down again.
+    """
+    tree = stored(tree, "tree")
+    deepest = tree.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return tree.withColumn("first", F.lit(None).cast("long"))
+    sizes = []
+    for d in range(deepest, -1, -1):
+        own = tree.filter(F.col("depth") == d)
+        if sizes:
+            below = sizes[-1].groupBy("root", F.col("parent").alias("id")).agg(F.sum("size").alias("below"))
+            own = own.join(below, ["root", "id"], "left").withColumn("size", 1 + F.coalesce("below", F.lit(0))).drop("below")
+        else:
+            own = own.withColumn("size", F.lit(1).cast("long"))
+        sizes.append(stored(own, "sizes"))
+    earlier = Window.partitionBy("root", "parent").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    found = [stored(sizes.pop().withColumn("first", F.lit(1).cast("long")), "first")]
+    while sizes:
+        own = sizes.pop().withColumn("_shift", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        above = found[-1].select("root", F.col("id").alias("parent"), F.col("first").alias("_above"))
+        found.append(stored(own.join(above, ["root", "parent"]).withColumn("first", F.col("_above") + 1 + F.col("_shift")).select(*tree.columns, "size", "first"), "first"))
+    return reduce(DataFrame.unionByName, found).drop("size")
 
 
 def parents(graph: Graph) -> DataFrame:

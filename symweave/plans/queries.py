@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import changes, context, extract, graph, lookup, mutate, resolve, search, stats
 from ..schema import Graph, node_id
-from ..sources.projection import GRAPH_SQL, table
+from ..sources.projection import GRAPH_SQL, MODULES_SQL, modules, table
 from ..sources.projection import graph as project
 from ..streaming.sync import event_totals
 
@@ -18,13 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, on_graph: bool = True):
-    """Registers a function under its name; its SQL may use nodes and edges."""
+def query(sql: str | None = None, on_graph: bool | None = True):
+    """Registers a function under its name; its SQL may use nodes and edges (None: it begins with tables of its own)."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            recursive = f"WITH RECURSIVE {GRAPH_SQL}" if on_graph else "WITH RECURSIVE nothing AS (SELECT 1)"
+            recursive = "WITH RECURSIVE" if on_graph is None else f"WITH RECURSIVE {GRAPH_SQL}" if on_graph else "WITH RECURSIVE nothing AS (SELECT 1)"
             ORACLE_SQL[f.__name__] = recursive + sql
         return f
 
@@ -294,10 +294,10 @@ def impact_radius(spark, sf_dir):
 
 @query(f"""
 , {seeds_sql("class")}, pairs AS (SELECT id AS start, 'function:' || split_part(id, ':', 2) AS goal FROM seeds UNION ALL SELECT id, 'interface:' || (1 + CAST(split_part(id, ':', 2) AS BIGINT) % 10) FROM seeds), {reach_sql(OUT, 64)},
-prior AS (SELECT r.root, r.id, min(p.id) AS prior FROM reached r JOIN steps ON r.id = b JOIN reached p ON p.root = r.root AND p.id = a AND p.depth = r.depth - 1 GROUP BY r.root, r.id),
-back AS (SELECT start, goal, depth AS n_steps, depth AS rest, goal AS place, goal AS path FROM pairs JOIN reached ON root = start AND id = goal
-         UNION ALL SELECT start, goal, n_steps, rest - 1, prior, prior || '>' || path FROM back JOIN prior ON root = start AND id = place WHERE rest > 0)
-SELECT start, goal, n_steps, path FROM back WHERE rest = 0""")
+kinds AS (SELECT source, target, min(kind) AS kind FROM edges GROUP BY source, target), prior AS (SELECT r.root, r.id, min(p.id) AS prior FROM reached r JOIN steps ON r.id = b JOIN reached p ON p.root = r.root AND p.id = a AND p.depth = r.depth - 1 GROUP BY r.root, r.id),
+back AS (SELECT start, goal, depth AS n_steps, depth AS rest, goal AS place, goal AS path, '' AS edge_kinds FROM pairs JOIN reached ON root = start AND id = goal
+         UNION ALL SELECT start, goal, n_steps, rest - 1, prior, prior || '>' || path, kind || CASE WHEN edge_kinds = '' THEN '' ELSE '>' END || edge_kinds FROM back JOIN prior ON root = start AND id = place JOIN kinds ON source = prior AND target = place WHERE rest > 0)
+SELECT start, goal, n_steps, path, edge_kinds FROM back WHERE rest = 0""")
 def shortest_path(spark, sf_dir):
     g = project(spark, sf_dir)
     key = F.split_part("id", F.lit(":"), F.lit(2))
@@ -306,24 +306,21 @@ def shortest_path(spark, sf_dir):
     return graph.paths(g, pairs)
 
 
-DEPENDS = "depends AS (SELECT DISTINCT a.file_path AS path, b.file_path AS depends_on FROM edges e JOIN nodes a ON source = a.id JOIN nodes b ON target = b.id WHERE e.kind = 'imports' AND a.kind = 'file' AND a.file_path <> b.file_path)"
-
-
-@query(f", {DEPENDS} SELECT * FROM depends")
+@query(f" {MODULES_SQL} SELECT * FROM depends", on_graph=None)
 def file_dependencies(spark, sf_dir):
-    return graph.file_dependencies(project(spark, sf_dir))
+    return graph.file_dependencies(modules(spark, sf_dir))
 
 
-@query(f", {DEPENDS} SELECT DISTINCT depends_on AS path, path AS dependent FROM depends")
+@query(f" {MODULES_SQL} SELECT DISTINCT depends_on AS path, path AS dependent FROM depends", on_graph=None)
 def file_dependents(spark, sf_dir):
-    return graph.file_dependents(project(spark, sf_dir))
+    return graph.file_dependents(modules(spark, sf_dir))
 
 
 @query(f"""
-, {DEPENDS}, c AS (SELECT path AS root, depends_on AS id FROM depends UNION SELECT root, depends_on FROM c JOIN depends ON id = path)
-SELECT x.root AS path, least(min(x.id), x.root) AS component, count(*) AS n_files FROM c x JOIN c y ON x.root = y.id AND x.id = y.root GROUP BY x.root""")
+{MODULES_SQL}, c AS (SELECT path AS root, depends_on AS id FROM depends UNION SELECT root, depends_on FROM c JOIN depends ON id = path)
+SELECT x.root AS path, least(min(x.id), x.root) AS component, count(*) AS n_files FROM c x JOIN c y ON x.root = y.id AND x.id = y.root GROUP BY x.root""", on_graph=None)
 def circular_dependencies(spark, sf_dir):
-    found = graph.cycles(graph.file_dependencies(project(spark, sf_dir)))
+    found = graph.cycles(graph.file_dependencies(modules(spark, sf_dir)))
     return found.select("path", "component", F.col("n_files"))
 
 
@@ -331,14 +328,27 @@ TEST_PATH = "CASE WHEN ascii(reverse(replace({0}, '.ts', ''))) % 4 = 0 THEN 'tes
 
 
 @query(f"""
-, {DEPENDS}, t AS (SELECT DISTINCT {TEST_PATH.format("depends_on")} AS path, {TEST_PATH.format("path")} AS dependent FROM depends),
+{MODULES_SQL}, t AS (SELECT DISTINCT {TEST_PATH.format("depends_on")} AS path, {TEST_PATH.format("path")} AS dependent FROM depends),
 w AS (SELECT path AS changed, path AS id, 0 AS depth FROM (SELECT path FROM t UNION SELECT dependent FROM t) UNION SELECT changed, dependent, depth + 1 FROM w JOIN t ON id = path WHERE depth < 5 AND id NOT LIKE 'tests/%')
-SELECT DISTINCT changed, id AS test FROM w WHERE id LIKE 'tests/%'""")
+SELECT DISTINCT changed, id AS test FROM w WHERE id LIKE 'tests/%'""", on_graph=None)
 def affected_tests(spark, sf_dir):
-    deps = graph.file_dependents(project(spark, sf_dir)).select(F.expr(TEST_PATH.format("path")).alias("path"), F.expr(TEST_PATH.format("dependent")).alias("dependent"))
+    deps = graph.file_dependents(modules(spark, sf_dir)).select(F.expr(TEST_PATH.format("path")).alias("path"), F.expr(TEST_PATH.format("dependent")).alias("dependent"))
     return graph.affected_tests(deps, deps.select("path").union(deps.select("dependent")).distinct())
 
 
+@query(f"""
+, {seeds_sql("class")}, w0 AS (SELECT source AS a, target AS b, min(struct_pack(f := CASE edges.kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END, k := edges.kind, l := coalesce(line, -1))) AS way FROM edges JOIN nodes ON target = id GROUP BY 1, 2),
+l0 AS (SELECT id AS root, id, 1 AS ord FROM seeds),
+l1 AS (SELECT root, b AS id, a AS parent, way, 1 + row_number() OVER (PARTITION BY root ORDER BY way.f, b) AS ord FROM l0 JOIN w0 ON id = a WHERE b <> root),
+s1 AS (SELECT root, id, 0 AS depth, ord, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS edge_kind, CAST(NULL AS INT) AS line FROM l0 UNION ALL SELECT root, id, 1, ord, parent, way.k, nullif(way.l, -1) FROM l1 WHERE ord <= 40),
+o2 AS (SELECT s1.root, b AS id, min(struct_pack(ord := ord, f := way.f, k := way.k, l := way.l, a := a)) AS best FROM s1 JOIN w0 ON id = a WHERE depth = 1 GROUP BY 1, 2),
+l2 AS (SELECT o2.root, o2.id, best, (SELECT max(ord) FROM s1 WHERE s1.root = o2.root) + row_number() OVER (PARTITION BY o2.root ORDER BY best.ord, best.f, o2.id) AS ord FROM o2 WHERE (o2.root, o2.id) NOT IN (SELECT (root, id) FROM s1))
+SELECT root, id, depth, CAST(ord AS BIGINT) AS "order", parent, edge_kind, line FROM s1 UNION ALL SELECT root, id, 2, ord, best.a, best.k, nullif(best.l, -1) FROM l2 WHERE ord <= 40""")
+def bfs_tree(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return graph.spanning(g, seeds(g.nodes, "class"), max_depth=2, limit=40).drop("forward")
+
+
 # search
 
 WORDS = "asked AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part)"

@@ -133,3 +133,26 @@ edges AS (
   UNION ALL SELECT DISTINCT 'file:' || c_nationkey, 'file:' || s_nationkey, 'imports', CAST(NULL AS INT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
             JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey)
 """
+
+
+def modules(spark: SparkSession, sf_dir: str) -> Graph:
+    """Files that grow with the tables: one for each customer and supplier. Customers import suppliers of their nation that they buy from, suppliers the customers of their nation whose
+    key they share the last two digits with."""
+    customer, supplier, orders, items = (table(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))
+    path = lambda kind, nation, key: F.concat(F.lit("src/n"), F.col(nation).cast("string"), F.lit(f"/{kind}_"), F.col(key).cast("string"), F.lit(".ts"))
+    file = lambda df, kind, nation, key: df.select(path(kind, nation, key).alias("id"), F.lit("file").alias("kind"), F.concat(F.lit(f"{kind}_"), F.col(key).cast("string"), F.lit(".ts")).alias("name"), path(kind, nation, key).alias("file_path"), F.lit(False).alias("is_exported"))
+    buyer, seller = path("customer", "c_nationkey", "c_custkey"), path("supplier", "s_nationkey", "s_suppkey")
+    bought = items.join(orders, items.l_orderkey == orders.o_orderkey).select("o_custkey", "l_suppkey").distinct()
+    buys = bought.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    serves = supplier.join(customer, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 100 == F.col("s_suppkey") % 100))
+    edge = lambda df, source, target: df.select(source.alias("source"), target.alias("target"), F.lit("imports").alias("kind"), F.lit(None).cast("int").alias("line"))
+    files = file(customer, "customer", "c_nationkey", "c_custkey").unionByName(file(supplier, "supplier", "s_nationkey", "s_suppkey"))
+    return Graph(files, edge(buys, buyer, seller).unionByName(edge(serves, seller, buyer)))
+
+
+MODULES_SQL = """
+buyers AS (SELECT c_custkey, c_nationkey, 'src/n' || c_nationkey || '/customer_' || c_custkey || '.ts' AS path FROM customer),
+sellers AS (SELECT s_suppkey, s_nationkey, 'src/n' || s_nationkey || '/supplier_' || s_suppkey || '.ts' AS path FROM supplier),
+depends AS (SELECT DISTINCT b.path, s.path AS depends_on FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN buyers b ON o_custkey = c_custkey JOIN sellers s ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
+  UNION ALL SELECT s.path, b.path FROM sellers s JOIN buyers b ON c_nationkey = s_nationkey AND c_custkey % 100 = s_suppkey % 100)
+"""
