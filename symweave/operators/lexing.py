@@ -179,6 +179,8 @@ def masked(text: str, language: str) -> tuple[str, str]:
 OPENS, CLOSES = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 #: Braces of such statements hold names, not statements.
 LISTS = re.compile(r"^\s*(?:(?:pub(?:\([^)]*\))?\s+)?use\b|import\b|export\s*(?:type\s*)?\{)")
+#: A script's import or export that has not said from where yet.
+UNTOLD = re.compile(r"^\s*(?:import\b(?!\s*[(.])|export\s*(?:type\s*)?\*)[^'\"`;=]*$")
 #: Round brackets of such statements hold statements, one a line.
 GROUPS = re.compile(r"^\s*(?:import|var|const|type)\s*\(\s*$")
 HEAD = re.compile(r"^\s*(?:(?:export|default|declare|public|private|protected|internal|abstract|final|static|sealed|open|data|case|partial|pub(?:\([^)]*\))?|async|unsafe|template\s*<[^{;]*>)\s+)*(?:class|interface|trait|struct|enum|record|object|protocol|fn|func|fun|function|extension|impl|mixin)\b[^{;]*$")
@@ -228,6 +230,8 @@ def statements(text: str, language: str) -> list[tuple[int, int, int, str, str,
         if shown.rstrip().endswith("\\") and language in ("python", "ruby", "c", "cpp"):
             held[2][-1], held[3][-1] = held[2][-1].rstrip("\\ "), held[3][-1].rstrip("\\ ")
             continue
+        if (spec is SCRIPT or spec is MARKUP) and UNTOLD.match(" ".join(held[3])):
+            continue
         if spec.braces:
             after = next((x for x in own_bare[n : n + 8] if x.strip()), "")
             if HEAD.match(" ".join(held[3])) and GOES_ON.match(after):

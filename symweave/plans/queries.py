@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import changes, context, extract, graph, lookup, mutate, resolve, search, stats
+from ..operators import changes, context, extract, graph, imports, lookup, mutate, resolve, search, stats
 from ..schema import Graph, node_id
 from ..sources.projection import GRAPH_SQL, MODULES_SQL, modules, table
 from ..sources.projection import graph as project
@@ -660,10 +660,36 @@ tried AS (SELECT *, 0 AS o FROM file UNION ALL SELECT *, 1 FROM qual UNION ALL S
 won AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY o, confidence DESC, target) AS k1 FROM tried)"""
 
 
-@query(f", {ALL_SQL} SELECT ref_id, target, confidence, resolved_by FROM won WHERE k1 = 1")
+@query(f", {ALL_SQL} SELECT ref_id, target, confidence, resolved_by FROM won WHERE k1 = 1 AND ref_id NOT IN (SELECT ref_id FROM refs WHERE language = 'typescript' AND split_part(reference_name, '.', 1) IN (SELECT replace(p_name, ' ', '_') FROM part WHERE p_size = 13))")
 def resolve_all(spark, sf_dir):
+    """Names of some parts count as built into TypeScript, as a project may say."""
     g = project(spark, sf_dir)
-    return resolve.resolve(refs(g), g.nodes)
+    more = table(spark, sf_dir, "part").filter("p_size = 13").select(F.lit("typescript").alias("language"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
+    return resolve.resolve(refs(g), g.nodes, resolve.builtins(spark, more.distinct()))
+
+
+@query("""
+SELECT DISTINCT r.path || '>' || 'N' || s_nationkey || '.' || replace(s_name, '#', '_') AS ref_id, 'interface:' || s_suppkey AS target, CAST(0.9 AS DOUBLE) AS confidence, 'import' AS resolved_by
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN places r ON r.n_nationkey = c_nationkey
+WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey AND s_acctbal > 0
+UNION ALL SELECT DISTINCT r.path || '>' || replace(s_name, '#', '_'), 'interface:' || s_suppkey, CAST(0.9 AS DOUBLE), 'exact-match'
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN places r ON r.n_nationkey = c_nationkey WHERE l_linenumber = 2""")
+def resolve_imports(spark, sf_dir):
+    """Files of nations import those that they trade with as a whole, over two lines each; what they refer to through that is followed to the supplier, other suppliers are found by name."""
+    g = project(spark, sf_dir)
+    nodes = g.nodes.withColumn("name", F.replace("name", F.lit("#"), F.lit("_")))
+    places = g.nodes.filter("kind = 'file'").select(F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("key"), "id", F.col("file_path").alias("path"))
+    ends = places.select(F.col("key").alias("to"), F.col("id").alias("target"), F.regexp_replace("path", F.lit(r"^src/(.*)\.ts$"), F.lit("../$1")).alias("specifier"))
+    line = F.concat(F.lit("import /* all of it */\n  * as N"), F.col("to").cast("string"), F.lit("\n  from '"), "specifier", F.lit("';"))
+    imported = g.edges.filter("kind = 'imports'").join(places, F.col("source") == F.col("id")).join(ends, "target").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    files = places.join(imported, "path", "left").select("path", F.lit("typescript").alias("language"), F.coalesce("text", F.lit("")).alias("text"))
+    bought = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    traded = bought.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(places, F.col("c_nationkey") == F.col("key"))
+    plain = F.replace("s_name", F.lit("#"), F.lit("_"))
+    through = F.concat(F.lit("N"), F.col("s_nationkey").cast("string"), F.lit("."), plain)
+    asked = traded.select("path", F.when(F.col("l_linenumber") == 1, through).otherwise(plain).alias("reference_name")).distinct()
+    own = asked.select(F.concat("path", F.lit(">"), "reference_name").alias("ref_id"), "reference_name", F.lit("references").alias("reference_kind"), F.col("path").alias("file_path"), F.lit("typescript").alias("language"), F.lit(1).alias("line"))
+    return resolve.resolve(own, nodes, imported=lambda r: imports.by_import(r, files, nodes))
 
 
 @query(f", {ALL_SQL} SELECT coalesce(resolved_by, 'unresolved') AS resolved_by, count(*) AS n FROM refs LEFT JOIN (SELECT * FROM won WHERE k1 = 1) USING (ref_id) GROUP BY 1")
