@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from ..functions.text import dir_name, is_test_file, path_relevance, question_sy
 from ..schema import Graph
 from ..sources.snapshots import stored
 from .index import Index, build
-from .graph import children, hierarchy, traverse
+from .graph import children, hierarchy, spanning
 from .lookup import induced, of_kind
 from .search import DEALT, compound, holding, like, rescored, search_fields, term_hits, top
 
@@ -237,12 +238,11 @@ def explore_budget(projects: DataFrame, count: str = "n_files") -> DataFrame:
 
 
 def expanded(graph: Graph, entries: DataFrame, most: int, depth: int) -> DataFrame:
-    """query_id, root, id, depth: what each entry (query_id, id) reaches both ways, nearest first; the entries of a query share most nodes evenly."""
+    """query_id, root, id, depth: what each entry (query_id, id) reaches both ways, nearest first (ties by id); the entries of a query share most nodes evenly, and no level of a search keeps more than most."""
     roots = entries.select("query_id", F.col("id").alias("root")).distinct()
     share = roots.groupBy("query_id").agg(F.ceil(most / F.count(F.lit(1))).alias("share"))
-    reached = traverse(graph, roots.select("root", F.col("root").alias("id")).distinct(), "both", max_depth=depth).join(roots, "root").join(share, "query_id")
-    ranked = reached.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "root").orderBy("depth", "id")))
-    return ranked.filter(F.col("k") <= F.col("share")).select("query_id", "root", "id", "depth")
+    tree = spanning(graph, roots.select("root", F.col("root").alias("id")).distinct(), "both", max_depth=depth, limit=most, by_id=True)
+    return tree.join(roots, "root").join(share, "query_id").filter(F.col("order") <= F.col("share")).select("query_id", "root", "id", "depth")
 
 
 def summary(chosen: DataFrame, edges: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes:
 
     Channels are exact names, those that the question spells out included, with a boost for files that hold several, types that begin with a term, ranked text search by single terms, names of several
     terms and types with terms inside their names; the best score of each node counts, weighed by how many of the query's terms it has, less for tests.
-    Imports give way to what they stand for. Entries are expanded both ways and by their hierarchies; entries and their neighbours go first, and a
+    Imports give way to what they stand for. Entries are expanded both ways, sharing max_nodes, and by their hierarchies; entries and their neighbours go first, and a
     file's share and that of tests are capped.
     """
     nodes = graph.nodes
@@ -289,7 +289,7 @@ def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes:
     found = to_definitions(merged(*channels), graph).join(nodes.select("id", "name", "file_path"), "id")
     weighed = damp_tests(weigh_groups(found, terms, exact))
     entries = stored(top(weighed.filter(F.col("score") >= min_score), ["query_id"], [F.desc("score"), F.asc("id")], search_limit).select("query_id", "id", "score"), "entries")
-    near = traverse(graph, entries.select(F.col("query_id").alias("root"), "id"), "both", max_depth=depth).select(F.col("root").alias("query_id"), "id", "depth")
+    near = expanded(graph, entries, max_nodes, depth).groupBy("query_id", "id").agg(F.min("depth").alias("depth"))
     kin = relatives(graph, entries, max_nodes).select("query_id", "id", F.col("round").alias("depth"))
     around = near.union(kin).groupBy("query_id", "id").agg(F.min("depth").alias("depth"))
     placed = around.join(entries.withColumnRenamed("score", "own"), ["query_id", "id"], "left").join(nodes.select("id", "file_path"), "id")
@@ -297,3 +297,24 @@ def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes:
     kept = stored(other_code_cap(per_file_cap(scored, ["query_id"], max_nodes), ["query_id"], max_nodes), "around")
     chosen = filled(kept, graph.edges, max_nodes).join(kept, ["query_id", "id"])
     return chosen.select("query_id", "id", F.round("score", 6).alias("score"), F.when(F.col("entry"), "entry").otherwise("near").alias("role"))
+
+
+class Answer(NamedTuple):
+    """nodes: query_id, id, score, role. edges: query_id, source, target, kind. blocks: query_id, id, file_path, start_line, end_line, code. summary: query_id, n_nodes, n_edges, n_files, summary."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    blocks: DataFrame | None
+    summary: DataFrame
+
+
+def answer(graph: Graph, queries: DataFrame, files: DataFrame | None = None, most_blocks: int = 5, most_chars: int = 1500, **limits) -> Answer:
+    """What relevant finds for each query, the edges that the chosen nodes have among each other, the code of its best entries (if files are given: path, text; nodes need an end_line), and a sentence."""
+    chosen = stored(relevant(graph, queries, **limits), "chosen")
+    ends = chosen.select("query_id", "id")
+    meant = graph.edges.filter(F.col("kind").isin(*RECOVERED)).select("source", "target", "kind")
+    edges = meant.join(ends.withColumnRenamed("id", "source"), "source").join(ends.withColumnRenamed("id", "target"), ["query_id", "target"]).select("query_id", "source", "target", "kind").distinct()
+    best = top(chosen.filter("role = 'entry'"), ["query_id"], [F.desc("score"), F.asc("id")], most_blocks).select("query_id", "id")
+    blocks = None if files is None else best.join(code_blocks(graph.nodes.join(best.select("id").distinct(), "id", "left_semi"), files, most_chars), "id")
+    named = chosen.join(graph.nodes.select("id", "name", "file_path"), "id").withColumn("entry", F.col("role") == "entry")
+    return Answer(chosen, edges, blocks, summary(named, edges.select("source", "target", "kind").distinct()))

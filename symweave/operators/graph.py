@@ -159,11 +159,11 @@ def paths(graph: Graph, pairs: DataFrame, kinds: Sequence[str] = (), max_depth:
     return done.select("start", "goal", "n_steps", F.array_join("path", ">").alias("path"), F.array_join("by", ">").alias("edge_kinds"))
 
 
-def spanning(graph: Graph, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = (), node_kinds: Sequence[str] = (), max_depth: int = UNBOUNDED, limit: int = 1000) -> DataFrame:
+def spanning(graph: Graph, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = (), node_kinds: Sequence[str] = (), max_depth: int = UNBOUNDED, limit: int = 1000, by_id: bool = False) -> DataFrame:
     """root, id, depth, order, parent, edge_kind, line, forward: the first limit nodes from each seed in the order of a queue, each with the edge that reached it.
 
     A node's neighbours are queued by containment first, then calls, then others; ties by the neighbour's id, kind and line. Nodes of other kinds than
-    node_kinds, and dangling ends, block the way. forward: whether the edge leads from parent to node. Each level keeps, for a root, no more than its limit leaves.
+    node_kinds, and dangling ends, block the way. by_id: within a level nodes are queued by their ids alone. forward: whether the edge leads from parent to node. Each level keeps, for a root, no more than its limit leaves.
     """
     rank = F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2)
     edges = graph.edges.filter(F.col("kind").isin(*kinds)) if kinds else graph.edges
@@ -180,7 +180,7 @@ def spanning(graph: Graph, seeds: DataFrame, direction: str = "out", kinds: Sequ
         depth += 1
         offers = level.select("root", F.col("id").alias("a"), "order").join(ways, "a").groupBy("root", F.col("b").alias("id")).agg(F.min(F.struct("order", "way.first", "way.kind", "way.line", "a", "way.forward")).alias("by"))
         fresh = offers.join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        queued = top(fresh, ["root"], [F.asc("by.order"), F.asc("by.first"), F.asc("id")], limit)
+        queued = top(fresh, ["root"], [F.asc("id")] if by_id else [F.asc("by.order"), F.asc("by.first"), F.asc("id")], limit)
         sizes = seen.groupBy("root").agg(F.max("order").alias("so_far"))
         placed = queued.join(sizes, "root").withColumn("order", F.col("so_far") + F.col("rank")).filter(F.col("order") <= limit)
         level = stored(placed.select("root", "id", F.lit(depth).alias("depth"), "order", F.col("by.a").alias("parent"), F.col("by.kind").alias("edge_kind"), F.col("by.line").alias("line"), F.col("by.forward").alias("forward")), "level")

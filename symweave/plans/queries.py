@@ -924,6 +924,13 @@ def relevant_context(spark, sf_dir):
     return context.relevant(project(spark, sf_dir), words)
 
 
+@query()
+def relevant_summary(spark, sf_dir):
+    """A sentence on the context of each word that names parts, with the edges found among what was chosen."""
+    words = asked(spark, sf_dir).select("query_id", F.concat(F.lit("where is "), "query", F.lit(" used")).alias("query"))
+    return context.answer(project(spark, sf_dir), words).summary
+
+
 @query(r""", t AS (SELECT item_id, any_value(doc_id) AS n FROM benchmark, documents WHERE item_id = doc_id GROUP BY item_id), e AS (SELECT DISTINCT item_id AS case_id, lang AS item FROM benchmark JOIN documents ON item_id = doc_id),
 f AS (SELECT item_id AS case_id, k.lang AS item, k.rank FROM benchmark, (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS rank FROM documents GROUP BY lang) k WHERE k.rank <= 2)
 SELECT case_id, round(count(rank) * 1.0 / count(*), 6) AS recall, round(coalesce(1.0 / min(rank), 0), 6) AS mrr FROM e LEFT JOIN f USING (case_id, item) GROUP BY case_id""", on_graph=False)
