@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, imports
+from ..operators import extract, imports, index
 from ..operators.mutate import latest, upsert
 from ..operators.resolve import resolve
 from ..sources.snapshots import current_version, read_snapshot, scratch, shared_dir, stored, write_snapshot
 
-INDEX = ("files", "nodes", "refs", "edges")
+INDEX = ("files", "nodes", "refs", "edges", *index.PARTS)
 
 
 def follow(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], root: str, checkpoint: str, trigger: dict | None = None):
@@ -47,7 +47,7 @@ def follow_index(stream: DataFrame, root: str, checkpoint: str, trigger: dict |
 
 
 def reindex(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, DataFrame]:
-    """The tables of INDEX after a batch of files (path, text; each path once): files, their nodes and references, and the edges from resolved references.
+    """The tables of INDEX after a batch of files (path, text; each path once): files, their nodes and references, the edges from resolved references, and the search index of the nodes.
 
     Only files of the batch are read for symbols. Resolved anew are their references, those that led to a symbol of the batch's files before, those
     that speak of a name in them, old or new, and, where files of the batch pass on names of others, those to imported names.
@@ -60,7 +60,7 @@ def reindex(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, Dat
     refs = extract.references(live, found)
     refs = stored(refs.withColumn("ref_id", F.sha2(F.concat_ws("\u0001", "from_node_id", "reference_kind", "reference_name", F.col("line").cast("string")), 256)).distinct(), "references")
     if old is None:
-        return {"files": live, "nodes": nodes, "refs": refs, "edges": _resolved(refs, live, nodes)}
+        return {"files": live, "nodes": nodes, "refs": refs, "edges": _resolved(refs, live, nodes)} | index.build(nodes)._asdict()
     others = lambda df, path: df.join(paths.withColumnRenamed("path", path), path, "left_anti").select(*df.columns)
     before = old["nodes"].join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
     touched = before.select("id", "name").union(nodes.select("id", "name"))
@@ -68,13 +68,14 @@ def reindex(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, Dat
     files, all_nodes, kept = others(old["files"], "path").unionByName(live), stored(others(old["nodes"], "file_path").unionByName(nodes, allowMissingColumns=True), "nodes"), others(old["refs"], "file_path")
     lost = old["edges"].join(before.select(F.col("id").alias("target")), "target", "left_semi").select("ref_id")
     spoken = kept.select("ref_id", F.explode(F.split(F.lower("reference_name"), r"[.:/\\]+")).alias("name")).join(names, "name", "left_semi").select("ref_id")
-    passing = imports.reexports(old["files"].join(paths, "path", "left_semi").unionByName(live)).select(F.lit(1).alias("any")).distinct()
+    passing = not imports.reexports(old["files"].join(paths, "path", "left_semi").unionByName(live)).isEmpty()
     imported = imports.mappings(others(old["files"], "path")).select(F.col("path").alias("file_path"), "local").distinct()
-    through = kept.withColumn("local", F.split_part("reference_name", F.lit("."), F.lit(1))).join(imported, ["file_path", "local"], "left_semi").withColumn("any", F.lit(1)).join(passing, "any", "left_semi").select("ref_id")
+    through = kept.withColumn("local", F.split_part("reference_name", F.lit("."), F.lit(1))).join(imported, ["file_path", "local"], "left_semi").filter(F.lit(passing)).select("ref_id")
     again = kept.join(lost.union(spoken).union(through).distinct(), "ref_id", "left_semi")
     asked = stored(again.unionByName(refs), "asked")
     same = old["edges"].join(kept.select("ref_id"), "ref_id", "left_semi").join(asked.select("ref_id"), "ref_id", "left_anti").select(*old["edges"].columns)
-    return {"files": files, "nodes": all_nodes, "refs": kept.unionByName(refs), "edges": same.unionByName(_resolved(asked, files, all_nodes))}
+    tables = {"files": files, "nodes": all_nodes, "refs": kept.unionByName(refs), "edges": same.unionByName(_resolved(asked, files, all_nodes))}
+    return tables | index.updated(index.Index(*(old[part] for part in index.PARTS)), before, nodes, all_nodes)._asdict()
 
 
 def _resolved(refs: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
