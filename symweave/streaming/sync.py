@@ -6,10 +6,12 @@ failure replaces what it wrote before instead of adding to it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import extract, imports, index
 from ..operators.mutate import latest, upsert
@@ -107,3 +109,30 @@ def event_totals(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     follow(stream, merge_counts, f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return read_snapshot(spark, f"{base}/state", "state").select("event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+QUIET = "project string, n long, first_at timestamp, last_at timestamp"
+
+
+def debounced(changes: DataFrame, quiet_ms: int = 500) -> DataFrame:
+    """project, n, first_at, last_at: one row for each burst of a stream of changes (project, at), once a project has been quiet for quiet_ms.
+
+    A change within that time puts the row off. The state of a project is a count and two times, whatever the burst; the timer is one of processing time, so
+    the query needs a trigger that goes on. Null times do not count as first or last; changes without a project are one project.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, first, last = state.get
+            state.remove()
+            yield pd.DataFrame({"project": [key[0]], "n": [n], "first_at": [pd.Timestamp(first)], "last_at": [pd.Timestamp(last)]})
+            return
+        n, first, last = state.get if state.exists else (0, None, None)
+        for rows in batches:
+            times = [t for t in [first, last, *(x.to_pydatetime() for x in rows["at"].dropna())] if t is not None]
+            n, first, last = n + len(rows), min(times, default=None), max(times, default=None)
+        state.update((n, first, last))
+        state.setTimeoutDuration(quiet_ms)
+        yield pd.DataFrame({c.split()[0]: [] for c in QUIET.split(", ")})
+
+    return changes.select("project", "at").groupBy("project").applyInPandasWithState(step, QUIET, "n long, first_at timestamp, last_at timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
