@@ -1,6 +1,6 @@
 """The stored index of a graph's nodes, for search: postings, the words that begin with a prefix, and the runs of letters that names hold.
 
-An index is built once with its graph and kept beside it; searches read it and write none. `updated` brings it in step with nodes that came and went.
+An index is built once with its graph and kept beside it; searches read it and write none. `changed` says what nodes that came and went change in it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import stored
+
 # What a word in each field counts.
 WEIGHTS = {"name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
 PARTS = ("postings", "prefixes", "runs", "totals")
@@ -63,18 +65,30 @@ def read(spark: SparkSession, base: str) -> Index:
     return Index(*(spark.read.parquet(f"{base}/{part}") for part in PARTS))
 
 
-def updated(old: Index, gone: DataFrame, fresh: DataFrame, after: DataFrame) -> Index:
-    """The index after nodes went (gone) and came (fresh), after being all nodes then. What did not change is taken over; words and names leave with their last bearer."""
+def changed(old: Index, old_nodes: DataFrame, gone: DataFrame, fresh: DataFrame, after: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What changes in each part, as (keys that go, rows that come), when nodes go (gone) and come (fresh); old_nodes and after are all nodes before and then.
+
+    Words and names come with their first bearer and go with their last; what has other bearers stays untouched. Postings have file_path, by which they go.
+    """
     from .search import field_postings
 
-    came = field_postings(fresh, WEIGHTS)
-    posted = old.postings.join(gone.select("id"), "id", "left_anti").select("term", "id", "length", "tf").unionByName(came.select("term", "id", "length", "tf"))
-    touched = old.postings.join(gone.select("id"), "id", "left_semi").select("term").union(came.select("term")).distinct()
-    live = posted.join(touched, "term", "left_semi").select("term").distinct()
-    prefixes = old.prefixes.join(touched, "term", "left_anti").select("word", "term").unionByName(_prefixes(live))
-    names = gone.select("name").union(fresh.select("name")).distinct()
-    borne = after.join(names, "name", "left_semi").select("name").distinct()
-    runs = old.runs.join(names, "name", "left_anti").select("gram", "name").unionByName(_runs(borne))
+    came = stored(placed(field_postings(fresh, WEIGHTS), fresh), "postings")
+    went = old.postings.join(gone.select("id"), "id", "left_semi").select("term").distinct()
+    stay = old.postings.join(gone.select("id"), "id", "left_anti").select("term").unionByName(came.select("term"))
+    lost = went.join(stay, "term", "left_anti")
+    new = came.select("term").distinct().join(old.postings.select("term"), "term", "left_anti")
+    unnamed = gone.select("name").distinct().join(after.select("name"), "name", "left_anti")
+    named = fresh.select("name").distinct().join(old_nodes.select("name"), "name", "left_anti")
     sums = lambda df, sign: _totals(df).select((F.col("n") * sign).alias("n"), (F.col("tokens") * sign).alias("tokens"))
-    totals = old.totals.unionByName(sums(gone, -1)).unionByName(sums(fresh, 1)).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-    return Index(posted, prefixes, runs, totals)
+    totals = old.totals.select("n", "tokens").unionByName(sums(gone, -1)).unionByName(sums(fresh, 1)).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    return {
+        "postings": (gone.select("file_path", "id"), came),
+        "prefixes": (lost, _prefixes(new)),
+        "runs": (unnamed, _runs(named)),
+        "totals": (old.totals.select(), totals),
+    }
+
+
+def placed(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """postings with the file_path of their nodes."""
+    return postings.select("term", "id", "length", "tf").join(nodes.select("id", "file_path"), "id").select("term", "id", "length", "tf", "file_path")

@@ -1,7 +1,7 @@
 """Keeping tables in step with a stream of files, batch by batch.
 
-Micro-batches are single-flight and each writes a new snapshot version keyed by its batch id, so a batch that is run again after a
-failure replaces what it wrote before instead of adding to it.
+Micro-batches are single-flight and each writes the buckets that it touches as a version numbered by its batch id: a batch that is run again after a
+failure replaces what it left, and one whose version is complete does nothing.
 """
 
 from __future__ import annotations
@@ -16,58 +16,103 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import extract, imports, index
 from ..operators.mutate import latest, upsert
 from ..operators.resolve import resolve
-from ..sources.snapshots import current_version, read_snapshot, scratch, shared_dir, stored, write_snapshot
+from ..sources.snapshots import BUCKETS, Change, commit, current_version, read_snapshot, scratch, shared_dir, stored, vacuum
 
 INDEX = ("files", "nodes", "refs", "edges", *index.PARTS)
-
-
-def follow(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], root: str, checkpoint: str, trigger: dict | None = None):
-    """Starts a query that merges each batch into the snapshots of the table `state` under root."""
+#: table, columns that deal its rows into buckets, columns by which rows go (of none, all go), order in files
+LAYOUT = {
+    "files": (("path",), ("path",), ("path",)),
+    "nodes": (("file_path",), ("file_path",), ("name",)),
+    "refs": (("file_path",), ("file_path",), ("reference_name",)),
+    "edges": (("file_path",), ("ref_id",), ("source",)),
+    "postings": (("file_path",), ("id",), ("term",)),
+    "prefixes": (("term",), ("term",), ("word",)),
+    "runs": (("name",), ("name",), ("gram",)),
+    "totals": ((), (), ()),
+}
+
+
+def follow(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], keys: tuple[str, ...], root: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS):
+    """Starts a query that merges each batch into the versions of the table `state` under root.
+
+    State is dealt by keys, columns of stream and state: merge sees what the buckets of the batch's keys hold, and the batch, and only these are written.
+    A root belongs to one checkpoint, whose batch numbers are its versions.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        before = min(current_version(spark, root), version - 1)
-        old = read_snapshot(spark, root, "state", before) if before else None
-        write_snapshot({"state": merge(old, batch)}, root, version)
+        commit(batch.sparkSession, root, batch_id + 1, {"state": Change(batch, keys, lambda old: merge(old, batch))}, buckets)
+        vacuum(batch.sparkSession, root)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def follow_index(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
+def follow_index(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS):
     """Starts a query that keeps the tables of INDEX under root in step with a stream of files (path, text, modified_at); a null text removes the path."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = batch_id + 1
-        before = min(current_version(spark, root), version - 1)
+        if (before := current_version(spark, root)) > batch_id:
+            return
         with scratch(spark):
             old = {name: read_snapshot(spark, root, name, before) for name in INDEX} if before else None
-            write_snapshot(reindex(old, latest(batch, ["path"], ["modified_at", "text"])), root, version)
+            steps = changes(old, latest(batch, ["path"], ["modified_at", "text"]))
+            commit(spark, root, batch_id + 1, {name: _change(name, *steps[name]) for name in INDEX}, buckets)
+        vacuum(spark, root)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _change(name: str, gone: DataFrame | None, fresh: DataFrame) -> Change:
+    by, keys, order = LAYOUT[name]
+    touched = fresh.select(*by) if gone is None or not by else gone.select(*by).union(fresh.select(*by))
+
+    def rows(old: DataFrame | None) -> DataFrame:
+        if old is None or gone is None or not keys:
+            return fresh
+        return old.join(gone.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+    return Change(touched, by, rows, order)
+
+
+def search_index(spark: SparkSession, root: str) -> index.Index:
+    """The search index of the newest version under root."""
+    version = current_version(spark, root)
+    tables = {part: read_snapshot(spark, root, part, version) for part in index.PARTS}
+    return index.Index(**(tables | {"postings": tables["postings"].drop("file_path")}))
+
+
 def reindex(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, DataFrame]:
-    """The tables of INDEX after a batch of files (path, text; each path once): files, their nodes and references, the edges from resolved references, and the search index of the nodes.
+    """The tables of INDEX after a batch of files (path, text; each path once)."""
+    return {name: _change(name, *step).rows(old and old[name]) for name, step in changes(old, batch).items()}
+
+
+def changes(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, tuple[DataFrame | None, DataFrame]]:
+    """What a batch of files (path, text; each path once) changes in the tables of INDEX, as (keys that go, rows that come): files, their nodes and references, the edges
+    from resolved references, and the search index of the nodes.
 
-    Only files of the batch are read for symbols. Resolved anew are their references, those that led to a symbol of the batch's files before, those
-    that speak of a name in them, old or new, and, where files of the batch pass on names of others, those to imported names.
+    A file whose text is what it was changes nothing. Only other files of the batch are read for symbols. Resolved anew are their references, those that led to a symbol of the batch's
+    files before, those that speak of a name in them, old or new, and, where files of the batch pass on names of others, those to imported names.
     """
-    typed = batch.withColumn("language", extract.language_of(F.col("path"), F.col("text")))
-    paths = stored(typed.select("path").distinct(), "paths")
-    live = stored(typed.filter("text IS NOT NULL").select("path", "language", "text"), "files")
+    if old is not None:
+        known = old["files"].select("path", F.sha2("text", 256).alias("_known"))
+        batch = batch.join(known, "path", "left").filter(~F.sha2("text", 256).eqNullSafe(F.col("_known"))).drop("_known")
+    typed = stored(batch.withColumn("language", extract.language_of(F.col("path"), F.col("text"))), "batch")
+    paths = typed.select("path").distinct()
+    live = typed.filter("text IS NOT NULL").select("path", "language", "text")
     found = stored(extract.symbols(live), "symbols")
-    nodes = extract.file_nodes(live).unionByName(found, allowMissingColumns=True)
+    nodes = stored(extract.file_nodes(live).unionByName(found, allowMissingColumns=True), "fresh")
     refs = extract.references(live, found)
     refs = stored(refs.withColumn("ref_id", F.sha2(F.concat_ws("\u0001", "from_node_id", "reference_kind", "reference_name", F.col("line").cast("string")), 256)).distinct(), "references")
     if old is None:
-        return {"files": live, "nodes": nodes, "refs": refs, "edges": _resolved(refs, live, nodes)} | index.build(nodes)._asdict()
+        made = index.build(nodes)._asdict()
+        made |= {"postings": index.placed(made["postings"], nodes)}
+        return {name: (None, df) for name, df in ({"files": live, "nodes": nodes, "refs": refs, "edges": stored(_resolved(refs, live, nodes), "edges")} | made).items()}
     others = lambda df, path: df.join(paths.withColumnRenamed("path", path), path, "left_anti").select(*df.columns)
-    before = old["nodes"].join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+    gone = paths.select(F.col("path").alias("file_path"))
+    before = old["nodes"].join(gone, "file_path", "left_semi")
     touched = before.select("id", "name").union(nodes.select("id", "name"))
     names = touched.select(F.explode(F.array(F.lower("name"), F.regexp_replace(F.lower("name"), F.lit(r"\.\w+$"), F.lit("")))).alias("name")).distinct()
-    files, all_nodes, kept = others(old["files"], "path").unionByName(live), stored(others(old["nodes"], "file_path").unionByName(nodes, allowMissingColumns=True), "nodes"), others(old["refs"], "file_path")
+    files, after, kept = others(old["files"], "path").unionByName(live), others(old["nodes"], "file_path").unionByName(nodes, allowMissingColumns=True), others(old["refs"], "file_path")
     lost = old["edges"].join(before.select(F.col("id").alias("target")), "target", "left_semi").select("ref_id")
     spoken = kept.select("ref_id", F.explode(F.split(F.lower("reference_name"), r"[.:/\\]+")).alias("name")).join(names, "name", "left_semi").select("ref_id")
     passing = not imports.reexports(old["files"].join(paths, "path", "left_semi").unionByName(live)).isEmpty()
@@ -75,15 +120,21 @@ def reindex(old: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, Dat
     through = kept.withColumn("local", F.split_part("reference_name", F.lit("."), F.lit(1))).join(imported, ["file_path", "local"], "left_semi").filter(F.lit(passing)).select("ref_id")
     again = kept.join(lost.union(spoken).union(through).distinct(), "ref_id", "left_semi")
     asked = stored(again.unionByName(refs), "asked")
-    same = old["edges"].join(kept.select("ref_id"), "ref_id", "left_semi").join(asked.select("ref_id"), "ref_id", "left_anti").select(*old["edges"].columns)
-    tables = {"files": files, "nodes": all_nodes, "refs": kept.unionByName(refs), "edges": same.unionByName(_resolved(asked, files, all_nodes))}
-    return tables | index.updated(index.Index(*(old[part] for part in index.PARTS)), before, nodes, all_nodes)._asdict()
+    left = asked.select("file_path", "ref_id").union(old["refs"].join(gone, "file_path", "left_semi").select("file_path", "ref_id")).distinct()
+    steps = {
+        "files": (paths, live),
+        "nodes": (gone, nodes),
+        "refs": (gone, refs),
+        "edges": (left, stored(_resolved(asked, files, after), "edges")),
+    }
+    parts = index.Index(*(old[part] for part in index.PARTS))
+    return steps | index.changed(parts, old["nodes"], before, nodes, after)
 
 
 def _resolved(refs: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ref_id, source, target, kind, line, confidence, resolved_by of the references that resolve."""
+    """ref_id, source, target, kind, line, confidence, resolved_by, file_path of the references that resolve."""
     hits = resolve(refs, nodes, imported=lambda r: imports.by_import(r, files, nodes))
-    return hits.join(refs.select("ref_id", F.col("from_node_id").alias("source"), F.col("reference_kind").alias("kind"), "line"), "ref_id").select("ref_id", "source", "target", "kind", "line", "confidence", "resolved_by")
+    return hits.join(refs.select("ref_id", F.col("from_node_id").alias("source"), F.col("reference_kind").alias("kind"), "line", F.col("file_path").alias("_file")), "ref_id").select("ref_id", "source", "target", "kind", "line", "confidence", "resolved_by", F.col("_file").alias("file_path"))
 
 
 def merge_files(old: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -107,7 +158,7 @@ def event_totals(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
     base = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    follow(stream, merge_counts, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    follow(stream, merge_counts, ("event_type",), f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return read_snapshot(spark, f"{base}/state", "state").select("event_type", "n", F.col("total").cast("double").alias("total"))
 
 

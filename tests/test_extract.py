@@ -131,7 +131,7 @@ def test_a_stream_in_batches_equals_one_batch(spark, tmp_path):
     for k, rows in enumerate(history):
         spark.createDataFrame(rows, "path string, content_hash string, modified_at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("path string, content_hash string, modified_at int").parquet(str(tmp_path / "in"))
-        sync.follow(stream, lambda old, new: sync.merge_files(old, new), str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
+        sync.follow(stream, sync.merge_files, ("path",), str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
     state = {r.path: r.content_hash for r in snapshots.read_snapshot(spark, str(tmp_path / "state"), "state").collect()}
     assert state == {"a": "2", "c": "0", "d": "1"}
     assert snapshots.current_version(spark, str(tmp_path / "state")) == 3 and snapshots.current_version(spark, str(tmp_path / "none")) == 0

@@ -34,4 +34,7 @@ def test_an_index_that_follows_equals_one_made_at_once(spark, tmp_path):
     at_once = rows(spark, sync.reindex(None, spark.createDataFrame([(p, t, 0) for p, t in final.items()], SCHEMA)))
     followed = rows(spark, {n: snapshots.read_snapshot(spark, root, n) for n in sync.INDEX})
     assert followed == at_once
+    assert set(sync.search_index(spark, root).postings.columns) == {"term", "id", "length", "tf"}
+    unchanged = {n: df.count() for n, (_, df) in sync.changes({n: snapshots.read_snapshot(spark, root, n) for n in sync.INDEX}, spark.createDataFrame([(p, t, 9) for p, t in final.items()], SCHEMA)).items()}
+    assert unchanged == {n: int(n == "totals") for n in sync.INDEX}
     assert {("src/late.ts:late", "import"), ("src/store.ts:Store::save", "instance-method")} <= {(t, by) for _, t, _, _, by in followed[2]}
