@@ -92,7 +92,6 @@ RUNES = r"^\$(state|derived|effect|props|bindable|inspect|host)\b"
 #: framework, language, pattern: groups are the method (or empty) and the path
 ROUTES = [
     ("express", ("javascript", "typescript"), r"\b(?:app|router)\.(get|post|put|patch|delete|all|use)\(\s*['\"`]([^'\"`]+)['\"`]"),
-    ("nest", ("typescript",), r"@(Get|Post|Put|Patch|Delete|All|MessagePattern|EventPattern)\(\s*['\"`]([^'\"`]*)['\"`]"),
     ("flask", ("python",), r"@\w+\.(route|get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"), ("django", ("python",), r"\b(path|re_path|url)\(\s*r?['\"]([^'\"]*)['\"]"),
     ("laravel", ("php",), r"Route::(get|post|put|patch|delete|any|resource|apiResource)\(\s*['\"]([^'\"]+)['\"]"), ("rails", ("ruby",), r"^\s*(get|post|put|patch|delete|resources?)\s+['\":]+([\w/:.-]+)"),
     ("spring", ("java", "kotlin"), r"@(Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*)?['\"]([^'\"]+)['\"]"), ("gin", ("go",), r"\.(GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete|HandleFunc)\(\s*\"([^\"]+)\""),

@@ -1,13 +1,14 @@
 """Frameworks: which symbol a route leads to, routes that folders make, and components.
 
-A handler either stands on the line of its route, or is the next function or method below it, as with decorators and attributes.
+A handler either stands on the line of its route, or is the next function or method below it, as with decorators and attributes. Nest's routes begin with
+what the class around them says.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
@@ -25,7 +26,23 @@ NAMED = {
     "vapor": r"use:\s*(?:\w+\.)*(\w+)",
     "aspnet": r"\.Map\w+\(\s*\"[^\"]*\"\s*,\s*(?:\w+\.)*(\w+)\s*\)",
 }
-BELOW = ("nest", "flask", "spring", "actix", "aspnet")
+BELOW = ("flask", "spring", "actix", "aspnet")
+#: arguments in brackets, with strings and up to two more levels of brackets inside
+_STRINGS = r"'[^']*+'|\"[^\"]*+\"|`[^`]*+`"
+_INSIDE = rf"(?:[^()'\"`]++|{_STRINGS}|\((?:[^()'\"`]++|{_STRINGS}|\((?:[^()'\"`]++|{_STRINGS})*+\))*+\))*+"
+ARGS, ARGS_KEPT = rf"\({_INSIDE}\)", rf"\(({_INSIDE})\)"
+# Decorators of Nest, on classes and on what they route to, and the words for its messages.
+NEST_SCOPES = rf"^\s*(?:@\w+{ARGS}\s*)*@(Controller|Resolver|WebSocketGateway|Injectable|Module|Catch)\s*{ARGS_KEPT}"
+NEST_ROUTES = rf"^\s*(?:@\w+{ARGS}\s*)*?@(Get|Post|Put|Patch|Delete|Head|Options|All|Query|Mutation|Subscription|MessagePattern|EventPattern|SubscribeMessage)\s*{ARGS_KEPT}"
+NEST_WORDS = {"MessagePattern": "MESSAGE", "EventPattern": "EVENT", "SubscribeMessage": "WS"}
+GRAPHQL = ("Query", "Mutation", "Subscription")
+# What a resource stands for, as framework, action, method, what follows the resource's path, and whether an interface without forms has it.
+RESOURCES = [
+    ("laravel", "index", "GET", "", True), ("laravel", "create", "GET", "/create", False), ("laravel", "store", "POST", "", True), ("laravel", "show", "GET", "/{id}", True),
+    ("laravel", "edit", "GET", "/{id}/edit", False), ("laravel", "update", "PUT", "/{id}", True), ("laravel", "destroy", "DELETE", "/{id}", True),
+    ("rails", "index", "GET", "", True), ("rails", "new", "GET", "/new", False), ("rails", "create", "POST", "", True), ("rails", "show", "GET", "/:id", True),
+    ("rails", "edit", "GET", "/:id/edit", False), ("rails", "update", "PATCH", "/:id", True), ("rails", "destroy", "DELETE", "/:id", True),
+]
 INCLUDES = r"\binclude\(\s*['\"]([\w.]+)['\"]"
 #: framework, pattern of the path, what is a page's place in it
 PAGES = [
@@ -41,15 +58,61 @@ SCREEN = r":\s*(?:some\s+)?(View|UIViewController|UITableViewController|UICollec
 def handlers(files: DataFrame, found: DataFrame) -> DataFrame:
     """id, framework, path, line, method, url, handler: what each route leads to; null where it can't be told. found: symbols of the files."""
     named = F.coalesce(*(F.when(F.col("framework") == name, F.nullif(F.regexp_extract("text", p, 1), F.lit(""))) for name, p in NAMED.items()))
-    text = lines(files).select("path", "line", "text")
-    own = routes(files).join(text, ["path", "line"]).withColumn("named", named).drop("text")
+    text = lines(files)
+    own = routes(files).join(text.select("path", "line", "text"), ["path", "line"]).withColumn("named", named).drop("text").unionByName(_nest(text), allowMissingColumns=True)
     # next function below: routes and functions of a file in one order of lines
     marks = found.filter("kind IN ('function', 'method')").select(F.col("file_path").alias("path"), F.col("start_line").alias("line"), F.col("name").alias("next"))
     both = own.unionByName(marks, allowMissingColumns=True)
-    onward = Window.partitionBy("path").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
-    placed = both.withColumn("next", F.first("next", ignorenulls=True).over(onward)).filter("framework IS NOT NULL")
-    handler = F.coalesce("named", F.when(F.col("framework").isin(*BELOW), F.col("next")))
-    return placed.select(node_id(F.lit("route"), F.col("path"), F.concat_ws(" ", "method", "url"), F.col("line")).alias("id"), "framework", "path", "line", "method", "url", handler.alias("handler"))
+    by_line = Window.partitionBy("path").orderBy("line")
+    onward, before = by_line.rowsBetween(0, Window.unboundedFollowing), by_line.rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("next", F.first("next", ignorenulls=True).over(onward)).withColumn("scope", F.last("scope", ignorenulls=True).over(before)).filter("framework IS NOT NULL")
+    handler = F.coalesce("named", F.when(F.col("framework").isin(*BELOW, "nest"), F.col("next")))
+    composed = _composed(placed.withColumn("handler", handler))
+    return composed.select(node_id(F.lit("route"), F.col("path"), F.concat_ws(" ", "method", "url"), F.col("line")).alias("id"), "framework", "path", "line", "method", "url", "handler")
+
+
+def _literal(args: str, *keys: str) -> Column:
+    """The first string after one of the keys, in their order (`` is any place, `^` the beginning); empty if there is none."""
+    before = {"": "", "^": r"^\s*"}
+    return F.coalesce(*(F.nullif(F.regexp_extract(args, before.get(k, rf"\b{k}\s*:\s*") + r"['\"`]([^'\"`]*)['\"`]", 1), F.lit("")) for k in keys), F.lit(""))
+
+
+def _nest(text: DataFrame) -> DataFrame:
+    """path, line, framework, method, args of routes, and path, line, scope (kind, prefix) of the classes around: a class's scope goes to the next class's."""
+    script = text.filter(F.col("language").isin("typescript", "javascript", "tsx", "jsx") & F.col("text").contains("@"))
+    scope, args = F.regexp_extract("text", NEST_SCOPES, 1), F.regexp_extract("text", NEST_SCOPES, 2)
+    around = script.withColumn("kind", scope).withColumn("args", args).filter("kind <> ''")
+    prefix = F.when(F.col("kind") == "Controller", _literal("args", "path", "")).when(F.col("kind") == "WebSocketGateway", _literal("args", "namespace")).otherwise("")
+    classes = around.select("path", "line", F.struct("kind", prefix.alias("prefix")).alias("scope"))
+    hits = script.select("path", "line", F.lit("nest").alias("framework"), F.regexp_extract("text", NEST_ROUTES, 1).alias("method"), F.regexp_extract("text", NEST_ROUTES, 2).alias("args")).filter("method <> ''")
+    return classes.unionByName(hits, allowMissingColumns=True)
+
+
+def _composed(placed: DataFrame) -> DataFrame:
+    """placed with Nest's methods and urls made from the class around: prefixes of controllers and namespaces of gateways; GraphQL only in resolvers."""
+    nest, kind, prefix = F.col("framework") == "nest", F.col("scope.kind"), F.coalesce("scope.prefix", F.lit(""))
+    graphql = F.col("method").isin(*GRAPHQL)
+    trimmed = lambda c: F.regexp_replace(F.trim(c), F.lit(r"^/+|/+$"), F.lit(""))
+    whole = F.filter(F.array(trimmed(F.when(kind == "Controller", prefix).otherwise("")), trimmed(_literal("args", ""))), lambda p: p != "")
+    or_handler = lambda c: F.coalesce(F.nullif(c, F.lit("")), "handler", F.lit(""))
+    event = or_handler(_literal("args", ""))
+    url = (
+        F.when(graphql, or_handler(_literal("args", "name", "^"))).when(F.col("method").isin("MessagePattern", "EventPattern"), event)
+        .when(F.col("method") == "SubscribeMessage", F.when((kind == "WebSocketGateway") & (prefix != ""), F.concat_ws(":", prefix, event)).otherwise(event))
+        .otherwise(F.concat(F.lit("/"), F.array_join(whole, "/")))
+    )
+    word = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in NEST_WORDS.items() for x in kv)), F.col("method")), F.upper("method"))
+    kept = placed.filter(~nest | ~graphql | F.coalesce(kind == "Resolver", F.lit(False)))
+    return kept.withColumn("url", F.when(nest, url).otherwise(F.col("url"))).withColumn("method", F.when(nest, word).otherwise(F.col("method")))
+
+
+def resources(handled: DataFrame) -> DataFrame:
+    """id, framework, path, line, method, url, handler of the routes that resource routes of handled stand for: `Route::resource`, `Route::apiResource`, `resources`. Their ids lead back to the resource."""
+    whole = handled.filter(F.lower("method").isin("resource", "apiresource", "resources"))
+    actions = F.array(*(F.struct(F.lit(f).alias("of"), F.lit(a).alias("handler"), F.lit(m).alias("verb"), F.lit(u).alias("rest"), F.lit(api).alias("api")) for f, a, m, u, api in RESOURCES))
+    own = whole.withColumn("a", F.explode(actions)).filter((F.col("a.of") == F.col("framework")) & (F.col("a.api") | (F.lower("method") != "apiresource")) & ~((F.col("framework") == "rails") & (F.lower("method") == "resource")))
+    url = F.concat(F.lit("/"), F.regexp_replace("url", F.lit(r"^/+|/+$"), F.lit("")), F.col("a.rest"))
+    return own.select("id", "framework", "path", "line", F.col("a.verb").alias("method"), url.alias("url"), F.col("a.handler").alias("handler"))
 
 
 def route_nodes(handled: DataFrame, files: DataFrame) -> DataFrame:

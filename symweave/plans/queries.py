@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import changes, context, extract, graph, imports, lookup, mutate, resolve, search, stats
+from ..operators import changes, context, conventions, extract, graph, imports, lookup, mutate, resolve, search, stats
 from ..schema import Graph, node_id
 from ..sources.projection import GRAPH_SQL, MODULES_SQL, modules, table
 from ..sources.projection import graph as project
@@ -668,6 +668,28 @@ def resolve_all(spark, sf_dir):
     return resolve.resolve(refs(g), g.nodes, resolve.builtins(spark, more.distinct()))
 
 
+HABITS_SQL = """ services AS (SELECT CASE WHEN s_acctbal > 5000 THEN 'interface:' ELSE 'class:' END || s_suppkey AS id, 'N' || s_suppkey % 97 || CASE s_nationkey % 3 WHEN 0 THEN 'Service' WHEN 1 THEN 'Repository' ELSE 'Controller' END AS name,
+  CASE WHEN s_acctbal > 5000 THEN 'interface' ELSE 'class' END AS kind, CASE s_nationkey % 2 WHEN 0 THEN 'src/service/' ELSE 'src/controllers/' END || s_nationkey || '.java' AS path, s_suppkey AS k FROM supplier),
+asks AS (SELECT DISTINCT o_orderkey || '>' || name AS ref_id, name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN services ON l_suppkey = k),
+ranked AS (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY NOT (path LIKE CASE WHEN name LIKE '%Service' THEN '%/service/%' WHEN name LIKE '%Controller' THEN '%/controllers/%' ELSE '%/repository/%' END), path, id) AS place
+  FROM services WHERE kind = 'class' OR name NOT LIKE '%Controller')
+SELECT ref_id, id AS target, CAST(0.85 AS DOUBLE) AS confidence, 'framework' AS resolved_by FROM asks JOIN ranked USING (name) WHERE place = 1"""
+
+
+@query("," + HABITS_SQL, on_graph=False)
+def resolve_conventions(spark, sf_dir):
+    """Suppliers as services, repositories and controllers of one Java project, of which many bear one name; each order refers to those that it buys from."""
+    supplier, last = table(spark, sf_dir, "supplier"), F.col("s_nationkey") % 3
+    kind = F.when(F.col("s_acctbal") > 5000, "interface").otherwise("class")
+    name = F.concat(F.lit("N"), (F.col("s_suppkey") % 97).cast("string"), F.when(last == 0, "Service").when(last == 1, "Repository").otherwise("Controller"))
+    path = F.concat(F.when(F.col("s_nationkey") % 2 == 0, "src/service/").otherwise("src/controllers/"), F.col("s_nationkey").cast("string"), F.lit(".java"))
+    nodes = supplier.select(F.concat_ws(":", kind, "s_suppkey").alias("id"), kind.alias("kind"), name.alias("name"), name.alias("qualified_name"), path.alias("file_path"), F.lit(1).alias("start_line"), "s_suppkey")
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(nodes.select("name", "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    asked = bought.select(F.concat_ws(">", "o_orderkey", "name").alias("ref_id"), F.col("name").alias("reference_name"), F.lit("java").alias("language")).distinct()
+    files = nodes.select(F.col("file_path").alias("path"), F.lit("import org.springframework;\n@Service\n").alias("text")).distinct()
+    return conventions.by_framework(asked, nodes, files)
+
+
 @query("""
 SELECT DISTINCT r.path || '>' || 'N' || s_nationkey || '.' || replace(s_name, '#', '_') AS ref_id, 'interface:' || s_suppkey AS target, CAST(0.9 AS DOUBLE) AS confidence, 'import' AS resolved_by
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN places r ON r.n_nationkey = c_nationkey

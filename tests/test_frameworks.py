@@ -33,7 +33,7 @@ def test_frameworks(spark):
     assert got == {
         ("r.js", "/users"): "list", ("r.js", "/login"): "login", ("urls.py", "a/<int:id>/"): "detail", ("urls.py", "b/"): "ListView", ("urls.py", "c/"): None, ("v.py", "/home"): "home", ("v.py", "/next"): "following",
         ("web.php", "/p"): "show", ("web.php", "/q"): "store", ("routes.rb", "/x"): "index", ("S.java", "/s"): "read", ("main.go", "/g"): "Show", ("a.rs", "/r"): "ready", ("a.rs", "/ax"): "hello",
-        ("C.cs", "/c"): "Read", ("P.cs", "/m"): "Mapped", ("n.ts", "all"): "all", ("v.swift", "v"): "show",
+        ("C.cs", "/c"): "Read", ("P.cs", "/m"): "Mapped", ("n.ts", "/all"): "all", ("v.swift", "v"): "show",
     }
     refs = [(r.reference_kind, r.reference_name) for r in frameworks.route_references(handled, files).collect()]
     assert sorted(refs) == sorted([("imports", "shop.urls"), *(("references", h) for h in got.values() if h)])
@@ -45,3 +45,62 @@ def test_frameworks(spark):
     assert parts == {("react", "component", "Post"), ("react", "function", "useThing"), ("react", "component", "Cart"), ("svelte", "component", "+page"), ("vue", "component", "index"), ("swift", "component", "Home")}
     calls = {r.reference_name for r in frameworks.project_references(extract.references(files, found)).collect()}
     assert "useState" not in calls and "Card" in calls
+
+
+NEST = """import { Controller } from '@nestjs/common';
+@Controller({ path: '/cats/', host: 'x' })
+export class Cats {
+  @Get(':id') @HttpCode(204)
+  one(@Param('id') id: string, @Query('q') q: string): string {
+    return '';
+  }
+  @Post()
+  @UseGuards(A('x'))
+  async make(): Promise<X> {
+  }
+  // @Get('gone')
+  @Query('unseen')
+  other() {
+  }
+}
+@Resolver(() => User)
+export class Users {
+  @Query(() => [User], { name: 'users' })
+  all() {
+  }
+  @Mutation(() => User, { description: 'no name' })
+  addUser() {
+  }
+}
+@WebSocketGateway(81, { namespace: 'chat' })
+export class Chat {
+  @SubscribeMessage('send')
+  sent() {
+  }
+  @EventPattern()
+  happened() {
+  }
+  @MessagePattern({ cmd: 'sum' })
+  sum() {
+  }
+}
+@Injectable()
+export class Plain {
+  @Head() @Header('a', 'b')
+  head() {
+  }
+}
+"""
+
+
+def test_routes_begin_with_what_the_class_says(spark):
+    texts = [("src/c.ts", NEST), ("empty.ts", ""), ("null.ts", None), ("web.php", "<?php\nRoute::apiResource('photos', PhotoController::class);\nRoute::resource('/tags/', TagController::class);\n"), ("routes.rb", "resources :books\n")]
+    files = spark.createDataFrame(texts, "path string, text string").withColumn("language", extract.language_of(F.col("path"), F.col("text")))
+    handled = frameworks.handlers(files, extract.symbols(files))
+    assert {(r.method, r.url, r.handler) for r in handled.filter("framework = 'nest'").collect()} == {
+        ("GET", "/cats/:id", "one"), ("POST", "/cats", "make"), ("QUERY", "users", "all"), ("MUTATION", "addUser", "addUser"), ("WS", "chat:send", "sent"),
+        ("EVENT", "happened", "happened"), ("MESSAGE", "sum", "sum"), ("HEAD", "/", "head"),
+    }
+    made = sorted((r.path, r.method, r.url, r.handler) for r in frameworks.resources(handled).collect())
+    rest = lambda path, base, key, put, forms: [(path, "GET", base, "index"), (path, "POST", base, "create" if put == "PATCH" else "store"), (path, "GET", f"{base}/{key}", "show"), (path, put, f"{base}/{key}", "update"), (path, "DELETE", f"{base}/{key}", "destroy"), *([(path, "GET", f"{base}/{forms}", forms), (path, "GET", f"{base}/{key}/edit", "edit")] if forms else [])]
+    assert made == sorted(rest("web.php", "/photos", "{id}", "PUT", "") + rest("web.php", "/tags", "{id}", "PUT", "create") + rest("routes.rb", "/books", ":id", "PATCH", "new"))
