@@ -299,6 +299,33 @@ def relevant(graph: Graph, queries: DataFrame, search_limit: int = 8, max_nodes:
     return chosen.select("query_id", "id", F.round("score", 6).alias("score"), F.when(F.col("entry"), "entry").otherwise("near").alias("role"))
 
 
+def brief(graph: Graph, queries: DataFrame, most: int = 20, per_file: int = 10, roots: int = 10) -> DataFrame:
+    """query_id, id, score, role: a plainer answer. Names that a query (query_id, query) spells score 1, names that begin with a capitalised one of them 0.7, and what else it says is
+    searched for as text; the best are expanded by one step to callers, callees and members. The best `most` of each query are entries or hits, expansion adds to these, and no file keeps more than per_file.
+
+    A node counts once, by its first channel. Ties go to the least id. Queries without words and null queries have no rows.
+    """
+    nodes = graph.nodes
+    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split("query", r"\s+"), lambda w: w != ""))).alias("word"))
+    spelt = queries.select("query_id", F.explode(question_symbols(F.col("query"))).alias("name"))
+    same = spelt.join(nodes.select("id", "name"), "name").select("query_id", "id", F.lit(1.0).alias("score"), F.lit(0).alias("channel"))
+    index = graph.index or build(nodes)
+    capital = spelt.filter(F.col("name").rlike(r"^\p{Lu}")).select("query_id", F.lower("name").alias("begin"))
+    runs = capital.withColumn("gram", F.substr("begin", F.lit(1), F.lit(3))).join(index.runs.withColumnRenamed("name", "bearer"), "gram").filter(F.lower("bearer").startswith(F.col("begin"))).select("query_id", F.col("bearer").alias("name")).distinct()
+    longer = runs.join(nodes.select("id", "name"), "name").select("query_id", "id", F.lit(0.7).alias("score"), F.lit(1).alias("channel"))
+    said = words.withColumn("low", F.lower("word")).join(spelt.select("query_id", F.lower("name").alias("low")), ["query_id", "low"], "left_anti")
+    text = search_fields(said.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("query")), index).select("query_id", "id", "score", F.lit(2).alias("channel"))
+    hits = same.unionByName(longer).unionByName(text).groupBy("query_id", "id").agg(F.min_by("score", F.struct("channel", -F.col("score"))).alias("score"))
+    best = stored(top(hits, ["query_id"], [F.desc("score"), F.asc("id")], most).select("query_id", "id", "score", "rank"), "brief")
+    own = best.select("query_id", "id", "score", F.when(F.col("rank") <= roots, "entry").otherwise("hit").alias("role"))
+    near = graph.edges.filter(F.col("kind").isin("calls", "references", "imports", "contains")).select("source", "target", "kind")
+    starts = best.filter(F.col("rank") <= roots).select("query_id", F.col("id").alias("root"))
+    ways = starts.join(near, F.col("root") == F.col("source")).select("query_id", F.col("target").alias("id")).union(starts.join(near.filter("kind <> 'contains'"), F.col("root") == F.col("target")).select("query_id", F.col("source").alias("id")))
+    more = ways.distinct().join(own.select("query_id", "id"), ["query_id", "id"], "left_anti").join(nodes.select("id"), "id", "left_semi").select("query_id", "id", F.lit(0.0).alias("score"), F.lit("near").alias("role"))
+    placed = own.unionByName(more).join(nodes.select("id", "file_path"), "id")
+    return top(placed, ["query_id", "file_path"], [F.desc("score"), F.asc("id")], per_file).select("query_id", "id", "score", "role")
+
+
 class Answer(NamedTuple):
     """nodes: query_id, id, score, role. edges: query_id, source, target, kind. blocks: query_id, id, file_path, start_line, end_line, code. summary: query_id, n_nodes, n_edges, n_files, summary."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import changes, context, conventions, extract, graph, imports, lookup, mutate, resolve, search, stats
+from ..operators import changes, context, conventions, extract, graph, imports, lookup, mutate, render, resolve, search, stats
 from ..schema import Graph, node_id
 from ..sources.projection import GRAPH_SQL, MODULES_SQL, modules, table
 from ..sources.projection import graph as project
@@ -668,6 +668,21 @@ def resolve_all(spark, sf_dir):
     return resolve.resolve(refs(g), g.nodes, resolve.builtins(spark, more.distinct()))
 
 
+TREE_SQL = f"""{MODULES_SQL}, parts AS (SELECT string_split(path, '/') AS p FROM buyers UNION SELECT string_split(path, '/') FROM sellers),
+steps AS (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM parts),
+entries AS (SELECT p[1:k] AS path, p[1:k - 1] AS parent, p[k] AS name, k, bool_or(k = len(p)) AS is_file FROM steps GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY is_file DESC, name DESC) = 1 AS is_last FROM entries),
+above AS (SELECT path AS of, unnest(range(1, k)) AS n FROM placed),
+bars AS (SELECT of, string_agg(CASE WHEN is_last THEN '    ' ELSE '│   ' END, '' ORDER BY n) AS bars FROM above JOIN placed ON of[1:n] = path GROUP BY of)
+SELECT CAST(k AS INT) AS depth, array_to_string(path, '/') AS path, coalesce(bars, '') || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || name AS line FROM placed LEFT JOIN bars ON of = path"""
+
+
+@query(f", {TREE_SQL}", on_graph=False)
+def file_tree(spark, sf_dir):
+    """Files of customers and suppliers in the folders of their nations."""
+    return render.file_tree(modules(spark, sf_dir).nodes.select(F.col("file_path").alias("path"))).select("depth", "path", "line")
+
+
 HABITS_SQL = """ services AS (SELECT CASE WHEN s_acctbal > 5000 THEN 'interface:' ELSE 'class:' END || s_suppkey AS id, 'N' || s_suppkey % 97 || CASE s_nationkey % 3 WHEN 0 THEN 'Service' WHEN 1 THEN 'Repository' ELSE 'Controller' END AS name,
   CASE WHEN s_acctbal > 5000 THEN 'interface' ELSE 'class' END AS kind, CASE s_nationkey % 2 WHEN 0 THEN 'src/service/' ELSE 'src/controllers/' END || s_nationkey || '.java' AS path, s_suppkey AS k FROM supplier),
 asks AS (SELECT DISTINCT o_orderkey || '>' || name AS ref_id, name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN services ON l_suppkey = k),
