@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, scratch, stored
+from .shared import documents, scratch, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive, and anchored to where a run of characters starts, so that no text takes quadratic time; the matches are those
@@ -143,7 +143,7 @@ def pieces(text: Column, spans: Column) -> Column:
 def found(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     """doc_id, text_key, spans and text for each row; null texts as empty. text is null where there is nothing to find, unless whole_rows: then the row is in _row."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), *[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] * whole_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key().alias("text_key"), *[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] * whole_rows)
     rows = rows.withColumn("spans", base_spans(F.col("text")))
     return rows if whole_rows else rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
