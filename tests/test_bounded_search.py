@@ -38,6 +38,22 @@ def chain(spark, n=30):
     return make(spark, [node(f"c{i:02}", "class") for i in range(n)], [(f"c{i:02}", f"c{i - 1:02}", "extends") for i in range(1, n)])
 
 
+def test_full_shares_are_not_searched(spark, written):
+    entries = spark.createDataFrame([("q", f"c{i:02}") for i in range(20)], "query_id string, id string")
+    assert {(r.root, r.id, r.depth) for r in C.expanded(chain(spark), entries, 20, 2).collect()} == {(f"c{i:02}", f"c{i:02}", 0) for i in range(20)}
+    assert [rows for name, rows in written if name == "level"] == [20]
+
+
+@pytest.mark.parametrize("by_id", [True, False])
+def test_first_neighbours_are_enough(spark, by_id):
+    hub = [("hub", f"m{i:03}", "calls" if i % 2 else "contains") for i in range(60)] + [("m003", f"a{i}", "calls") for i in range(9)] + [("m000", "a5", "extends")]
+    g = make(spark, [node(i) for i in ("hub", *(f"m{i:03}" for i in range(60)), *(f"a{i}" for i in range(9)))], hub)
+    seeds = spark.createDataFrame([("hub", "hub")], "root string, id string")
+    every = {r.id: (r.order, r.depth, r.parent) for r in G.spanning(g, seeds, limit=1000, by_id=by_id, max_depth=2).collect()}
+    few = {r.id: (r.order, r.depth, r.parent) for r in G.spanning(g, seeds, limit=6, by_id=by_id, max_depth=2).collect()}
+    assert few == {i: own for i, own in every.items() if own[0] <= 6}
+
+
 def test_neighbours_are_looked_for_where_entries_leave_room(spark, written):
     found = spark.createDataFrame([(q, f"c{i:02}", q == "full" or i == 9, float(i)) for q in ("full", "open") for i in range(10)], "query_id string, id string, entry boolean, score double")
     got = {(r.query_id, r.id, r.place) for r in C.filled(found, chain(spark).edges, 3).collect()}
