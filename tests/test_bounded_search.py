@@ -38,6 +38,18 @@ def chain(spark, n=30):
     return make(spark, [node(f"c{i:02}", "class") for i in range(n)], [(f"c{i:02}", f"c{i - 1:02}", "extends") for i in range(1, n)])
 
 
+def test_relatives_end_with_the_level_that_fills_a_query(spark, written):
+    found = spark.createDataFrame([("q", "c15")], "query_id string, id string")
+    assert sorted((r.id, r.round) for r in C.relatives(chain(spark), found, 16).collect()) == [("c13", 1), ("c14", 1), ("c16", 1), ("c17", 1)]
+    assert max(rows for name, rows in written if name == "relatives") == 4
+
+
+def test_relatives_reach_a_second_round(spark):
+    g = make(spark, [node(i, "class") for i in "abcdef"], [(i, "a", "extends") for i in "bcdef"])
+    found = spark.createDataFrame([("q", "b")], "query_id string, id string")
+    assert sorted((r.id, r.round) for r in C.relatives(g, found, 12).collect()) == [("a", 1), ("c", 2), ("d", 2)]
+
+
 def test_full_shares_are_not_searched(spark, written):
     entries = spark.createDataFrame([("q", f"c{i:02}") for i in range(20)], "query_id string, id string")
     assert {(r.root, r.id, r.depth) for r in C.expanded(chain(spark), entries, 20, 2).collect()} == {(f"c{i:02}", f"c{i:02}", 0) for i in range(20)}
@@ -59,3 +71,10 @@ def test_neighbours_are_looked_for_where_entries_leave_room(spark, written):
     got = {(r.query_id, r.id, r.place) for r in C.filled(found, chain(spark).edges, 3).collect()}
     assert got == {("full", f"c{i:02}", 0) for i in (7, 8, 9)} | {("open", "c09", 0), ("open", "c08", 1), ("open", "c07", 2)}
     assert ("entries", 1) in written
+
+
+def test_few_levels_leave_steps_where_they_are(spark, written):
+    g = chain(spark)
+    seeds = g.nodes.filter("id = 'c15'").select(F.col("id").alias("root"), "id")
+    assert {(r.id, r.depth) for r in G.traverse(g, seeds, max_depth=1).collect()} == {("c15", 0), ("c14", 1)}
+    assert not [name for name, _ in written if name == "steps"]
