@@ -1,6 +1,7 @@
 """Steps that must not grow faster than what they read: what is searched, stored or compared is counted."""
 
 import symweave.operators.graph as G
+from symweave.schema import Graph
 
 
 def test_affected_tests_begin_where_fewer_files_are(spark, monkeypatch):
@@ -15,3 +16,14 @@ def test_affected_tests_begin_where_fewer_files_are(spark, monkeypatch):
     few = spark.createDataFrame([("c.ts",)], "path string")
     assert [tuple(r) for r in G.affected_tests(deps, few).collect()] == [("c.ts", "tests/y.ts")] and begun == [2, 1]
     assert {tuple(r) for r in G.affected_tests(deps, changed, 1).collect()} == expected - {("a.ts", "tests/x.ts")}
+
+
+def test_paths_go_on_where_fewer_nodes_are(spark, monkeypatch):
+    ids = ["s", "m1", "m2", "m3", "g", *(f"x{i}" for i in range(400)), *(f"y{i}" for i in range(400))]
+    edges = [("s", "m1"), ("m1", "m2"), ("m2", "m3"), ("m3", "g")] + [(f"x{i}", "m3") for i in range(400)] + [(f"y{i}", f"x{i}") for i in range(400)] + [("s", "gone")]
+    graph = Graph(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([(a, b, "calls") for a, b in edges], "source string, target string, kind string"))
+    rows, stored = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name, *a, **k: (lambda t: rows.append((name, t.count())) or t)(stored(df, name, *a, **k)))
+    (found,) = G.paths(graph, spark.createDataFrame([("s", "g")], "start string, goal string")).collect()
+    assert (found.n_steps, found.path) == (4, "s>m1>m2>m3>g")
+    assert [n for name, n in rows if name == "steps"] == [804] and sum(n for name, n in rows if name == "level") <= 4
