@@ -1,6 +1,8 @@
 """Steps that must not grow faster than what they read: what is searched, stored or compared is counted."""
 
+import symweave.operators.context as C
 import symweave.operators.graph as G
+import symweave.operators.search as S
 from symweave.schema import Graph
 
 
@@ -27,3 +29,16 @@ def test_paths_go_on_where_fewer_nodes_are(spark, monkeypatch):
     (found,) = G.paths(graph, spark.createDataFrame([("s", "g")], "start string, goal string")).collect()
     assert (found.n_steps, found.path) == (4, "s>m1>m2>m3>g")
     assert [n for name, n in rows if name == "steps"] == [804] and sum(n for name, n in rows if name == "level") <= 4
+
+
+def test_definitions_meet_terms_by_whole_beginnings(spark, monkeypatch):
+    def holding(*a, **k):
+        raise AssertionError("names are compared with every term that shares letters")
+
+    names = ["customer#01", "Customer#02", "xcustomer", "cust", "customer#1"]
+    nodes = spark.createDataFrame([(f"n{i}", n, "class", "a.ts") for i, n in enumerate(names)], "id string, name string, kind string, file_path string")
+    terms = spark.createDataFrame([("q", t) for t in ("customer#0", "cust", "zz", "")], "query_id string, term string")
+    monkeypatch.setattr(S, "holding", holding)
+    assert {r.id for r in C.definitions(nodes, terms, 8).collect()} == {"n0", "n1", "n3", "n4"}
+    assert {(r.query, r.id, r.score) for r in S.beginning(nodes, terms.select("query_id", terms.term.alias("query"))).collect()} == {
+        ("customer#0", "n0", 0.9), ("customer#0", "n1", 0.9), ("cust", "n0", 0.9), ("cust", "n1", 0.9), ("cust", "n3", 1.0), ("cust", "n4", 0.9)}
