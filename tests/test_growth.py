@@ -42,3 +42,18 @@ def test_definitions_meet_terms_by_whole_beginnings(spark, monkeypatch):
     assert {r.id for r in C.definitions(nodes, terms, 8).collect()} == {"n0", "n1", "n3", "n4"}
     assert {(r.query, r.id, r.score) for r in S.beginning(nodes, terms.select("query_id", terms.term.alias("query"))).collect()} == {
         ("customer#0", "n0", 0.9), ("customer#0", "n1", 0.9), ("cust", "n0", 0.9), ("cust", "n1", 0.9), ("cust", "n3", 1.0), ("cust", "n4", 0.9)}
+
+
+def test_index_parts_are_written_where_they_were_made(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from symweave.operators import index
+
+    def moved(*a, **k):
+        raise AssertionError("rows of the index are dealt by range")
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", moved)
+    nodes = spark.createDataFrame([("n1", "order_17", "a::order_17"), ("n2", "order_2", "a::order_2")], "id string, name string, qualified_name string")
+    index.write(nodes, str(tmp_path / "index"))
+    got, made = index.read(spark, str(tmp_path / "index")), index.build(nodes)
+    assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) for a, b in zip(got, made, strict=True))
