@@ -1,7 +1,8 @@
 """Near copies by verified similarity: the pipeline's stage, whole where op9's query is bound to few bits.
 
+Fingerprints as op9's (SimHash, at most RADIUS bits apart) bring a first part of the candidates together; the rest comes from minima of hash functions.
 Two texts are near copies if their sets of WIDTH-word shingles have a Jaccard similarity of THRESHOLD or more. At 0.8, majority
-fingerprints differ in some 10 of 64 bits, which no banding of fingerprints brings together at bearable cost; so candidates come
+fingerprints differ in some 10 of 64 bits, which no banding of fingerprints brings together at bearable cost; so further candidates come
 from minima of PER_BAND * MINHASH_BANDS hash functions over the shingles, of which a pair at 0.8 shares a band with probability 0.9996. Bands with
 the same members are compared once. Each pair that shares a band is compared by the whole sets of 64-bit shingle hashes, so no link is
 an estimate. Texts are read a second time only where they share a band. Of a group larger than BLOCK each set is first compared with the group's least;
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import scratch, small_batches, stored, text_key, without
-from .simhash import SEED, components
+from . import simhash
+from .simhash import SEED, components, fingerprint
 
 WIDTH, THRESHOLD, MINHASH_BANDS, PER_BAND = 5, 0.8, 20, 5
 #: Members of a block, and shingles that a block holds on average at most.
@@ -64,20 +66,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_key, set_key, n (different shingles), keys of the bands, for each row."""
+    """doc_id, text_key, set_key, n (different shingles), fp (the SimHash fingerprint), keys of the bands, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes, keys = [], [], []
+            found, sizes, fps, keys = [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), width)
                 found.append(set_key(hashes))
                 sizes.append(len(hashes))
+                fps.append(fingerprint(text.as_py()))
                 keys.append(bands(hashes))
             listed = pa.array(keys, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), listed], ["doc_id", "text_key", "set_key", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), listed], ["doc_id", "text_key", "set_key", "n", "fp", "keys"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key binary, set_key long, n long, keys array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key binary, set_key long, n long, fp long, keys array<long>")
 
 
 def sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -133,7 +136,11 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, threshold: float = THR
 
 def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """a, b: links between the set keys of near copies that connect all of them. rows: the stored sketches of docs."""
-    banded = rows.select("set_key", "n", F.posexplode("keys").alias("band", "key"))
+    minima = rows.select("set_key", "n", F.posexplode("keys").alias("band", "key"))
+    worded = rows.filter(F.size("keys") > 0)
+    prints = stored(components(simhash.links(worded.select("fp").distinct())), "prints")
+    of_print = worded.join(prints.withColumnRenamed("node", "fp"), "fp", "left").select("set_key", "n", F.lit(MINHASH_BANDS).alias("band"), F.coalesce("root", "fp").alias("key"))
+    banded = minima.union(of_print)
     members = F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("members")
     groups = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("set_key").alias("least"), F.max("set_key").alias("most"), members)
     alike = groups.filter("least < most").groupBy("rows", "shingles", "least", "most", "members").agg(F.min(F.struct("band", "key")).alias("first"))
