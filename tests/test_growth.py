@@ -57,3 +57,10 @@ def test_index_parts_are_written_where_they_were_made(spark, tmp_path, monkeypat
     index.write(nodes, str(tmp_path / "index"))
     got, made = index.read(spark, str(tmp_path / "index")), index.build(nodes)
     assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) for a, b in zip(got, made, strict=True))
+
+
+def test_ranges_without_a_file_are_a_group_of_clusters(spark):
+    from symweave.operators.stats import line_clusters
+
+    ranges = spark.createDataFrame([(None, 1, 4), (None, 5, 6), (None, 2000, 2001), ("a.ts", 1, 2)], "file_path string, start_line int, end_line int")
+    assert {tuple(r) for r in line_clusters(ranges, ["file_path"], 8).collect()} == {(None, 1, 1, 6, 2), (None, 2, 2000, 2001, 1), ("a.ts", 1, 1, 2, 1)}
