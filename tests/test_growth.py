@@ -64,3 +64,21 @@ def test_ranges_without_a_file_are_a_group_of_clusters(spark):
 
     ranges = spark.createDataFrame([(None, 1, 4), (None, 5, 6), (None, 2000, 2001), ("a.ts", 1, 2)], "file_path string, start_line int, end_line int")
     assert {tuple(r) for r in line_clusters(ranges, ["file_path"], 8).collect()} == {(None, 1, 1, 6, 2), (None, 2, 2000, 2001, 1), ("a.ts", 1, 1, 2, 1)}
+
+
+def test_a_level_is_dealt_into_parts_of_bounded_size(spark, monkeypatch):
+    leaves, roots = [f"l{i}" for i in range(400)], [f"l{i}" for i in range(0, 400, 10)]
+    graph = Graph(spark.createDataFrame([(i, "class") for i in ["hub", *leaves]], "id string, kind string"), spark.createDataFrame([("hub", i, "contains") for i in [*leaves, "gone"]], "source string, target string, kind string"))
+    most, stored = [], G.stored
+
+    def watched(df, name, *a, **k):
+        if name == "level":
+            most.append(max((len(p) for p in df.rdd.glom().collect()), default=0))
+        return stored(df, name, *a, **k)
+
+    monkeypatch.setattr(G, "stored", watched)
+    monkeypatch.setattr(G, "PAIRS", 1000, raising=False)
+    seeds = spark.createDataFrame([(i, i) for i in roots], "root string, id string")
+    got = [tuple(r) for r in G.traverse(graph, seeds, "both", max_depth=3).collect()]
+    expected = {(r, i, 0 if i == r else 1 if i == "hub" else 2) for r in roots for i in ["hub", *leaves]}
+    assert set(got) == expected and len(got) == len(expected) and max(most) <= 4000, most
