@@ -82,3 +82,28 @@ def test_a_level_is_dealt_into_parts_of_bounded_size(spark, monkeypatch):
     got = [tuple(r) for r in G.traverse(graph, seeds, "both", max_depth=3).collect()]
     expected = {(r, i, 0 if i == r else 1 if i == "hub" else 2) for r in roots for i in ["hub", *leaves]}
     assert set(got) == expected and len(got) == len(expected) and max(most) <= 4000, most
+
+
+def test_texts_are_scored_in_parts_of_bounded_size(spark, monkeypatch):
+    from collections import Counter
+    from math import log
+
+    texts = [(i, " ".join(["The", *(w for k, w in enumerate(("Cat", "dog-cat", "bird", "été")) if i % (k + 2) == 0)])) for i in range(300)] + [(7, "the the cat"), (7, "cat the the"), (8, ""), (9, None)]
+    asked = {"q1": "the cat", "q2": "The bird? the", "q3": "nothing", "q4": "été dog"}
+    docs, queries = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    words = lambda text: "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+    rows = [(i, words(text)) for i, text in texts]
+    mean, posted = sum(len(w) for _, w in rows) / len(rows), Counter((i, len(w), x) for i, w in rows for x in w)
+    df, scores = Counter(x for _, _, x in posted), Counter()
+    for q, query in asked.items():
+        for (i, length, x), tf in posted.items():
+            if x in set(words(query)):
+                scores[q, i] += max(log((len(rows) - df[x] + 0.5) / (df[x] + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    expected = {(q, i, round(s, 6)) for (q, i), s in scores.items() if sum((-round(t, 6), j) < (-round(s, 6), i) for (p, j), t in scores.items() if p == q) < 10}
+    most, top = [], S.top
+    monkeypatch.setattr(S, "top", lambda df, *a: most.append(max(len(p) for p in df.rdd.glom().collect())) or top(df, *a))
+    for pairs, most_words in ((50, 1 << 13), (50, 0), (5, 1 << 13)):  # the last: more words of queries than go to every task
+        monkeypatch.setattr(S, "PAIRS", pairs, raising=False)
+        got = S.search_texts(docs, queries, most_words=most_words).collect()
+        assert {(r.query_id, r.id, r.score) for r in got} == expected and len(got) == len(expected)
+    assert max(most) <= 150, most
