@@ -4,8 +4,8 @@ The model's protobuf is parsed here (pieces, scores, kinds, trainer and normalis
 normaliser's compiled character map and white-space rules, the metaspace mark, a Unigram model with the pieces' scores (or, for a
 model of kind BPE, merges ordered by them), and byte fallback. Batches are encoded by the library's threads.
 
-Where no piece holds a mark behind another character (checked), a batch's different parts between single spaces are encoded once, and each part's
-ids are compared with the sentencepiece library's; other texts, and one in CHECKED, are compared as a whole. Decoding runs the rebuilt decoder over the
+Where no piece holds a mark behind another character (checked), a batch's different parts between single spaces are encoded once; other texts are
+encoded as a whole. The ids of every text are compared with what the sentencepiece library gives for the whole of it. Decoding runs the rebuilt decoder over the
 whole id list of each text; what it gives is compared with the sentencepiece library's decoding and with the text.
 """
 
@@ -30,7 +30,7 @@ from .shared import documents, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
-THREADS, CHECKED = 2, 16
+THREADS = 2
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -129,37 +129,24 @@ class Backend:
         self.begins = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def right(self, parts: list[str], ids: np.ndarray) -> np.ndarray:
-        """Of each part whether ids, those of all parts one behind the other, are what the sentencepiece library gives for it."""
-        expected = self.other.encode(parts, num_threads=1)
-        if np.array_equal(flat(expected), ids):
-            return np.ones(len(parts), bool)
-        own = np.split(ids, np.flatnonzero(self.begins[ids])[1:])
-        return np.array([len(a) == len(b) and bool((a == b).all()) for a, b in zip(own, map(np.array, expected), strict=True)])
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All texts' ids one behind the other, how many each has, and whether they are the sentencepiece library's.
-
-        That is compared for all parts, and for one text in CHECKED, by the checksum of its bytes, as a whole.
-        """
+        """All texts' ids one behind the other, how many each has, and whether they are the sentencepiece library's, which encodes every text as a whole."""
         odd = pc.match_substring_regex(texts, f"  |^ | $|^$|{MARK}").to_numpy(zero_copy_only=False)
         plain = ~odd & self.parted
-        whole = texts.filter(pa.array(~plain)).to_pylist()
-        others = self.encode_batch(whole)
-        ids, counts, fine = encode_by_parts(texts.filter(pa.array(plain)), self.encode_batch, self.begins, right=self.right)
-        parity = np.empty(len(texts), bool)
-        parity[plain], parity[~plain] = fine, [a == b for a, b in zip(others, self.other.encode(whole, num_threads=1), strict=True)]
+        others = self.encode_batch(texts.filter(pa.array(~plain)).to_pylist())
+        ids, counts, _ = encode_by_parts(texts.filter(pa.array(plain)), self.encode_batch, self.begins)
         ids, counts = interleaved(plain, ids, counts, others)
-        ends = np.cumsum(counts)
-        chosen = [i for i, t in enumerate(texts) if plain[i] and zlib.crc32(t.as_buffer()) % CHECKED == 0]
-        for i, expected in zip(chosen, self.other.encode([texts[i].as_py() for i in chosen], num_threads=1), strict=True):
-            parity[i] &= ids[ends[i] - counts[i] : ends[i]].tolist() == expected
-        return ids, counts, parity
+        expected = self.other.encode(texts.to_pylist(), num_threads=1)
+        sizes = np.fromiter(map(len, expected), np.int64)
+        if np.array_equal(sizes, counts) and np.array_equal(flat(expected), ids):
+            return ids, counts, np.ones(len(texts), bool)
+        own = np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
+        return ids, counts, np.array([x.tolist() == y for x, y in zip(own, expected, strict=True)], bool)
 
 
 _backends: dict[str, Backend] = {}
