@@ -7,7 +7,7 @@ text's ids are gathered from its parts. Everything but the encoding itself is do
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,6 +21,18 @@ class PartsRun(ValueError):
     """Parts run into each other: their ids can't be told apart."""
 
 
+def joined(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches that follow each other, as one while they hold no more than most bytes together: the more texts, the fewer different parts for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def flat(lists: Iterable[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64)
 
@@ -45,15 +57,16 @@ def encode_by_parts(
     split = pc.split_pattern(texts, " ")
     offsets = np.asarray(split.offsets)
     words = split.flatten().dictionary_encode()
-    codes, different = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-    ids = flat(encode([lead + " ".join(different[k : k + RUN]) for k in range(0, len(different), RUN)]))
+    codes, different = words.indices.to_numpy().astype(np.int64), words.dictionary
+    runs = pa.ListArray.from_arrays(pa.array([*range(0, len(different), RUN), len(different)], pa.int32()), different)
+    ids = flat(encode([lead + run for run in pc.binary_join(runs, " ").to_pylist()]))
     starts = np.flatnonzero(begins[ids])
     if len(starts) != len(different):
         raise PartsRun("a part's ids can't be told from the next part's")
     sizes = np.diff(starts, append=len(ids))
-    fine = np.logical_and.reduceat(right(different, ids)[codes], offsets[:-1]) if right else np.ones(len(texts), bool)
+    fine = np.logical_and.reduceat(right(different.to_pylist(), ids)[codes], offsets[:-1]) if right else np.ones(len(texts), bool)
     if lead:
-        own = list(encode([different[k] for k in codes[offsets[:-1]]]))
+        own = list(encode(different.take(pa.array(codes[offsets[:-1]])).to_pylist()))
         own_sizes = np.array(list(map(len, own)))
         codes[offsets[:-1]] = len(sizes) + np.arange(len(own))
         starts, sizes = np.append(starts, len(ids) + np.cumsum(own_sizes) - own_sizes), np.append(sizes, own_sizes)

@@ -4,7 +4,7 @@ The model's protobuf is parsed here (pieces, scores, kinds, trainer and normalis
 normaliser's compiled character map and white-space rules, the metaspace mark, a Unigram model with the pieces' scores (or, for a
 model of kind BPE, merges ordered by them), and byte fallback. Batches are encoded by the library's threads.
 
-Where no piece holds a mark behind another character (checked), a batch's different parts between single spaces are encoded once; other texts are
+Where no piece holds a mark behind another character (checked), the different parts between single spaces of some MB of texts are encoded once; other texts are
 encoded as a whole. The ids of every text are compared with what the sentencepiece library gives for the whole of it. Decoding runs the rebuilt decoder over the
 whole id list of each text; what it gives is compared with the sentencepiece library's decoding and with the text.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .parts import encode_by_parts, flat, interleaved
+from .parts import encode_by_parts, interleaved, joined
 from .shared import documents, small_batches
 
 MARK = "▁"
@@ -93,7 +93,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def build(spec: Spec):
     """The tokenizers library's Tokenizer for a model."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     unknown = next(i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN)
     if spec.kind == "bpe":
@@ -108,10 +108,19 @@ def build(spec: Spec):
     tokenizer.normalizer = normalizers.Sequence(steps)
     if not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in spec.pieces):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * spec.dummy_prefix])
+    tokenizer.decoder = decoder(spec)
     return tokenizer
 
 
+def decoder(spec: Spec, joined_first: bool = False):
+    """The library's decoder for a model. joined_first: marks turn into spaces in the whole text, those that bytes make up, too."""
+    from tokenizers import decoders
+
+    # Metaspace reads characters where Replace searches each token by a regular expression; as it takes no prefix away, they give the same
+    marks, join = [decoders.Metaspace(MARK, "never")], [decoders.ByteFallback(), decoders.Fuse()]
+    return decoders.Sequence([*(join + marks if joined_first else marks + join), *[decoders.Strip(" ", 1, 0)] * spec.dummy_prefix])
+
+
 class Backend:
     """Encodes and decodes as the model at path does, and verifies that."""
 
@@ -119,6 +128,7 @@ class Backend:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import Tokenizer
 
         with open(path, "rb") as file:
             self.spec = Spec.parse(file.read())
@@ -126,13 +136,25 @@ class Backend:
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
         #: whether a text's parts may be encoded one by one
         self.parted = self.tokenizer.pre_tokenizer is not None and self.spec.dummy_prefix and not self.spec.squeeze and not self.spec.charsmap
+        #: the same decoder with its parts joined first, for ids without the byte that a mark begins with: marks made of bytes stay marks
+        self.joining = Tokenizer(self.tokenizer.model)
+        self.joining.decoder = decoder(self.spec, joined_first=True)
+        self.mark_byte = self.tokenizer.token_to_id(f"<0x{MARK.encode()[0]:02X}>")
         self.begins = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        held = [self.mark_byte in x for x in ids]
+        exact = iter(self.tokenizer.decode_batch([x for x, h in zip(ids, held, strict=True) if h], skip_special_tokens=False))
+        others = iter(self.joining.decode_batch([x for x, h in zip(ids, held, strict=True) if not h], skip_special_tokens=False))
+        return [next(exact if h else others) for h in held]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray] | list[list[int]]:
+        """The sentencepiece library's ids of each text: arrays, which spare an object for each id, or lists where its version has no arrays."""
+        encode = getattr(self.other, "encode_as_numpy", None) or self.other.encode
+        return encode(texts, num_threads=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' ids one behind the other, how many each has, and whether they are the sentencepiece library's, which encodes every text as a whole."""
@@ -141,12 +163,12 @@ class Backend:
         others = self.encode_batch(texts.filter(pa.array(~plain)).to_pylist())
         ids, counts, _ = encode_by_parts(texts.filter(pa.array(plain)), self.encode_batch, self.begins)
         ids, counts = interleaved(plain, ids, counts, others)
-        expected = self.other.encode(texts.to_pylist(), num_threads=1)
+        expected = self.whole(texts.to_pylist())
         sizes = np.fromiter(map(len, expected), np.int64)
-        if np.array_equal(sizes, counts) and np.array_equal(flat(expected), ids):
+        if np.array_equal(sizes, counts) and np.array_equal(np.concatenate([ids[:0], *expected]), ids):
             return ids, counts, np.ones(len(texts), bool)
         own = np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
-        return ids, counts, np.array([x.tolist() == y for x, y in zip(own, expected, strict=True)], bool)
+        return ids, counts, np.array([np.array_equal(x, y) for x, y in zip(own, expected, strict=True)], bool)
 
 
 _backends: dict[str, Backend] = {}
@@ -169,7 +191,7 @@ def model_path(path: str | None) -> str:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     backend = backend_for(path)
-    for batch in batches:
+    for batch in joined(batches):
         ids, counts, parity = backend.encode(batch.column(1))
         ends = np.append(0, np.cumsum(counts))
         listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
