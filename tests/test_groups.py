@@ -45,3 +45,23 @@ def test_what_groups_stand_for_is_not_stored(spark, monkeypatch):
     changed = spark.createDataFrame([(f"c{i}.ts",) for i in range(60)], "path string")
     assert G.affected_through(given(spark, [], users, held), changed).count() == 3600
     assert max(n for _, n in rows) <= 120, rows
+    users, held = [(f"s{i}.ts", "g") for i in range(60)], [("g", f"c{i}.ts") for i in range(60)]
+    rows.clear()
+    found = G.cycles(given(spark, [(f"c{i}.ts", f"s{i}.ts") for i in range(59)], users, held)).collect()
+    assert {tuple(r) for r in found} == {(f"{k}{i}.ts", "c0.ts", 118) for k in "cs" for i in range(59)}
+    assert max(n for _, n in rows) <= 240, rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_cycles_through_groups(spark, seed):
+    own = drawn(seed)
+    steps = [p for p in pairs(*own) if p[0] != p[1]]
+    above = {f: set() for p in steps for f in p}
+    while True:
+        grown = {f: above[f] | {b for a, b in steps if a == f or a in above[f]} for f in above}
+        if grown == above:
+            break
+        above = grown
+    expected = {(f, min(mates), len(mates)) for f in above if f in above[f] for mates in [{g for g in above[f] if f in above[g]}]}
+    assert {tuple(r) for r in G.cycles(given(spark, *own)).collect()} == expected
+    assert {tuple(r) for r in G.cycles(spark.createDataFrame(pairs(*own), "path string, depends_on string")).collect()} == expected
