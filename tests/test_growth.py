@@ -107,3 +107,29 @@ def test_texts_are_scored_in_parts_of_bounded_size(spark, monkeypatch):
         got = S.search_texts(docs, queries, most_words=most_words).collect()
         assert {(r.query_id, r.id, r.score) for r in got} == expected and len(got) == len(expected)
     assert max(most) <= 150, most
+
+
+def test_pairs_of_a_last_level_are_not_stored(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    ids = [f"n{i}" for i in range(120)]
+    steps = {("up", "hub", i) for i in ids[:100]} | {("up", "hub2", i) for i in ids[60:]} | {("up", i, "hub") for i in ids[:50]} | {("up", i, "hub2") for i in ids[20:40]} | {("down", i, "hub") for i in ids[:30]} | {("down", "hub", i) for i in ids[50:]}
+    steps |= {(w, r.choice(ids), r.choice(ids)) for w in ("up", "down") for _ in range(80)}
+    barred = set(ids[::7])
+    expected = {}
+    for w in ("up", "down"):
+        for root in ids[:50]:
+            level = {root}
+            for depth in range(3):
+                for i in level:
+                    expected.setdefault((root, i, w), depth)
+                level = {b for v, a, b in steps if v == w and a in level and b not in barred}
+    rows, stored = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name, *a, **k: (lambda t: rows.append((name, t.count())) or t)(stored(df, name, *a, **k)))
+    monkeypatch.setattr(G, "PAIRS", 500)
+    seeds = spark.createDataFrame([(i, i, w) for i in ids[:50] for w in ("up", "down")], "root string, id string, way string")
+    through = spark.createDataFrame([(i,) for i in ["hub", "hub2", *ids] if i not in barred], "id string")
+    found = G.reach(seeds, spark.createDataFrame([(a, b, w) for w, a, b in steps], "a string, b string, way string"), 2, through, way=["way"]).collect()
+    assert {(x.root, x.id, x.way): x.depth for x in found} == expected and len(found) == len(expected)
+    assert max(n for name, n in rows if name == "level") < len(expected) / 3, rows
